@@ -189,5 +189,5 @@ def corpus_map(files: DataFrame, policy: Policy, projects: DataFrame | None = No
         "discovery": discovery(files, policy),
     }
     if projects is not None:
-        frames["ledger_groups"] = projects_by_group(projects)
+        frames["ledger_groups"] = projects_by_group(projects, policy)
     return frames

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
-from shelfmark.functions.text import squeeze
 from shelfmark.operators.ranking import top_k
+from shelfmark.operators.skew import attach_group
 from shelfmark.policy import Policy
 
 MAX_QUERIES = 256
@@ -118,9 +118,9 @@ def with_cards(found: DataFrame, files: DataFrame, policy: Policy) -> DataFrame:
     return found.withColumn("_card", wanted).join(cards, F.col("_card") == F.col("card_path"), "left").drop("_card")
 
 
-def projects_by_group(projects: DataFrame) -> DataFrame:
-    """Ledger groups with their size and members. The ledger is one bounded document."""
-    group = F.coalesce(F.nullif(F.col("group"), F.lit("")), F.lit("(none)"))
-    return projects.groupBy(group.alias("group")).agg(
-        F.count(F.lit(1)).alias("projects"),
-        F.array_sort(F.collect_list(F.concat_ws(" · ", "id", squeeze(F.col("name"))))).alias("members"))
+def projects_by_group(projects: DataFrame, policy: Policy) -> DataFrame:
+    """(group, projects, id, name): every ledger row with the size of its group."""
+    rows = projects.withColumn("group", F.coalesce(F.nullif(F.col("group"), F.lit("")), F.lit("(none)")))
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    return attach_group(rows, sizes, ["group"], "id", policy).select(
+        "group", F.col("n").alias("projects"), "id", "name")

@@ -248,16 +248,14 @@ def monthly_activity(files: DataFrame, policy: Policy, months: int = 12) -> Data
     spark = files.sparkSession
     this_month = F.trunc(F.to_date(F.timestamp_millis(F.lit(policy.as_of_ms))), "month")
     calendar = spark.range(1).select(
-        F.date_format(
-            F.explode(F.sequence(F.add_months(this_month, -(months - 1)), this_month, F.expr("interval 1 month"))),
-            "yyyy-MM",
-        ).alias("month")
-    )
+        F.explode(F.sequence(F.add_months(this_month, -(months - 1)), this_month, F.expr("interval 1 month"))).alias("d")
+    ).select(F.date_format("d", "yyyy-MM").alias("month"))
     counted = (
         live(files).where(F.col("mtime_ms") > SANE_MTIME_MS)
         .groupBy(dates.month_key(F.col("mtime_ms")).alias("month")).agg(F.count(F.lit(1)).alias("files"))
     )
-    return calendar.join(counted, "month", "left").select("month", F.coalesce("files", F.lit(0)).alias("files"))
+    # The calendar has ``months`` rows.
+    return F.broadcast(calendar).join(counted, "month", "left").select("month", F.coalesce("files", F.lit(0)).alias("files"))
 
 
 def recent3(monthly: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ row is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.extract import extract_text
@@ -32,7 +32,7 @@ STEM = """CASE doc_id % 12
   WHEN 4 THEN concat('rules-', doc_id) WHEN 5 THEN concat('projects-', doc_id)
   WHEN 6 THEN concat('secret-', doc_id) WHEN 7 THEN concat('wechat-', doc_id)
   WHEN 8 THEN 'summary' WHEN 9 THEN concat('doc-', doc_id, ' (1)')
-  WHEN 10 THEN concat(repeat('long-', 12), doc_id) ELSE concat('doc-', doc_id) END"""
+  WHEN 10 THEN concat(repeat('long-', 12), doc_id) ELSE concat('ledger_', doc_id) END"""
 EXT = """CASE doc_id % 11
   WHEN 4 THEN '.txt' WHEN 5 THEN '.json' WHEN 6 THEN '.py' WHEN 7 THEN '.html'
   WHEN 8 THEN '.csv' WHEN 9 THEN '.png' WHEN 10 THEN '.log' ELSE '.md' END"""
@@ -71,21 +71,38 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_row(named, kind_and_flags(named, POLICY), "kind", "is_text", "is_symlink", "denied")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files table: the listing with title, headings and body extracted where policy lets us read."""
-    rows = listing(spark, sf_dir)
-    readable = F.col("is_text") & ~F.col("denied") & (F.col("size") <= POLICY.max_text_bytes)
-    text = rows.withColumn("text", F.when(readable, F.col("text")).otherwise(F.lit("")))
-    out = extract_text(text, POLICY).drop("text")
-    # The stored count serves reports about metadata; it equals the length of the body.
-    return out.withColumns({
-        "body_chars": F.when(readable, F.col("size")).otherwise(F.lit(0)), "is_binary": F.lit(False),
+def readable() -> Column:
+    return F.col("is_text") & ~F.col("denied") & (F.col("size") <= POLICY.max_text_bytes)
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files table without what is read from content; the text column is not scanned.
+
+    The stored character count serves reports about metadata; it equals the length of the body.
+    """
+    return listing(spark, sf_dir).drop("text").withColumns({
+        "body_chars": F.when(readable(), F.col("size")).otherwise(F.lit(0)), "is_binary": F.lit(False),
         "truncated": F.lit(False),
     })
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims_from(table(spark, sf_dir, "events"))
+def with_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and body, for operators that need neither title nor headings."""
+    rows = listing(spark, sf_dir)
+    return rows.withColumns({
+        "body": F.when(readable(), F.col("text")).otherwise(F.lit("")),
+        "body_chars": F.when(readable(), F.col("size")).otherwise(F.lit(0)), "is_binary": F.lit(False),
+        "truncated": F.lit(False),
+    }).drop("text")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole files table: title, headings and body extracted where policy lets us read."""
+    rows = with_body(spark, sf_dir)
+    text = extract_text(rows.withColumnRenamed("body", "text").drop("body_chars", "truncated"), POLICY).drop("text")
+    known = [c for c in rows.columns if c not in ("body_chars", "truncated", "body")]
+    return text.select(*known, F.inline(F.array(F.struct(
+        "title", "headings", "body", "truncated", "body_chars"))))
 
 
 CLAIM_SQL = {
@@ -112,6 +129,61 @@ def claims_from(events: DataFrame) -> DataFrame:
         "unix_seconds(CAST(ts AS TIMESTAMP)) AS ts", "value")
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims_from(table(spark, sf_dir, "events")).drop("value")
+
+
+SCAN_RUN_SQL = {
+    "run_id": "o_orderkey", "root": "concat('/vault/src', o_custkey % 20)",
+    "files_seen": "CAST(floor(o_totalprice) AS BIGINT)", "dirs_seen": "o_custkey",
+    "skipped_dirs": "o_custkey % 7", "errors": "o_custkey % 3",
+}
+
+
+def scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the log of past scans."""
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{sql} AS {name}" for name, sql in SCAN_RUN_SQL.items()])
+
+
+PROJECT_SQL = {
+    "id": "concat('P', p_partkey)", "name": "p_name", "group": "p_brand", "kind": "p_type",
+    "note": "concat('size ', p_size)",
+}
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a ledger of projects."""
+    return table(spark, sf_dir, "part").selectExpr(
+        *[f"{sql} AS `{name}`" for name, sql in PROJECT_SQL.items()],
+        "array(concat(replace(p_name, ' ', '-'), '.example.com')) AS domains",
+        "array(concat('repo/', p_brand)) AS repositories", "CAST(array() AS ARRAY<STRING>) AS routes")
+
+
+# Anchors of a page become relative links to files named after their target.
+PAGE_REL = "concat('pages/', page_id, '.md')"
+PAGE_ANCHOR = '<a href="/([^"]*)">[^<]*</a>'
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown documents, beside one file for the first link of each page; other targets are missing."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.regexp_replace("html", PAGE_ANCHOR, "[$1](../words/$1)")
+    docs = pages.select(F.expr(PAGE_REL).alias("rel"), body.alias("body"), F.length("html").alias("body_chars"))
+    words = pages.select(F.regexp_extract("html", PAGE_ANCHOR, 1).alias("_w")).where("_w <> ''").distinct().select(
+        F.concat(F.lit("words/"), "_w", F.lit(".md")).alias("rel"), F.lit("").alias("body"), F.lit(0).alias("body_chars"))
+    return docs.unionByName(words).withColumns({
+        "root": F.lit("/vault/src0"), "path": F.concat(F.lit("/vault/src0/"), F.col("rel")), "ext": F.lit(".md"),
+        "gone": F.lit(False),
+    })
+
+
+def rule_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rules: every line a numbered item under a heading about rules, then one that is not."""
+    items = F.concat(F.lit("# All\n\n## Naming rules\n\n1. "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n1. ")),
+                     F.lit("\n\n## Other\n\n1. not a rule\n"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), items.alias("body"))
+
+
 def export_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to export: every line a paragraph, attribution by language and label."""
     return table(spark, sf_dir, "documents").selectExpr(
