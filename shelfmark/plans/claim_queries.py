@@ -94,11 +94,17 @@ add("judge_and_annotate", after_new_events,
     """SELECT concat('user-', user_id) AS target, CASE WHEN bad THEN NULL ELSE '保留' END AS verdict,
       CASE WHEN bad THEN 'policy:corpus-agent' ELSE 'someone' END AS signed_by, CASE WHEN bad THEN 'L0' ELSE 'L1' END AS authority,
       concat('vault://file/user-', user_id) AS source_ref FROM (SELECT user_id, bool_or(event_type = 'error') AS bad FROM events GROUP BY user_id)""")
-add("retract_all",
-    lambda s, d: claims.current_claims(log(s, d).unionByName(claims.retract(
-        log(s, d).where(F.col("verdict") == VERDICTS[0]).groupBy("target").agg((F.max("id") + 1_000_000_000).alias("id"))
-        .withColumn("target_type", F.lit("file")), "someone", P))).select("target", "id"),
-    on_claims(f"SELECT target, id FROM current WHERE target NOT IN (SELECT target FROM claims WHERE verdict = '{VERDICTS[0]}')"))
+
+
+def after_retraction(s, d):
+    """Whoever is kept now is taken back; nothing older may come to light for them."""
+    kept = claims.current_claims(log(s, d)).where(F.col("verdict") == VERDICTS[0])
+    taken = claims.retract(kept.select("target", "target_type", (F.col("id") + 1_000_000_000).alias("id")), "someone", P)
+    return claims.current_claims(log(s, d).unionByName(taken)).select("target", "id")
+
+
+add("retract_kept", after_retraction,
+    on_claims(f"SELECT target, id FROM current WHERE verdict IS DISTINCT FROM '{VERDICTS[0]}'"))
 
 # -- projects -------------------------------------------------------------------------------------
 
