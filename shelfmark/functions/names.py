@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import stem
-from shelfmark.functions.text import CJK, contains_any, glob_regex, regex_escape
+from shelfmark.functions.text import CJK, contains_any, glob_regex, in_list, regex_escape, sql_list
 from shelfmark.policy import MARKDOWN_EXTS, NAMING_VENDOR_MARKERS, Policy
 
 COPY_SUFFIX = r"(?:\s*\(\d+\)|\s*-\s*(?:副本|拷贝|复件)\s*\d*|\s+第?\d+\s*版)\s*$"
@@ -16,19 +16,17 @@ HEX_NAME = r"(?i)[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[
 CAMERA_PREFIX = r"^(?:IMG_|DSC_|DSCN|VID_|MVIMG|PXL_|SCREENSHOT|MMEXPORT|WX_CAMERA)"
 
 
-def kind_of(ext: Column, policy: Policy) -> Column:
-    out = F.lit("other")
-    for kind in reversed(list(policy.kind_exts)):
-        out = F.when(ext.isin(*policy.kind_exts[kind]), F.lit(kind)).otherwise(out)
-    return out
+def kind_of(policy: Policy, ext: str = "ext") -> Column:
+    cases = " ".join(f"WHEN {ext} IN ({sql_list(exts)}) THEN '{kind}'" for kind, exts in policy.kind_exts.items())
+    return F.expr(f"CASE {cases} ELSE 'other' END")
 
 
-def is_text_ext(ext: Column, policy: Policy) -> Column:
-    return ext.isin(*policy.text_exts)
+def is_text_ext(policy: Policy, ext: str = "ext") -> Column:
+    return in_list(ext, policy.text_exts)
 
 
-def is_markdown(ext: Column) -> Column:
-    return ext.isin(*MARKDOWN_EXTS)
+def is_markdown(ext: str = "ext") -> Column:
+    return in_list(ext, MARKDOWN_EXTS)
 
 
 def is_denied(name: Column, policy: Policy) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import any_true, let
+from shelfmark.functions.text import any_true, let, regex_escape
 
 LOOSE = ""  # the group of files that lie directly in a root
 
@@ -38,9 +38,8 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1")
 
 
-def dotted(ext: Column) -> Column:
-    low = F.lower(F.coalesce(ext, F.lit("")))
-    return F.when((low == "") | low.startswith("."), low).otherwise(F.concat(F.lit("."), low))
+# An extension in lower case with its dot, however it was stored.
+DOTTED = "CASE WHEN ext = '' OR ext LIKE '.%' THEN lower(ext) ELSE concat('.', lower(ext)) END"
 
 
 def depth(rel: Column) -> Column:
@@ -52,7 +51,7 @@ def top_dir(rel: Column) -> Column:
 
 
 def has_segment(rel: Column, names: Iterable[str]) -> Column:
-    return F.arrays_overlap(F.split(F.lower(rel), "/"), F.array(*[F.lit(n) for n in names]))
+    return F.lower(rel).rlike(f"(?:^|/)(?:{'|'.join(map(regex_escape, names))})(?:/|$)")
 
 
 def under(path: Column, prefix: str) -> Column:

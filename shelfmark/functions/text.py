@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 # White space in the wide sense, line feed included. Valid in Java and RE2 patterns.
 SPACE = (r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")
+# The same characters one by one, for trimming without a pattern.
+SPACE_CHARS = (" \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
 
@@ -31,11 +34,22 @@ def all_true(conditions: Iterable[Column]) -> Column:
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
-    return any_true([F.contains(col, F.lit(w)) for w in words])
+    """One pattern for the whole list: a long disjunction of columns is slow to build and to compile."""
+    return col.rlike("|".join(map(regex_escape, words)))
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def in_list(sql: str, values: Iterable[str]) -> Column:
+    """``sql IN (…)`` in one expression; a literal column per value is slow to build for long lists."""
+    listed = sql_list(values)
+    return F.expr(f"{sql} IN ({listed})") if listed else F.lit(False)
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def squeeze(col: Column) -> Column:

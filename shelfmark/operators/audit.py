@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates, names, paths
+from shelfmark.functions.text import in_list
 from shelfmark.operators.links import broken_links, link_summary
 from shelfmark.operators.ranking import side_by_side, within_budget
 from shelfmark.operators.skew import attach_group
@@ -105,7 +106,7 @@ def same_name_groups(files: DataFrame) -> DataFrame:
     """Names, upper and lower case alike, found more than once; names every project has are left out."""
     key = F.lower("name")
     return (
-        present(files).where((F.col("size") >= SAME_NAME_MIN_BYTES) & ~key.isin(*UBIQUITOUS_NAMES))
+        present(files).where((F.col("size") >= SAME_NAME_MIN_BYTES) & ~in_list("lower(name)", UBIQUITOUS_NAMES))
         .groupBy(key.alias("name_key")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_bytes"))
         .where(F.col("n") > 1)
     )

@@ -160,7 +160,8 @@ def segment(docs: DataFrame, policy: Policy, body: str = "body") -> DataFrame:
 
 
 def explode_parts(segmented: DataFrame, *carry: str) -> DataFrame:
-    return segmented.select(*carry, F.inline("parts"))
+    """One row per part. There is always one; the outer form only spares Spark a check that computes the array again."""
+    return segmented.select(*carry, F.inline_outer("parts"))
 
 
 # -- packing --------------------------------------------------------------------------------------
@@ -211,7 +212,7 @@ def pack(segmented: DataFrame, policy: Policy, role: Column | None = None, title
                                       lambda starts: cut_at(F.col("parts"), starts)))
     return segmented.select(
         *[c for c in segmented.columns if c != "parts"], F.size("parts").alias("part_total"),
-        F.posexplode(sliced).alias("batch", "members"))
+        F.posexplode_outer(sliced).alias("batch", "members"))
 
 
 def batch_locator(members: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names, paths
-from shelfmark.functions.text import CJK, let, squeeze, strip
+from shelfmark.functions.text import CJK, SPACE, let, squeeze, strip
+from shelfmark.operators.ranking import each
 from shelfmark.policy import Policy
 
 SNIFF_BYTES = 8192
@@ -73,23 +74,24 @@ def headings(body: Column, limit: int) -> Column:
     return F.slice(F.filter(clean, lambda h: ~h.rlike(r"^#{1,6} $")), 1, limit)
 
 
+def _first_line(skip_rules: bool) -> str:
+    """Pattern of the first line that can serve as a title; matching stops there, whatever follows."""
+    blank = SPACE.replace(r"\s", r"[^\S\n]")
+    solid = SPACE.replace("[", "[^", 1)
+    bracket = rf"[<>{{}}\[\]()](?:[^\n]{{0,5}}{solid})?{blank}*$"
+    rule = rf"|[-*_=]{{3,}}{blank}*$" if skip_rules else ""
+    return rf"(?md)^{blank}*+(?!{bracket}{rule})({solid}[^\n]*)$"
+
+
 def first_line_title(body: Column, markdown: Column) -> Column:
-    """The first line that can serve as a title; a heading gives its text."""
-    usable = F.filter(
-        F.transform(F.split(body, "\n"), strip),
-        lambda s: (s != "")
-        & (
-            s.rlike(r"^#{1,6}\s+")
-            | ~((markdown & s.rlike(r"^[-*_=]{3,}$")) | (s.rlike(r"^[<>{}\[\]()]") & (F.length(s) < 8)))
-        ),
-    )
-    first = F.get(usable, F.lit(0))
-    return F.coalesce(
-        F.when(first.rlike(r"^#{1,6}\s+"), strip(F.regexp_replace(first, r"^#{1,6}\s+", ""))).otherwise(
-            F.substring(first, 1, MAX_TITLE)
-        ),
-        F.lit(""),
-    )
+    """The first usable line: not blank, not a rule of dashes in Markdown, not a short bracket line.
+
+    A heading gives its text, any other line is cut at 140 characters.
+    """
+    line = strip(F.when(markdown, F.regexp_extract(body, _first_line(True), 1)).otherwise(
+        F.regexp_extract(body, _first_line(False), 1)))
+    return F.when(line.rlike(r"^#{1,6}\s+"), strip(F.regexp_replace(line, r"^#{1,6}\s+", ""))).otherwise(
+        F.substring(line, 1, MAX_TITLE))
 
 
 def title_of(body: Column, matter: Column, markdown: Column) -> Column:
@@ -101,7 +103,7 @@ def title_of(body: Column, matter: Column, markdown: Column) -> Column:
 
 def extract_text(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """Title, headings and body of already decoded text; keeps the other columns of ``docs``."""
-    md = names.is_markdown(F.col("ext"))
+    md = names.is_markdown()
     staged = docs.withColumn("_fm", F.when(md, front_matter(F.col(text)))).withColumn(
         "_body", F.when(md, without_front_matter(F.col(text))).otherwise(F.col(text))
     )
@@ -143,7 +145,8 @@ def local_links(body: Column, syntax: str = "markdown") -> Column:
 
 def extract_links(docs: DataFrame, syntax: str = "markdown", body: str = "body") -> DataFrame:
     """One row per distinct link of a document."""
-    return docs.withColumn("link", F.explode(F.array_distinct(local_links(F.col(body), syntax)))).drop(body)
+    keep = [c for c in docs.columns if c != body]
+    return each(docs, keep, F.array_distinct(local_links(F.col(body), syntax)), "link")
 
 
 def rules_of(body: Column, limit: int = 20) -> Column:
@@ -159,12 +162,13 @@ def rules_of(body: Column, limit: int = 20) -> Column:
     items = F.flatten(
         F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(r"(?m)^\d+\.[ \t]+(.*)$"), F.lit(1)))
     )
-    return F.slice(F.transform(items, lambda i: squeeze(F.replace(i, F.lit("**"), F.lit("")))), 1, limit)
+    return F.transform(F.slice(items, 1, limit), lambda i: squeeze(F.replace(i, F.lit("**"), F.lit(""))))
 
 
 def extract_rules(docs: DataFrame, limit: int = 20) -> DataFrame:
     """(path, position, rule) for every rules document in ``docs``."""
-    return docs.select("path", F.posexplode(rules_of(F.col("body"), limit)).alias("position", "rule"))
+    return docs.select("path", F.posexplode_outer(rules_of(F.col("body"), limit)).alias("position", "rule")).where(
+        F.col("rule").isNotNull())
 
 
 def line_window(files: DataFrame, path: str | None = None, start: int = 1, n: int = 400,
@@ -226,11 +230,9 @@ def repeating_ngrams(files: DataFrame, n: int = 2, min_count: int = 2, char_clas
             )
         ),
     )
-    found = (
-        files.where(F.length("body") > 0)
-        .select("path", "body", F.explode(F.filter(counted, lambda x: x["hits"] >= min_count)).alias("_x"))
-        .select("path", "body", "_x.ngram", "_x.hits")
-    )
+    often = F.filter(counted, lambda x: x["hits"] >= min_count)
+    found = each(files.where(F.length("body") > 0), ["path", "body"], often, "_x").select(
+        "path", "body", "_x.ngram", "_x.hits")
     # An n-gram that can overlap itself is counted again without overlaps.
     apart = ((F.length("body") - F.length(F.replace("body", "ngram", F.lit("")))) / F.lit(n)).cast("bigint")
     overlaps = F.substring("ngram", 1, 1) == F.substring("ngram", -1, 1)

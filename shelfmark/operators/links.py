@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names, paths
 from shelfmark.operators.extract import extract_links
-from shelfmark.operators.ranking import side_by_side
+from shelfmark.operators.ranking import each, side_by_side
 from shelfmark.operators.skew import attach_group
 from shelfmark.policy import Policy
 
@@ -27,9 +27,7 @@ def link_target(path: Column, link: Column, policy: Policy) -> Column:
 
 def known_paths(files: DataFrame) -> DataFrame:
     """Every live path and every folder above one."""
-    return (
-        files.where(~F.col("gone")).select(F.explode(paths.ancestors(F.col("path"))).alias("known")).distinct()
-    )
+    return each(files.where(~F.col("gone")), [], paths.ancestors(F.col("path")), "known").distinct()
 
 
 def resolve_links(links: DataFrame, files: DataFrame, policy: Policy) -> DataFrame:
@@ -51,7 +49,7 @@ def resolve_links(links: DataFrame, files: DataFrame, policy: Policy) -> DataFra
 
 
 def markdown_links(files: DataFrame) -> DataFrame:
-    docs = files.where(~F.col("gone") & names.is_markdown(F.col("ext")) & (F.col("body_chars") > 0))
+    docs = files.where(~F.col("gone") & names.is_markdown() & (F.col("body_chars") > 0))
     return extract_links(docs.select("path", "rel", "body"))
 
 
@@ -63,7 +61,7 @@ def broken_links(files: DataFrame, policy: Policy) -> DataFrame:
 
 def link_summary(files: DataFrame, policy: Policy) -> DataFrame:
     """Documents looked at, links checked and links broken."""
-    docs = files.where(~F.col("gone") & names.is_markdown(F.col("ext")) & (F.col("body_chars") > 0)).agg(
+    docs = files.where(~F.col("gone") & names.is_markdown() & (F.col("body_chars") > 0)).agg(
         F.count(F.lit(1)).alias("checked_files"))
     links = resolve_links(markdown_links(files), files, policy).agg(
         F.count(F.lit(1)).alias("checked_links"), F.count_if(~F.col("exists")).alias("broken"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
-from shelfmark.operators.ranking import top_k
+from shelfmark.operators.ranking import each, top_k
 from shelfmark.operators.skew import attach_group
 from shelfmark.policy import Policy
 
@@ -48,16 +48,14 @@ def match_ledger(projects: DataFrame, queries: dict[str, str]) -> DataFrame:
         F.struct(F.lit(key).alias("query"), ledger_score(F.lit(q)).alias("score"))
         for key, q in _queries(queries).items()
     ])
-    return (
-        projects.withColumn("_h", F.explode(F.filter(hits, lambda h: h["score"] > 0)))
-        .select("*", "_h.query", "_h.score").drop("_h")
-    )
+    found = each(projects, projects.columns, F.filter(hits, lambda h: h["score"] > 0), "_h")
+    return found.select("*", "_h.query", "_h.score").drop("_h")
 
 
 def match_folders(files: DataFrame, queries: dict[str, str], policy: Policy) -> DataFrame:
     """(query, folder, segment) for every folder of the main root whose own name holds the query."""
     here = files.where(~F.col("gone") & (F.col("root") == policy.main_root))
-    folders = here.select(F.explode(paths.folders_of(F.col("rel"))).alias("folder"))
+    folders = each(here, [], paths.folders_of(F.col("rel")), "folder")
     segment = F.lower(paths.base_name(F.col("folder")))
     hit = F.array_compact(F.array(*[
         F.when(F.contains(segment, F.lit(q)), F.lit(key)) for key, q in _queries(queries).items()]))

@@ -20,6 +20,15 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def each(df: DataFrame, keep: Sequence[str | Column], items: Column, alias: str) -> DataFrame:
+    """One row per non-null element of a computed array.
+
+    A plain explode makes Spark check the size of the array first, in a filter that computes it a second time. The
+    outer form computes it once; the rows it adds for empty arrays are dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(alias)).where(F.col(alias).isNotNull())
+
+
 def first_per(df: DataFrame, by: Sequence[str], order: Column, newest: bool = True) -> DataFrame:
     """One whole row per group, picked by the largest (or smallest) ``order``; combined on the map side."""
     pick = F.max_by if newest else F.min_by

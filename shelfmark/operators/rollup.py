@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates, paths
-from shelfmark.functions.text import squeeze
+from shelfmark.functions.text import in_list, squeeze
 from shelfmark.operators import search
-from shelfmark.operators.ranking import first_per, top_k
+from shelfmark.operators.ranking import each, first_per, top_k
 from shelfmark.policy import COVERAGE_LADDER, OPAQUE_EXTS, SANE_MTIME_MS, Policy
 
 
@@ -79,7 +79,7 @@ def overview_totals(files: DataFrame) -> DataFrame:
 
 def coverage_class(policy: Policy) -> Column:
     """What it would take to make a file searchable; one value of the coverage ladder."""
-    kind, ext = F.col("kind"), F.lower("ext")
+    kind = F.col("kind")
     return (
         F.when(F.col("gone") | F.col("is_symlink") | (F.col("size") == 0) | F.col("denied"), "excluded")
         .when(kind == "bundle", "skip")
@@ -87,7 +87,7 @@ def coverage_class(policy: Policy) -> Column:
         .when(F.col("is_text") & (F.col("size") > policy.max_text_bytes), "chunk")
         .when(F.col("is_text") & F.col("is_binary"), "skip")
         .when(F.col("is_text"), "fix")
-        .when(ext.isin(*OPAQUE_EXTS), "skip")
+        .when(in_list("lower(ext)", OPAQUE_EXTS), "skip")
         .when(kind == "image", "ocr")
         .when(kind.isin("audio", "video"), "asr")
         .when(kind == "archive", "unpack")
@@ -185,7 +185,7 @@ def list_directory(files: DataFrame, folder: str, depth: int = 1, dirs_only: boo
     rows = _below(files, folder)
     chain = F.slice(paths.folders_of(F.col("rest")), 1, depth)
     dirs = (
-        rows.select("size", "mtime_ms", F.explode(chain).alias("entry"))
+        each(rows, ["size", "mtime_ms"], chain, "entry")
         .groupBy("entry").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),
                               F.max("mtime_ms").alias("latest_ms"))
         .select(F.lit("dir").alias("entry_type"), "entry", (paths.depth(F.col("entry")) + 1).alias("level"),

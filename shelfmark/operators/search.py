@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates, paths
-from shelfmark.functions.text import all_true, any_true, clip, count_occurrences, squeeze
-from shelfmark.operators.ranking import top_k
+from shelfmark.functions.text import all_true, any_true, clip, count_occurrences, in_list, squeeze
+from shelfmark.operators.ranking import each, top_k
 from shelfmark.policy import DAY_MS, SANE_MTIME_MS, SEARCH_SCOPES, SEARCH_WEIGHTS, Policy
 
 MAX_TERMS = 6
@@ -90,15 +90,15 @@ def _field(name: str) -> Column:
     return F.lower(F.coalesce(col, F.lit("")))
 
 
-def match_condition(terms: Sequence[str], scope: str = "all") -> Column:
+def match_condition(terms: Sequence[str], scope: str = "all", column: Callable[[str], Column] = _field) -> Column:
     """Every term somewhere, cheap fields first: the body is only searched when no shorter field matched."""
     fields = SEARCH_SCOPES[scope]
-    return all_true([any_true([F.contains(_field(f), F.lit(t)) for f in fields]) for t in terms])
+    return all_true([any_true([F.contains(column(f), F.lit(t)) for f in fields]) for t in terms])
 
 
-def match_score(terms: Sequence[str], scope: str = "all") -> Column:
+def match_score(terms: Sequence[str], scope: str = "all", column: Callable[[str], Column] = _field) -> Column:
     parts = [
-        F.when(F.contains(_field(f), F.lit(t)), F.lit(SEARCH_WEIGHTS[f])).otherwise(F.lit(0))
+        F.when(F.contains(column(f), F.lit(t)), F.lit(SEARCH_WEIGHTS[f])).otherwise(F.lit(0))
         for t in terms for f in SEARCH_SCOPES[scope]
     ]
     total = F.lit(0)
@@ -206,18 +206,18 @@ def search_many(files: DataFrame, queries: dict[str, str], policy: Policy, k: in
     """
     if not queries or len(queries) > MAX_QUERIES:
         raise ValueError(f"between 1 and {MAX_QUERIES} queries")
+    fields = SEARCH_SCOPES[scope]
+    lowered = filter_files(files, policy, **filters).select("path", "mtime_ms", *[_field(f).alias(f"_{f}") for f in fields])
+    # Every query reads the same lower-case columns, computed once per file.
+    column = lambda f: F.col(f"_{f}")
     hits = F.array(*[
         F.when(
-            match_condition(terms_of(text), scope),
-            F.struct(F.lit(name).alias("query"), match_score(terms_of(text), scope).alias("score")),
+            match_condition(terms_of(text), scope, column),
+            F.struct(F.lit(name).alias("query"), match_score(terms_of(text), scope, column).alias("score")),
         )
         for name, text in queries.items()
     ])
-    found = (
-        filter_files(files, policy, **filters)
-        .select("path", "mtime_ms", F.explode(F.array_compact(hits)).alias("_h"))
-        .select("path", "mtime_ms", "_h.query", "_h.score")
-    )
+    found = each(lowered, ["path", "mtime_ms"], hits, "_h").select("path", "mtime_ms", "_h.query", "_h.score")
     order = [F.desc("score"), F.desc("mtime_ms"), F.asc("path")]
     return top_k(found, ["query"], order, k, "rank").select("query", "rank", "path", "score")
 
@@ -383,7 +383,7 @@ def filter_items(files: DataFrame, group: str = "all", keyword: str = "", sort:
         raise ValueError(f"group must be 'all' or one of {tuple(ITEM_GROUPS)}")
     out = files.where(~F.col("gone"))
     if group != "all":
-        out = out.where(paths.dotted(F.col("ext")).isin(*ITEM_GROUPS[group]))
+        out = out.where(in_list(paths.DOTTED, ITEM_GROUPS[group]))
     if keyword:
         q = F.lit(keyword.lower())
         out = out.where(F.contains(F.lower("name"), q) | F.contains(F.lower("rel"), q))

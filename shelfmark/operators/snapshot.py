@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.model import CHANGE_KEYS, CONTENT_COLUMNS
-from shelfmark.operators.ranking import first_per
+from shelfmark.operators.ranking import each, first_per
 
 
 def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHANGE_KEYS) -> DataFrame:
@@ -133,12 +133,9 @@ def diff_snapshots(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str])
     ]
     alone = F.when(F.col("b._in").isNull(), F.lit("only-in-a")).when(F.col("a._in").isNull(), F.lit("only-in-b"))
     one_sided = F.when(alone.isNotNull(), F.struct(alone.alias("field"), none.alias("in_a"), none.alias("in_b")))
-    return (
-        left.join(right, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
-        .select(F.coalesce(f"a.{key}", f"b.{key}").alias(key),
-                F.explode(F.array_compact(F.array(*differing, one_sided))).alias("_d"))
-        .select(key, "_d.*")
-    )
+    joined = left.join(right, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
+    return each(joined, [F.coalesce(f"a.{key}", f"b.{key}").alias(key)], F.array(*differing, one_sided), "_d").select(
+        key, "_d.*")
 
 
 # -- change feed ----------------------------------------------------------------------------------

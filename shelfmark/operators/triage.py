@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names, paths
-from shelfmark.functions.text import any_true, contains_any, token_pattern
+from shelfmark.functions.text import any_true, contains_any, in_list, token_pattern
 from shelfmark.operators.skew import attach_group
 from shelfmark.policy import NOISE_NAMES, Policy
 
@@ -68,7 +68,7 @@ def _rel() -> Column:
 
 
 def system_junk() -> Column:
-    return _name().isin(*[n.lower() for n in NOISE_NAMES])
+    return in_list("lower(name)", [n.lower() for n in NOISE_NAMES])
 
 
 def vendor_asset() -> Column:
@@ -93,32 +93,31 @@ def archived() -> Column:
 
 def entry_doc() -> Column:
     """The document of a project that someone new should read first."""
-    return (F.lower("ext").isin(*ENTRY_EXTS) & ~in_dependency() & ~archived()
+    return (in_list("lower(ext)", ENTRY_EXTS) & ~in_dependency() & ~archived()
             & contains_any(_name(), ENTRY_WORDS))
 
 
 def chat_named() -> Column:
-    return any_true([
-        F.contains(_name(), F.lit(w)) if len(w) >= 5 else _name().rlike(token_pattern(w)) for w in CHAT_WORDS
-    ])
+    return _name().rlike("|".join(map(token_pattern, CHAT_WORDS)))
 
 
 def content_type() -> Column:
     """What a file holds. Hard facts (folder, extension) come before guesses from the name."""
-    e, kind = paths.dotted(F.col("ext")), F.col("kind")
+    kind = F.col("kind")
+    ext_in = lambda exts: in_list(f"({paths.DOTTED})", exts)
     return (
         F.when(system_junk(), "junk")
         .when(vendor_asset(), "vendor")
-        .when(e.isin(*CONFIG_EXTS), "config")
-        .when(e.isin(*INSTALLER_EXTS), "installer")
-        .when(e.isin(*MODEL_EXTS), "model")
-        .when(e.isin(*BINARY_EXTS) | F.contains(_rel(), F.lit(".app/")), "binary")
-        .when(e.isin(*PROSE_EXTS) | ((e == "") & ~F.contains(_name(), F.lit("."))), "prose")
-        .when(e.isin(*STRUCTURED_EXTS), "structured")
-        .when(e.isin(*SOURCE_EXTS), "code")
-        .when(e.isin(*MEDIA_EXTS), "media")
-        .when(e.isin(*ASSET_EXTS), "asset")
-        .when(chat_named() | e.isin(*MAIL_EXTS), "comms")
+        .when(ext_in(CONFIG_EXTS), "config")
+        .when(ext_in(INSTALLER_EXTS), "installer")
+        .when(ext_in(MODEL_EXTS), "model")
+        .when(ext_in(BINARY_EXTS) | F.contains(_rel(), F.lit(".app/")), "binary")
+        .when(ext_in(PROSE_EXTS) | ((F.col("ext") == "") & ~F.contains(_name(), F.lit("."))), "prose")
+        .when(ext_in(STRUCTURED_EXTS), "structured")
+        .when(ext_in(SOURCE_EXTS), "code")
+        .when(ext_in(MEDIA_EXTS), "media")
+        .when(ext_in(ASSET_EXTS), "asset")
+        .when(chat_named() | ext_in(MAIL_EXTS), "comms")
         .when(kind.isin("video", "audio", "image"), "media")
         .when(kind == "code", "code")
         .when(kind.isin("doc", "web"), "prose")

@@ -198,7 +198,7 @@ add("extract_rules", lambda s, d: extract.extract_rules(fr.rule_docs(s, d)),
         {squeeze("replace(l, '**', '')")} AS rule FROM lines
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 20""")
 add("line_window", lambda s, d: extract.line_window(body(s, d), start=2, n=5),
-    on_meta(f"""SELECT path, len(ls) AS total_lines, 2 AS start_line, len(ls[2:6]) AS returned_lines,
+    on_meta(f"""SELECT path, len(ls) AS total_lines, CAST(2 AS BIGINT) AS start_line, len(ls[2:6]) AS returned_lines,
         1 + len(ls[2:6]) < len(ls) AS has_more, array_to_string(list_transform(ls[2:6],
           lambda x, i: lpad(CAST(i + 1 AS VARCHAR), length(CAST(1 + len(ls[2:6]) AS VARCHAR))::INT, ' ') || '| ' || x), chr(10)) AS content
       FROM (SELECT path, string_split(body, chr(10)) AS ls FROM meta WHERE NOT denied)"""))
@@ -244,7 +244,7 @@ BUCKET = f"""CASE WHEN gone OR size = 0 OR denied THEN 'excluded' WHEN body_char
   WHEN kind IN ('audio', 'video') THEN 'asr' WHEN kind = 'archive' THEN 'unpack'
   WHEN kind IN ('doc', 'sheet', 'slide') THEN 'extractor' WHEN kind = 'data' THEN 'nosql' ELSE 'skip' END"""
 CLASSED = f"{LISTING}, classed AS (SELECT *, {BUCKET} AS bucket FROM meta WHERE {LIVE})"
-LADDER = f"list_position([{words(COVERAGE_LADDER)}], bucket) - 1"
+LADDER = f"CAST(list_position([{words(COVERAGE_LADDER)}], bucket) - 1 AS BIGINT)"
 BUCKETS = (f"SELECT bucket, files, bytes, round(files * 100.0 / sum(files) OVER (), 6) AS pct_files, {LADDER} AS ladder FROM "
            f"(SELECT bucket, {TWO} FROM classed GROUP BY bucket)")
 TOP_EXTS = ("SELECT bucket, ext, files, rank FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY files DESC, ext) "
@@ -452,10 +452,10 @@ TRIAGED = f"""{LISTING}, facts AS (SELECT *, {TYPE} AS content_type, {BUILT} AS
       CASE WHEN built THEN 'build-artifact' END, CASE WHEN dep THEN 'dependency-folder' END, CASE WHEN size = 0 THEN 'empty-file' END,
       CASE WHEN copy_of IS NOT NULL THEN 'same-name-and-size:' || name END] AS against,
     CASE WHEN body_chars > 0 THEN 'body-' || {CHARS} END AS has_body, CASE WHEN old THEN 'archived-may-be-superseded' END AS was_old FROM facts),
-  tiered AS (SELECT *, CASE WHEN len(list_filter(against, lambda x: x IS NOT NULL)) > 0 THEN 5 WHEN content_type IN ('media', 'asset') THEN 3
+  tiered AS (SELECT *, CAST(CASE WHEN len(list_filter(against, lambda x: x IS NOT NULL)) > 0 THEN 5 WHEN content_type IN ('media', 'asset') THEN 3
       WHEN entry THEN 0 WHEN content_type IN ('code', 'structured') THEN 4 WHEN content_type IN ('prose', 'comms') AND body_chars >= 200
-      AND NOT old THEN 1 ELSE 2 END AS tier FROM grounds),
-  triaged AS (SELECT *, CASE content_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in DENSITY.items())} ELSE 0 END AS density,
+      AND NOT old THEN 1 ELSE 2 END AS BIGINT) AS tier FROM grounds),
+  triaged AS (SELECT *, CAST(CASE content_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in DENSITY.items())} ELSE 0 END AS BIGINT) AS density,
       list_filter(CASE tier WHEN 5 THEN against WHEN 3 THEN ['content-not-machine-readable', 'name-and-path-searchable']
         WHEN 0 THEN ['entry-document:' || name, has_body, was_old] WHEN 4 THEN ['search-only:' || content_type, coalesce(has_body, 'no-body')]
         ELSE ['may-hold-personal-content:' || content_type, CASE WHEN body_chars >= 200 THEN 'substantial-' || {CHARS} WHEN body_chars > 0

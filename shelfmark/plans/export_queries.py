@@ -83,7 +83,7 @@ def parts_sql(policy) -> str:
     return f"""{DOCS},
   split AS (SELECT doc_id, unnest(ps) AS para_text, generate_subscripts(ps, 1) - 1 AS para FROM (SELECT doc_id, CASE WHEN body = '' THEN ['']
     WHEN regexp_matches(body, '[^\\s]') THEN regexp_extract_all(body, '{PARA}') ELSE [body] END AS ps FROM docs)),
-  cuts AS (SELECT doc_id, para, 0 AS k, substr(rest, 1, {size}) AS text, substr(rest, {size} + 1) AS rest FROM (SELECT doc_id, para, para_text AS rest FROM split)
+  cuts AS (SELECT doc_id, para, CAST(0 AS BIGINT) AS k, substr(rest, 1, {size}) AS text, substr(rest, {size} + 1) AS rest FROM (SELECT doc_id, para, para_text AS rest FROM split)
     UNION ALL SELECT doc_id, para, k + 1, substr(rest, 1, {size}), substr(rest, {size} + 1) FROM cuts WHERE rest <> ''),
   parts AS (SELECT doc_id, para, k, text, count(*) OVER (PARTITION BY doc_id, para) AS n,
     row_number() OVER (PARTITION BY doc_id ORDER BY para, k) - 1 AS ordinal,
@@ -201,7 +201,7 @@ add("plan_submissions", lambda s, d: ledger.plan_submissions(sent(s, d), ledger_
 
 def result_events(s, d):
     """Results for ledger rows out of line items: several per order, in line order."""
-    li = fr.table(s, d, "lineitem")
+    li = fr.text_table(s, d, "lineitem", "l_orderkey")
     return li.selectExpr(
         "'default' AS instance", "concat('k', l_orderkey) AS source_key", "l_linenumber AS seq",
         "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'failed' WHEN l_returnflag = 'R' THEN 'counted' WHEN l_returnflag = 'A' AND l_linestatus = 'F' "

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site tracking doubles the time it takes to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import names, paths
-from shelfmark.functions.text import any_true
+from shelfmark.functions.text import regex_escape, sql_list
 from shelfmark.policy import Policy, Root
 
 BINARY_FILE = T.StructType([
@@ -42,7 +42,7 @@ def name_and_ext(rows: DataFrame) -> DataFrame:
 
 def kind_and_flags(rows: DataFrame, policy: Policy) -> DataFrame:
     return rows.withColumns({
-        "kind": names.kind_of(F.col("ext"), policy), "is_text": names.is_text_ext(F.col("ext"), policy),
+        "kind": names.kind_of(policy), "is_text": names.is_text_ext(policy),
         "is_symlink": F.lit(False), "denied": names.is_denied(F.col("name"), policy),
     })
 
@@ -59,7 +59,7 @@ def prune_paths(rows: DataFrame, policy: Policy) -> DataFrame:
     """
     folders = F.filter(F.split("rel", "/"), lambda s: s != "")
     dirs = F.slice(folders, F.lit(1), F.size(folders) - 1)
-    suffix = lambda s: any_true([F.lower(s).endswith(x) for x in policy.bundle_suffixes])
+    suffix = lambda s: F.lower(s).rlike(f"(?:{'|'.join(map(regex_escape, policy.bundle_suffixes))})$")
     staged = rows.withColumn("_dirs", dirs).withColumn(
         "_bundle_at",
         F.coalesce(F.get(F.filter(F.transform("_dirs", lambda s, i: F.when(suffix(s), i + 1)), lambda i: i.isNotNull()),
@@ -67,7 +67,7 @@ def prune_paths(rows: DataFrame, policy: Policy) -> DataFrame:
     # Folders in front of the bundle decide whether the walk gets there at all.
     walked = F.when(F.col("_bundle_at") > 0, F.slice("_dirs", F.lit(1), F.col("_bundle_at") - 1)).otherwise(F.col("_dirs"))
     staged = staged.withColumn("_walked", walked).where(
-        ~F.arrays_overlap("_walked", F.array(*[F.lit(d) for d in policy.ignored_dirs]))
+        ~F.arrays_overlap("_walked", F.expr(f"array({sql_list(policy.ignored_dirs)})"))
         & (F.size("_walked") <= policy.max_depth))
     plain = staged.where((F.col("_bundle_at") == 0) & ~F.col("name").isin(*policy.noise_names))
     bundle_rel = F.array_join(F.slice("_dirs", F.lit(1), F.col("_bundle_at")), "/")
