@@ -35,10 +35,9 @@ def resolve_links(links: DataFrame, files: DataFrame, policy: Policy) -> DataFra
 
     Each distinct target is looked up once, in all its spellings, whatever the number of links to it.
     """
-    inside = (
-        links.withColumn("target", link_target(F.col("path"), F.col("link"), policy))
-        .where(paths.inside_any(F.col("target"), policy.root_paths))
-    )
+    # As an array of one, so that the filter below reads the target instead of resolving it once per root.
+    located = each(links, links.columns, F.array(link_target(F.col("path"), F.col("link"), policy)), "target")
+    inside = located.where(paths.inside_any(F.col("target"), policy.root_paths))
     targets = inside.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
     spellings = targets.select(
         "target", F.explode(F.array(*[F.concat(F.col("target"), F.lit(c)) for c in COMPLETIONS])).alias("known"))

@@ -75,7 +75,7 @@ def find_project(projects: DataFrame, files: DataFrame, queries: dict[str, str],
     ledger_hits = match_ledger(projects, queries)
     per_query = ledger_hits.groupBy("query").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "name"))).alias("hits"))
-    folders = match_folders(files, queries, policy).join(F.broadcast(per_query), "query", "left")
+    folders = match_folders(files, queries, policy).join(per_query, "query", "left")
     belongs = lambda p: (
         ((p["id"] != "") & F.contains(F.col("folder"), p["id"]))
         | ((p["name"] != "") & F.contains(F.col("segment"), p["name"]))

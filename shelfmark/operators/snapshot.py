@@ -11,7 +11,19 @@ from shelfmark.model import CHANGE_KEYS, CONTENT_COLUMNS
 from shelfmark.operators.ranking import each, first_per
 
 
-def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHANGE_KEYS) -> DataFrame:
+def _with_listed(rows: DataFrame, cur: DataFrame, listed: Sequence[str] | None) -> DataFrame:
+    """Add ``_listed``: was the root of this row part of the scan?
+
+    The roots of a scan are configuration, so they are best given as literals. Otherwise they are read off the
+    listing, and Spark broadcasts them if their measured size allows it.
+    """
+    if listed is not None:
+        return rows.withColumn("_listed", F.col("root").isin(*listed))
+    return rows.join(cur.select("root").distinct().withColumn("_listed", F.lit(True)), "root", "left")
+
+
+def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHANGE_KEYS,
+                      listed: Sequence[str] | None = None) -> DataFrame:
     """(path, root, action) for every path of either side, from narrow columns only.
 
     * ``reused``: in both, nothing about it changed, even if it had been gone in between
@@ -23,7 +35,6 @@ def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHA
     """
     left = prev.select("path", "root", "gone", *keys, F.lit(True).alias("_in"))
     right = cur.select("path", "root", *keys, F.lit(True).alias("_in"))
-    listed = cur.select("root").distinct().withColumn("_listed", F.lit(True))
     p, c = left.alias("p"), right.alias("c")
     same = F.lit(True)
     for k in keys:
@@ -33,8 +44,7 @@ def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHA
         F.col("p._in").alias("_old"), F.col("c._in").alias("_new"), F.col("p.gone").alias("_gone"),
         same.alias("_same"),
     )
-    # One row per scanned root: the list a person configured.
-    flagged = joined.join(F.broadcast(listed), "root", "left")
+    flagged = _with_listed(joined, cur, listed)
     action = (
         F.when(F.col("_new") & F.col("_old") & F.col("_same"), "reused")
         .when(F.col("_new") & F.col("_old") & ~F.col("_gone"), "updated")
@@ -46,7 +56,8 @@ def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHA
     return flagged.select("path", "root", action.alias("action"))
 
 
-def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, keys: Sequence[str] = CHANGE_KEYS) -> DataFrame:
+def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, keys: Sequence[str] = CHANGE_KEYS,
+                   listed: Sequence[str] | None = None) -> DataFrame:
     """The new snapshot: ``cur`` merged over ``prev``, with the ``action`` taken for each row.
 
     Unchanged rows keep what was extracted before and get the new scan id; new and changed rows take the content
@@ -55,7 +66,6 @@ def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, keys: Sequence
     """
     cols = [c for c in prev.columns if c not in ("scan_id", "gone")]
     have = set(cur.columns)
-    listed = cur.select("root").distinct().withColumn("_listed", F.lit(True))
     p = prev.withColumn("_in", F.lit(True)).alias("p")
     c = cur.withColumn("_in", F.lit(True)).alias("c")
     old, new, was_gone = F.col("p._in"), F.col("c._in"), F.col("p.gone")
@@ -75,7 +85,8 @@ def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, keys: Sequence
     joined = p.join(c, F.col("p.path") == F.col("c.path"), "full_outer").select(
         *picked, reused.alias("_reused"), old.alias("_old"), new.alias("_new"), was_gone.alias("_gone"),
         F.col("p.scan_id").alias("_scan"),
-    ).join(F.broadcast(listed), "root", "left")  # one row per configured root
+    )
+    joined = _with_listed(joined, cur, listed)
     action = (
         F.when(F.col("_reused"), "reused")
         .when(F.col("_new") & F.col("_old") & ~F.col("_gone"), "updated")
@@ -102,21 +113,16 @@ def scan_run_stats(actions: DataFrame) -> DataFrame:
     )
 
 
-def vanished(prev: DataFrame, cur: DataFrame) -> DataFrame:
+def vanished(prev: DataFrame, cur: DataFrame, listed: Sequence[str] | None = None) -> DataFrame:
     """Live files of listed roots that the listing no longer has."""
-    listed = cur.select("root").distinct()
-    return (
-        prev.where(~F.col("gone")).join(F.broadcast(listed), "root", "left_semi")
-        .join(cur.select("path"), "path", "left_anti").select("root", "path", "rel")
-    )
+    lost = prev.where(~F.col("gone")).select("root", "path", "rel").join(cur.select("path"), "path", "left_anti")
+    return _with_listed(lost, cur, listed).where("_listed").select("root", "path", "rel")
 
 
-def unlisted_roots(prev: DataFrame, cur: DataFrame) -> DataFrame:
+def unlisted_roots(prev: DataFrame, cur: DataFrame, listed: Sequence[str] | None = None) -> DataFrame:
     """Roots with live files that were not part of the scan."""
-    return (
-        prev.where(~F.col("gone")).groupBy("root").agg(F.count(F.lit(1)).alias("files"))
-        .join(F.broadcast(cur.select("root").distinct()), "root", "left_anti")
-    )
+    per_root = prev.where(~F.col("gone")).groupBy("root").agg(F.count(F.lit(1)).alias("files"))
+    return _with_listed(per_root, cur, listed).where(~F.coalesce("_listed", F.lit(False))).drop("_listed")
 
 
 def diff_snapshots(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

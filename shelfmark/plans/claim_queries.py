@@ -163,15 +163,15 @@ def both(s, d):
     return fr.snapshots(s, d)
 
 
-add("classify_snapshot", lambda s, d: snapshot.classify_snapshot(*both(s, d)), over(SNAPSHOTS, "SELECT path, root, action FROM actions"))
+add("classify_snapshot", lambda s, d: snapshot.classify_snapshot(*both(s, d), listed=P.root_paths), over(SNAPSHOTS, "SELECT path, root, action FROM actions"))
 MERGED = """SELECT coalesce(c.root, p.root) AS root, a.path, coalesce(c.rel, p.rel) AS rel, coalesce(c.size, p.size) AS size,
   coalesce(c.mtime_ms, p.mtime_ms) AS mtime_ms, a.action, a.action IN ('removed', 'gone') AS gone,
   CASE WHEN a.action IN ('gone', 'kept') THEN p.scan_id ELSE 2000 END AS scan_id
   FROM actions a LEFT JOIN prev p ON p.path = a.path LEFT JOIN cur c ON c.path = a.path"""
-merged = lambda s, d: snapshot.merge_snapshot(*both(s, d), 2000)
+merged = lambda s, d: snapshot.merge_snapshot(*both(s, d), 2000, listed=P.root_paths)
 add("merge_snapshot", lambda s, d: merged(s, d).select("root", "path", "rel", "size", "mtime_ms", "action", "gone", "scan_id"), over(SNAPSHOTS, MERGED))
 N = lambda *a: "count(*) FILTER (WHERE action IN (" + ", ".join(f"'{x}'" for x in a) + "))"
-add("scan_run_stats", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(*both(s, d))),
+add("scan_run_stats", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(*both(s, d), listed=P.root_paths)),
     over(SNAPSHOTS, f"SELECT root, {N('reused', 'updated', 'added')} AS files_seen, {N('added')} AS files_added, {N('updated')} AS files_updated, "
                     f"{N('reused')} AS files_reused, {N('removed')} AS files_removed FROM actions GROUP BY root"))
 add("merge_unchanged", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(both(s, d)[0], both(s, d)[0].drop("gone", "scan_id"))),

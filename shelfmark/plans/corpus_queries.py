@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates, names, text
-from shelfmark.operators import audit, discover, extract, links, rollup, search, triage
+from shelfmark.operators import audit, discover, extract, links, ranking, rollup, search, triage
 from shelfmark.operators.triage import (
     ASSET_EXTS, BINARY_EXTS, BUILD_DIRS, CHAT_WORDS, CONFIG_EXTS, DENSITY, DEPENDENCY_MARKERS, ENTRY_EXTS, ENTRY_WORDS,
     INSTALLER_EXTS, MAIL_EXTS, MEDIA_EXTS, MODEL_EXTS, PROSE_EXTS, SOURCE_EXTS, STRUCTURED_EXTS, VENDOR_DIRS,
@@ -208,6 +208,17 @@ add("repeating_ngrams", lambda s, d: extract.repeating_ngrams(body(s, d), 2, 20,
         unnest(generate_series(1, length(body) - 1)) AS i FROM meta WHERE length(body) > 1))
         WHERE regexp_matches(ngram, '^[a-z]{2}$') GROUP BY path, ngram HAVING count(*) >= 20) JOIN meta USING (path)
       WHERE (length(body) - length(replace(body, ngram, ''))) // 2 >= 20"""))
+
+
+def lines_of(s, d):
+    return fr.table(s, d, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+
+
+add("trim_to_bytes", lambda s, d: ranking.trim_to_bytes(lines_of(s, d), 1200, by="doc_id").select("doc_id", "position", "used_bytes"),
+    """SELECT * FROM (SELECT doc_id, i - 1 AS position, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS used_bytes
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
+      WHERE used_bytes <= 1000""")
 add("path_parts", lambda s, d: extract.path_parts(meta(s, d)),
     on_meta("""SELECT path, top_dir, len(string_split(rel, '/')) - 1 AS depth,
         regexp_replace(name, '^(.+)\\.[^.]*$', '\\1') AS stem, array_to_string(list_transform(

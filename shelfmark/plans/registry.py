@@ -29,9 +29,15 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def in_utc(spark: SparkSession) -> SparkSession:
+    """Days and months are UTC on both sides."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def add(name: str, run: Run, sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"query {name} exists already")
-    QUERIES[name] = lambda spark, sf_dir: plain(run(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: plain(run(in_utc(spark), sf_dir))
     if sql is not None:
         ORACLES[name] = sql

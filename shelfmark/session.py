@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,8 +36,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
-        token = spark._jvm.java.util.UUID.randomUUID().toString()
-        return f"{base.rstrip('/')}/shelfmark/{name}-{token}"
+        return f"{base.rstrip('/')}/shelfmark/{name}-{uuid.uuid4()}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), name)

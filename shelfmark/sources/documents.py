@@ -107,12 +107,11 @@ def ledger_head(spark: SparkSession, path: str) -> DataFrame:
         _first(text, ("count_semantics", "countSemantics")).alias("count_semantics"))
 
 
-def ledger_shape(texts: DataFrame, column: str = "value") -> DataFrame:
+def ledger_shape(texts: DataFrame, column: str = "value", *keep: str | Column) -> DataFrame:
     """Does a candidate look like a list of things? (shape, entries), shape null when it does not."""
     text = F.col(column)
     keys = F.from_json(text, "map<string,string>")
     objects = F.filter(F.map_values(keys), lambda v: F.substring(F.ltrim(v), 1, 1).isin("{", "["))
-    shape, n = F.lit(None).cast("string"), F.lit(None).cast("int")
     is_map = (F.size(keys) >= 3) & (F.size(objects) >= F.size(keys) / 2)
     shape, n = F.when(is_map, F.lit("map")), F.when(is_map, F.size(keys))
     for key in reversed(("projects", "items", "entries", "list", "rows", "data")):
@@ -120,10 +119,26 @@ def ledger_shape(texts: DataFrame, column: str = "value") -> DataFrame:
         shape = F.when(size.isNotNull(), F.lit(f"object.{key}")).otherwise(shape)
         n = F.when(size.isNotNull(), size).otherwise(n)
     whole = F.json_array_length(text)
-    return texts.select(F.when(whole.isNotNull(), F.lit("array")).otherwise(shape).alias("shape"),
+    return texts.select(*keep, F.when(whole.isNotNull(), F.lit("array")).otherwise(shape).alias("shape"),
                         F.when(whole.isNotNull(), whole).otherwise(n).alias("entries"))
 
 
+def verify_ledgers(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, score, shape, entries) of the candidates whose content is a list of things.
+
+    The candidates are a handful of small files, see ``discover_ledger``.
+    """
+    few = files.select("path", "body").join(F.broadcast(candidates.select("path", "ext", "score")), "path")
+    lines = F.size(F.filter(F.split("body", "\n"), lambda line: strip(line) != ""))
+    shapes = ledger_shape(few, "body", "path", "ext", "score", lines.alias("_lines"))
+    csv = F.col("ext") == ".csv"
+    return shapes.select(
+        "path", "score",
+        F.when(csv, F.when(F.col("_lines") >= 3, F.lit("csv"))).otherwise(F.col("shape")).alias("shape"),
+        F.when(csv, F.col("_lines") - 1).otherwise(F.col("entries")).alias("entries"),
+    ).where(F.col("shape").isNotNull())
+
+
 # -- manifest -------------------------------------------------------------------------------------
 
 

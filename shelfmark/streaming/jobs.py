@@ -10,7 +10,7 @@ from shelfmark.operators.claims import COLUMNS as CLAIM_COLUMNS
 from shelfmark.operators.claims import newest, not_retracted
 from shelfmark.operators.export import build_payloads, validate_payloads
 from shelfmark.operators.extract import extract_documents
-from shelfmark.operators.ledger import conflicts, new_submissions, plan_submissions, tombstones
+from shelfmark.operators.ledger import new_submissions, plan_submissions, tombstones
 from shelfmark.operators.ranking import first_per
 from shelfmark.operators.snapshot import apply_allow_list
 from shelfmark.policy import Policy, Root
@@ -112,10 +112,14 @@ def export_batch(changes: DataFrame, number: int, *, manifest: DataFrame, ledger
         plan_submissions(payloads, known) if known is not None
         else payloads.withColumn("decision", F.lit("new"))
     )
-    refused = planned.where(F.size("problems") > 0).unionByName(conflicts(planned)).limit(1)
+    # Written once, so that checking the batch and recording it do not build every payload again.
+    staging = VersionedTable(ledger.spark, ledger.path + "_staging")
+    staging.write(planned, number)
+    staged = staging.read(number)
+    refused = staged.where((F.size("problems") > 0) | (F.col("decision") == "conflict")).limit(1)
     if not refused.isEmpty():
         raise ExportFailed(f"micro-batch {number} holds payloads that conflict or break a limit")
-    ledger.write(new_submissions(planned), number)
+    ledger.write(new_submissions(staged), number)
     existing = _before(removals, number)
     gone = listed.where(F.col("gone"))
     empty = gone.select(*[F.lit("").alias(c) for c in ("instance", "stable_id", "source_key")]).limit(0)

@@ -216,6 +216,8 @@ def test_discovery(ws, pol):
     notes = {r["top_dir"]: (r["note"], r["note_source"]) for r in discover.dir_notes(ws, pol).collect()}
     assert notes["协作资料"] == ("Shared material", "协作资料/README.md") and notes["输出"] == ("outputs", "config") and notes["项目管理"] == (None, None)
     assert [r["rel"] for r in discover.discover_ledger(ws, pol).collect()] == ["项目管理/项目台账.json"]
+    checked = documents.verify_ledgers(discover.discover_ledger(ws, pol), ws).first()
+    assert (checked["path"], checked["shape"], checked["entries"]) == ("/w/项目管理/项目台账.json", "object.projects", 1)
     assert discover.discover_rules(ws, pol).first()["rel"] == "协作资料/文件管理规则.md"
     configured = pol.with_(entry_docs=("dup-a.txt", "missing.md", "协作资料/README.md"))
     rows = [(r["rel"], r["origin"]) for r in discover.entry_docs(ws, configured).orderBy("position").collect()]
@@ -223,6 +225,13 @@ def test_discovery(ws, pol):
     assert {(r["what"], r["origin"]) for r in discover.discovery(ws, pol.with_(rules_file="x.md")).collect()} == {("ledger", "auto"), ("rules", "config")}
 
 
+def test_ledger_candidates_are_checked_for_shape(make_files, policy):
+    files = make_files({"projects.csv": "id,name\n1,a\n\n2,b\n", "a-ledger.csv": "id\n1", "registry.json": "not json", "inventory.json": "[1, 2, 3]",
+                        "deep/er/than/projects.json": "[1]", "other.json": "[1]"})
+    got = {(r["path"], r["shape"], r["entries"]) for r in documents.verify_ledgers(discover.discover_ledger(files, policy), files).collect()}
+    assert got == {("/w/projects.csv", "csv", 2), ("/w/inventory.json", "array", 3)}
+
+
 def test_corpus_map(ws, pol, spark):
     table = discover.corpus_map(ws, pol, documents.projects_from_json(spark.createDataFrame([(json.dumps([{"id": "a", "group": "g"}]),)], "value string")))
     assert set(table) == {"roots", "top_dirs", "kinds", "entry_docs", "rules", "discovery", "ledger_groups"}
