@@ -11,9 +11,11 @@ from shelfmark.functions.paths import stem
 from shelfmark.functions.text import CJK, contains_any, glob_regex, in_list, regex_escape, sql_list
 from shelfmark.policy import MARKDOWN_EXTS, NAMING_VENDOR_MARKERS, Policy
 
+# What counts as a copy suffix, a generated name and a camera default.
 COPY_SUFFIX = r"(?:\s*\(\d+\)|\s*-\s*(?:副本|拷贝|复件)\s*\d*|\s+第?\d+\s*版)\s*$"
 HEX_NAME = r"(?i)[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 CAMERA_PREFIX = r"^(?:IMG_|DSC_|DSCN|VID_|MVIMG|PXL_|SCREENSHOT|MMEXPORT|WX_CAMERA)"
+# End of fixed values.
 
 
 def kind_of(policy: Policy, ext: str = "ext") -> Column:

@@ -10,6 +10,7 @@ from shelfmark.functions.text import CJK, SPACE, let, squeeze, strip
 from shelfmark.operators.ranking import each
 from shelfmark.policy import Policy
 
+# Patterns and limits that decide what is extracted.
 SNIFF_BYTES = 8192
 FRONT_MATTER = r"(?s)^---\n(.*?)\n---\n?"
 HEADING = r"(?m)^#{1,6}[ \t]+.+?[ \t]*#*[ \t]*$"
@@ -18,6 +19,7 @@ HTML_LINK = r"(?i)<a\s[^>]*?href=[\"']([^\"'>\s]+)[\"']"
 SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 RULE_SECTION = r"(?i)日常规则|命名|规范|rule|convention|guideline"
 MAX_TITLE = 140
+# End of fixed values.
 
 
 def looks_binary(content: Column) -> Column:
@@ -88,10 +90,11 @@ def first_line_title(body: Column, markdown: Column) -> Column:
 
     A heading gives its text, any other line is cut at 140 characters.
     """
-    line = strip(F.when(markdown, F.regexp_extract(body, _first_line(True), 1)).otherwise(
-        F.regexp_extract(body, _first_line(False), 1)))
-    return F.when(line.rlike(r"^#{1,6}\s+"), strip(F.regexp_replace(line, r"^#{1,6}\s+", ""))).otherwise(
-        F.substring(line, 1, MAX_TITLE))
+    found = F.when(markdown, F.regexp_extract(body, _first_line(True), 1)).otherwise(
+        F.regexp_extract(body, _first_line(False), 1))
+    return let(strip(found), lambda line: F.when(
+        line.startswith("#") & line.rlike(r"^#{1,6}\s+"), strip(F.regexp_replace(line, r"^#{1,6}\s+", ""))
+    ).otherwise(F.substring(line, 1, MAX_TITLE)))
 
 
 def title_of(body: Column, matter: Column, markdown: Column) -> Column:

@@ -11,9 +11,11 @@ from shelfmark.operators.ranking import side_by_side
 from shelfmark.policy import STAGES
 
 COLUMNS = [f.name for f in SUBMISSIONS.fields]
+# Length of a stored error, and words by which a refusal counts as one of permission.
 ERROR_CHARS = 500
 AUTH_WORDS = r"(?i)scope|forbidden|not allowed|unauthor"
 TOOL_AUTH_WORDS = r"(?i)scope|forbidden|not allowed|unauthor|permission"
+# End of fixed values.
 
 
 def plan_submissions(payloads: DataFrame, ledger: DataFrame) -> DataFrame:
