@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, topk
+from shelfmark.llm import archive, chat, packing, topk
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.digest_archive(archive.read_archive(archive.write_archive(table(spark, sf_dir, "pages"))))
 
@@ -32,7 +38,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op2_warc_archive, op5_exact_topk, op7_chat_format)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op5_exact_topk, op7_chat_format)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """

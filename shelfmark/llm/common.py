@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,3 +148,9 @@ class Prefixes:
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
+
+
+def arrow(schema: dict, **columns) -> pa.RecordBatch:
+    """A batch with the named types, from lists or arrays; None is null, and whole numbers stay whole."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[name], type=kind) for name, kind in schema.items()], names=list(schema))
