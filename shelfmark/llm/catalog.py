@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, packing, topk
+from shelfmark.llm import archive, chat, neardup, packing, topk
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +38,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(rows.unionByName(extra)))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op5_exact_topk, op7_chat_format)}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op5_exact_topk, op7_chat_format, op10_minhash_neardup)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
@@ -68,4 +72,21 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n + CASE WHEN opens THEN 24 + length(role) ELSE 8 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op10_minhash_neardup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                               ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (
+  SELECT doc_id AS id, doc_id AS c FROM s
+  UNION SELECT k.y, r.c FROM r JOIN (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l) k ON k.x = r.id WHERE r.c < k.y),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN m ON m.id = s.doc_id""",
 }
