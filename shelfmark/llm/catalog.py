@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, neardup, packing, topk
+from shelfmark.llm import archive, chat, neardup, packing, quality, repeats, topk
 
+KEEP_FROM = 0.3  # score from which a document counts as good
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +27,13 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.digest_archive(archive.read_archive(archive.write_archive(table(spark, sf_dir, "pages"))))
 
 
+def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = quality.scorer(spark, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score")).select(
+        "*", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -42,7 +50,13 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op5_exact_topk, op7_chat_format, op10_minhash_neardup)}
+def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op5_exact_topk,
+                                                  op7_chat_format, op9_maximal_repeats, op10_minhash_neardup)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
