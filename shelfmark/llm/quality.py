@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> dict:
         slots = [np.frombuffer(s, np.int32) for s in part["slots"]]
         return pd.DataFrame({"model": [pickle.dumps(train(slots, part["label"].to_numpy()))]})
 
-    found = rows.mapInPandas(describe, "label int, slots binary").groupBy(F.lit(0)).applyInPandas(run, "model binary").first()
+    found = rows.mapInPandas(describe, "label int, slots binary").groupBy(F.lit("all").alias("all")).applyInPandas(run, "model binary").first()
     return pickle.loads(found["model"]) if found else {"share": 0.5}
 
 
