@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, neardup, packing, quality, repeats, topk
+from shelfmark.llm import archive, chat, hashing, neardup, packing, quality, repeats, topk
 
 KEEP_FROM = 0.3  # score from which a document counts as good
 Run = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_itq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), "turn", "role", "text")
     extra = spark.range(1).select(F.expr("""
@@ -56,7 +60,7 @@ def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op5_exact_topk,
-                                                  op7_chat_format, op9_maximal_repeats, op10_minhash_neardup)}
+                                                  op6_itq_neardup, op7_chat_format, op9_maximal_repeats, op10_minhash_neardup)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
@@ -75,6 +79,17 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_itq_neardup": """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+         AND len([1 FOR x IN embedding IF x <> 0]) > 0 AS fit FROM embeddings),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.fit AND b.fit AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT m.id AS vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, m.id = m.c AS kept FROM m LEFT JOIN n ON n.a = m.id""",
     "op7_chat_format": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
