@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, hashing, neardup, packing, quality, repeats, topk
+from shelfmark.llm import archive, chat, hashing, lines, mixing, neardup, packing, quality, repeats, topk
 
 KEEP_FROM = 0.3  # score from which a document counts as good
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mix(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+                       F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,13 +60,20 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_lines(table(spark, sf_dir, "documents"))
+    left = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return done.select("doc_id", F.size(left).cast("long").alias("lines_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op5_exact_topk,
-                                                  op6_itq_neardup, op7_chat_format, op9_maximal_repeats, op10_minhash_neardup)}
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op4_raked_mixture, op5_exact_topk,
+                                                  op6_itq_neardup, op7_chat_format, op8_line_dedup, op9_maximal_repeats,
+                                                  op10_minhash_neardup)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
@@ -101,6 +114,28 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n + CASE WHEN opens THEN 24 + length(role) ELSE 8 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op4_raked_mixture": mixing.mix_sql(),
+    "op8_line_dedup": r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, u.i, u.l, regexp_extract_all(u.l, '[^\x20\x09-\x0D]+') AS w FROM (
+    SELECT doc_id, unnest([{'i': k, 'l': s[k]} FOR k IN range(1, len(s) + 1)]) AS u
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+d AS MATERIALIZED (SELECT w, len(w) AS n, min({'d': doc_id, 'i': i}) AS p FROM l WHERE len(w) > 0 GROUP BY w),
+h AS (
+  SELECT w, n, p, unnest([{'m': n, 's': 0, 'k': w[:n // 2]}, {'m': n, 's': 1, 'k': w[n // 2 + 1:]}]) AS k FROM d WHERE n >= 8
+  UNION ALL
+  SELECT w, n, p, unnest([{'m': n - 1, 's': 0, 'k': w[:(n - 1) // 2]}, {'m': n - 1, 's': 1, 'k': w[(n - 1) // 2 + 2:]}])
+  FROM d WHERE n >= 9),
+c AS MATERIALIZED (
+  SELECT DISTINCT a.w AS a, b.w AS b, a.n AS m, b.n AS n FROM h a JOIN h b ON a.k = b.k AND a.p > b.p AND abs(a.n - b.n) <= 1),
+q AS (SELECT *, coalesce(list_position([a[i] = b[i] FOR i IN range(1, least(m, n) + 1)], false), least(m, n) + 1) AS q FROM c),
+near AS (SELECT DISTINCT a AS w FROM q WHERE CASE WHEN m = n THEN a[q + 1:] = b[q + 1:] WHEN m > n THEN a[q + 1:] = b[q:] ELSE a[q:] = b[q + 1:] END),
+j AS (
+  SELECT l.*, len(l.w) > 0 AND (near.w IS NOT NULL OR d.p.d <> l.doc_id
+                                OR row_number() OVER (PARTITION BY l.doc_id, l.w ORDER BY l.i) > 1) AS bad
+  FROM l LEFT JOIN d ON d.w = l.w LEFT JOIN near ON near.w = l.w)
+SELECT doc_id, count(*) FILTER (NOT bad AND len(w) > 0) AS lines_left, sha256(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad)) AS text_sha256
+FROM j GROUP BY doc_id HAVING count(*) FILTER (bad) = 0 OR count(*) FILTER (NOT bad AND len(w) > 0) > 0""",
     "op10_minhash_neardup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -67,8 +67,9 @@ class Bitmap:
 
     BITS = 24
 
-    def __init__(self, df: DataFrame, key: str) -> None:
-        slot = self.slot(F.col(key))
+    def __init__(self, df: DataFrame, key: str, hashed: bool = False) -> None:
+        """``hashed``: the key is a hash already, and its low bits are taken as they are."""
+        slot = F.col(key).bitwiseAND((1 << self.BITS) - 1) if hashed else self.slot(F.col(key))
         words = (df.select(slot.alias("s"))
                  .groupBy(F.shiftright("s", 6).cast("int").alias("w"))
                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas())
