@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import lines, mixing, neardup, packing, quality
 from shelfmark.llm.catalog import KEEP_FROM, table
-from shelfmark.llm.common import store
+from shelfmark.llm.common import fresh, store
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of those at hand, does not reject."""
     score = quality.scorer(spark, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score(F.col("text"))).where(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+    name = fresh(docs, "_score")
+    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) >= KEEP_FROM).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("_kept").select(*docs.columns)
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return mixing.mix(docs, prefix=prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

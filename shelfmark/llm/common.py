@@ -22,6 +22,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces_of(total: int, each: int) -> int:
     """How many tasks or groups hold ``total`` when one holds about ``each``."""
     return max(1, -(-int(total) // each))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import BYTE_CODE, LAST, Bitmap, Prefixes, arrow, mix, store, text_runs
+from shelfmark.llm.common import BYTE_CODE, LAST, Bitmap, Prefixes, arrow, fresh, mix, store, text_runs
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -212,36 +212,38 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return held.select("low", "high", "line", "other").mapInArrow(verify, "low long, high long").distinct()
 
 
-def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines whose hashes are to be dropped, and without repeated lines."""
-    for batch in batches:
-        raw, drops = batch.column("text").to_pylist(), batch.column("drops").to_pylist()
-        out: list[str | None] = []
-        gone = []
-        for start, texts in text_runs(raw):
-            lines = Lines(texts)
-            low, high = lines.names()
-            told = drops[start:start + len(texts)]
-            bad = [np.array(d or [], np.int64).reshape(-1, 2) for d in told]
-            owner = np.repeat(np.arange(len(bad)), [len(b) for b in bad])
-            bad = np.concatenate(bad)
-            # A line is dropped if its document and hashes occur among those told.
-            doc = np.concatenate([owner, lines.doc])
-            name = np.concatenate([bad[:, 0], low]), np.concatenate([bad[:, 1], high])
-            keep = first_of(doc, *name)[len(owner):] | (lines.words == 0)
-            edge = np.searchsorted(lines.doc, np.arange(len(texts) + 1))
-            for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-                k = keep[a:b]
-                if raw[start + i] is None or k.all():
-                    out.append(raw[start + i])
-                    gone.append(False)
-                    continue
-                out.append(b"\n".join(lines.line(j) for j in a + np.flatnonzero(k)).decode("utf-8", "surrogatepass"))
-                gone.append(not (k & (lines.words[a:b] > 0)).any())
-        arrays = [pa.array(out, batch.schema.field("text").type) if n == "text" else batch.column(n)
-                  for n in batch.schema.names if n != "drops"]
-        names = [n for n in batch.schema.names if n != "drops"]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.bool_())], names=[*names, "_gone"])
+def cut_lines(told: str):
+    """Texts without the lines whose hashes are listed in column ``told``, and without repeated lines.
+
+    That column comes back as whether the document lost all lines that it had words in.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, lists = batch.column("text").to_pylist(), batch.column(told).to_pylist()
+            out: list[str | None] = []
+            gone: list[bool] = []
+            for start, texts in text_runs(raw):
+                lines = Lines(texts)
+                low, high = lines.names()
+                bad = [np.array(x or [], np.int64).reshape(-1, 2) for x in lists[start:start + len(texts)]]
+                owner = np.repeat(np.arange(len(bad)), [len(b) for b in bad])
+                bad = np.concatenate(bad)
+                # A line that is listed, or stands earlier in the document, is not the first of its kind.
+                name = np.concatenate([bad[:, 0], low]), np.concatenate([bad[:, 1], high])
+                keep = first_of(np.concatenate([owner, lines.doc]), *name)[len(owner):] | (lines.words == 0)
+                edge = np.searchsorted(lines.doc, np.arange(len(texts) + 1))
+                for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                    k = keep[a:b]
+                    if raw[start + i] is None or k.all():
+                        out.append(raw[start + i])
+                        gone.append(False)
+                        continue
+                    out.append(b"\n".join(lines.line(j) for j in a + np.flatnonzero(k)).decode("utf-8", "surrogatepass"))
+                    gone.append(not (k & (lines.words[a:b] > 0)).any())
+            new = {"text": pa.array(out, batch.schema.field("text").type), told: pa.array(gone, pa.bool_())}
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
+    return run
 
 
 def drop_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
@@ -256,11 +258,11 @@ def drop_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     judged = distinct.select("low", "high", F.col("doc").alias("first")).join(near, ["low", "high"], "left")
     bad = found.select("low", "high", "doc").join(judged, ["low", "high"]).where("near OR doc <> first")
     # One row per document with lines to drop; the list is as long as the document at most.
-    drops = bad.groupBy("doc").agg(F.collect_list(F.array("low", "high")).alias("drops"))
-    told = docs.withColumn("text", F.col("text").cast("string")).withColumn("_doc", key).join(
-        drops.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.drop("drops").schema.fields)
-    done = told.mapInArrow(cut_lines, f"{schema}, `_gone` boolean").where("NOT _gone").drop("_gone")
+    told, place = fresh(docs, "_told"), fresh(docs, "_place")
+    drops = bad.groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.array("low", "high")).alias(told))
+    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn(place, key).join(drops, place, "left").drop(place)
+    schema = ", ".join(f"`{f.name}` {'boolean' if f.name == told else f.dataType.simpleString()}" for f in rows.schema.fields)
+    done = rows.mapInArrow(cut_lines(told), schema).where(~F.col(told)).drop(told)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

@@ -39,12 +39,12 @@ def topic_of(text: Column, topics: Mapping[str, str] = TOPICS) -> Column:
     return out
 
 
-def described(docs: DataFrame, topics: Mapping[str, str]) -> DataFrame:
+def described(docs: DataFrame, topics: Mapping[str, str], prefix: str) -> DataFrame:
     """The documents with the columns of their cell, prefixed, and their number of tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    return docs.withColumns({"_source": named("source"), "_lang": named("lang"), "_topic": topic_of(text, topics),
-                             "_tokens": F.regexp_count(text, F.lit(WORDS)).cast("long")})
+    return docs.withColumns({f"{prefix}source": named("source"), f"{prefix}lang": named("lang"), f"{prefix}topic": topic_of(text, topics),
+                             f"{prefix}tokens": F.regexp_count(text, F.lit(WORDS)).cast("long")})
 
 
 def goals(cells: DataFrame, dimension: str, target: Mapping[str, float] | float, total: float) -> DataFrame:
@@ -75,17 +75,20 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
     return now
 
 
-def mix(docs: DataFrame, targets: Mapping = TARGETS, topics: Mapping[str, str] = TOPICS, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
-    """All documents with _source, _lang, _topic, _tokens, _probability and _kept beside their own columns."""
-    rows = described(docs, topics)
-    cells = store(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").cast("double").alias("mass")).select(
-        *(F.col(f"_{d}").alias(d) for d in DIMENSIONS), "mass").where("mass > 0"), "mix-cells")
+def mix(docs: DataFrame, targets: Mapping = TARGETS, topics: Mapping[str, str] = TOPICS, rate: float = RATE, rounds: int = ROUNDS,
+        prefix: str = "_") -> DataFrame:
+    """All documents with source, lang, topic, tokens, probability and kept, prefixed, beside their own columns."""
+    rows = described(docs, topics, prefix)
+    own = [f"{prefix}{d}" for d in DIMENSIONS]
+    cells = store(rows.groupBy(*own).agg(F.sum(f"{prefix}tokens").cast("double").alias("mass")).select(
+        *(F.col(c).alias(d) for c, d in zip(own, DIMENSIONS)), "mass").where("mass > 0"), "mix-cells")
     chance = rake(cells, targets, rate, rounds).select(
-        *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("weight") / F.col("mass") * F.lit(rate)).alias("_p"))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary")), 1, 13),
-                   16, 10).cast("double") / F.lit(float(2**52))
-    return rows.join(chance, ["_source", "_lang", "_topic"], "left").withColumn(
-        "_probability", F.coalesce("_p", F.lit(rate))).withColumn("_kept", drawn < F.col("_probability")).drop("_p")
+        *(F.col(d).alias(c) for c, d in zip(own, DIMENSIONS)), (F.col("weight") / F.col("mass") * F.lit(rate)).alias(f"{prefix}p"))
+    name = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    drawn = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return rows.join(chance, own, "left").withColumn(
+        f"{prefix}probability", F.coalesce(f"{prefix}p", F.lit(rate))).withColumn(
+        f"{prefix}kept", drawn < F.col(f"{prefix}probability")).drop(f"{prefix}p")
 
 
 def mix_sql(targets: Mapping = TARGETS, topics: Mapping[str, str] = TOPICS, rate: float = RATE, rounds: int = ROUNDS) -> str:
