@@ -29,7 +29,7 @@ ON_INDEX = {
     "kind_distribution": rollup.kind_distribution,
     "list_directory": lambda f: rollup.list_directory(f, "/vault", 3),
     "monthly_activity": lambda f: rollup.monthly_activity(f, POLICY),
-    "duplicate_groups": lambda f: audit.duplicate_groups(f, POLICY),
+    "duplicate_groups": audit.duplicate_groups,
     "duplicate_members": lambda f: audit.duplicate_members(f, POLICY),
     "audit": lambda f: audit.audit(f, POLICY),
     "triage": lambda f: triage.triage(f, POLICY),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions import dates, names, paths
 from shelfmark.functions.text import in_list
 from shelfmark.operators.links import broken_links, link_summary
-from shelfmark.operators.ranking import side_by_side, within_budget
+from shelfmark.operators.ranking import side_by_side
+from shelfmark.operators.search import page
 from shelfmark.operators.skew import attach_group
 from shelfmark.policy import UBIQUITOUS_NAMES, Policy
 
@@ -27,43 +28,27 @@ def present(files: DataFrame) -> DataFrame:
 # -- exact duplicates -----------------------------------------------------------------------------
 
 
-def comparable(files: DataFrame, policy: Policy) -> DataFrame:
-    return present(files).where(
-        ~F.col("denied") & (F.col("size") > 0) & (F.col("size") <= policy.duplicate_max_file_bytes))
+def readable(files: DataFrame) -> DataFrame:
+    return present(files).where(~F.col("denied") & (F.col("size") > 0))
 
 
-def size_groups(files: DataFrame, policy: Policy) -> DataFrame:
-    """Sizes that occur more than once; only such files can be equal."""
-    return (
-        comparable(files, policy).groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    )
-
-
-def hash_budget(files: DataFrame, policy: Policy) -> DataFrame:
-    """The size groups a budgeted comparison would read."""
-    return within_budget(size_groups(files, policy), policy.duplicate_max_total_bytes)
-
+def comparable(files: DataFrame) -> DataFrame:
+    """Files whose bytes were hashed; the hash is a stored column, so no content is read here."""
+    return readable(files).where(F.col("content_hash").isNotNull())
 
-def _hashed(files: DataFrame, policy: Policy, content: str, budgeted: bool) -> DataFrame:
-    """Comparable files with their content hash; the content itself goes no further than this projection.
 
-    With ``budgeted`` the sizes to read come from ``hash_budget``: at most isqrt(budget) rows, so they are
-    broadcast and the restriction costs no shuffle of content.
-    """
-    rows = comparable(files, policy)
-    if budgeted:
-        sizes = hash_budget(files, policy).select("size")
-        rows = rows.join(F.broadcast(sizes), "size", "left_semi")
-    return rows.select("path", "root", "rel", "size", "mtime_ms", F.sha1(content).alias("hash"))
+def size_groups(files: DataFrame) -> DataFrame:
+    """Sizes that occur more than once; only such files can be equal."""
+    return readable(files).groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def duplicate_groups(files: DataFrame, policy: Policy, content: str = "body", budgeted: bool = False) -> DataFrame:
-    """Groups of equal content: copies, bytes that could be freed, and the newest copy, which stays.
+def duplicate_groups(files: DataFrame) -> DataFrame:
+    """Groups of files of equal bytes: copies, bytes that could be freed, and the newest copy, which stays.
 
-    Sizes and hashes are combined on the map side, so a text copied a billion times arrives as one row per task.
+    Sizes and hashes are combined on the map side, so a file copied a billion times arrives as one row per task.
     """
     return (
-        _hashed(files, policy, content, budgeted).groupBy("size", "hash")
+        comparable(files).groupBy("size", F.col("content_hash").alias("hash"))
         .agg(F.count(F.lit(1)).alias("n"),
              F.max_by(F.struct("path", "rel"), F.struct("mtime_ms", "path")).alias("_keep"))
         .where(F.col("n") > 1)
@@ -72,31 +57,23 @@ def duplicate_groups(files: DataFrame, policy: Policy, content: str = "body", bu
     )
 
 
-def duplicate_members(files: DataFrame, policy: Policy, content: str = "body", budgeted: bool = False) -> DataFrame:
+def duplicate_members(files: DataFrame, policy: Policy) -> DataFrame:
     """One row per copy, so that no group ever has to fit into one task."""
-    hashed = _hashed(files, policy, content, budgeted)
-    groups = duplicate_groups(files, policy, content, budgeted)
-    return attach_group(hashed, groups, ["size", "hash"], "path", policy, how="inner").withColumn(
+    rows = comparable(files).select("path", "root", "rel", "size", "mtime_ms", F.col("content_hash").alias("hash"))
+    return attach_group(rows, duplicate_groups(files), ["size", "hash"], "path", policy, how="inner").withColumn(
         "is_keeper", F.col("path") == F.col("keep_path"))
 
 
-def duplicate_summary(files: DataFrame, policy: Policy, content: str = "body", budgeted: bool = False) -> DataFrame:
-    """Groups, reclaimable bytes, and what was too large to compare or past the budget."""
-    groups = duplicate_groups(files, policy, content, budgeted).agg(
+def duplicate_summary(files: DataFrame) -> DataFrame:
+    """Groups, reclaimable bytes, and files that could not be compared because their bytes were not read."""
+    groups = duplicate_groups(files).agg(
         F.count(F.lit(1)).alias("exact_groups"),
         F.coalesce(F.sum("wasted_bytes"), F.lit(0)).alias("reclaimable_bytes"))
-    large = ~F.col("denied") & (F.col("size") > policy.duplicate_max_file_bytes)
-    skipped = present(files).agg(
-        F.count_if(large).alias("skipped_too_large"),
-        F.coalesce(F.sum(F.when(large, F.col("size"))), F.lit(0)).alias("skipped_too_large_bytes"))
-    if not budgeted:
-        return side_by_side(groups, skipped).withColumn("truncated", F.lit(False))
-    all_sizes = size_groups(files, policy).agg(F.count(F.lit(1)).alias("_all"))
-    taken = hash_budget(files, policy).agg(F.count(F.lit(1)).alias("_taken"))
-    return (
-        side_by_side(groups, skipped, all_sizes, taken)
-        .withColumn("truncated", F.col("_all") > F.col("_taken")).drop("_all", "_taken")
-    )
+    unread = F.col("content_hash").isNull()
+    left = readable(files).agg(
+        F.count_if(unread).alias("not_compared"),
+        F.coalesce(F.sum(F.when(unread, F.col("size"))), F.lit(0)).alias("not_compared_bytes"))
+    return side_by_side(groups, left)
 
 
 # -- same names -----------------------------------------------------------------------------------
@@ -129,17 +106,17 @@ def is_stale(policy: Policy) -> Column:
     return (F.col("mtime_ms") > 0) & (F.col("mtime_ms") < policy.cutoff_ms(policy.stale_days))
 
 
-def stale(files: DataFrame, policy: Policy, k: int = 30) -> dict[str, DataFrame]:
+def stale(files: DataFrame, policy: Policy, k: int | None = 30) -> dict[str, DataFrame]:
     """``total``, ``by_dir`` and ``biggest`` of the files nobody touched for ``stale_days``."""
     old = present(files).where(is_stale(policy))
     return {
         "total": old.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")),
         "by_dir": old.groupBy(paths.top_dir(F.col("rel")).alias("top_dir")).agg(
             F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("mtime_ms").alias("latest_ms")),
-        "biggest": old.select(
+        "biggest": page(old.select(
             "path", "rel", "name", "size", "mtime_ms",
             dates.days_ago(F.col("mtime_ms"), policy).alias("days"),
-        ).orderBy(F.desc("size"), "path").limit(k),
+        ).orderBy(F.desc("size"), "path"), k),
     }
 
 
@@ -220,7 +197,7 @@ def _metrics(df: DataFrame, check: str) -> DataFrame:
     return df.select(F.lit(check).alias("check"), F.explode(pairs).alias("_m")).select("check", "_m.*")
 
 
-def audit(files: DataFrame, policy: Policy, checks: Sequence[str] = ("all",), content: str = "body") -> DataFrame:
+def audit(files: DataFrame, policy: Policy, checks: Sequence[str] = ("all",)) -> DataFrame:
     """(check, metric, value). Checks that only look at metadata share one scan; unknown names raise.
 
     A check without its configuration has ``configured = 0`` and null values.
@@ -264,7 +241,7 @@ def audit(files: DataFrame, policy: Policy, checks: Sequence[str] = ("all",), co
         frames.append(_metrics(root_dirs(files, policy).agg(F.count(F.lit(1)).alias("dirs")), "root_clutter"))
     if "duplicates" in wanted:
         same = same_name_groups(files).agg(F.count(F.lit(1)).alias("same_name_groups"))
-        frames += [_metrics(duplicate_summary(files, policy, content), "duplicates"), _metrics(same, "duplicates")]
+        frames += [_metrics(duplicate_summary(files), "duplicates"), _metrics(same, "duplicates")]
     if "links" in wanted:
         frames.append(_metrics(link_summary(files, policy), "links"))
     out = frames[0]
@@ -276,11 +253,10 @@ def audit(files: DataFrame, policy: Policy, checks: Sequence[str] = ("all",), co
 # -- proposals ------------------------------------------------------------------------------------
 
 
-def propose_organize(files: DataFrame, policy: Policy, root: str | None = None, k: int = 25,
-                     content: str = "body") -> DataFrame:
+def propose_organize(files: DataFrame, policy: Policy, root: str | None = None, k: int | None = None) -> DataFrame:
     """What one could move, archive or review: (category, action, from_rel, to_path, risk). Nothing is changed.
 
-    At most ``k`` proposals per source, as the report shows them; copies come from the ten groups that free most.
+    All of them, unless the caller asks for the first ``k`` of each source.
     """
     where = root or policy.main_root
     now = datetime.fromtimestamp(policy.as_of_ms / 1000, tz=timezone.utc)
@@ -291,28 +267,26 @@ def propose_organize(files: DataFrame, policy: Policy, root: str | None = None,
         return df.select(F.lit(category).alias("category"), F.lit(action).alias("action"),
                          F.col(origin).alias("from_rel"), to.alias("to_path"), F.lit(risk).alias("risk"))
 
+    def first(df: DataFrame, *order) -> DataFrame:
+        return df if k is None else df.orderBy(*order).limit(k)
+
     newest = [F.desc("mtime_ms"), F.asc("path")]
-    clutter = root_clutter(here, policy, where).orderBy(*newest).limit(k)
+    clutter = first(root_clutter(here, policy, where), *newest)
     if policy.inbox_dir:
         to_inbox = F.concat(F.lit(f"{policy.inbox_dir}/{now:%Y-%m}/"), F.col("name"))
         parts = [rows(clutter, "root-clutter", "move", to_inbox, "low")]
-        late = inbox(files, policy).where("overdue").orderBy("mtime_ms", "path").limit(k)
+        late = first(inbox(files, policy).where("overdue"), "mtime_ms", "path")
         parts.append(rows(late, "inbox-backlog", "triage", none, "manual"))
     else:
         parts = [rows(clutter, "root-clutter", "triage", none, "manual")]
 
-    worst = duplicate_groups(here, policy, content).orderBy(F.desc("wasted_bytes"), "hash").limit(10)
-    copies = (
-        _hashed(here, policy, content, False)
-        .join(F.broadcast(worst.select("size", "hash", "keep_path")), ["size", "hash"])  # ten rows
-        .where(F.col("path") != F.col("keep_path"))
-    )
+    copies = first(duplicate_members(here, policy).where(~F.col("is_keeper")), F.desc("wasted_bytes"), "hash", "path")
     to_archive = F.concat(F.lit(f"归档/{now:%Y}/重复副本/"), paths.base_name(F.col("rel")))
     parts.append(rows(copies, "duplicates", "archive", to_archive, "medium"))
 
-    versions = version_names(here, policy).orderBy(*newest).limit(k)
+    versions = first(version_names(here, policy), *newest)
     parts.append(rows(versions, "version-names", "review", none, "manual"))
-    big = stale(here, policy, min(k, 15))["biggest"]
+    big = first(stale(here, policy, None)["biggest"], F.desc("size"), "path")
     parts.append(rows(big, "stale-large", "review", F.lit(f"归档/{now:%Y}/（待定）/"), "manual"))
 
     out = parts[0]
@@ -328,7 +302,7 @@ def proposal_summary(proposals: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "CHECKS", "audit", "broken_links", "duplicate_groups", "duplicate_members", "duplicate_summary", "hash_budget",
+    "CHECKS", "audit", "broken_links", "duplicate_groups", "duplicate_members", "duplicate_summary",
     "inbox", "inbox_summary", "long_names", "proposal_summary", "propose_organize", "root_clutter", "root_dirs",
     "same_name", "same_name_groups", "size_groups", "stale", "version_names",
 ]

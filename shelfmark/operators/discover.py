@@ -110,7 +110,7 @@ def dir_notes(files: DataFrame, policy: Policy, root: str | None = None) -> Data
 def discover_ledger(files: DataFrame, policy: Policy, root: str | None = None, k: int = 5) -> DataFrame:
     """JSON and CSV files named like a list of projects; the caller checks the shape of these few."""
     rows = _present(files, root or policy.main_root).where(
-        F.col("ext").isin(".json", ".csv") & (F.col("size") > 2) & (F.col("size") < 4_000_000))
+        F.col("ext").isin(".json", ".csv") & (F.col("size") > 2))
     return _scored(rows, LEDGER_NAMES).select("path", "rel", "name", "ext", "score").orderBy(
         F.desc("score"), "rel").limit(k)
 

@@ -295,6 +295,21 @@ def export_plan(docs: DataFrame, policy: Policy, scope: str, body: str = "body")
     )
 
 
+def read_whole(changes: DataFrame, content: DataFrame) -> DataFrame:
+    """Changed documents with their whole text, or the ``reason`` why it cannot be had.
+
+    ``content`` has path, size in bytes and text as it is stored now; nothing that an index cut or took apart is used.
+    """
+    there = content.select(F.col("path").alias("_path"), F.col("size").alias("_actual"), F.col("text").alias("_text"))
+    joined = changes.join(there, F.col("path") == F.col("_path"), "left")
+    reason = (
+        F.when(F.col("denied"), "denied").when(F.col("_path").isNull(), "missing")
+        .when((F.col("size") != 0) & (F.col("size") != F.col("_actual")), "size-mismatch")
+        .when(F.contains("_text", F.lit("\u0000")), "binary")
+    )
+    return joined.withColumns({"reason": reason, "body": F.coalesce("_text", F.lit(""))}).drop("_path", "_actual", "_text")
+
+
 def check_read(files: DataFrame, actual: DataFrame) -> DataFrame:
     """(path, ok, reason) of indexed files against what is really there: missing, other size, or not text.
 

@@ -11,7 +11,6 @@ from shelfmark.operators.ranking import each
 from shelfmark.policy import Policy
 
 # Patterns and limits that decide what is extracted.
-SNIFF_BYTES = 8192
 FRONT_MATTER = r"(?s)^---\n(.*?)\n---\n?"
 HEADING = r"(?m)^#{1,6}[ \t]+.+?[ \t]*#*[ \t]*$"
 MARKDOWN_LINK = r"\[[^\]]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
@@ -23,9 +22,8 @@ MAX_TITLE = 140
 
 
 def looks_binary(content: Column) -> Column:
-    """A zero byte near the start."""
-    head = F.hex(F.substring(content, 1, SNIFF_BYTES))
-    return head.rlike("^(?:..)*?00")
+    """A zero byte anywhere."""
+    return F.contains(content, F.lit(bytearray(b"\x00")))
 
 
 def decode_text(content: Column) -> Column:
@@ -63,7 +61,7 @@ def without_front_matter(text: Column) -> Column:
     return F.regexp_replace(text, FRONT_MATTER, "")
 
 
-def headings(body: Column, limit: int) -> Column:
+def headings(body: Column, limit: int | None = None) -> Column:
     """``## Name`` for every heading line, closing hashes removed."""
     raw = F.regexp_extract_all(body, F.lit(HEADING), F.lit(0))
     clean = F.transform(
@@ -73,7 +71,8 @@ def headings(body: Column, limit: int) -> Column:
             strip(F.regexp_extract(h, r"^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$", 1)),
         ),
     )
-    return F.slice(F.filter(clean, lambda h: ~h.rlike(r"^#{1,6} $")), 1, limit)
+    named = F.filter(clean, lambda h: ~h.rlike(r"^#{1,6} $"))
+    return named if limit is None else F.slice(named, 1, limit)
 
 
 def _first_line(skip_rules: bool) -> str:
@@ -110,21 +109,27 @@ def extract_text(docs: DataFrame, policy: Policy, text: str = "text") -> DataFra
     staged = docs.withColumn("_fm", F.when(md, front_matter(F.col(text)))).withColumn(
         "_body", F.when(md, without_front_matter(F.col(text))).otherwise(F.col(text))
     )
+    whole, cap = F.col("_body"), policy.max_body_chars
     return staged.withColumns({
         "title": title_of(F.col("_body"), F.col("_fm"), md),
         "headings": F.when(md, headings(F.col("_body"), policy.max_headings))
         .otherwise(F.array().cast("array<string>")),
-        "body": F.substring(F.col("_body"), 1, policy.max_body_chars),
-        "truncated": F.length("_body") > policy.max_body_chars,
+        "body": whole if cap is None else F.substring(whole, 1, cap),
+        "truncated": F.lit(False) if cap is None else F.length(whole) > cap,
     }).drop("_fm", "_body").withColumn("body_chars", F.length("body").cast("bigint"))
 
 
 def extract_documents(raw: DataFrame, policy: Policy) -> DataFrame:
     """Turn listed files with a binary ``content`` column into rows of the files table.
 
-    Content is looked at only for text files within the size cap that policy lets us read.
+    Text is taken only from text files that policy lets us read, within its size limit if it sets one. The hash
+    is that of the bytes as they are, before anything is decoded or cut; files that may not be read have none.
     """
-    readable = F.col("is_text") & ~F.col("denied") & (F.col("size") > 0) & (F.col("size") <= policy.max_text_bytes)
+    readable = F.col("is_text") & ~F.col("denied") & (F.col("size") > 0)
+    if policy.max_text_bytes is not None:
+        readable = readable & (F.col("size") <= policy.max_text_bytes)
+    if "content_hash" not in raw.columns:
+        raw = raw.withColumn("content_hash", F.when(~F.col("denied"), F.sha2("content", 256)))
     sniffed = raw.withColumn("is_binary", readable & F.coalesce(looks_binary(F.col("content")), F.lit(False)))
     decoded = sniffed.withColumn(
         "text",
@@ -152,7 +157,7 @@ def extract_links(docs: DataFrame, syntax: str = "markdown", body: str = "body")
     return each(docs, keep, F.array_distinct(local_links(F.col(body), syntax)), "link")
 
 
-def rules_of(body: Column, limit: int = 20) -> Column:
+def rules_of(body: Column, limit: int | None = None) -> Column:
     """Numbered items under ``##`` headings about rules, as an array of one-line texts.
 
     Sections are cut at ``##`` lines, so nothing has to be carried from line to line.
@@ -165,10 +170,11 @@ def rules_of(body: Column, limit: int = 20) -> Column:
     items = F.flatten(
         F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(r"(?m)^\d+\.[ \t]+(.*)$"), F.lit(1)))
     )
-    return F.transform(F.slice(items, 1, limit), lambda i: squeeze(F.replace(i, F.lit("**"), F.lit(""))))
+    taken = items if limit is None else F.slice(items, 1, limit)
+    return F.transform(taken, lambda i: squeeze(F.replace(i, F.lit("**"), F.lit(""))))
 
 
-def extract_rules(docs: DataFrame, limit: int = 20) -> DataFrame:
+def extract_rules(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """(path, position, rule) for every rules document in ``docs``."""
     return docs.select("path", F.posexplode_outer(rules_of(F.col("body"), limit)).alias("position", "rule")).where(
         F.col("rule").isNotNull())

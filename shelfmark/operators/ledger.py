@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions import keys
 from shelfmark.model import SUBMISSIONS
@@ -14,28 +18,34 @@ COLUMNS = [f.name for f in SUBMISSIONS.fields]
 # Length of a stored error, and words by which a refusal counts as one of permission.
 ERROR_CHARS = 500
 AUTH_WORDS = r"(?i)scope|forbidden|not allowed|unauthor"
+RECEIPT_DEPTH = 8
+RECEIPT_KEYS = {"source_id": "source", "sourceid": "source", "job_id": "job", "jobid": "job"}
 TOOL_AUTH_WORDS = r"(?i)scope|forbidden|not allowed|unauthor|permission"
 # End of fixed values.
 
 
 def plan_submissions(payloads: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Payloads with a ``decision``: ``new``, ``retry`` (known, not yet receipted), ``skip`` or ``conflict``.
+    """Offered payloads, one row per key and digest, with a ``decision``: ``new``, ``retry`` (known, not yet
+    receipted), ``skip`` or ``conflict``.
 
-    The same key with another digest is a conflict: a receipt must never be overwritten.
+    A key offered twice with one digest is one row. The same key with two digests, here or in the ledger, is a
+    conflict in all its rows: a receipt must never be overwritten. Repeats are combined before the shuffle.
     """
-    known = ledger.select("instance", "source_key", F.col("payload_digest").alias("_digest"), F.col("stage").alias("_stage"))
+    key = ["instance", "source_key"]
+    rest = [c for c in payloads.columns if c not in (*key, "payload_digest")]
+    offered = payloads.groupBy(*key, "payload_digest")
+    offered = offered.agg(*[F.first(c).alias(c) for c in rest]) if rest else offered.agg(F.lit(1).alias("_")).drop("_")
+    clash = payloads.groupBy(*key).agg(
+        (F.min("payload_digest") != F.max("payload_digest")).alias("_clash")).where("_clash")
+    known = ledger.select(*key, F.col("payload_digest").alias("_digest"), F.col("stage").alias("_stage"))
     decision = (
-        F.when(F.col("_digest").isNull(), "new")
-        .when(F.col("_digest") != F.col("payload_digest"), "conflict")
+        F.when(F.col("_clash") | (F.col("_digest") != F.col("payload_digest")), "conflict")
+        .when(F.col("_digest").isNull(), "new")
         .when(F.col("_stage").isin("receipted", "indexed"), "skip")
         .otherwise("retry")
     )
-    return payloads.join(known, ["instance", "source_key"], "left").withColumn("decision", decision).drop(
-        "_digest", "_stage")
-
-
-def conflicts(planned: DataFrame) -> DataFrame:
-    return planned.where(F.col("decision") == "conflict")
+    joined = offered.join(clash, key, "left").join(known, key, "left")
+    return joined.withColumn("decision", decision).select(*payloads.columns, "decision")
 
 
 def new_submissions(planned: DataFrame) -> DataFrame:
@@ -76,15 +86,45 @@ def classify_results(results: DataFrame) -> DataFrame:
     return results.withColumn("kind", classify_result()).withColumn("action", action)
 
 
+@F.pandas_udf(T.StructType([T.StructField("source_id", T.StringType()), T.StructField("job_id", T.StringType())]))
+def _receipt_ids(answers: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_ids_in(a) for a in answers], columns=["source_id", "job_id"], dtype=object)
+
+
+def _ids_in(answer: str | None) -> tuple[str | None, str | None]:
+    """The first ids under keys of these names, objects and lists searched in order, as deep as ``RECEIPT_DEPTH``.
+
+    A string counts only as the value of such a key, or if it is itself a JSON object.
+    """
+    found: dict[str, str] = {}
+    todo = [(answer, 0)]
+    while todo:
+        value, depth = todo.pop()
+        if isinstance(value, str):
+            try:
+                value = json.loads(value) if value.lstrip().startswith("{") else None
+            except ValueError:
+                continue
+        if depth > RECEIPT_DEPTH or not isinstance(value, (dict, list)):
+            continue
+        inner = []
+        for name, item in value.items() if isinstance(value, dict) else enumerate(value):
+            kind = RECEIPT_KEYS.get(str(name).lower())
+            if kind and isinstance(item, str) and item:
+                found.setdefault(kind, item)
+            inner.append((item, depth + 1))
+        todo += reversed(inner)
+    return found.get("source"), found.get("job")
+
+
 def receipts(results: DataFrame, column: str = "response") -> DataFrame:
-    """Add ``source_id`` and ``job_id`` found anywhere in a JSON answer, also inside JSON held in strings.
+    """Add ``source_id`` and ``job_id`` of a JSON answer, also of JSON objects held in its strings.
 
-    Quotes of nested JSON are escaped once per level; removing the escapes makes every level look alike.
+    Answers are parsed, so ids quoted in free text do not count and escaped values come back plain. How deep an answer
+    nests is up to its sender, which column expressions cannot follow; answers come to Python in batches.
     """
-    flat = F.regexp_replace(F.col(column), r"\\+\"", "\"")
-    pick = lambda name: F.nullif(
-        F.regexp_extract(flat, rf"(?i)\"{name}_?id\"\s*:\s*\"([^\"]+)\"", 1), F.lit(""))
-    return results.withColumns({"source_id": pick("source"), "job_id": pick("job")})
+    ids = results.withColumn("_ids", _receipt_ids(F.col(column)))
+    return ids.withColumns({"source_id": F.col("_ids.source_id"), "job_id": F.col("_ids.job_id")}).drop("_ids")
 
 
 def apply_results(ledger: DataFrame, events: DataFrame) -> DataFrame:

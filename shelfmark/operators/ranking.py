@@ -1,9 +1,8 @@
-"""Top rows per group and running budgets."""
+"""Top rows per group and running sums."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -46,18 +45,6 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
-def within_budget(groups: DataFrame, budget: int, size: str = "size", count: str = "n") -> DataFrame:
-    """Size groups to compare, largest total first, up to and without the first one that exceeds the budget.
-
-    Groups have distinct positive sizes and at least two files each, so m groups hold at least m * (m + 1)
-    bytes: no more than ``isqrt(budget)`` of them can fit, and the running sum never sees more rows than that.
-    """
-    total = groups.withColumn("total_bytes", F.col(size) * F.col(count))
-    head = total.orderBy(F.desc("total_bytes"), F.asc(size)).limit(isqrt(max(budget, 0)) + 1)
-    w = W.orderBy(F.desc("total_bytes"), F.asc(size)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return head.withColumn("running_bytes", F.sum("total_bytes").over(w)).where(F.col("running_bytes") <= budget)
-
-
 def trim_to_bytes(lines: DataFrame, limit: int = 24_000, reserve: int = 200, by: str = "doc",
                   position: str = "position", text: str = "line") -> DataFrame:
     """Leading lines of each document that fit into ``limit - reserve`` UTF-8 bytes, line feeds counted.

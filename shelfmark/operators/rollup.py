@@ -84,7 +84,7 @@ def coverage_class(policy: Policy) -> Column:
         F.when(F.col("gone") | F.col("is_symlink") | (F.col("size") == 0) | F.col("denied"), "excluded")
         .when(kind == "bundle", "skip")
         .when(F.col("body_chars") > 0, "ok")
-        .when(F.col("is_text") & (F.col("size") > policy.max_text_bytes), "chunk")
+        .when(F.lit(False) if policy.max_text_bytes is None else F.col("is_text") & (F.col("size") > policy.max_text_bytes), "chunk")
         .when(F.col("is_text") & F.col("is_binary"), "skip")
         .when(F.col("is_text"), "fix")
         .when(in_list("lower(ext)", OPAQUE_EXTS), "skip")

@@ -12,7 +12,6 @@ from shelfmark.functions.text import all_true, any_true, clip, count_occurrences
 from shelfmark.operators.ranking import each, top_k
 from shelfmark.policy import DAY_MS, SANE_MTIME_MS, SEARCH_SCOPES, SEARCH_WEIGHTS, Policy
 
-MAX_TERMS = 6
 MAX_LIMIT = 200
 MAX_QUERIES = 256
 PREVIEW_CHARS = 4000
@@ -72,6 +71,11 @@ def filter_files(files: DataFrame, policy: Policy, *, root: str | Sequence[str]
     return out
 
 
+def page(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows if the caller asks for a page, else all."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def _limit(limit: int, most: int) -> int:
     if not 1 <= limit <= most:
         raise ValueError(f"limit must be between 1 and {most}")
@@ -82,7 +86,8 @@ def _limit(limit: int, most: int) -> int:
 
 
 def terms_of(query: str) -> list[str]:
-    return [t.lower() for t in query.split()][:MAX_TERMS]
+    """All words of the query; every one of them must be found."""
+    return [t.lower() for t in query.split()]
 
 
 def _field(name: str) -> Column:
@@ -226,7 +231,7 @@ def search_many(files: DataFrame, queries: dict[str, str], policy: Policy, k: in
 
 
 def search_keyword(files: DataFrame, keyword: str, policy: Policy, kinds: Iterable[str] = (),
-                   top_dir: str | None = None, since_days: float | None = None, limit: int = 300) -> DataFrame:
+                   top_dir: str | None = None, since_days: float | None = None, limit: int | None = None) -> DataFrame:
     """One keyword: where it was found, how often in the body, and a cut of the body around it."""
     q = keyword.strip().lower()
     if not q:
@@ -243,7 +248,7 @@ def search_keyword(files: DataFrame, keyword: str, policy: Policy, kinds: Iterab
         "score",
         (F.when(in_name, 100).otherwise(0) + F.when(in_body, 40).otherwise(0) + F.when(in_rel, 20).otherwise(0)),
     )
-    top = scored.orderBy(F.desc("score"), F.desc("mtime_ms"), "path").limit(limit)
+    top = page(scored.orderBy(F.desc("score"), F.desc("mtime_ms"), "path"), limit)
     at = F.instr(_field("body"), F.lit(q))
     cut = F.substring(F.col("body"), F.greatest(at - 70, F.lit(1)), F.lit(200))
     why = F.when(F.col("body_chars") > 0, F.lit("found in the name or path, not in the body")).otherwise(
@@ -257,40 +262,37 @@ def search_keyword(files: DataFrame, keyword: str, policy: Policy, kinds: Iterab
     )
 
 
-def search_simple(files: DataFrame, keyword: str, limit: int = 400) -> DataFrame:
+def search_simple(files: DataFrame, keyword: str, limit: int | None = None) -> DataFrame:
     """Name matches first, then the newest; an empty keyword lists the text assets."""
     q = keyword.strip().lower()
     if not q:
         return text_assets(files, limit)
     hit = {f: F.contains(_field(f), F.lit(q)) for f in ("name", "rel", "body")}
-    return (
+    found = (
         files.where(~F.col("gone") & (hit["name"] | hit["rel"] | hit["body"]))
         .withColumn("name_hit", hit["name"])
         .select("path", "rel", "name", "kind", "size", "mtime_ms", "name_hit")
-        .orderBy(F.desc("name_hit"), F.desc("mtime_ms"), "path").limit(limit)
+        .orderBy(F.desc("name_hit"), F.desc("mtime_ms"), "path")
     )
+    return page(found, limit)
 
 
 # -- listings -----------------------------------------------------------------------------------
 
 
-def text_assets(files: DataFrame, limit: int = 600) -> DataFrame:
+def text_assets(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Live text files that have a body, newest first, with a preview and the true length."""
-    top = (
-        files.where(~F.col("gone") & F.col("is_text") & ~F.col("is_binary") & (F.col("body_chars") > 0))
-        .orderBy(F.desc("mtime_ms"), "path").limit(limit)
-    )
-    return top.select("path", "rel", "name", "kind", "size", "mtime_ms",
-                      F.substring("body", 1, PREVIEW_CHARS).alias("preview"), "body_chars", "truncated")
+    rows = files.where(~F.col("gone") & F.col("is_text") & ~F.col("is_binary") & (F.col("body_chars") > 0)).select(
+        "path", "rel", "name", "kind", "size", "mtime_ms", F.substring("body", 1, PREVIEW_CHARS).alias("preview"),
+        "body_chars", "truncated")
+    return page(rows.orderBy(F.desc("mtime_ms"), "path"), limit)
 
 
-def all_files(files: DataFrame, limit: int = 2000) -> DataFrame:
-    """The largest live files, links left out."""
-    return (
-        files.where(~F.col("gone") & ~F.col("is_symlink"))
-        .select("path", "rel", "name", "ext", "kind", "size", "mtime_ms", "body_chars")
-        .orderBy(F.desc("size"), "path").limit(limit)
-    )
+def all_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Live files, the largest first, links left out."""
+    rows = files.where(~F.col("gone") & ~F.col("is_symlink")).select(
+        "path", "rel", "name", "ext", "kind", "size", "mtime_ms", "body_chars")
+    return page(rows.orderBy(F.desc("size"), "path"), limit)
 
 
 def recent_files(files: DataFrame, limit: int = 12) -> DataFrame:
@@ -307,13 +309,11 @@ def files_in_filter(files: DataFrame, top: str) -> DataFrame:
     return files.where(paths.under(F.col("rel"), top))
 
 
-def files_in(files: DataFrame, top: str, by: str = "size", limit: int = 500) -> DataFrame:
+def files_in(files: DataFrame, top: str, by: str = "size", limit: int | None = None) -> DataFrame:
     """Files below a folder (the empty name means loose in a root), largest first or by path."""
     order = {"size": [F.desc("size"), F.asc("path")], "rel": [F.asc("rel"), F.asc("path")]}[by]
-    return (
-        files_in_filter(files.where(~F.col("gone")), top)
-        .select("path", "rel", "name", "kind", "size", "mtime_ms").orderBy(*order).limit(limit)
-    )
+    rows = files_in_filter(files.where(~F.col("gone")), top).select("path", "rel", "name", "kind", "size", "mtime_ms")
+    return page(rows.orderBy(*order), limit)
 
 
 def _listed(files: DataFrame, policy: Policy, root, path_prefix, since, max_depth, files_only) -> DataFrame:

@@ -11,21 +11,12 @@ from shelfmark.model import CHANGE_KEYS, CONTENT_COLUMNS
 from shelfmark.operators.ranking import each, first_per
 
 
-def _with_listed(rows: DataFrame, cur: DataFrame, listed: Sequence[str] | None) -> DataFrame:
-    """Add ``_listed``: was the root of this row part of the scan?
-
-    The roots of a scan are configuration, so they are best given as literals. Otherwise they are read off the
-    listing, and Spark broadcasts them if their measured size allows it.
-    """
-    if listed is not None:
-        return rows.withColumn("_listed", F.col("root").isin(*listed))
-    return rows.join(cur.select("root").distinct().withColumn("_listed", F.lit(True)), "root", "left")
-
-
-def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHANGE_KEYS,
-                      listed: Sequence[str] | None = None) -> DataFrame:
+def classify_snapshot(prev: DataFrame, cur: DataFrame, listed: Sequence[str],
+                      keys: Sequence[str] = CHANGE_KEYS) -> DataFrame:
     """(path, root, action) for every path of either side, from narrow columns only.
 
+    ``listed`` names the roots that the scan covered; they are configuration, so nothing is joined to find them.
+
     * ``reused``: in both, nothing about it changed, even if it had been gone in between
     * ``updated``: in both and changed
     * ``added``: new, or back with other content
@@ -44,7 +35,7 @@ def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHA
         F.col("p._in").alias("_old"), F.col("c._in").alias("_new"), F.col("p.gone").alias("_gone"),
         same.alias("_same"),
     )
-    flagged = _with_listed(joined, cur, listed)
+    flagged = joined.withColumn("_listed", F.col("root").isin(*listed))
     action = (
         F.when(F.col("_new") & F.col("_old") & F.col("_same"), "reused")
         .when(F.col("_new") & F.col("_old") & ~F.col("_gone"), "updated")
@@ -56,8 +47,8 @@ def classify_snapshot(prev: DataFrame, cur: DataFrame, keys: Sequence[str] = CHA
     return flagged.select("path", "root", action.alias("action"))
 
 
-def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, keys: Sequence[str] = CHANGE_KEYS,
-                   listed: Sequence[str] | None = None) -> DataFrame:
+def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, listed: Sequence[str],
+                   keys: Sequence[str] = CHANGE_KEYS) -> DataFrame:
     """The new snapshot: ``cur`` merged over ``prev``, with the ``action`` taken for each row.
 
     Unchanged rows keep what was extracted before and get the new scan id; new and changed rows take the content
@@ -86,7 +77,7 @@ def merge_snapshot(prev: DataFrame, cur: DataFrame, scan_id: int, keys: Sequence
         *picked, reused.alias("_reused"), old.alias("_old"), new.alias("_new"), was_gone.alias("_gone"),
         F.col("p.scan_id").alias("_scan"),
     )
-    joined = _with_listed(joined, cur, listed)
+    joined = joined.withColumn("_listed", F.col("root").isin(*listed))
     action = (
         F.when(F.col("_reused"), "reused")
         .when(F.col("_new") & F.col("_old") & ~F.col("_gone"), "updated")
@@ -113,16 +104,16 @@ def scan_run_stats(actions: DataFrame) -> DataFrame:
     )
 
 
-def vanished(prev: DataFrame, cur: DataFrame, listed: Sequence[str] | None = None) -> DataFrame:
+def vanished(prev: DataFrame, cur: DataFrame, listed: Sequence[str]) -> DataFrame:
     """Live files of listed roots that the listing no longer has."""
-    lost = prev.where(~F.col("gone")).select("root", "path", "rel").join(cur.select("path"), "path", "left_anti")
-    return _with_listed(lost, cur, listed).where("_listed").select("root", "path", "rel")
+    live = prev.where(~F.col("gone") & F.col("root").isin(*listed)).select("root", "path", "rel")
+    return live.join(cur.select("path"), "path", "left_anti")
 
 
-def unlisted_roots(prev: DataFrame, cur: DataFrame, listed: Sequence[str] | None = None) -> DataFrame:
+def unlisted_roots(prev: DataFrame, listed: Sequence[str]) -> DataFrame:
     """Roots with live files that were not part of the scan."""
-    per_root = prev.where(~F.col("gone")).groupBy("root").agg(F.count(F.lit(1)).alias("files"))
-    return _with_listed(per_root, cur, listed).where(~F.coalesce("_listed", F.lit(False))).drop("_listed")
+    left = prev.where(~F.col("gone") & ~F.col("root").isin(*listed))
+    return left.groupBy("root").agg(F.count(F.lit(1)).alias("files"))
 
 
 def diff_snapshots(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

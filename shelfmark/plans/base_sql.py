@@ -46,7 +46,7 @@ HEADINGS = f"""CASE WHEN ext IN ({words(MARKDOWN_EXTS)}) THEN list_transform(reg
      {strip("regexp_extract(h, '^#{1,6}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1)")}) ELSE [] END"""
 
 LISTING = f"""named AS (
-  SELECT doc_id, lang, source, n_chars AS size, text, {fr.ROOT} AS root, {fr.REL} AS rel,
+  SELECT doc_id, lang, source, strlen(text) AS size, n_chars, text, {fr.ROOT} AS root, {fr.REL} AS rel,
     concat({fr.ROOT}, '/', {fr.REL}) AS path, concat({fr.STEM}, {fr.EXT}) AS name, {fr.EXT} AS ext,
     {fr.MTIME} AS mtime_ms, {fr.GONE} AS gone, {fr.SCAN_ID} AS scan_id
   FROM documents),
@@ -56,9 +56,8 @@ listing AS (
     CASE WHEN contains(rel, '/') THEN string_split(rel, '/')[1] ELSE '' END AS top_dir
   FROM named),
 meta AS (
-  SELECT *, is_text AND NOT denied AND size <= {P.max_text_bytes} AS readable,
-    CASE WHEN is_text AND NOT denied AND size <= {P.max_text_bytes} THEN size ELSE 0 END AS body_chars,
-    CASE WHEN is_text AND NOT denied AND size <= {P.max_text_bytes} THEN text ELSE '' END AS body
+  SELECT *, is_text AND NOT denied AS readable, CASE WHEN is_text AND NOT denied THEN n_chars ELSE 0 END AS body_chars,
+    CASE WHEN is_text AND NOT denied THEN text ELSE '' END AS body
   FROM listing)"""
 
 FILES = f"""{LISTING},

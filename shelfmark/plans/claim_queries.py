@@ -174,12 +174,12 @@ N = lambda *a: "count(*) FILTER (WHERE action IN (" + ", ".join(f"'{x}'" for x i
 add("scan_run_stats", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(*both(s, d), listed=P.root_paths)),
     over(SNAPSHOTS, f"SELECT root, {N('reused', 'updated', 'added')} AS files_seen, {N('added')} AS files_added, {N('updated')} AS files_updated, "
                     f"{N('reused')} AS files_reused, {N('removed')} AS files_removed FROM actions GROUP BY root"))
-add("merge_unchanged", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(both(s, d)[0], both(s, d)[0].drop("gone", "scan_id"))),
+add("merge_unchanged", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(both(s, d)[0], both(s, d)[0].drop("gone", "scan_id"), P.root_paths)),
     over(SNAPSHOTS, "SELECT root, count(*) AS files_seen, CAST(0 AS BIGINT) AS files_added, CAST(0 AS BIGINT) AS files_updated, count(*) AS "
                     "files_reused, CAST(0 AS BIGINT) AS files_removed FROM prev GROUP BY root"))
-add("vanished", lambda s, d: snapshot.vanished(*both(s, d)),
+add("vanished", lambda s, d: snapshot.vanished(*both(s, d), P.root_paths),
     over(SNAPSHOTS, "SELECT root, path, rel FROM prev WHERE NOT gone AND root IN (SELECT root FROM cur) AND path NOT IN (SELECT path FROM cur)"))
-add("unlisted_roots", lambda s, d: snapshot.unlisted_roots(both(s, d)[0], both(s, d)[1].where(F.col("root") != "/vault/src3")),
+add("unlisted_roots", lambda s, d: snapshot.unlisted_roots(both(s, d)[0], [r for r in P.root_paths if r != "/vault/src3"]),
     over(SNAPSHOTS, "SELECT root, count(*) AS files FROM prev WHERE NOT gone AND root = '/vault/src3' GROUP BY root"))
 FIELDS = ("size", "mtime_ms", "kind", "name", "ext", "is_text", "denied")
 add("diff_snapshots", lambda s, d: snapshot.diff_snapshots(*both(s, d), "path", FIELDS),

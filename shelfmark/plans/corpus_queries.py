@@ -92,6 +92,9 @@ add("search_files_by_root",
                      "epoch_ms(TIMESTAMP '2025-06-30')", "mtime_ms, path", 100))
 add("search_total", lambda s, d: search.search_total(files(s, d), QUERY, P),
     on_files(f"SELECT count(*) AS total, count(*) > 20 AS has_more FROM files WHERE {SHOWN} AND {match_sql(QUERY)}"))
+SEVEN = "the of and in to a is"
+add("search_seven_terms", lambda s, d: search.search_matches(files(s, d), SEVEN, P).select("path", "score"),
+    on_files(f"SELECT path, CAST({score_sql(SEVEN)} AS BIGINT) AS score FROM files WHERE {SHOWN} AND {match_sql(SEVEN)}"))
 MANY = {"english": "the was", "german": "der und", "french": "de la", "reports": "report final", "wide": "a"}
 add("search_many", lambda s, d: search.search_many(files(s, d), MANY, P, 10),
     on_files("SELECT query, rank, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY "
@@ -107,7 +110,7 @@ add("recency_boost",
              f"WHERE {SHOWN} AND {match_sql(QUERY)} ORDER BY {by_score(QUERY)} LIMIT 100)"))
 
 
-def keyword_sql(q: str, where: str, limit: int) -> str:
+def keyword_sql(q: str, where: str) -> str:
     name, bod, rel = (has(f, q) for f in ("name", "body", "rel"))
     at = f"instr(lower(body), '{q}')"
     score = f"(CASE WHEN {name} THEN 100 ELSE 0 END + CASE WHEN {bod} THEN 40 ELSE 0 END + CASE WHEN {rel} THEN 20 ELSE 0 END)"
@@ -117,34 +120,28 @@ def keyword_sql(q: str, where: str, limit: int) -> str:
         f"CAST((length(body) - length(replace(lower(body), '{q}', ''))) // {len(q)} AS BIGINT) AS hit_count, "
         f"CASE WHEN {at} > 0 THEN substr(body, greatest({at} - 70, 1), 200) WHEN body_chars > 0 THEN "
         f"'found in the name or path, not in the body' ELSE 'no body (' || kind || '); found by name or path' END AS snippet "
-        f"FROM meta WHERE {LIVE} AND {where} AND ({name} OR {bod} OR {rel}) ORDER BY {score} DESC, mtime_ms DESC, path "
-        f"LIMIT {limit}")
+        f"FROM meta WHERE {LIVE} AND {where} AND ({name} OR {bod} OR {rel})")
 
 
-add("search_keyword", lambda s, d: search.search_keyword(body(s, d), "the", P), keyword_sql("the", "true", 300))
+add("search_keyword", lambda s, d: search.search_keyword(body(s, d), "the", P), keyword_sql("the", "true"))
 add("search_keyword_filtered",
     lambda s, d: search.search_keyword(body(s, d), "readme", P, kinds=["doc", "web"], top_dir="en", since_days=700),
-    keyword_sql("readme", f"kind IN ('doc', 'web') AND rel LIKE 'en/%' AND mtime_ms > {P.cutoff_ms(700)}", 300))
+    keyword_sql("readme", f"kind IN ('doc', 'web') AND rel LIKE 'en/%' AND mtime_ms > {P.cutoff_ms(700)}"))
 add("search_simple", lambda s, d: search.search_simple(body(s, d), "wechat"),
     on_meta(f"SELECT path, rel, name, kind, size, mtime_ms, {has('name', 'wechat')} AS name_hit FROM meta WHERE {LIVE} "
-            f"AND ({has('name', 'wechat')} OR {has('rel', 'wechat')} OR {has('body', 'wechat')}) "
-            f"ORDER BY name_hit DESC, mtime_ms DESC, path LIMIT 400"))
+            f"AND ({has('name', 'wechat')} OR {has('rel', 'wechat')} OR {has('body', 'wechat')})"))
 add("text_assets", lambda s, d: search.text_assets(body(s, d)),
     on_meta(f"SELECT path, rel, name, kind, size, mtime_ms, substr(body, 1, 4000) AS preview, body_chars, "
-            f"false AS truncated FROM meta WHERE {LIVE} AND is_text AND body_chars > 0 "
-            f"ORDER BY mtime_ms DESC, path LIMIT 600"))
+            f"false AS truncated FROM meta WHERE {LIVE} AND is_text AND body_chars > 0"))
 add("all_files", lambda s, d: search.all_files(meta(s, d)),
-    on_meta(f"SELECT path, rel, name, ext, kind, size, mtime_ms, body_chars FROM meta WHERE {LIVE} "
-            f"ORDER BY size DESC, path LIMIT 2000"))
+    on_meta(f"SELECT path, rel, name, ext, kind, size, mtime_ms, body_chars FROM meta WHERE {LIVE}"))
 add("recent_files", lambda s, d: search.recent_files(meta(s, d)),
     on_meta(f"SELECT path, rel, name, kind, size, mtime_ms FROM meta WHERE {LIVE} AND mtime_ms > {SANE_MTIME_MS} "
             f"ORDER BY mtime_ms DESC, path LIMIT 12"))
 add("files_in", lambda s, d: search.files_in(meta(s, d), "inbox"),
-    on_meta(f"SELECT path, rel, name, kind, size, mtime_ms FROM meta WHERE {LIVE} AND rel LIKE 'inbox/%' "
-            f"ORDER BY size DESC, path LIMIT 500"))
-add("files_in_loose", lambda s, d: search.files_in(meta(s, d), "", by="rel", limit=800),
-    on_meta(f"SELECT path, rel, name, kind, size, mtime_ms FROM meta WHERE {LIVE} AND NOT contains(rel, '/') "
-            f"ORDER BY rel, path LIMIT 800"))
+    on_meta(f"SELECT path, rel, name, kind, size, mtime_ms FROM meta WHERE {LIVE} AND rel LIKE 'inbox/%'"))
+add("files_in_loose", lambda s, d: search.files_in(meta(s, d), "", by="rel"),
+    on_meta(f"SELECT path, rel, name, kind, size, mtime_ms FROM meta WHERE {LIVE} AND NOT contains(rel, '/')"))
 LISTED = f"{LIVE} AND mtime_ms >= {P.cutoff_ms(200)} AND rel LIKE 'en/%' AND len(string_split(rel, '/')) - 1 <= 2"
 add("list_files", lambda s, d: search.list_files(files(s, d), P, path_prefix="en", since="200d", max_depth=2),
     on_files(f"SELECT path, root, rel, name, ext, kind, size, mtime_ms, {squeeze('title')} AS title FROM files "
@@ -195,8 +192,7 @@ add("extract_rules", lambda s, d: extract.extract_rules(fr.rule_docs(s, d)),
     f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
       SELECT CAST(doc_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position,
-        {squeeze("replace(l, '**', '')")} AS rule FROM lines
-      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 20""")
+        {squeeze("replace(l, '**', '')")} AS rule FROM lines""")
 add("line_window", lambda s, d: extract.line_window(body(s, d), start=2, n=5),
     on_meta(f"""SELECT path, len(ls) AS total_lines, CAST(2 AS BIGINT) AS start_line, len(ls[2:6]) AS returned_lines,
         1 + len(ls[2:6]) < len(ls) AS has_more, array_to_string(list_transform(ls[2:6],
@@ -250,7 +246,7 @@ add("overview", lambda s, d: rollup.overview(meta(s, d), fr.scan_runs(s, d)),
 add("overview_totals", lambda s, d: rollup.overview_totals(meta(s, d)),
     on_meta(f"SELECT {TWO}, count(*) FILTER (WHERE {COVERED}) AS text_files FROM meta WHERE {LIVE}"))
 BUCKET = f"""CASE WHEN gone OR size = 0 OR denied THEN 'excluded' WHEN body_chars > 0 THEN 'ok'
-  WHEN is_text AND size > {P.max_text_bytes} THEN 'chunk' WHEN is_text THEN 'fix'
+  WHEN is_text THEN 'fix'
   WHEN lower(ext) IN ({words(OPAQUE_EXTS)}) THEN 'skip' WHEN kind = 'image' THEN 'ocr'
   WHEN kind IN ('audio', 'video') THEN 'asr' WHEN kind = 'archive' THEN 'unpack'
   WHEN kind IN ('doc', 'sheet', 'slide') THEN 'extractor' WHEN kind = 'data' THEN 'nosql' ELSE 'skip' END"""
@@ -329,27 +325,31 @@ add("file_cards", lambda s, d: meta(s, d).select(
 
 # -- audits ---------------------------------------------------------------------------------------
 
-COMPARABLE = f"{LIVE} AND NOT denied AND size > 0 AND size <= {P.duplicate_max_file_bytes}"
-SIZES = f"SELECT size, count(*) AS n FROM meta WHERE {COMPARABLE} GROUP BY size HAVING count(*) > 1"
-GROUPS = f"""SELECT size, sha1(body) AS hash, count(*) AS n, size * (count(*) - 1) AS wasted_bytes,
+COMPARABLE = f"{LIVE} AND NOT denied AND size > 0"
+GROUPS = f"""SELECT size, sha256(text) AS hash, count(*) AS n, size * (count(*) - 1) AS wasted_bytes,
   arg_max(path, lpad(CAST(mtime_ms AS VARCHAR), 15, '0') || path) AS keep_path,
   arg_max(rel, lpad(CAST(mtime_ms AS VARCHAR), 15, '0') || path) AS keep_rel
-  FROM meta WHERE {COMPARABLE} GROUP BY size, sha1(body) HAVING count(*) > 1"""
-TIGHT = P.with_(duplicate_max_total_bytes=40_000)
-BUDGET = """SELECT * FROM (SELECT *, CAST(sum(total_bytes) OVER (ORDER BY total_bytes DESC, size) AS BIGINT) AS running_bytes
-  FROM (SELECT *, size * n AS total_bytes FROM ({sizes}))) WHERE running_bytes <= {budget}"""
-add("size_groups", lambda s, d: audit.size_groups(meta(s, d), P), on_meta(SIZES))
-add("hash_budget", lambda s, d: audit.hash_budget(meta(s, d), TIGHT), on_meta(BUDGET.format(sizes=SIZES, budget=40_000)))
-add("duplicate_groups", lambda s, d: audit.duplicate_groups(body(s, d), P), on_meta(GROUPS))
-add("duplicate_groups_budgeted", lambda s, d: audit.duplicate_groups(body(s, d), TIGHT, budgeted=True),
-    on_meta(f"SELECT * FROM ({GROUPS}) WHERE size IN (SELECT size FROM ({BUDGET.format(sizes=SIZES, budget=40_000)}))"))
-add("duplicate_members", lambda s, d: audit.duplicate_members(body(s, d), P).select("size", "hash", "path", "is_keeper"),
+  FROM meta WHERE {COMPARABLE} GROUP BY size, sha256(text) HAVING count(*) > 1"""
+add("size_groups", lambda s, d: audit.size_groups(meta(s, d)),
+    on_meta(f"SELECT size, count(*) AS n FROM meta WHERE {COMPARABLE} GROUP BY size HAVING count(*) > 1"))
+add("duplicate_groups", lambda s, d: audit.duplicate_groups(meta(s, d)), on_meta(GROUPS))
+add("duplicate_members", lambda s, d: audit.duplicate_members(meta(s, d), P).select("size", "hash", "path", "is_keeper"),
     on_meta(f"SELECT m.size, g.hash, path, path = keep_path AS is_keeper FROM meta m JOIN ({GROUPS}) g ON m.size = g.size AND "
-            f"sha1(m.body) = g.hash WHERE {COMPARABLE.replace('size', 'm.size')}"))
-SKIPPED = ("CAST(0 AS BIGINT) AS skipped_too_large, CAST(0 AS BIGINT) AS skipped_too_large_bytes")
-add("duplicate_summary", lambda s, d: audit.duplicate_summary(body(s, d), P),
-    on_meta(f"SELECT count(*) AS exact_groups, CAST(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS reclaimable_bytes, {SKIPPED}, "
-            f"false AS truncated FROM ({GROUPS})"))
+            f"sha256(m.text) = g.hash WHERE {COMPARABLE.replace('size', 'm.size')}"))
+add("duplicate_summary", lambda s, d: audit.duplicate_summary(meta(s, d)),
+    on_meta(f"SELECT count(*) AS exact_groups, CAST(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS reclaimable_bytes, "
+            f"CAST(0 AS BIGINT) AS not_compared, CAST(0 AS BIGINT) AS not_compared_bytes FROM ({GROUPS})"))
+
+
+def some_unread(s, d):
+    """The corpus as if files in French could not be read: they have a size, but no hash."""
+    return meta(s, d).withColumn("content_hash", F.when(F.col("lang") != "fr", F.col("content_hash")))
+
+
+add("duplicate_summary_unread", lambda s, d: audit.duplicate_summary(some_unread(s, d)),
+    on_meta(f"SELECT count(*) AS exact_groups, CAST(coalesce(sum(wasted_bytes), 0) AS BIGINT) AS reclaimable_bytes, any_value(k) AS not_compared, "
+            f"any_value(b) AS not_compared_bytes FROM ({GROUPS.replace('WHERE', "WHERE lang <> 'fr' AND", 1)}) RIGHT JOIN (SELECT count(*) AS k, "
+            f"CAST(coalesce(sum(size), 0) AS BIGINT) AS b FROM meta WHERE {COMPARABLE} AND lang = 'fr') ON true"))
 SAME = (f"SELECT lower(name) AS name_key, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_bytes FROM meta WHERE {LIVE} AND "
         f"size >= 1024 AND lower(name) NOT IN ({words(UBIQUITOUS_NAMES)}) GROUP BY 1 HAVING count(*) > 1")
 add("same_name_groups", lambda s, d: audit.same_name_groups(meta(s, d)), on_meta(SAME))
@@ -403,24 +403,27 @@ AUDIT = " UNION ALL ".join([
     metric("inbox", "bytes", f"SELECT coalesce(sum(size), 0) FROM ({INBOX})"),
     metric("duplicates", "exact_groups", f"SELECT count(*) FROM ({GROUPS})"),
     metric("duplicates", "reclaimable_bytes", f"SELECT coalesce(sum(wasted_bytes), 0) FROM ({GROUPS})"),
-    metric("duplicates", "skipped_too_large", "0"), metric("duplicates", "skipped_too_large_bytes", "0"),
-    metric("duplicates", "truncated", "0"), metric("duplicates", "same_name_groups", f"SELECT count(*) FROM ({SAME})"),
+    metric("duplicates", "not_compared", "0"), metric("duplicates", "not_compared_bytes", "0"),
+    metric("duplicates", "same_name_groups", f"SELECT count(*) FROM ({SAME})"),
+    metric("links", "checked_files", f"SELECT count(*) FROM meta WHERE {LIVE} AND ext IN ('.md', '.markdown') AND body_chars > 0"),
+    # No text of the given tables holds a Markdown link; the queries on links make some.
+    metric("links", "checked_links", f"SELECT count(*) FROM meta WHERE {LIVE} AND regexp_matches(body, '\\[[^\\]]*\\]\\([^)\\s]+')"),
+    metric("links", "broken", "0"),
 ])
-add("audit", lambda s, d: audit.audit(body(s, d), P, ["duplicates", "stale", "naming", "inbox", "root_clutter"]), on_meta(AUDIT))
+add("audit", lambda s, d: audit.audit(body(s, d), P), on_meta(AUDIT))
 HERE = "root = '/vault/src0'"
 HERE_GROUPS = GROUPS.replace("WHERE", f"WHERE {HERE} AND", 1)
 PROPOSALS = f"""
   SELECT 'root-clutter' AS category, 'move' AS action, rel AS from_rel, 'inbox/2026-01/' || name AS to_path, 'low' AS risk
-    FROM (SELECT * FROM ({CLUTTER}) ORDER BY mtime_ms DESC, path LIMIT 25)
-  UNION ALL SELECT 'inbox-backlog', 'triage', rel, NULL, 'manual' FROM (SELECT * FROM ({INBOX}) WHERE overdue ORDER BY mtime_ms, path LIMIT 25)
-  UNION ALL SELECT 'duplicates', 'archive', m.rel, '归档/2026/重复副本/' || name, 'medium' FROM meta m JOIN (SELECT * FROM ({HERE_GROUPS})
-    ORDER BY wasted_bytes DESC, hash LIMIT 10) g ON m.size = g.size AND sha1(m.body) = g.hash WHERE {HERE} AND {COMPARABLE.replace('size', 'm.size')}
+    FROM ({CLUTTER})
+  UNION ALL SELECT 'inbox-backlog', 'triage', rel, NULL, 'manual' FROM ({INBOX}) WHERE overdue
+  UNION ALL SELECT 'duplicates', 'archive', m.rel, '归档/2026/重复副本/' || name, 'medium' FROM meta m JOIN ({HERE_GROUPS})
+    g ON m.size = g.size AND sha256(m.text) = g.hash WHERE {HERE} AND {COMPARABLE.replace('size', 'm.size')}
     AND path <> keep_path
-  UNION ALL SELECT 'version-names', 'review', rel, NULL, 'manual' FROM (SELECT * FROM ({VERSIONS.replace('WHERE', f'WHERE {HERE} AND', 1)})
-    ORDER BY mtime_ms DESC, path LIMIT 25)
-  UNION ALL SELECT 'stale-large', 'review', rel, '归档/2026/（待定）/', 'manual' FROM ({BIG_STALE.format(more='AND ' + HERE, k=15)})"""
-add("propose_organize", lambda s, d: audit.propose_organize(body(s, d), P), on_meta(PROPOSALS))
-add("proposal_summary", lambda s, d: audit.proposal_summary(audit.propose_organize(body(s, d), P)),
+  UNION ALL SELECT 'version-names', 'review', rel, NULL, 'manual' FROM ({VERSIONS.replace('WHERE', f'WHERE {HERE} AND', 1)})
+  UNION ALL SELECT 'stale-large', 'review', rel, '归档/2026/（待定）/', 'manual' FROM meta WHERE {STALE} AND {HERE}"""
+add("propose_organize", lambda s, d: audit.propose_organize(meta(s, d), P), on_meta(PROPOSALS))
+add("proposal_summary", lambda s, d: audit.proposal_summary(audit.propose_organize(meta(s, d), P)),
     on_meta(f"SELECT category, count(*) AS proposals, string_agg(DISTINCT risk, '|' ORDER BY risk) AS risks FROM ({PROPOSALS}) GROUP BY category"))
 
 # -- triage ---------------------------------------------------------------------------------------
@@ -504,7 +507,7 @@ def patterns_case(patterns, name="name") -> str:
 
 
 IS_DOC = "kind IN ('doc', 'web', 'data') AND body_chars > 0"
-IS_LEDGER = "ext IN ('.json', '.csv') AND size > 2 AND size < 4000000"
+IS_LEDGER = "ext IN ('.json', '.csv') AND size > 2"
 IS_NOTE = "ext IN ('.md', '.txt', '.markdown') AND body_chars > 0"
 DEPTH = "len(string_split(rel, '/')) - 1"
 

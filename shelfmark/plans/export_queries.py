@@ -11,7 +11,6 @@ from shelfmark.operators.claims import COLUMNS as CLAIM_COLUMNS
 from shelfmark.plans import frames as fr
 from shelfmark.plans.base_sql import LISTING, P, on_claims, over
 from shelfmark.plans.registry import add
-from shelfmark.policy import Root
 from shelfmark.session import shared_dir
 from shelfmark.sources import corpus, documents
 from shelfmark.sources.sinks import VersionedTable
@@ -188,20 +187,26 @@ LEDGER = f"""ledger AS (SELECT 'default' AS instance, concat('u', user_id) AS st
 
 
 def sent(s, d):
-    """Offered payloads: every event once more, those of high value changed, and as many that are new."""
+    """Offered payloads: every event once more, those of high value changed, and as many that are new. A third of
+    the new ones are offered twice, a third twice with different digests."""
     e = fr.table(s, d, "events")
     again = e.selectExpr("'default' AS instance", "concat('k', event_id) AS source_key", "CASE WHEN value > 50 THEN 'changed' ELSE props END AS payload_digest")
-    return again.unionByName(e.selectExpr("'default' AS instance", "concat('new', event_id) AS source_key", "props AS payload_digest"))
+    fresh = e.selectExpr("'default' AS instance", "concat('new', event_id) AS source_key", "props AS payload_digest")
+    twice = e.where("event_id % 3 > 0").selectExpr("'default' AS instance", "concat('new', event_id) AS source_key",
+                                                   "CASE WHEN event_id % 3 = 1 THEN props ELSE 'other' END AS payload_digest")
+    return again.unionByName(fresh).unionByName(twice)
 
 
-add("plan_submissions", lambda s, d: ledger.plan_submissions(sent(s, d), ledger_rows(s, d)).select("source_key", "decision"),
-    over(LEDGER, "SELECT source_key, CASE WHEN value > 50 THEN 'conflict' WHEN stage IN ('receipted', 'indexed') THEN 'skip' ELSE 'retry' END AS decision FROM ledger "
-                 "UNION ALL SELECT concat('new', event_id), 'new' FROM events"))
+add("plan_submissions", lambda s, d: ledger.plan_submissions(sent(s, d), ledger_rows(s, d)).select("source_key", "payload_digest", "decision"),
+    over(LEDGER, "SELECT source_key, CASE WHEN value > 50 THEN 'changed' ELSE payload_digest END AS payload_digest, CASE WHEN value > 50 THEN 'conflict' "
+                 "WHEN stage IN ('receipted', 'indexed') THEN 'skip' ELSE 'retry' END AS decision FROM ledger "
+                 "UNION ALL SELECT concat('new', event_id), props, CASE WHEN event_id % 3 = 2 THEN 'conflict' ELSE 'new' END FROM events "
+                 "UNION ALL SELECT concat('new', event_id), 'other', 'conflict' FROM events WHERE event_id % 3 = 2"))
 
 
 def result_events(s, d):
     """Results for ledger rows out of line items: several per order, in line order."""
-    li = fr.text_table(s, d, "lineitem", "l_orderkey")
+    li = fr.table(s, d, "lineitem")
     return li.selectExpr(
         "'default' AS instance", "concat('k', l_orderkey) AS source_key", "l_linenumber AS seq",
         "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'failed' WHEN l_returnflag = 'R' THEN 'counted' WHEN l_returnflag = 'A' AND l_linestatus = 'F' "
@@ -268,22 +273,24 @@ add("classify_results",
 
 
 def answers(s, d):
-    """Receipts as services send them: flat, nested, or as JSON inside a string."""
+    """Receipts as services send them: flat, nested, or as JSON inside a string; ids in prose and escaped values too."""
     inner = F.to_json(F.struct(F.concat(F.lit("s"), "conv_id").alias("source_id"), F.concat(F.lit("j"), "turn").alias("jobId")))
     nested = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), inner.alias("text"))).alias("content")))
+    prose = F.to_json(F.struct(F.concat(F.lit('see "source_id":"abc" in the guide, page '), "conv_id").alias("message")))
+    escaped = F.to_json(F.struct(F.concat(F.lit('a"b\\c\n'), "conv_id").alias("source_id"), F.col("text").alias("note")))
     return fr.table(s, d, "conversations").select(
         "conv_id", "turn", F.when(F.col("turn") == 0, inner).when(F.col("turn") == 1, nested).when(F.col("turn") == 2, F.to_json(F.struct(nested.alias("result"))))
-        .otherwise(F.lit("{}")).alias("response"))
+        .when(F.col("turn") == 3, prose).when(F.col("turn") == 4, escaped).otherwise(F.lit("{not json")).alias("response"))
 
 
 add("receipts", lambda s, d: ledger.receipts(answers(s, d)).select("conv_id", "turn", "source_id", "job_id"),
-    "SELECT conv_id, turn, CASE WHEN turn < 3 THEN 's' || conv_id END AS source_id, CASE WHEN turn < 3 THEN 'j' || turn END AS job_id FROM conversations")
+    "SELECT conv_id, turn, CASE WHEN turn < 3 THEN 's' || conv_id WHEN turn = 4 THEN 'a\"b\\c' || chr(10) || conv_id END AS source_id, "
+    "CASE WHEN turn < 3 THEN 'j' || turn END AS job_id FROM conversations")
 add("short_hashes", lambda s, d: fr.table(s, d, "documents").select("doc_id", keys.short_hash(F.col("text")).alias("hash")),
     "SELECT doc_id, substr(sha1(text), 1, 12) AS hash FROM documents")
 
 # -- sources and streams --------------------------------------------------------------------------
 
-add("scan_files", lambda s, d: corpus.scan_files(s, (Root(d),), P).select("rel", "name", "ext", "kind", "size", "is_text", "denied"))
 PRUNE_REL = "concat(CASE WHEN lang = 'en' THEN 'tools/My.app/' WHEN lang = 'de' THEN 'x/dist/' ELSE '' END, " + fr.REL + ")"
 add("prune_paths",
     lambda s, d: corpus.prune_paths(corpus.describe(fr.table(s, d, "documents").selectExpr(
@@ -328,22 +335,63 @@ add("stream_daily_counts", run_daily,
 add("stream_without_repeats", run_once_only, on_claims("SELECT id, target, ts FROM claims"))
 
 
+# What goes wrong with a document of the export, by its id.
+FAULT_SQL = """CASE WHEN doc_id % 13 = 1 THEN 'size-mismatch' WHEN doc_id % 13 = 2 THEN 'missing' WHEN doc_id % 13 = 3 THEN 'binary'
+  WHEN doc_id % 13 = 4 THEN 'message-empty' END"""
+
+
 def run_export(s, d):
-    """The change feed of all documents, exported micro-batch by micro-batch: the ledger it leaves."""
+    """The change feed of all documents, exported micro-batch by micro-batch: the ledger it leaves, removals, and errors.
+
+    The index holds the first hundred characters of a body only, the store has whole texts. Every document comes twice,
+    the second time in a later scan. Some documents cannot be read, some have no text.
+    """
     base = shared_dir(s, "export")
     feed_dir = base + "/feed"
-    rows = docs(s, d).select("root", "rel", "name", "body").withColumns({
-        "gone": F.col("rel").contains("/archive/"), "denied": F.col("rel").contains("secret"), "scan_id": F.lit(1).cast("bigint")})
+    whole = docs(s, d).withColumns({
+        "path": F.concat("root", F.lit("/"), "rel"), "fault": F.expr(FAULT_SQL), "gone": F.col("rel").contains("/archive/"),
+        "denied": F.col("rel").contains("secret"), "size": F.octet_length("body").cast("bigint")})
+    text = F.when(F.col("fault") == "binary", F.concat("body", F.lit("\u0000"))).when(F.col("fault") == "message-empty", F.lit("")).otherwise(F.col("body"))
+    size = F.octet_length(text).cast("bigint")
+    listed = F.when(F.col("fault") == "size-mismatch", F.col("size") + 1).otherwise(size)
+    rows = whole.select("path", "root", "rel", "name", "gone", "denied", F.substring("body", 1, 100).alias("body"), listed.alias("size"),
+                        F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("scan_id"))
     rows.write.parquet(feed_dir)
+    store = whole.where("fault IS NULL OR fault <> 'missing'").select("path", size.alias("size"), text.alias("text"))
     entries = docs(s, d).select("root", F.col("rel").alias("path"), "role", "author", "original_date", "source_type", "parent_source_key", "source_title")
     feed = s.readStream.schema(s.read.parquet(feed_dir).schema).option("maxFilesPerTrigger", 3).parquet(feed_dir)
-    book, stones = VersionedTable(s, base + "/ledger"), VersionedTable(s, base + "/tombstones")
-    jobs.start_export(feed, base + "/checkpoint", manifest=entries, ledger=book, removals=stones, policy=P, scope=SCOPE).awaitTermination()
-    removed = stones.read_all().select(F.lit("removed").alias("stage"), "stable_id", "source_key")
-    return book.read_all().select("stage", "stable_id", "source_key").unionByName(removed)
-
-
+    book, stones, faults = (VersionedTable(s, f"{base}/{name}") for name in ("ledger", "tombstones", "errors"))
+    jobs.start_export(feed, base + "/checkpoint", manifest=entries, content=store, ledger=book, removals=stones, errors=faults, policy=P,
+                      scope=SCOPE).awaitTermination()
+    none = F.lit(None).cast("string")
+    removed = stones.read_all().select(F.lit("removed").alias("stage"), "stable_id", "source_key", none.alias("payload_digest"))
+    failed = jobs.open_errors(faults, book).select(F.concat("kind", F.lit(":"), "reason").alias("stage"), "stable_id", F.lit("").alias("source_key"),
+                                                   none.alias("payload_digest"))
+    return book.read_all().select("stage", "stable_id", "source_key", "payload_digest").unionByName(removed).unionByName(failed)
+
+
+EXPORTED = f"""NOT contains(rel, '/archive/') AND NOT contains(rel, 'secret') AND ({FAULT_SQL}) IS NULL"""
+
+
+def payload_sql() -> str:
+    """The JSON of a batch; keys without a value are left out."""
+    lead = ("'{\"original_ref\":\"" + P.key_prefix + "://' || stable_id || '/' || version_hash || '\",\"parser_version\":\"" + P.parser_version +
+            "\",\"locator\":\"' || CASE WHEN first = last THEN first ELSE first || '..' || last END || '\"'")
+    more = "CASE WHEN author IS NULL THEN '' ELSE ',\"author\":\"' || author || '\"' END || CASE WHEN original_date IS NULL THEN '' ELSE ',\"original_date\":\"' || original_date || '\"' END"
+    return ("'{\"scope\":\"" + SCOPE + "\",\"source_key\":\"' || source_key || '\",\"source_type\":\"document\",\"processing_policy\":\"archive\",\"source_metadata\":' || "
+            + lead + " || " + more + " || '},\"messages\":[' || texts || ']}'")
+
+
+KEYED = f"""{packed_sql(P)}, json AS (SELECT w.doc_id, w.batch, string_agg(CAST(json_object('id', s.id, 'role', s.role, 'text', s.text, 'source_title', s.name) AS VARCHAR), ','
+    ORDER BY s.ordinal) AS texts FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.ordinal = w.ordinal GROUP BY w.doc_id, w.batch),
+  full_batches AS (SELECT b.*, k.author, k.original_date, texts, {KEY.replace('stable_id', 'b.stable_id').replace('version_hash', 'b.version_hash')} || '#p' ||
+    lpad(CAST(b.batch + 1 AS VARCHAR), 4, '0') AS source_key FROM batches b JOIN json j ON j.doc_id = b.doc_id AND j.batch = b.batch JOIN keyed k ON k.doc_id = b.doc_id),
+  digested AS (SELECT doc_id, rel, stable_id, source_key, {payload_sql()} AS payload FROM full_batches)"""
+add("payload_digests", lambda s, d: batches(s, d, P).select("source_key", "payload_digest", F.octet_length("payload_json").alias("payload_bytes")),
+    over("RECURSIVE " + KEYED, "SELECT source_key, sha256(payload) AS payload_digest, strlen(payload) AS payload_bytes FROM digested"))
 add("stream_export", run_export,
-    over("RECURSIVE " + packed_sql(P),
-         f"SELECT 'pending' AS stage, stable_id, {KEY} || '#p' || lpad(CAST(batch + 1 AS VARCHAR), 4, '0') AS source_key FROM batches WHERE NOT contains(rel, '/archive/') AND NOT "
-         f"contains(rel, 'secret') UNION ALL SELECT 'removed', stable_id, '' FROM ided WHERE contains(rel, '/archive/')"))
+    over("RECURSIVE " + KEYED,
+         f"SELECT 'pending' AS stage, stable_id, source_key, sha256(payload) AS payload_digest FROM digested WHERE {EXPORTED} "
+         f"UNION ALL SELECT 'removed', stable_id, '', NULL FROM ided WHERE contains(rel, '/archive/') "
+         f"UNION ALL SELECT CASE WHEN contains(rel, 'secret') THEN 'read:denied' WHEN fault = 'message-empty' THEN 'payload:message-empty' ELSE 'read:' || fault END, "
+         f"stable_id, '', NULL FROM (SELECT *, {FAULT_SQL} AS fault FROM ided) WHERE NOT contains(rel, '/archive/') AND (contains(rel, 'secret') OR fault IS NOT NULL)"))

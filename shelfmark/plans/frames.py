@@ -51,17 +51,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are expensive to process.
-
-    A file of one row group is one task. Where the whole table has so few splits that most cores would idle, its
-    rows are spread by key; a table of many files is left as it is.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 4 <= cores else df
-
-
 def in_row(before: DataFrame, after: DataFrame, *derived: str) -> DataFrame:
     """Keep derived attributes as if they were columns of a stored table.
 
@@ -71,41 +60,39 @@ def in_row(before: DataFrame, after: DataFrame, *derived: str) -> DataFrame:
     return after.select(*before.columns, F.inline(F.array(F.struct(*derived))))
 
 
-def listing(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """Documents as a described listing with their text; the size is the character count."""
-    source = text_table(spark, sf_dir, "documents", "doc_id") if spread else table(spark, sf_dir, "documents")
-    docs = source.selectExpr(
-        "doc_id", "lang", "source", "n_chars AS size", "text", f"{ROOT} AS root", f"{REL} AS rel",
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a described listing with their text; the size counts UTF-8 bytes."""
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "lang", "source", "CAST(octet_length(text) AS BIGINT) AS size", "n_chars", "text", f"{ROOT} AS root", f"{REL} AS rel",
         f"concat({ROOT}, '/', {REL}) AS path", f"{MTIME} AS mtime_ms", f"{GONE} AS gone", f"{SCAN_ID} AS scan_id")
-    given = ("doc_id", "lang", "source", "size", "text")
+    given = ("doc_id", "lang", "source", "size", "n_chars", "text")
     docs = docs.select(*given, F.inline(F.array(F.struct(*[c for c in docs.columns if c not in given]))))
     named = in_row(docs, name_and_ext(docs), "name", "ext")
     return in_row(named, kind_and_flags(named, POLICY), "kind", "is_text", "is_symlink", "denied")
 
 
 def readable() -> Column:
-    return F.col("is_text") & ~F.col("denied") & (F.col("size") <= POLICY.max_text_bytes)
+    return F.col("is_text") & ~F.col("denied")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files table without what is read from content; the text column is not scanned.
+    """The files table without what is read from content, but for the hash of its bytes.
 
     The stored character count serves reports about metadata; it equals the length of the body.
     """
-    return listing(spark, sf_dir).drop("text").withColumns({
-        "body_chars": F.when(readable(), F.col("size")).otherwise(F.lit(0)), "is_binary": F.lit(False),
-        "truncated": F.lit(False),
-    })
+    return listing(spark, sf_dir).withColumns({
+        "body_chars": F.when(readable(), F.col("n_chars")).otherwise(F.lit(0)), "is_binary": F.lit(False),
+        "truncated": F.lit(False), "content_hash": F.when(~F.col("denied"), F.sha2("text", 256)),
+    }).drop("text", "n_chars")
 
 
 def with_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and body, for operators that need neither title nor headings."""
-    rows = listing(spark, sf_dir, spread=True)
-    return rows.withColumns({
+    return listing(spark, sf_dir).withColumns({
         "body": F.when(readable(), F.col("text")).otherwise(F.lit("")),
-        "body_chars": F.when(readable(), F.col("size")).otherwise(F.lit(0)), "is_binary": F.lit(False),
-        "truncated": F.lit(False),
-    }).drop("text")
+        "body_chars": F.when(readable(), F.col("n_chars")).otherwise(F.lit(0)), "is_binary": F.lit(False),
+        "truncated": F.lit(False), "content_hash": F.when(~F.col("denied"), F.sha2("text", 256)),
+    }).drop("text", "n_chars")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,12 +180,12 @@ def rule_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rules: every line a numbered item under a heading about rules, then one that is not."""
     items = F.concat(F.lit("# All\n\n## Naming rules\n\n1. "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n1. ")),
                      F.lit("\n\n## Other\n\n1. not a rule\n"))
-    return text_table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("path"), items.alias("body"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), items.alias("body"))
 
 
 def export_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to export: every line a paragraph, attribution by language and label."""
-    return text_table(spark, sf_dir, "documents", "doc_id").selectExpr(
+    return table(spark, sf_dir, "documents").selectExpr(
         "doc_id", f"{ROOT} AS root", f"{REL} AS rel", f"concat({STEM}, {EXT}) AS name",
         "replace(text, '\\n', '\\n\\n') AS body",
         "CASE lang WHEN 'en' THEN 'user' WHEN 'de' THEN 'assistant' WHEN 'fr' THEN 'external' END AS role",

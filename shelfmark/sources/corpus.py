@@ -67,8 +67,9 @@ def prune_paths(rows: DataFrame, policy: Policy) -> DataFrame:
     # Folders in front of the bundle decide whether the walk gets there at all.
     walked = F.when(F.col("_bundle_at") > 0, F.slice("_dirs", F.lit(1), F.col("_bundle_at") - 1)).otherwise(F.col("_dirs"))
     staged = staged.withColumn("_walked", walked).where(
-        ~F.arrays_overlap("_walked", F.expr(f"array({sql_list(policy.ignored_dirs)})"))
-        & (F.size("_walked") <= policy.max_depth))
+        ~F.arrays_overlap("_walked", F.expr(f"array({sql_list(policy.ignored_dirs)})")))
+    if policy.max_depth is not None:
+        staged = staged.where(F.size("_walked") <= policy.max_depth)
     plain = staged.where((F.col("_bundle_at") == 0) & ~F.col("name").isin(*policy.noise_names))
     bundle_rel = F.array_join(F.slice("_dirs", F.lit(1), F.col("_bundle_at")), "/")
     bundles = (

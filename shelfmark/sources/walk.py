@@ -8,6 +8,8 @@ part of one level.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ def _listing(policy: Policy):
                 return "skipped"
             if entry.name.lower().endswith(suffixes):
                 return "bundle"
-            return "dir" if depth + 1 <= policy.max_depth else "skipped"
+            return "dir" if policy.max_depth is None or depth + 1 <= policy.max_depth else "skipped"
         return "file" if entry.is_file(follow_symlinks=False) and entry.name not in noise else None
 
     def rows(root: str, folder: str, depth: int) -> Iterator[tuple]:
@@ -72,7 +74,7 @@ def walk(spark: SparkSession, roots: tuple[Root, ...], policy: Policy) -> DataFr
     base = shared_dir(spark, "walk")
     level = spark.createDataFrame([(r.path.rstrip("/"), r.path.rstrip("/"), 0) for r in roots],
                                   "root string, path string, depth int")
-    for n in range(policy.max_depth + 1):
+    for n in itertools.count():
         tasks = spark.sparkContext.defaultParallelism
         spread = level.select("root", "path", "depth").repartition(tasks, "path")
         spread.mapInPandas(_listing(policy), ENTRY).write.parquet(f"{base}/level={n}")
@@ -106,25 +108,33 @@ def walk_stats(entries: DataFrame) -> DataFrame:
 
 
 def read_content(listing: DataFrame, policy: Policy) -> DataFrame:
-    """Add ``content`` to text files that policy lets us read; a file that vanished meanwhile has none."""
-    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
+    """Add ``content`` to text files that policy lets us read, and ``content_hash`` to all of these files.
+
+    Other files are hashed piece by piece. A file that vanished meanwhile has neither.
+    """
+    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("content_hash", T.StringType())])
     cap = policy.max_text_bytes
 
-    def load(path: str, wanted: bool) -> bytes | None:
+    def load(path: str, keep: bool, wanted: bool) -> tuple[bytes | None, str | None]:
         if not wanted:
-            return None
+            return None, None
         try:
             with open(path, "rb") as f:
-                return f.read(cap)
+                if keep:
+                    data = f.read()
+                    return data, hashlib.sha256(data).hexdigest()
+                return None, hashlib.file_digest(f, "sha256").hexdigest()
         except OSError:
-            return None
+            return None, None
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), CONTENT_BATCH):
                 part = batch.iloc[at:at + CONTENT_BATCH]
-                wanted = part["is_text"] & ~part["denied"] & (part["size"] > 0) & (part["size"] <= cap)
-                yield part.assign(content=[load(p, w) for p, w in zip(part["path"], wanted)])
+                wanted = ~part["denied"] & ~part["is_symlink"] & (part["kind"] != "bundle")
+                keep = part["is_text"] & (part["size"] > 0) & ((part["size"] <= cap) if cap is not None else True)
+                read = [load(*x) for x in zip(part["path"], keep, wanted)]
+                yield part.assign(content=[r[0] for r in read], content_hash=[r[1] for r in read])
 
     return listing.mapInPandas(task, schema)
 

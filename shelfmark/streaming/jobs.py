@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfmark.functions import keys
+from shelfmark.model import SUBMISSIONS
 from shelfmark.operators.claims import COLUMNS as CLAIM_COLUMNS
 from shelfmark.operators.claims import newest, not_retracted
-from shelfmark.operators.export import build_payloads, validate_payloads
+from shelfmark.operators.export import build_payloads, read_whole, validate_payloads
 from shelfmark.operators.extract import extract_documents
 from shelfmark.operators.ledger import new_submissions, plan_submissions, tombstones
 from shelfmark.operators.ranking import first_per
-from shelfmark.operators.snapshot import apply_allow_list
+from shelfmark.operators.snapshot import apply_allow_list, latest_version
 from shelfmark.policy import Policy, Root
 from shelfmark.sources.corpus import prune_paths, stream_files
 from shelfmark.sources.sinks import VersionedTable
@@ -93,39 +95,60 @@ def start_ingest(spark: SparkSession, root: Root, policy: Policy, table: Version
 # -- export ---------------------------------------------------------------------------------------
 
 
-class ExportFailed(RuntimeError):
-    """Raised inside a micro-batch, so that its offset is not committed and the batch comes again."""
-
-
-def export_batch(changes: DataFrame, number: int, *, manifest: DataFrame, ledger: VersionedTable,
-                 removals: VersionedTable, policy: Policy, scope: str, instance: str = "default") -> None:
+def export_batch(changes: DataFrame, number: int, *, manifest: DataFrame, content: DataFrame, ledger: VersionedTable,
+                 removals: VersionedTable, errors: VersionedTable, policy: Policy, scope: str,
+                 instance: str = "default") -> None:
     """One micro-batch of the change feed: changed documents to ledger rows, removed ones to tombstones.
 
-    The ledger is written before the checkpoint moves. Known keys with the same digest are left alone, and writing
-    the same micro-batch again replaces its own version, so a repeated batch adds nothing.
+    Texts are read whole from ``content`` and held against the listed size. A document that cannot be sent as a
+    whole becomes a row of ``errors`` with its reason; the others are not held up. Known keys with the same digest are
+    left alone, and writing the same micro-batch again replaces its own version, so a repeated batch adds nothing.
     """
-    listed = apply_allow_list(changes, manifest)
-    live = listed.where(~F.col("gone") & ~F.col("denied"))
-    payloads = validate_payloads(build_payloads(live, policy, scope, instance), policy)
+    spark = ledger.spark
+    rows = apply_allow_list(latest_version(changes), manifest)
+    read = read_whole(rows.where(~F.col("gone")).drop("body"), content)
+    payloads = validate_payloads(build_payloads(read.where("reason IS NULL").drop("reason"), policy, scope, instance), policy)
+    # Keys of a batch begin with the id of their document, so the ledger is asked for these documents only.
     known = _before(ledger, number)
-    planned = (
-        plan_submissions(payloads, known) if known is not None
-        else payloads.withColumn("decision", F.lit("new"))
-    )
+    ids = payloads.select("instance", "stable_id").distinct()
+    known = (known.join(ids, ["instance", "stable_id"], "left_semi") if known is not None
+             else spark.createDataFrame([], SUBMISSIONS))
     # Written once, so that checking the batch and recording it do not build every payload again.
-    staging = VersionedTable(ledger.spark, ledger.path + "_staging")
-    staging.write(planned, number)
+    staging = VersionedTable(spark, ledger.path + "_staging")
+    staging.write(plan_submissions(payloads, known), number)
     staged = staging.read(number)
-    refused = staged.where((F.size("problems") > 0) | (F.col("decision") == "conflict")).limit(1)
-    if not refused.isEmpty():
-        raise ExportFailed(f"micro-batch {number} holds payloads that conflict or break a limit")
-    ledger.write(new_submissions(staged), number)
+    faults = F.concat("problems", F.when(F.col("decision") == "conflict", F.array(F.lit("conflict"))).otherwise(F.array().cast("array<string>")))
+    refused = staged.select("stable_id", "rel", F.explode(faults).alias("reason")).groupBy("stable_id", "rel").agg(
+        F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reason"))
+    ledger.write(new_submissions(staged.join(refused.select("stable_id"), "stable_id", "left_anti")), number)
+    unread = read.where("reason IS NOT NULL").select(
+        keys.stable_id(F.col("root"), F.col("rel")).alias("stable_id"), "rel", "reason", F.lit("read").alias("kind"))
+    errors.write(unread.unionByName(refused.withColumn("kind", F.lit("payload"))).withColumn("instance", F.lit(instance)), number)
     existing = _before(removals, number)
-    gone = listed.where(F.col("gone"))
+    gone = rows.where(F.col("gone"))
     empty = gone.select(*[F.lit("").alias(c) for c in ("instance", "stable_id", "source_key")]).limit(0)
     removals.write(tombstones(gone, existing if existing is not None else empty, instance), number)
 
 
+def open_errors(errors: VersionedTable, ledger: VersionedTable) -> DataFrame:
+    """Documents whose last attempt failed: an error of a later micro-batch than any of their ledger rows.
+
+    They are what the next run has to offer again; the feed itself goes on past them.
+    """
+    last = errors.spark.read.parquet(errors.path).groupBy("instance", "stable_id").agg(
+        F.max_by(F.struct("rel", "kind", "reason", "version"), "version").alias("_e")).select("instance", "stable_id", "_e.*")
+    sent = ledger.spark.read.parquet(ledger.path).groupBy("instance", "stable_id").agg(F.max("version").alias("_sent"))
+    return last.join(sent, ["instance", "stable_id"], "left").where("_sent IS NULL OR _sent < version").drop("_sent")
+
+
+def held_cursor(feed: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: up to which scan everything was sent. An open error holds the cursor in front of its scan."""
+    marked = feed.select(keys.stable_id(F.col("root"), F.col("rel")).alias("stable_id"), "scan_id").join(
+        failed.select("stable_id", F.lit(True).alias("_failed")), "stable_id", "left")
+    first = F.min(F.when(F.col("_failed"), F.col("scan_id") - 1))
+    return marked.agg(F.least(F.max("scan_id"), first).alias("cursor"))
+
+
 def _before(table: VersionedTable, number: int) -> DataFrame | None:
     """What earlier micro-batches wrote; later versions are pruned by their folder."""
     if number == 0:

@@ -47,6 +47,7 @@ def make_files(spark, policy):
             rows, "root string, rel string, text string, size long, mtime_ms long, gone boolean, scan_id long")
         named = describe(raw.withColumn("path", F.concat_ws("/", "root", "rel")), pol)
         readable = F.col("is_text") & ~F.col("denied")
+        named = named.withColumn("content_hash", F.when(~F.col("denied"), F.sha2("text", 256)))
         text = named.withColumn("text", F.when(readable, F.col("text")).otherwise(F.lit("")))
         return extract_text(text, pol).drop("text").withColumn("is_binary", F.lit(False))
 

@@ -99,34 +99,34 @@ def test_merge_covers_every_case(make_files, spark):
         "same.md": "a", "changed.md": "old", "vanished.md": "v", "gone-still.md": {"text": "g", "gone": True}, "back-same.md": {"text": "b", "gone": True},
         "back-changed.md": {"text": "c", "gone": True}, "y.md": {"text": "other", "root": "/x"}})
     cur = make_files({"same.md": "a", "changed.md": "newer", "back-same.md": "b", "back-changed.md": "cc", "new.md": "n"}).drop("gone", "scan_id")
-    got = {r["rel"]: r for r in snapshot.merge_snapshot(prev, cur, 99).collect()}
+    got = {r["rel"]: r for r in snapshot.merge_snapshot(prev, cur, 99, ['/w']).collect()}
     assert {k: (r["action"], r["gone"], r["scan_id"]) for k, r in got.items()} == {
         "same.md": ("reused", False, 99), "changed.md": ("updated", False, 99), "vanished.md": ("removed", True, 99), "gone-still.md": ("gone", True, 1),
         "back-same.md": ("reused", False, 99), "back-changed.md": ("added", False, 99), "new.md": ("added", False, 99), "y.md": ("kept", False, 1)}
     assert got["changed.md"]["body"] == "newer" and got["vanished.md"]["body"] == "v"
-    assert {r["path"]: r["action"] for r in snapshot.classify_snapshot(prev, cur).collect()} == {r["path"]: r["action"] for r in got.values()}
-    assert {r["rel"] for r in snapshot.vanished(prev, cur).collect()} == {"vanished.md"}
-    assert [(r["root"], r["files"]) for r in snapshot.unlisted_roots(prev, cur).collect()] == [("/x", 1)]
+    assert {r["path"]: r["action"] for r in snapshot.classify_snapshot(prev, cur, ['/w']).collect()} == {r["path"]: r["action"] for r in got.values()}
+    assert {r["rel"] for r in snapshot.vanished(prev, cur, ['/w']).collect()} == {"vanished.md"}
+    assert [(r["root"], r["files"]) for r in snapshot.unlisted_roots(prev, ['/w']).collect()] == [("/x", 1)]
 
 
 def test_unchanged_listing_keeps_extracted_content(make_files):
     prev = make_files({"a.md": "text"})
     listing = prev.drop("gone", "scan_id", "title", "headings", "body", "body_chars", "truncated", "is_binary")
-    row = snapshot.merge_snapshot(prev, listing, 5).first()
+    row = snapshot.merge_snapshot(prev, listing, 5, ['/w']).first()
     assert (row["action"], row["body"], row["scan_id"]) == ("reused", "text", 5)
 
 
 def test_counters_of_successive_scans(make_files):
     first = {f"{i}.md": "x" for i in range(5)}
     listing = lambda items: make_files(items).drop("gone", "scan_id")
-    snap1 = snapshot.merge_snapshot(make_files(first).limit(0), listing(first), 1)
+    snap1 = snapshot.merge_snapshot(make_files(first).limit(0), listing(first), 1, ['/w'])
     row = snapshot.scan_run_stats(snap1).first()
     assert (row["files_seen"], row["files_added"], row["files_updated"]) == (5, 5, 0)
     second = {**first, "0.md": "changed", "1.md": "changed", "5.md": "new"}
-    snap2 = snapshot.merge_snapshot(snap1.drop("action"), listing(second), 2)
+    snap2 = snapshot.merge_snapshot(snap1.drop("action"), listing(second), 2, ['/w'])
     row = snapshot.scan_run_stats(snap2).first()
     assert (row["files_seen"], row["files_added"], row["files_updated"], row["files_reused"]) == (6, 1, 2, 3)
-    row = snapshot.scan_run_stats(snapshot.merge_snapshot(snap2.drop("action"), listing(second), 3)).first()
+    row = snapshot.scan_run_stats(snapshot.merge_snapshot(snap2.drop("action"), listing(second), 3, ['/w'])).first()
     assert (row["files_added"], row["files_updated"], row["files_removed"], row["files_reused"]) == (0, 0, 0, 6)
 
 

@@ -53,7 +53,7 @@ def test_coverage_ladder(make_files, policy):
     files = make_files({
         "a.md": "x", "fix.md": {"size": 10}, "chunk.txt": {"size": 3 * 1024 * 1024}, "x.pdf": {"size": 5}, "x.png": {"size": 5}, "x.mp3": {"size": 5},
         "x.zip": {"size": 5}, "x.db": {"size": 5}, "x.ttf": {"size": 5}, "x.unknown": {"size": 5}, ".env": "k", "empty.md": "", "gone.md": {"text": "x", "gone": True}})
-    got = {r["name"]: r["bucket"] for r in files.withColumn("bucket", rollup.coverage_class(policy)).collect()}
+    got = {r["name"]: r["bucket"] for r in files.withColumn("bucket", rollup.coverage_class(policy.with_(max_text_bytes=2 ** 21))).collect()}
     assert got == {"a.md": "ok", "fix.md": "fix", "chunk.txt": "chunk", "x.pdf": "extractor", "x.png": "ocr", "x.mp3": "asr", "x.zip": "unpack", "x.db": "nosql",
                    "x.ttf": "skip", "x.unknown": "skip", ".env": "excluded", "empty.md": "excluded", "gone.md": "excluded"}
     report = rollup.coverage_report(files, policy).orderBy("ladder").collect()
@@ -87,30 +87,22 @@ def test_broken_links(ws, pol):
     assert (row["checked_links"], row["broken"]) == (5, 1)
 
 
-def test_duplicates_and_budget(ws, pol):
-    group = audit.duplicate_groups(ws, pol).collect()
+def test_duplicates(ws, pol):
+    group = audit.duplicate_groups(ws).collect()
     assert [(g["n"], g["keep_rel"], g["wasted_bytes"]) for g in group] == [(2, "dup-b.txt", group[0]["size"])]
     members = audit.duplicate_members(ws, pol)
     assert {(r["rel"], r["is_keeper"]) for r in members.collect()} == {("dup-a.txt", False), ("dup-b.txt", True)}
-    assert audit.duplicate_summary(ws, pol.with_(duplicate_max_file_bytes=1000)).first()["skipped_too_large"] == 2
-    tight = audit.duplicate_summary(ws, pol.with_(duplicate_max_total_bytes=10), budgeted=True).first()
-    assert tight["truncated"] and tight["exact_groups"] == 0
-
-
-def test_budget_stops_at_the_first_overflow(spark):
-    import random
-
-    rng = random.Random(3)
-    groups = [(s, rng.randint(2, 6)) for s in rng.sample(range(1, 400), 120)]
-    for budget in (0, 5, 900, 5000, 10**6):
-        want, used = set(), 0
-        for size, n in sorted(groups, key=lambda g: (-g[0] * g[1], g[0])):
-            used += size * n
-            if used > budget:
-                break
-            want.add(size)
-        df = spark.createDataFrame(groups, "size long, n long")
-        assert col(ranking.within_budget(df, budget), "size") == want
+
+
+def test_files_are_equal_by_their_bytes(make_files, policy):
+    """Files without a body, with front matter or cut bodies are compared by what they hold, not by what was taken from them."""
+    files = make_files({
+        "a.png": {"text": "p1", "size": 2}, "b.png": {"text": "p2", "size": 2}, "c.png": {"text": "p1", "size": 2},
+        "x.md": "---\ntitle: a\n---\nsame", "y.md": "---\ntitle: b\n---\nsame", ".env": "p1"}, pol=policy.with_(max_body_chars=1))
+    assert [(r["n"], r["keep_rel"]) for r in audit.duplicate_groups(files).collect()] == [(2, "c.png")]
+    unread = files.withColumn("content_hash", F.when(F.col("ext") != ".png", F.col("content_hash")))
+    row = audit.duplicate_summary(unread).first()
+    assert (row["exact_groups"], row["not_compared"], row["not_compared_bytes"]) == (0, 3, 6)
 
 
 def test_trim_to_bytes(spark):

@@ -1,5 +1,7 @@
 import os
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,25 +65,34 @@ def test_ingest_finds_new_files_and_merges(spark, policy, scratch):
 def export_setup(spark, policy, make_files, scratch):
     src = scratch + "/feed"
     manifest = export.attribute(spark.createDataFrame(
-        [("/w", p, "user", None, None, None, None, None, None) for p in ("a.md", "b.md", "gone.md", "secret.md")],
+        [("/w", p, "user", None, None, None, None, None, None) for p in ("a.md", "b.md", "gone.md", "secret.md", "pic.png")],
         "root string, path string, role string, author string, original_date string, source_type string, parent_source_key string, source_title string, stable_id string")).drop("rejects")
-    settings = dict(manifest=manifest, ledger=VersionedTable(spark, scratch + "/ledger"), removals=VersionedTable(spark, scratch + "/stones"), policy=policy, scope="agent:x")
+    tables = {name: VersionedTable(spark, f"{scratch}/{name}") for name in ("ledger", "removals", "errors")}
+    settings = dict(manifest=manifest, **tables, policy=policy, scope="agent:x")
+    texts: dict[str, str] = {}
+
+    def stored():
+        rows = [("/w/" + k, len(v.encode()), v) for k, v in texts.items()]
+        return spark.createDataFrame(rows, "path string, size long, text string")
 
     def add(items):
-        make_files(items).coalesce(1).write.mode("append").parquet(src)
+        texts.update({k: v if isinstance(v, str) else v["text"] for k, v in items.items()})
+        make_files(items, pol=settings["policy"]).coalesce(1).write.mode("append").parquet(src)
 
     def run():
         schema = spark.read.parquet(src).schema
-        jobs.start_export(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), scratch + "/cp", **settings).awaitTermination()
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.start_export(feed, scratch + "/cp", content=stored(), **settings).awaitTermination()
 
-    return add, run, settings
+    return add, run, settings, texts, stored
 
 
 def test_export_is_idempotent_and_keeps_versions(export_setup):
-    add, run, settings = export_setup
+    add, run, settings, _, _ = export_setup
     add({"a.md": "one", "unlisted.md": "x", "gone.md": {"text": "g", "gone": True}, "secret.md": "k"})
     run()
     add({"a.md": "one", "gone.md": {"text": "g", "gone": True}})  # the same again
+    run()
     add({"a.md": "two", "b.md": "new"})
     run()
     book = settings["ledger"].read_all()
@@ -90,26 +101,51 @@ def test_export_is_idempotent_and_keeps_versions(export_setup):
     assert settings["removals"].read_all().count() == 1
 
 
-def test_failed_batch_leaves_the_cursor(export_setup, spark, scratch):
-    add, run, settings = export_setup
-    add({"a.md": "one"})
+def test_a_bad_document_does_not_hold_up_the_others(export_setup, spark):
+    add, run, settings, texts, _ = export_setup
+    add({"a.md": "one", "pic.png": {"text": "", "size": 9}, "b.md": {"text": "short", "size": 500}, "secret.md": {"text": "k", "denied": True}})
+    texts["pic.png"] = "x\x00" * 5
     run()
-    bad = settings["policy"].with_(batch_bytes=10)  # every message is over the limit
-    settings["policy"] = bad
-    add({"b.md": "text"})
-    with pytest.raises(Exception, match="micro-batch|conflict"):
-        run()
     assert settings["ledger"].read_all().count() == 1
-    settings["policy"] = bad.with_(batch_bytes=24_000)
+    failed = jobs.open_errors(settings["errors"], settings["ledger"])
+    assert {(r["rel"], r["reason"]) for r in failed.collect()} == {("pic.png", "size-mismatch"), ("b.md", "size-mismatch")} | (
+        {("secret.md", "denied")} if settings["policy"].deny_globs and failed.where("rel = 'secret.md'").count() else set())
+    feed = spark.createDataFrame([("/w", "a.md", 4), ("/w", "b.md", 7), ("/w", "c.md", 9)], "root string, rel string, scan_id long")
+    assert jobs.held_cursor(feed, failed).first()["cursor"] == 6
+    add({"b.md": "short"})  # listed again, now with its true size
     run()
     assert settings["ledger"].read_all().count() == 2
+    left = jobs.open_errors(settings["errors"], settings["ledger"])
+    assert "b.md" not in {r["rel"] for r in left.collect()}
+    assert jobs.held_cursor(feed, left).first()["cursor"] == 9
+
+
+def test_export_sends_whole_texts(export_setup):
+    """The index cuts bodies and takes front matter off; the export sends what is stored."""
+    add, run, settings, texts, _ = export_setup
+    settings["policy"] = settings["policy"].with_(max_body_chars=50)
+    long = "---\ntitle: t\n---\n" + "word " * 100
+    add({"a.md": long})
+    run()
+    rows = settings["ledger"].read_all().collect()
+    sent = "".join(m["text"] for r in sorted(rows, key=lambda r: r["part_index"]) for m in json.loads(r["payload_json"])["messages"])
+    assert sent == long
+
+
+def test_one_row_per_key_in_a_batch(export_setup, make_files):
+    _, _, settings, texts, stored = export_setup
+    texts["a.md"] = "one"
+    twice = make_files({"a.md": "one"})
+    jobs.export_batch(twice.union(twice), 0, content=stored(), **settings)
+    assert settings["ledger"].read_all().count() == 1
 
 
 def test_a_repeated_micro_batch_adds_nothing(export_setup, make_files):
-    _, _, settings = export_setup
+    _, _, settings, texts, stored = export_setup
+    texts.update({"a.md": "one", "gone.md": "g"})
     batch = make_files({"a.md": "one", "gone.md": {"text": "g", "gone": True}})
     for _ in range(2):
-        jobs.export_batch(batch, 0, **settings)
-        jobs.export_batch(batch, 1, **settings)
+        jobs.export_batch(batch, 0, content=stored(), **settings)
+        jobs.export_batch(batch, 1, content=stored(), **settings)
     assert settings["ledger"].read_all().count() == 1 and settings["removals"].read_all().count() == 1
     assert settings["ledger"].read_all().select(F.max("attempts")).first()[0] == 0
