@@ -295,6 +295,16 @@ def export_plan(docs: DataFrame, policy: Policy, scope: str, body: str = "body")
     )
 
 
+def dry_run_errors(read: DataFrame, policy: Policy, scope: str) -> DataFrame:
+    """(rel, kind, reason) of the documents a dry run would not send: unreadable ones (see ``read_whole``), and those
+    with a batch that the receiving side would refuse."""
+    unread = read.where("reason IS NOT NULL").select("rel", F.lit("read").alias("kind"), "reason")
+    checked = validate_payloads(build_payloads(read.where("reason IS NULL"), policy, scope), policy)
+    refused = checked.select("rel", F.explode("problems").alias("reason")).groupBy("rel").agg(
+        F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reason"))
+    return unread.unionByName(refused.select("rel", F.lit("payload").alias("kind"), "reason"))
+
+
 def read_whole(changes: DataFrame, content: DataFrame) -> DataFrame:
     """Changed documents with their whole text, or the ``reason`` why it cannot be had.
 

@@ -104,6 +104,19 @@ def scan_run_stats(actions: DataFrame) -> DataFrame:
     )
 
 
+def scan_run_record(actions: DataFrame, walked: DataFrame, run_id: int, started_ms: int, finished_ms: int) -> DataFrame:
+    """The log rows of a scan, one per root: counts of files, what the walk met (``walked``: root, dirs_seen,
+    skipped_dirs, errors), times, and whether every entry could be read."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    rows = scan_run_stats(actions).join(walked.select("root", "dirs_seen", "skipped_dirs", "errors"), "root", "left")
+    failed = F.coalesce("errors", F.lit(0)) > 0
+    return rows.select(
+        F.lit(run_id).cast("bigint").alias("run_id"), "root", F.lit(started_ms).cast("bigint").alias("started_ms"),
+        F.lit(finished_ms).cast("bigint").alias("finished_ms"), "files_seen", "files_added", "files_updated", "files_removed",
+        zero("dirs_seen"), zero("skipped_dirs"), zero("errors"), F.lit(finished_ms - started_ms).cast("bigint").alias("elapsed_ms"),
+        (~failed).alias("ok"), F.when(failed, F.concat(F.col("errors").cast("string"), F.lit(" entries could not be read"))).alias("detail"))
+
+
 def vanished(prev: DataFrame, cur: DataFrame, listed: Sequence[str]) -> DataFrame:
     """Live files of listed roots that the listing no longer has."""
     live = prev.where(~F.col("gone") & F.col("root").isin(*listed)).select("root", "path", "rel")

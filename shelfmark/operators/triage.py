@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,14 +162,14 @@ def mark_copies(files: DataFrame, policy: Policy) -> DataFrame:
 # -- the verdict ----------------------------------------------------------------------------------
 
 
-def triage(files: DataFrame, policy: Policy) -> DataFrame:
+def triage(files: DataFrame, policy: Policy, keep: Sequence[str] = ()) -> DataFrame:
     """Tier 0 (must read) … 5 (excluded) with content type, grounds and density.
 
-    Reads names, sizes and ``body_chars`` only; the body column stays on disk.
+    Reads names, sizes and ``body_chars`` only; the body column stays on disk. Columns in ``keep`` are carried along.
     """
     rows = (
         files.where(~F.col("gone") & ~F.col("is_symlink"))
-        .select("path", "root", "rel", "name", "ext", "kind", "size", "mtime_ms", "body_chars", "truncated")
+        .select("path", "root", "rel", "name", "ext", "kind", "size", "mtime_ms", "body_chars", "truncated", *keep)
     )
     facts = mark_copies(rows, policy).withColumns({
         "content_type": content_type(), "_junk": system_junk(), "_built": build_artifact(),
@@ -212,7 +214,7 @@ def triage(files: DataFrame, policy: Policy) -> DataFrame:
         density = F.when(ct == key, value).otherwise(density)
     return facts.select(
         "path", "root", "rel", "name", "size", "mtime_ms", "content_type", tier.alias("tier"),
-        F.array_compact(reasons).alias("reasons"), density.alias("density"), "copy_of",
+        F.array_compact(reasons).alias("reasons"), density.alias("density"), "copy_of", *keep,
     )
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import claims, projects, snapshot
+from shelfmark.operators import claims, projects, rollup, snapshot
 from shelfmark.plans import frames as fr
-from shelfmark.plans.base_sql import CLAIMS, LISTING, SNAPSHOTS, P, on_claims, over
+from shelfmark.plans.base_sql import CLAIMS, LISTING, SCAN_RUNS, SNAPSHOTS, P, on_claims, over
 from shelfmark.plans.registry import add
 from shelfmark.policy import RETRACT, VERDICTS
 
@@ -156,6 +156,19 @@ add("find_project", lambda s, d: projects.find_project(languages(s, d), fr.metad
     over(FIND, "SELECT query, id, name, score, folder, source, rank, CAST(NULL AS VARCHAR) AS card_path FROM (SELECT *, row_number() OVER (PARTITION BY "
                "query ORDER BY score DESC, source DESC, id, name, folder) AS rank FROM answers) WHERE rank <= 8"))
 
+
+
+def with_cards(s, d):
+    """The corpus with a card for the languages English and French."""
+    cards = languages(s, d).where("id IN ('en', 'fr')").select(
+        F.lit("/vault/src0").alias("root"), F.concat(F.lit("/vault/src0/cards/"), "id", F.lit(".md")).alias("path"),
+        F.concat(F.lit("cards/"), "id", F.lit(".md")).alias("rel"), F.lit(False).alias("gone"))
+    return fr.metadata(s, d).select(*cards.columns).unionByName(cards)
+
+
+add("project_cards", lambda s, d: projects.with_cards(languages(s, d).select("id", "name"), with_cards(s, d), P),
+    "SELECT DISTINCT lang AS id, 'language ' || lang AS name, CASE WHEN lang IN ('en', 'fr') THEN '/vault/src0/cards/' || lang || '.md' END AS card_path FROM documents")
+
 # -- snapshots ------------------------------------------------------------------------------------
 
 
@@ -174,6 +187,12 @@ N = lambda *a: "count(*) FILTER (WHERE action IN (" + ", ".join(f"'{x}'" for x i
 add("scan_run_stats", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(*both(s, d), listed=P.root_paths)),
     over(SNAPSHOTS, f"SELECT root, {N('reused', 'updated', 'added')} AS files_seen, {N('added')} AS files_added, {N('updated')} AS files_updated, "
                     f"{N('reused')} AS files_reused, {N('removed')} AS files_removed FROM actions GROUP BY root"))
+add("scan_run_record",
+    lambda s, d: snapshot.scan_run_record(snapshot.classify_snapshot(*both(s, d), listed=P.root_paths), rollup.latest_scan_runs(fr.scan_runs(s, d)), 7, 1_000, 4_500),
+    over(f"{SNAPSHOTS}, {SCAN_RUNS}", f"""SELECT 7 AS run_id, root, 1000 AS started_ms, 4500 AS finished_ms, files_seen, files_added, files_updated, files_removed, coalesce(dirs_seen, 0) AS dirs_seen,
+      coalesce(skipped_dirs, 0) AS skipped_dirs, coalesce(errors, 0) AS errors, 3500 AS elapsed_ms, coalesce(errors, 0) = 0 AS ok, CASE WHEN errors > 0 THEN errors || ' entries could not be read' END AS detail
+      FROM (SELECT root, {N('reused', 'updated', 'added')} AS files_seen, {N('added')} AS files_added, {N('updated')} AS files_updated, {N('removed')} AS files_removed FROM actions GROUP BY root)
+      LEFT JOIN (SELECT root, dirs_seen, skipped_dirs, errors FROM scan_runs QUALIFY row_number() OVER (PARTITION BY root ORDER BY run_id DESC) = 1) USING (root)"""))
 add("merge_unchanged", lambda s, d: snapshot.scan_run_stats(snapshot.classify_snapshot(both(s, d)[0], both(s, d)[0].drop("gone", "scan_id"), P.root_paths)),
     over(SNAPSHOTS, "SELECT root, count(*) AS files_seen, CAST(0 AS BIGINT) AS files_added, CAST(0 AS BIGINT) AS files_updated, count(*) AS "
                     "files_reused, CAST(0 AS BIGINT) AS files_removed FROM prev GROUP BY root"))

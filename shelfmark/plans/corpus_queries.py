@@ -12,8 +12,9 @@ from shelfmark.operators.triage import (
     VENDOR_STEMS,
 )
 from shelfmark.plans import frames as fr
-from shelfmark.plans.base_sql import LISTING, SCAN_RUNS, P, clip, on_files, on_meta, over, squeeze, words
+from shelfmark.plans.base_sql import LISTING, TITLE, SCAN_RUNS, P, clip, on_files, on_meta, over, squeeze, words
 from shelfmark.plans.registry import add
+from shelfmark.sources import documents
 from shelfmark.policy import COVERAGE_LADDER, OPAQUE_EXTS, SANE_MTIME_MS, UBIQUITOUS_NAMES
 
 LIVE = "NOT gone"
@@ -167,6 +168,25 @@ add("body_detail", lambda s, d: search.body_detail(body(s, d)),
 add("extract_documents", lambda s, d: files(s, d).select("path", "title", F.array_join("headings", "\n").alias("headings"),
                                                           F.sha2("body", 256).alias("body_hash"), "body_chars"),
     on_files("SELECT path, title, headings, sha256(body) AS body_hash, body_chars FROM files"))
+
+
+def stored_files(s, d):
+    """Documents as files with bytes: a byte order mark, carriage returns, front matter or a zero byte, by id."""
+    rows = fr.listing(s, d).select("doc_id", "root", "rel", "path", "name", "ext", "kind", "is_text", "is_symlink", "denied", F.expr("""
+      CASE doc_id % 5 WHEN 0 THEN concat('\ufeff', text) WHEN 1 THEN replace(text, '\n', '\r\n')
+        WHEN 2 THEN concat('---\ntitle: "T ', doc_id, '"\nkind: x\n---\n', text) WHEN 3 THEN concat(text, '\u0000') ELSE text END""").alias("_t"))
+    return rows.withColumns({"content": F.encode("_t", "UTF-8"), "size": F.octet_length("_t").cast("bigint")}).drop("_t")
+
+
+add("extract_files", lambda s, d: extract.extract_documents(stored_files(s, d), P).select(
+        "path", "title", "is_binary", "body_chars", F.sha2("body", 256).alias("body_hash"), "content_hash"),
+    over(f"""{LISTING}, stored AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN chr(65279) || text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10))
+        WHEN 2 THEN '---' || chr(10) || 'title: "T ' || doc_id || '"' || chr(10) || 'kind: x' || chr(10) || '---' || chr(10) || text WHEN 3 THEN text || chr(0) ELSE text END AS raw,
+        doc_id % 5 = 2 AND ext IN ('.md', '.markdown') AND is_text AND NOT denied AS fm FROM listing),
+      opened AS (SELECT * EXCLUDE (text), is_text AND NOT denied AND doc_id % 5 = 3 AS is_binary, CASE WHEN NOT is_text OR denied OR doc_id % 5 = 3 THEN ''
+        WHEN doc_id % 5 = 2 AND NOT fm THEN raw ELSE text END AS body FROM stored)""",
+         f"""SELECT path, CASE WHEN fm THEN 'T ' || doc_id ELSE {TITLE} END AS title, is_binary, length(body) AS body_chars, sha256(body) AS body_hash,
+        CASE WHEN NOT denied THEN sha256(raw) END AS content_hash FROM opened"""))
 add("extract_links_html",
     lambda s, d: extract.extract_links(fr.table(s, d, "pages").select("page_id", F.col("html").alias("body")), "html"),
     r"""SELECT DISTINCT page_id, link FROM (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html,
@@ -485,9 +505,8 @@ add("mark_copies", lambda s, d: triage.mark_copies(rollup.live(meta(s, d)), P).w
 
 
 def lift(s, d):
-    marked = triage.triage(meta(s, d), P).join(
-        fr.listing(s, d).select("path", "doc_id").join(fr.table(s, d, "labels"), "doc_id").select("path", "quality", "toxic"),
-        "path", "left")
+    marked = triage.triage(meta(s, d), P, keep=["doc_id"]).join(
+        fr.table(s, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
     return triage.signal_lift(marked, {
         "good": F.coalesce(F.col("quality") == 1, F.lit(False)), "toxic": F.coalesce(F.col("toxic") == 1, F.lit(False)),
         "entry": F.contains("name", F.lit("readme"))})
@@ -533,6 +552,52 @@ LEDGERS = (f"SELECT path, rel, name, ext, score FROM ({scored_sql(discover.LEDGE
            f"ORDER BY score DESC, rel LIMIT 5")
 RULES = (f"SELECT path, rel, name, score FROM ({scored_sql(discover.RULES_NAMES, IS_NOTE)}) "
          f"ORDER BY score DESC, length(rel), rel LIMIT 1")
+def ruled(s, d):
+    """The corpus with one document of rules in the main root: an item per nation."""
+    items = fr.table(s, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))  # 25 rows
+    made = items.select(
+        F.lit("/vault/src0").alias("root"), F.lit("/vault/src0/rules.md").alias("path"), F.lit("rules.md").alias("rel"), F.lit("rules.md").alias("name"),
+        F.lit(".md").alias("ext"), F.lit(False).alias("gone"), F.lit(False).alias("is_symlink"), F.lit(9).alias("body_chars"), F.concat(
+            F.lit("## Rules\n\n"), F.array_join(F.transform("n", lambda x: F.concat(F.lit("1. "), x["n_name"])), "\n")).alias("body"))
+    return files(s, d).unionByName(made, allowMissingColumns=True)
+
+
+LEDGER_BODY = """CASE p_partkey % 4 WHEN 0 THEN concat('[{"id":"a', p_partkey, '"},{"id":"b"}]') WHEN 1 THEN concat('{"projects":[{"slug":"', p_brand, '"}]}')
+  WHEN 2 THEN concat('{"x":{"title":"', p_type, '"},"y":{"name":"y"},"z":{"name":"z"}}') ELSE '{"note":"no list","n":1}' END"""
+
+
+def with_ledgers(s, d):
+    """The corpus with a file of JSON for every part, named like a list of projects, in the main root."""
+    made = fr.table(s, d, "part").selectExpr(
+        "'/vault/src0' AS root", "concat('/vault/src0/projects-', p_partkey, '.json') AS path", "concat('projects-', p_partkey, '.json') AS rel",
+        "concat('projects-', p_partkey, '.json') AS name", "'.json' AS ext", f"{LEDGER_BODY} AS body", f"CAST(length({LEDGER_BODY}) AS BIGINT) AS size",
+        "false AS gone", "false AS is_symlink")
+    return files(s, d).select(*made.columns).unionByName(made)
+
+
+def verified(s, d):
+    rows = with_ledgers(s, d)
+    return documents.verify_ledgers(discover.discover_ledger(rows, P, k=20), rows)
+
+
+MADE = (f"made AS (SELECT 'projects-' || p_partkey || '.json' AS rel, {LEDGER_BODY} AS body, p_partkey % 4 AS form FROM part), "
+        f"told AS (SELECT '/vault/src0/' || rel AS path, 80 AS score, rel, form FROM made ORDER BY rel LIMIT 20)")
+add("discover_ledger_named", lambda s, d: discover.discover_ledger(with_ledgers(s, d), P, k=20).select("path", "score"),
+    over(MADE, "SELECT path, score FROM told"))
+add("verify_ledgers", verified,
+    over(MADE, "SELECT path, score, CASE form WHEN 0 THEN 'array' WHEN 1 THEN 'object.projects' ELSE 'map' END AS shape, CASE form WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END "
+               "AS entries FROM told WHERE form < 3"))
+add("projects_from_json", lambda s, d: documents.projects_from_json(fr.table(s, d, "part").selectExpr(f"{LEDGER_BODY} AS value")).select("id", "name"),
+    """SELECT 'a' || p_partkey AS id, '' AS name FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'b', '' FROM part WHERE p_partkey % 4 = 0
+      UNION ALL SELECT p_brand, '' FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT k, CASE k WHEN 'x' THEN p_type ELSE k END FROM part, (SELECT unnest(['x', 'y', 'z']) AS k)
+      WHERE p_partkey % 4 = 2""")
+CONFIGURED = P.with_(entry_docs=("00-3.md", "inbox/00-75.md"))
+add("corpus_map_kinds", lambda s, d: discover.corpus_map(files(s, d), P)["kinds"].select("kind", "files", "bytes"),
+    on_files(f"SELECT kind, {TWO} FROM files WHERE {LIVE} AND {HERE} GROUP BY kind"))
+add("corpus_map_groups", lambda s, d: discover.corpus_map(files(s, d), P, fr.projects(s, d))["ledger_groups"],
+    'SELECT p_brand AS "group", count(*) OVER (PARTITION BY p_brand) AS projects, concat(\'P\', p_partkey) AS id, p_name AS name FROM part')
+add("corpus_map_rules", lambda s, d: discover.corpus_map(ruled(s, d), P)["rules"],
+    f"""SELECT '/vault/src0/rules.md' AS path, row_number() OVER (ORDER BY n_nationkey) - 1 AS position, {squeeze('n_name')} AS rule FROM nation""")
 add("discover_ledger", lambda s, d: discover.discover_ledger(files(s, d), P), on_files(LEDGERS))
 add("discover_rules", lambda s, d: discover.discover_rules(files(s, d), P), on_files(RULES))
 TITLED = f"coalesce(nullif({squeeze('title')}, ''), name)"

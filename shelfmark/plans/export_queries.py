@@ -13,6 +13,7 @@ from shelfmark.plans.base_sql import LISTING, P, on_claims, over
 from shelfmark.plans.registry import add
 from shelfmark.session import shared_dir
 from shelfmark.sources import corpus, documents
+from shelfmark.sources import sinks
 from shelfmark.sources.sinks import VersionedTable
 from shelfmark.streaming import jobs
 
@@ -294,7 +295,7 @@ add("short_hashes", lambda s, d: fr.table(s, d, "documents").select("doc_id", ke
 PRUNE_REL = "concat(CASE WHEN lang = 'en' THEN 'tools/My.app/' WHEN lang = 'de' THEN 'x/dist/' ELSE '' END, " + fr.REL + ")"
 add("prune_paths",
     lambda s, d: corpus.prune_paths(corpus.describe(fr.table(s, d, "documents").selectExpr(
-        f"{fr.ROOT} AS root", f"{PRUNE_REL} AS rel", f"concat({fr.ROOT}, '/', {PRUNE_REL}) AS path", "n_chars AS size", f"{fr.MTIME} AS mtime_ms"), P), P)
+        f"{fr.ROOT} AS root", f"{PRUNE_REL} AS rel", f"concat({fr.ROOT}, '/', {PRUNE_REL}) AS path", "CAST(octet_length(text) AS BIGINT) AS size", f"{fr.MTIME} AS mtime_ms"), P), P)
     .select("root", "path", "rel", "name", "kind", "size", "mtime_ms"),
     over(LISTING, f"""SELECT root, path, rel, name, kind, size, mtime_ms FROM meta WHERE lang NOT IN ('en', 'de') AND NOT list_has_any(string_split(folder, '/'),
         ['node_modules', 'dist']) UNION ALL SELECT root, root || '/tools/My.app', 'tools/My.app', 'My.app', 'bundle', 0, max(mtime_ms) FROM meta WHERE lang = 'en' GROUP BY root"""))
@@ -340,6 +341,28 @@ FAULT_SQL = """CASE WHEN doc_id % 13 = 1 THEN 'size-mismatch' WHEN doc_id % 13 =
   WHEN doc_id % 13 = 4 THEN 'message-empty' END"""
 
 
+def faulty(s, d):
+    """(documents with what goes wrong, index rows, stored content): the index holds the first hundred characters of a body."""
+    whole = docs(s, d).withColumns({
+        "path": F.concat("root", F.lit("/"), "rel"), "fault": F.expr(FAULT_SQL), "gone": F.col("rel").contains("/archive/"),
+        "denied": F.col("rel").contains("secret"), "size": F.octet_length("body").cast("bigint")})
+    text = F.when(F.col("fault") == "binary", F.concat("body", F.lit("\u0000"))).when(F.col("fault") == "message-empty", F.lit("")).otherwise(F.col("body"))
+    size = F.octet_length(text).cast("bigint")
+    listed = F.when(F.col("fault") == "size-mismatch", F.col("size") + 1).otherwise(size)
+    rows = whole.withColumns({"size": listed, "body": F.substring("body", 1, 100)})
+    return rows, whole.where("fault IS NULL OR fault <> 'missing'").select("path", size.alias("size"), text.alias("text"))
+
+
+def dry_run(s, d):
+    rows, stored = faulty(s, d)
+    return export.dry_run_errors(export.read_whole(rows.where("NOT gone").drop("body"), stored), P, SCOPE)
+
+
+add("dry_run_errors", dry_run,
+    over(DOCS, f"""SELECT rel, CASE WHEN NOT contains(rel, 'secret') AND fault = 'message-empty' THEN 'payload' ELSE 'read' END AS kind, CASE WHEN contains(rel, 'secret') THEN 'denied'
+      ELSE fault END AS reason FROM (SELECT *, {FAULT_SQL} AS fault FROM docs) WHERE NOT contains(rel, '/archive/') AND (contains(rel, 'secret') OR fault IS NOT NULL)"""))
+
+
 def run_export(s, d):
     """The change feed of all documents, exported micro-batch by micro-batch: the ledger it leaves, removals, and errors.
 
@@ -348,16 +371,9 @@ def run_export(s, d):
     """
     base = shared_dir(s, "export")
     feed_dir = base + "/feed"
-    whole = docs(s, d).withColumns({
-        "path": F.concat("root", F.lit("/"), "rel"), "fault": F.expr(FAULT_SQL), "gone": F.col("rel").contains("/archive/"),
-        "denied": F.col("rel").contains("secret"), "size": F.octet_length("body").cast("bigint")})
-    text = F.when(F.col("fault") == "binary", F.concat("body", F.lit("\u0000"))).when(F.col("fault") == "message-empty", F.lit("")).otherwise(F.col("body"))
-    size = F.octet_length(text).cast("bigint")
-    listed = F.when(F.col("fault") == "size-mismatch", F.col("size") + 1).otherwise(size)
-    rows = whole.select("path", "root", "rel", "name", "gone", "denied", F.substring("body", 1, 100).alias("body"), listed.alias("size"),
-                        F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("scan_id"))
-    rows.write.parquet(feed_dir)
-    store = whole.where("fault IS NULL OR fault <> 'missing'").select("path", size.alias("size"), text.alias("text"))
+    rows, store = faulty(s, d)
+    rows.select("path", "root", "rel", "name", "gone", "denied", "body", "size",
+                F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("scan_id")).write.parquet(feed_dir)
     entries = docs(s, d).select("root", F.col("rel").alias("path"), "role", "author", "original_date", "source_type", "parent_source_key", "source_title")
     feed = s.readStream.schema(s.read.parquet(feed_dir).schema).option("maxFilesPerTrigger", 3).parquet(feed_dir)
     book, stones, faults = (VersionedTable(s, f"{base}/{name}") for name in ("ledger", "tombstones", "errors"))
@@ -389,6 +405,16 @@ KEYED = f"""{packed_sql(P)}, json AS (SELECT w.doc_id, w.batch, string_agg(CAST(
   digested AS (SELECT doc_id, rel, stable_id, source_key, {payload_sql()} AS payload FROM full_batches)"""
 add("payload_digests", lambda s, d: batches(s, d, P).select("source_key", "payload_digest", F.octet_length("payload_json").alias("payload_bytes")),
     over("RECURSIVE " + KEYED, "SELECT source_key, sha256(payload) AS payload_digest, strlen(payload) AS payload_bytes FROM digested"))
+
+
+def sent_lines(s, d):
+    """Batches written as lines of text and read back."""
+    path = shared_dir(s, "batches") + "/lines"
+    sinks.write_batches(batches(s, d, P), path)
+    return s.read.text(path).select(F.sha2("value", 256).alias("payload_digest"), F.octet_length("value").alias("payload_bytes"))
+
+
+add("batch_sink", sent_lines, over("RECURSIVE " + KEYED, "SELECT sha256(payload) AS payload_digest, strlen(payload) AS payload_bytes FROM digested"))
 add("stream_export", run_export,
     over("RECURSIVE " + KEYED,
          f"SELECT 'pending' AS stage, stable_id, source_key, sha256(payload) AS payload_digest FROM digested WHERE {EXPORTED} "
