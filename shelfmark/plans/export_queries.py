@@ -9,7 +9,7 @@ from shelfmark.functions.text import SPACE
 from shelfmark.operators import export, ledger
 from shelfmark.operators.claims import COLUMNS as CLAIM_COLUMNS
 from shelfmark.plans import frames as fr
-from shelfmark.plans.base_sql import LISTING, P, on_claims, over
+from shelfmark.plans.base_sql import LISTING, SNAPSHOTS, P, on_claims, over
 from shelfmark.plans.registry import add
 from shelfmark.session import shared_dir
 from shelfmark.sources import corpus, documents
@@ -336,6 +336,26 @@ add("stream_daily_counts", run_daily,
 add("stream_without_repeats", run_once_only, on_claims("SELECT id, target, ts FROM claims"))
 
 
+def run_refresh(s, d):
+    """Extracted rows as a stream, each path twice, the newer row last; then the merge with the full listing."""
+    base = shared_dir(s, "refresh")
+    prev, cur = fr.snapshots(s, d)
+    twice = cur.withColumn("scan_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).withColumn(
+        "content_hash", F.when(F.col("scan_id") == 2, F.col("content_hash")).otherwise("outdated"))
+    twice.write.parquet(base + "/feed")
+    feed = s.readStream.schema(s.read.parquet(base + "/feed").schema).option("maxFilesPerTrigger", 2).parquet(base + "/feed")
+    table = VersionedTable(s, base + "/versions")
+    jobs.append_versions(feed, table, base + "/checkpoint").awaitTermination()
+    done = jobs.refresh_snapshot(prev, table.read_all(), cur.drop("content_hash"), 2000, P.root_paths)
+    return done.select("path", "size", "content_hash", "action", "gone", "scan_id")
+
+
+add("stream_refresh", run_refresh,
+    over(SNAPSHOTS, """SELECT a.path, coalesce(c.size, p.size) AS size, CASE WHEN a.action IN ('added', 'updated') THEN sha256(c.text || CASE WHEN c.lang = 'es' THEN '+' ELSE '' END)
+      ELSE sha256(p.text) END AS content_hash, a.action, a.action IN ('removed', 'gone') AS gone, CASE WHEN a.action IN ('gone', 'kept') THEN p.scan_id ELSE 2000 END AS scan_id
+      FROM actions a LEFT JOIN prev p ON p.path = a.path LEFT JOIN cur c ON c.path = a.path"""))
+
+
 # What goes wrong with a document of the export, by its id.
 FAULT_SQL = """CASE WHEN doc_id % 13 = 1 THEN 'size-mismatch' WHEN doc_id % 13 = 2 THEN 'missing' WHEN doc_id % 13 = 3 THEN 'binary'
   WHEN doc_id % 13 = 4 THEN 'message-empty' END"""

@@ -200,11 +200,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     those of poor quality were not there before, and every document in Spanish has grown by one."""
     rows = listing(spark, sf_dir).select(
         "doc_id", "lang", "root", "path", "rel", "name", "ext", "kind", "size", "mtime_ms", "is_text", "denied", "gone",
-        "scan_id")
+        "scan_id", F.sha2("text", 256).alias("content_hash"), F.sha2(F.concat("text", F.lit("+")), 256).alias("_grown"))
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     marked = rows.join(marks, "doc_id", "left")
     prev = marked.where(F.coalesce(F.col("quality") != 0, F.lit(True)))
-    cur = marked.where(F.coalesce(F.col("toxic") != 1, F.lit(True))).withColumn(
-        "size", F.when(F.col("lang") == "es", F.col("size") + 1).otherwise(F.col("size")))
-    drop = ("doc_id", "lang", "quality", "toxic")
+    grown = F.col("lang") == "es"
+    cur = marked.where(F.coalesce(F.col("toxic") != 1, F.lit(True))).withColumns({
+        "size": F.when(grown, F.col("size") + 1).otherwise(F.col("size")),
+        "content_hash": F.when(grown, F.col("_grown")).otherwise(F.col("content_hash"))})
+    drop = ("doc_id", "lang", "quality", "toxic", "_grown")
     return prev.drop(*drop), cur.drop(*drop, "gone", "scan_id")

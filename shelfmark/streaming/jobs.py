@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions import keys
-from shelfmark.model import SUBMISSIONS
+from shelfmark.model import CONTENT_COLUMNS, SUBMISSIONS
 from shelfmark.operators.claims import COLUMNS as CLAIM_COLUMNS
 from shelfmark.operators.claims import newest, not_retracted
 from shelfmark.operators.export import build_payloads, read_whole, validate_payloads
 from shelfmark.operators.extract import extract_documents
 from shelfmark.operators.ledger import new_submissions, plan_submissions, tombstones
 from shelfmark.operators.ranking import first_per
-from shelfmark.operators.snapshot import apply_allow_list, latest_version
+from shelfmark.operators.snapshot import apply_allow_list, latest_version, merge_snapshot
 from shelfmark.policy import Policy, Root
 from shelfmark.sources.corpus import prune_paths, stream_files
 from shelfmark.sources.sinks import VersionedTable
@@ -92,6 +94,24 @@ def start_ingest(spark: SparkSession, root: Root, policy: Policy, table: Version
     )
 
 
+def append_versions(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch of extracted rows as a version of its own."""
+    return (
+        stream.writeStream.foreachBatch(lambda df, n: table.write(df, n))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def refresh_snapshot(prev: DataFrame, ingested: DataFrame, listing: DataFrame, scan_id: int, listed: Sequence[str]) -> DataFrame:
+    """The snapshot after a refresh: what the stream extracted, merged by a full listing, so removals are noticed too.
+
+    ``ingested`` appends a row per change; the newest of each path gives the content of rows that changed.
+    """
+    content = [c for c in CONTENT_COLUMNS if c in ingested.columns]
+    newest = latest_version(ingested).select("path", *content)
+    return merge_snapshot(prev, listing.drop(*content).join(newest, "path", "left"), scan_id, listed)
+
+
 # -- export ---------------------------------------------------------------------------------------
 
 
