@@ -15,6 +15,8 @@ from shelfmark.policy import MARKDOWN_EXTS, NAMING_VENDOR_MARKERS, Policy
 COPY_SUFFIX = r"(?:\s*\(\d+\)|\s*-\s*(?:副本|拷贝|复件)\s*\d*|\s+第?\d+\s*版)\s*$"
 HEX_NAME = r"(?i)[0-9a-f]{32,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 CAMERA_PREFIX = r"^(?:IMG_|DSC_|DSCN|VID_|MVIMG|PXL_|SCREENSHOT|MMEXPORT|WX_CAMERA)"
+HAN = r"[㐀-鿿]"
+LATIN_WORD = r"(?i)[a-z0-9][a-z0-9._-]*"
 # End of fixed values.
 
 
@@ -47,8 +49,8 @@ def vendored(rel: Column) -> Column:
 def version_words_regex(policy: Policy) -> tuple[str | None, str | None]:
     """(words that count anywhere, words that count at the end of a stem after a non-letter)."""
     words = [w for w in policy.version_words if w.strip()]
-    han = [w for w in words if re.search(r"[㐀-鿿]", w)]
-    latin = [w for w in words if w not in han and re.fullmatch(r"(?i)[a-z0-9][a-z0-9._-]*", w)]
+    han = [w for w in words if re.search(HAN, w)]
+    latin = [w for w in words if w not in han and re.fullmatch(LATIN_WORD, w)]
     anywhere = "|".join(map(regex_escape, han)) or None
     at_end = rf"(?i)(?:^|[^a-z])(?:{'|'.join(map(regex_escape, latin))})\d*$" if latin else None
     return anywhere, at_end

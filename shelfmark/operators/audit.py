@@ -17,8 +17,10 @@ from shelfmark.operators.skew import attach_group
 from shelfmark.policy import UBIQUITOUS_NAMES, Policy
 
 CHECKS = ("duplicates", "stale", "naming", "inbox", "root_clutter", "links")
+# Fixed values.
 SAME_NAME_MIN_BYTES = 1024
 LONG_NAME = 60
+# End of fixed values.
 
 
 def present(files: DataFrame) -> DataFrame:

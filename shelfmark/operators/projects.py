@@ -15,7 +15,10 @@ from shelfmark.operators.skew import attach_group
 from shelfmark.policy import Policy
 
 MAX_QUERIES = 256
+# Points for what a query hits.
+POINTS = {"id": 100, "id part": 40, "name": 90, "name part": 45, "in query": 30, "domain": 35, "repository": 30, "group": 12, "note": 8}
 FOLDER_SCORE, FOLDER_BONUS = 20, 15
+# End of fixed values.
 
 
 def _queries(queries: dict[str, str]) -> dict[str, str]:
@@ -31,14 +34,15 @@ def ledger_score(q: Column) -> Column:
     holds = lambda col: (col != "") & F.contains(col, q)
     domain = F.exists("domains", lambda d: F.contains(F.lower(d), q) | F.contains(q, F.lower(d)))
     repo = F.exists("repositories", lambda r: F.contains(F.lower(r), q))
+    p = POINTS
     return (
-        F.when((pid == q) & (pid != ""), 100).when(holds(pid), 40).otherwise(0)
-        + F.when((name == q) & (name != ""), 90).when(holds(name), 45)
-        .when((F.length(name) >= 2) & F.contains(q, name), 30).otherwise(0)
-        + F.when(domain, 35).otherwise(0)
-        + F.when(repo, 30).otherwise(0)
-        + F.when(holds(F.lower(F.coalesce("group", F.lit("")))), 12).otherwise(0)
-        + F.when(holds(F.lower(F.coalesce("note", F.lit("")))), 8).otherwise(0)
+        F.when((pid == q) & (pid != ""), p["id"]).when(holds(pid), p["id part"]).otherwise(0)
+        + F.when((name == q) & (name != ""), p["name"]).when(holds(name), p["name part"])
+        .when((F.length(name) >= 2) & F.contains(q, name), p["in query"]).otherwise(0)
+        + F.when(domain, p["domain"]).otherwise(0)
+        + F.when(repo, p["repository"]).otherwise(0)
+        + F.when(holds(F.lower(F.coalesce("group", F.lit("")))), p["group"]).otherwise(0)
+        + F.when(holds(F.lower(F.coalesce("note", F.lit("")))), p["note"]).otherwise(0)
     )
 
 

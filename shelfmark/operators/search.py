@@ -14,7 +14,13 @@ from shelfmark.policy import DAY_MS, SANE_MTIME_MS, SEARCH_SCOPES, SEARCH_WEIGHT
 
 MAX_LIMIT = 200
 MAX_QUERIES = 256
+# How much of a body is shown, and what being young adds to a score.
 PREVIEW_CHARS = 4000
+SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_FALLBACK = 60, 90, 150
+KEYWORD_BEFORE, KEYWORD_CHARS = 70, 200
+BOOSTS = ((30, 3), (90, 1))  # days, points; below ``recent_days`` it is six
+BOOST_RECENT = 6
+# End of fixed values.
 MATCH_LABELS = {"name": "name", "rel": "path", "title": "title", "headings": "heading", "body": "body"}
 SORTS = ("relevance", "recent", "oldest", "size", "name")
 
@@ -130,17 +136,17 @@ def snippet(terms: Sequence[str]) -> Column:
     out = F.lit(None).cast("string")
     for t in reversed(list(terms)):
         at = F.instr(low, F.lit(t))
-        start = F.greatest(at - 60, F.lit(1))
-        end = F.least(at - 1 + len(t) + 90, F.length(body))
+        start = F.greatest(at - SNIPPET_BEFORE, F.lit(1))
+        end = F.least(at - 1 + len(t) + SNIPPET_AFTER, F.length(body))
         cut = F.concat(
             F.when(start > 1, F.lit("…")).otherwise(F.lit("")),
             squeeze(F.substring(body, start, end - start + 1)),
             F.when(end < F.length(body), F.lit("…")).otherwise(F.lit("")),
         )
         out = F.when(at > 0, cut).otherwise(out)
-    heads = clip(squeeze(F.array_join("headings", "\n")), 150)
-    head_of_body = clip(squeeze(body), 150)
-    return F.coalesce(out, F.nullif(heads, F.lit("")), F.nullif(clip(squeeze(F.col("title")), 150), F.lit("")),
+    heads = clip(squeeze(F.array_join("headings", "\n")), SNIPPET_FALLBACK)
+    head_of_body = clip(squeeze(body), SNIPPET_FALLBACK)
+    return F.coalesce(out, F.nullif(heads, F.lit("")), F.nullif(clip(squeeze(F.col("title")), SNIPPET_FALLBACK), F.lit("")),
                       head_of_body)
 
 
@@ -195,9 +201,10 @@ def search_total(files: DataFrame, query: str, policy: Policy, scope: str = "all
 def recency_boost(hits: DataFrame, policy: Policy) -> DataFrame:
     """Re-rank rows that are already limited: young files gain up to six points."""
     age = (F.lit(policy.as_of_ms) - F.col("mtime_ms")) / F.lit(DAY_MS)
-    boost = (
-        F.when(age <= policy.recent_days, 6).when(age <= 30, 3).when(age <= 90, 1).otherwise(0)
-    )
+    boost = F.when(age <= policy.recent_days, BOOST_RECENT)
+    for days, points in BOOSTS:
+        boost = boost.when(age <= days, points)
+    boost = boost.otherwise(0)
     return hits.withColumn("score", F.col("score") + boost).orderBy(F.desc("score"), F.desc("mtime_ms"), "path")
 
 
@@ -250,7 +257,7 @@ def search_keyword(files: DataFrame, keyword: str, policy: Policy, kinds: Iterab
     )
     top = page(scored.orderBy(F.desc("score"), F.desc("mtime_ms"), "path"), limit)
     at = F.instr(_field("body"), F.lit(q))
-    cut = F.substring(F.col("body"), F.greatest(at - 70, F.lit(1)), F.lit(200))
+    cut = F.substring(F.col("body"), F.greatest(at - KEYWORD_BEFORE, F.lit(1)), F.lit(KEYWORD_CHARS))
     why = F.when(F.col("body_chars") > 0, F.lit("found in the name or path, not in the body")).otherwise(
         F.concat(F.lit("no body ("), F.col("kind"), F.lit("); found by name or path"))
     )

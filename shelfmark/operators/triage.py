@@ -53,6 +53,11 @@ ENTRY_EXTS = (".md", ".markdown", ".txt", ".rst", "")
 DENSITY = {"prose": 100, "comms": 95, "structured": 80, "code": 70, "config": 40, "media": 30, "asset": 25}
 SUBSTANTIAL_CHARS = 200
 
+ARCHIVE_TOP = "归档/"
+ARCHIVE_MARKS = ("/归档/", "备份-")
+ARCHIVE_MARKS_ANY_CASE = ("/archive/",)
+DOWNLOAD_TOP, DOWNLOAD_MARK = "downloads/", "/downloads/"
+APP_SUFFIX, APP_MARK = ".app", ".app/"
 # End of fixed values.
 
 TIERS = ("must-read", "worth-reading", "skim", "undecided", "search-only", "excluded")
@@ -79,8 +84,8 @@ def vendor_asset() -> Column:
 
 
 def build_artifact() -> Column:
-    return (paths.has_segment(F.col("rel"), BUILD_DIRS) | _rel().endswith(".app")
-            | F.contains(_rel(), F.lit(".app/")))
+    return (paths.has_segment(F.col("rel"), BUILD_DIRS) | _rel().endswith(APP_SUFFIX)
+            | F.contains(_rel(), F.lit(APP_MARK)))
 
 
 def in_dependency() -> Column:
@@ -89,8 +94,7 @@ def in_dependency() -> Column:
 
 def archived() -> Column:
     rel = F.col("rel")
-    return (rel.startswith("归档/") | F.contains(rel, F.lit("/归档/"))
-            | F.contains(_rel(), F.lit("/archive/")) | F.contains(rel, F.lit("备份-")))
+    return rel.startswith(ARCHIVE_TOP) | contains_any(rel, ARCHIVE_MARKS) | contains_any(_rel(), ARCHIVE_MARKS_ANY_CASE)
 
 
 def entry_doc() -> Column:
@@ -113,7 +117,7 @@ def content_type() -> Column:
         .when(ext_in(CONFIG_EXTS), "config")
         .when(ext_in(INSTALLER_EXTS), "installer")
         .when(ext_in(MODEL_EXTS), "model")
-        .when(ext_in(BINARY_EXTS) | F.contains(_rel(), F.lit(".app/")), "binary")
+        .when(ext_in(BINARY_EXTS) | F.contains(_rel(), F.lit(APP_MARK)), "binary")
         .when(ext_in(PROSE_EXTS) | ((F.col("ext") == "") & ~F.contains(_name(), F.lit("."))), "prose")
         .when(ext_in(STRUCTURED_EXTS), "structured")
         .when(ext_in(SOURCE_EXTS), "code")
@@ -129,7 +133,7 @@ def content_type() -> Column:
 
 def downloaded() -> Column:
     ct = content_type()
-    in_folder = _rel().startswith("downloads/") | F.contains(_rel(), F.lit("/downloads/"))
+    in_folder = _rel().startswith(DOWNLOAD_TOP) | F.contains(_rel(), F.lit(DOWNLOAD_MARK))
     return F.when(in_folder, ct.isin("installer", "model", "binary")).otherwise(
         ct.isin("installer", "model") & F.col("name").rlike(r"\p{N}"))
 

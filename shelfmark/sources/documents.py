@@ -25,6 +25,8 @@ ARRAY_ALIASES = {
 }
 MANIFEST_KEYS = tuple(f.name for f in MANIFEST.fields)
 SCOPE_FORM = r"^agent:[a-z0-9-]+$"
+# Keys under which a list makes a document look like a ledger.
+SHAPE_KEYS = ("projects", "items", "entries", "list", "rows", "data")
 # End of fixed values.
 
 STRINGS = "array<string>"
@@ -114,7 +116,7 @@ def ledger_shape(texts: DataFrame, column: str = "value", *keep: str | Column) -
     objects = F.filter(F.map_values(keys), lambda v: F.substring(F.ltrim(v), 1, 1).isin("{", "["))
     is_map = (F.size(keys) >= 3) & (F.size(objects) >= F.size(keys) / 2)
     shape, n = F.when(is_map, F.lit("map")), F.when(is_map, F.size(keys))
-    for key in reversed(("projects", "items", "entries", "list", "rows", "data")):
+    for key in reversed(SHAPE_KEYS):
         size = F.json_array_length(F.get_json_object(text, f"$.{key}"))
         shape = F.when(size.isNotNull(), F.lit(f"object.{key}")).otherwise(shape)
         n = F.when(size.isNotNull(), size).otherwise(n)
