@@ -15,7 +15,7 @@ import time
 
 import pyspark
 
-from shelfmark.operators import audit, discover, rollup, search, snapshot, triage
+from shelfmark.operators import audit, discover, links, rollup, search, snapshot, triage
 from shelfmark.plans import catalog, frames
 from shelfmark.plans.corpus_queries import MANY
 from shelfmark.session import build_session, shared_dir
@@ -42,7 +42,7 @@ ON_SNAPSHOTS = {
     "diff_snapshots": lambda prev, cur: snapshot.diff_snapshots(prev, cur, "path", ("size", "mtime_ms", "kind", "name", "denied")),
 }
 FROM_TABLES = (
-    "current_claims", "claims_summary", "find_project", "broken_links", "signal_lift",
+    "current_claims", "claims_summary", "find_project", "signal_lift",
     "segment", "build_payloads", "apply_results", "stream_current_claims",
 )
 
@@ -76,6 +76,9 @@ def main() -> None:
     jobs = {"index_build": lambda: frames.files(spark, sf_dir).write.mode("overwrite").parquet(index)}
     for name, report in ON_INDEX.items():
         jobs[name] = lambda report=report: discard(report(spark.read.parquet(index)))
+    pages = shared_dir(spark, "pages")
+    frames.page_files(spark, sf_dir).write.parquet(pages)
+    jobs["broken_links"] = lambda: discard(links.broken_links(spark.read.parquet(pages), POLICY))
     for name, work in ON_SNAPSHOTS.items():
         jobs[name] = lambda work=work: discard(work(*(spark.read.parquet(side) for side in sides)))
     for name in FROM_TABLES:

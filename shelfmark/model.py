@@ -15,7 +15,7 @@ FILES = _struct(
     ("root", S, False), ("path", S, False), ("rel", S, False), ("name", S, False), ("ext", S, False),
     ("kind", S, False), ("size", L, False), ("mtime_ms", L, False), ("birthtime_ms", L, True),
     ("is_text", B, False), ("is_symlink", B, False), ("denied", B, False), ("is_binary", B, False),
-    ("truncated", B, False), ("gone", B, False), ("title", S, False), ("headings", STRINGS, False),
+    ("truncated", B, False), ("gone", B, False), ("title", S, False), ("headings", STRINGS, False), ("links", STRINGS, False),
     ("body", S, False), ("body_chars", L, False), ("content_hash", S, True), ("scan_id", L, False),
 )
 
@@ -59,4 +59,4 @@ TOMBSTONES = _struct(
 # Columns that decide whether a file has to be read again.
 CHANGE_KEYS = ("size", "mtime_ms", "is_text", "denied")
 # Columns that come from reading the content.
-CONTENT_COLUMNS = ("title", "headings", "body", "body_chars", "truncated", "is_binary", "content_hash")
+CONTENT_COLUMNS = ("title", "headings", "links", "body", "body_chars", "truncated", "is_binary", "content_hash")

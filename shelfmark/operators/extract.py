@@ -104,7 +104,7 @@ def title_of(body: Column, matter: Column, markdown: Column) -> Column:
 
 
 def extract_text(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """Title, headings and body of already decoded text; keeps the other columns of ``docs``."""
+    """Title, headings, links and body of already decoded text; keeps the other columns of ``docs``."""
     md = names.is_markdown()
     staged = docs.withColumn("_fm", F.when(md, front_matter(F.col(text)))).withColumn(
         "_body", F.when(md, without_front_matter(F.col(text))).otherwise(F.col(text))
@@ -115,6 +115,7 @@ def extract_text(docs: DataFrame, policy: Policy, text: str = "text") -> DataFra
         "headings": F.when(md, headings(F.col("_body"), policy.max_headings))
         .otherwise(F.array().cast("array<string>")),
         "body": whole if cap is None else F.substring(whole, 1, cap),
+        "links": F.when(md, F.array_distinct(local_links(whole))).otherwise(F.array().cast("array<string>")),
         "truncated": F.lit(False) if cap is None else F.length(whole) > cap,
     }).drop("_fm", "_body").withColumn("body_chars", F.length("body").cast("bigint"))
 

@@ -48,8 +48,11 @@ def resolve_links(links: DataFrame, files: DataFrame, policy: Policy) -> DataFra
 
 
 def markdown_links(files: DataFrame) -> DataFrame:
+    """(path, rel, link) of Markdown documents, from the links that extraction stored beside the body."""
     docs = files.where(~F.col("gone") & names.is_markdown() & (F.col("body_chars") > 0))
-    return extract_links(docs.select("path", "rel", "body"))
+    if "links" not in files.columns:
+        return extract_links(docs.select("path", "rel", "body"))
+    return each(docs, ["path", "rel"], F.col("links"), "link")
 
 
 def broken_links(files: DataFrame, policy: Policy) -> DataFrame:

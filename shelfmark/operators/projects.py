@@ -1,7 +1,6 @@
 """Looking projects up in a ledger and in folder names.
 
-A ledger is one document of at most four megabytes (see ``discover_ledger``), so it may be broadcast. Queries are
-a bounded literal list compiled into the plan.
+Queries are a bounded literal list compiled into the plan.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from shelfmark.operators.skew import attach_group
 from shelfmark.policy import Policy
 
 MAX_QUERIES = 256
+SALTS = 16
 # Points for what a query hits.
 POINTS = {"id": 100, "id part": 40, "name": 90, "name part": 45, "in query": 30, "domain": 35, "repository": 30, "group": 12, "note": 8}
 FOLDER_SCORE, FOLDER_BONUS = 20, 15
@@ -28,32 +28,36 @@ def _queries(queries: dict[str, str]) -> dict[str, str]:
     return clean
 
 
-def ledger_score(q: Column) -> Column:
-    """How well a ledger row answers a lower-case query."""
+def ledger_grounds(q: Column) -> Column:
+    """What a lower-case query hits in a ledger row: an array of the names in ``POINTS``, at most one per field."""
     pid, name = F.lower(F.coalesce("id", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))
     holds = lambda col: (col != "") & F.contains(col, q)
     domain = F.exists("domains", lambda d: F.contains(F.lower(d), q) | F.contains(q, F.lower(d)))
     repo = F.exists("repositories", lambda r: F.contains(F.lower(r), q))
-    p = POINTS
-    return (
-        F.when((pid == q) & (pid != ""), p["id"]).when(holds(pid), p["id part"]).otherwise(0)
-        + F.when((name == q) & (name != ""), p["name"]).when(holds(name), p["name part"])
-        .when((F.length(name) >= 2) & F.contains(q, name), p["in query"]).otherwise(0)
-        + F.when(domain, p["domain"]).otherwise(0)
-        + F.when(repo, p["repository"]).otherwise(0)
-        + F.when(holds(F.lower(F.coalesce("group", F.lit("")))), p["group"]).otherwise(0)
-        + F.when(holds(F.lower(F.coalesce("note", F.lit("")))), p["note"]).otherwise(0)
-    )
+    return F.array_compact(F.array(
+        F.when((pid == q) & (pid != ""), "id").when(holds(pid), "id part"),
+        F.when((name == q) & (name != ""), "name").when(holds(name), "name part")
+        .when((F.length(name) >= 2) & F.contains(q, name), "in query"),
+        F.when(domain, "domain"), F.when(repo, "repository"),
+        F.when(holds(F.lower(F.coalesce("group", F.lit("")))), "group"),
+        F.when(holds(F.lower(F.coalesce("note", F.lit("")))), "note")))
+
+
+def points_of(grounds: Column) -> Column:
+    points = F.lit(0)
+    for name, value in POINTS.items():
+        points = points + F.when(F.array_contains(grounds, name), value).otherwise(0)
+    return points
 
 
 def match_ledger(projects: DataFrame, queries: dict[str, str]) -> DataFrame:
-    """(query, id, name, …, score) for every ledger row a query hits."""
+    """(query, id, name, …, why, score) for every ledger row a query hits."""
     hits = F.array(*[
-        F.struct(F.lit(key).alias("query"), ledger_score(F.lit(q)).alias("score"))
+        F.struct(F.lit(key).alias("query"), ledger_grounds(F.lit(q)).alias("why"))
         for key, q in _queries(queries).items()
     ])
-    found = each(projects, projects.columns, F.filter(hits, lambda h: h["score"] > 0), "_h")
-    return found.select("*", "_h.query", "_h.score").drop("_h")
+    found = each(projects, projects.columns, F.filter(hits, lambda h: F.size(h["why"]) > 0), "_h")
+    return found.select("*", "_h.query", "_h.why").drop("_h").withColumn("score", points_of(F.col("why")))
 
 
 def match_folders(files: DataFrame, queries: dict[str, str], policy: Policy) -> DataFrame:
@@ -74,19 +78,16 @@ def find_project(projects: DataFrame, files: DataFrame, queries: dict[str, str],
     """(query, rank, id, name, score, folder, source, card_path), best first.
 
     A folder that belongs to a project already hit raises that project; any other folder is an answer of its own.
-    The projects hit per query are part of a ledger of bounded size, so they travel as one array.
+    Projects hit and folders meet per query; folders are dealt over ``SALTS`` tasks, so a query that hits very many is no hot key.
     """
     ledger_hits = match_ledger(projects, queries)
-    per_query = ledger_hits.groupBy("query").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "id", "name"))).alias("hits"))
-    folders = match_folders(files, queries, policy).join(per_query, "query", "left")
-    belongs = lambda p: (
-        ((p["id"] != "") & F.contains(F.col("folder"), p["id"]))
-        | ((p["name"] != "") & F.contains(F.col("segment"), p["name"]))
-    )
-    owner = F.get(F.filter(F.coalesce("hits", F.array().cast("array<struct<o:int,id:string,name:string>>")), belongs),
-                  F.lit(0))
-    owned = folders.select("query", "folder", "segment", owner.alias("owner"))
+    h = ledger_hits.select("query", "id", "name", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).alias("h")
+    f = match_folders(files, queries, policy).withColumn("salt", F.pmod(F.xxhash64("folder"), F.lit(SALTS)).cast("int")).alias("f")
+    belongs = (((F.col("h.id") != "") & F.contains(F.col("f.folder"), F.col("h.id")))
+               | ((F.col("h.name") != "") & F.contains(F.col("f.segment"), F.col("h.name"))))
+    best = F.min(F.when(F.col("h.query").isNotNull(), F.struct((-F.col("h.score")).alias("o"), F.col("h.id").alias("id"), F.col("h.name").alias("name"))))
+    owned = f.join(h, (F.col("f.query") == F.col("h.query")) & (F.col("f.salt") == F.col("h.salt")) & belongs, "left").groupBy(
+        F.col("f.query").alias("query"), F.col("f.folder").alias("folder"), F.col("f.segment").alias("segment")).agg(best.alias("owner"))
     bonus = (
         owned.where(F.col("owner").isNotNull())
         .groupBy("query", F.col("owner.id").alias("id"), F.col("owner.name").alias("name"))

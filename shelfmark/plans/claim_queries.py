@@ -125,6 +125,12 @@ add("match_ledger", lambda s, d: projects.match_ledger(fr.projects(s, d), ASKED)
     over(PROJECTS, "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{k}' AS query, id, name, CAST({project_score(q.lower())} AS BIGINT) AS score FROM projects" for k, q in ASKED.items()) +
         ") WHERE score > 0"))
+WHY = lambda q: f"""concat_ws('|', CASE WHEN lower(id) = '{q}' THEN 'id' WHEN contains(lower(id), '{q}') THEN 'id part' END,
+  CASE WHEN lower(name) = '{q}' THEN 'name' WHEN contains(lower(name), '{q}') THEN 'name part' WHEN length(name) >= 2 AND contains('{q}', lower(name)) THEN 'in query' END,
+  CASE WHEN contains(lower(domain), '{q}') OR contains('{q}', lower(domain)) THEN 'domain' END, CASE WHEN contains(lower(repo), '{q}') THEN 'repository' END,
+  CASE WHEN contains(lower(grp), '{q}') THEN 'group' END, CASE WHEN contains(lower(note), '{q}') THEN 'note' END)"""
+add("ledger_grounds", lambda s, d: projects.match_ledger(fr.projects(s, d), ASKED).select("query", "id", "why"),
+    over(PROJECTS, "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS query, id, {WHY(q.lower())} AS why FROM projects" for k, q in ASKED.items()) + ") WHERE why <> ''"))
 add("projects_by_group", lambda s, d: projects.projects_by_group(fr.projects(s, d), P),
     over(PROJECTS, 'SELECT grp AS "group", count(*) OVER (PARTITION BY grp) AS projects, id, name FROM projects'))
 # A ledger of the corpus itself: its languages. Folders of the corpus answer besides.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.extract import extract_text
+from shelfmark.operators.extract import extract_text, local_links
 from shelfmark.policy import Policy, Root
 from shelfmark.sources.corpus import kind_and_flags, name_and_ext
 
@@ -101,7 +101,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = extract_text(rows.withColumnRenamed("body", "text").drop("body_chars", "truncated"), POLICY).drop("text")
     known = [c for c in rows.columns if c not in ("body_chars", "truncated", "body")]
     return text.select(*known, F.inline(F.array(F.struct(
-        "title", "headings", "body", "truncated", "body_chars"))))
+        "title", "headings", "links", "body", "truncated", "body_chars"))))
 
 
 CLAIM_SQL = {
@@ -167,9 +167,9 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown documents, beside one file for the first link of each page; other targets are missing."""
     pages = table(spark, sf_dir, "pages")
     body = F.regexp_replace("html", PAGE_ANCHOR, "[$1](../words/$1)")
-    docs = pages.select(F.expr(PAGE_REL).alias("rel"), body.alias("body"), F.length("html").alias("body_chars"))
+    docs = pages.select(F.expr(PAGE_REL).alias("rel"), F.array_distinct(local_links(body)).alias("links"), F.length("html").alias("body_chars"))
     words = pages.select(F.regexp_extract("html", PAGE_ANCHOR, 1).alias("_w")).where("_w <> ''").distinct().select(
-        F.concat(F.lit("words/"), "_w", F.lit(".md")).alias("rel"), F.lit("").alias("body"), F.lit(0).alias("body_chars"))
+        F.concat(F.lit("words/"), "_w", F.lit(".md")).alias("rel"), F.array().cast("array<string>").alias("links"), F.lit(0).alias("body_chars"))
     return docs.unionByName(words).withColumns({
         "root": F.lit("/vault/src0"), "path": F.concat(F.lit("/vault/src0/"), F.col("rel")), "ext": F.lit(".md"),
         "gone": F.lit(False),
