@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from shelfmark.operators import audit, claims, export, ranking, rollup, search, triage
+from shelfmark.operators import audit, claims, export, links, ranking, rollup, search, triage
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +62,21 @@ def test_export_does_not_shuffle(stored, policy):
     assert "Exchange" not in plan(export.build_payloads(export.attribute(docs), policy, "agent:x"))
 
 
+def test_duplicates_and_links_never_read_bodies(stored, policy):
+    for df in (audit.duplicate_groups(stored), audit.duplicate_members(stored, policy), links.broken_links(stored, policy)):
+        assert not read_columns(df) & {"body", "headings"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_registered_plans_move_what_they_must(spark):
+    run = lambda name: plan(driver.queries()[name](spark, SF))
+    for name in ("segment", "build_payloads", "triage", "extract_documents", "extract_rules"):
+        # Texts are worked on where they are read.
+        assert "RoundRobin" not in run(name) and "REPARTITION" not in run(name), name
+    assert "Exchange" not in run("build_payloads")
+    assert run("signal_lift").count("labels.parquet") == 1 and "collect_list" not in run("find_project")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 def test_no_registered_query_multiplies_its_inputs(spark):
     for name, run in driver.queries().items():
