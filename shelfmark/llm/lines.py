@@ -254,9 +254,12 @@ def drop_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     distinct = store(found.groupBy("low", "high").agg(
         F.min(F.struct("doc", "number")).alias("p"), *(F.max(c).alias(c) for c in ("k0", "k1", "k2", "k3"))).select(
         "low", "high", F.col("p.doc").alias("doc"), F.col("p.number").alias("number"), "k0", "k1", "k2", "k3"), "line-distinct")
-    near = near_lines(texts, distinct).withColumn("near", F.lit(True))
-    judged = distinct.select("low", "high", F.col("doc").alias("first")).join(near, ["low", "high"], "left")
-    bad = found.select("low", "high", "doc").join(judged, ["low", "high"]).where("near OR doc <> first")
+    near = store(near_lines(texts, distinct), "line-near")
+    # Two plain joins of stored tables, so that adaptive execution can split a line that very many documents have.
+    copies = found.select("low", "high", "doc").join(
+        distinct.select("low", "high", F.col("doc").alias("first")), ["low", "high"]).where("doc <> first")
+    edited = found.select("low", "high", "doc").join(near, ["low", "high"], "left_semi")
+    bad = copies.drop("first").union(edited)
     # One row per document with lines to drop; the list is as long as the document at most.
     told, place = fresh(docs, "_told"), fresh(docs, "_place")
     drops = bad.groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.array("low", "high")).alias(told))
