@@ -88,9 +88,9 @@ def first_of(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def places(docs: DataFrame, least_words: int) -> DataFrame:
-    """One row per document and distinct line with words: hashes, first place, number of words, hashes of halves."""
+    """One row per document and distinct line with words: hashes, first place, hashes of halves."""
     names = ("low", "high", "doc", "k0", "k1", "k2", "k3")
-    kinds = {**{n: pa.int64() for n in names}, "number": pa.int32(), "words": pa.int32()}
+    kinds = {**{n: pa.int64() for n in names}, "number": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +101,9 @@ def places(docs: DataFrame, least_words: int) -> DataFrame:
                 take = np.flatnonzero(first_of(lines.doc, low, high) & (lines.words > 0))
                 k = [x[take] for x in lines.halves(least_words)]
                 yield arrow(kinds, low=low[take], high=high[take], doc=ids[start + lines.doc[take]], k0=k[0], k1=k[1], k2=k[2],
-                            k3=k[3], number=lines.number[take].astype(np.int32), words=lines.words[take].astype(np.int32))
+                            k3=k[3], number=lines.number[take].astype(np.int32))
 
-    return docs.mapInArrow(run, "low long, high long, doc long, k0 long, k1 long, k2 long, k3 long, number int, words int")
+    return docs.mapInArrow(run, "low long, high long, doc long, k0 long, k1 long, k2 long, k3 long, number int")
 
 
 def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
@@ -188,10 +188,11 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(low, high) of the distinct lines that have an earlier near line."""
-    halves = distinct.select("low", "high", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "k")).where("k <> 0")
-    shared = halves.groupBy("k").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("k")
-    sides = halves.join(shared, "k").groupBy("low", "high").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
-    able = store(distinct.select("low", "high", "doc", "number").join(sides, ["low", "high"]), "line-candidates")
+    # Half of the hash names a line here: two lines with the same half hash only make both candidates.
+    halves = distinct.select("low", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "k")).where("k <> 0")
+    shared = halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    sides = halves.join(shared, "k").groupBy("low").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
+    able = store(distinct.select("low", "high", "doc", "number").join(sides, "low"), "line-candidates")
     wanted = Bitmap(able.select(F.col("low").bitwiseXOR(F.col("doc")).alias("slot")), "slot", hashed=True)
     lines = store(texts_of(docs, wanted).join(able, ["low", "high", "doc", "number"]), "line-texts")
     keys = store(lines.mapInArrow(variants, "v0 long, v1 long, at int, low long, high long, doc long, number int"), "line-keys")
