@@ -209,45 +209,38 @@ def line_window(files: DataFrame, path: str | None = None, start: int = 1, n: in
 def repeating_ngrams(files: DataFrame, n: int = 2, min_count: int = 2, char_class: str = CJK) -> DataFrame:
     """(path, ngram, hits): character n-grams that occur at least ``min_count`` times in one body.
 
-    Counting happens inside the row: sorting the n-grams of a body puts equal ones side by side, so the
-    n-gram at i repeats ``min_count`` times when the one ``min_count - 1`` further on is the same.
+    Counting happens inside the row: sorting the n-grams of a body with their places puts equal ones side by side. An
+    n-gram that can overlap itself is counted without overlaps. The body itself goes no further than this row.
     """
     letters = F.split(F.col("body"), "")
     grams = let(
         F.filter(letters, lambda c: c != ""),
         lambda cs: F.when(
             F.size(cs) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(cs) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, n), "")),
-        ).otherwise(F.array().cast("array<string>")),
-    )
-    kept = F.array_sort(F.filter(grams, lambda g: g.rlike(f"^{char_class}{{{n}}}$")))
-    runs = let(
-        kept,
-        lambda s: F.transform(
-            F.filter(
-                F.transform(s, lambda g, i: F.struct(g.alias("g"), i.alias("i"))),
-                lambda x: (x["i"] == 0) | (F.get(s, x["i"] - 1) != x["g"]),
-            ),
-            lambda x: F.struct(x["g"].alias("g"), x["i"].alias("i"), F.size(s).alias("total")),
-        ),
-    )
-    counted = let(
-        runs,
-        lambda r: F.transform(
-            r, lambda x, k: F.struct(
-                x["g"].alias("ngram"),
-                (F.coalesce(F.get(r, k + 1)["i"], x["total"]) - x["i"]).cast("bigint").alias("hits"),
-            )
-        ),
-    )
+            F.transform(F.sequence(F.lit(1), F.size(cs) - (n - 1)), lambda i: F.struct(
+                F.array_join(F.slice(cs, i, n), "").alias("g"), i.alias("at"))),
+        ).otherwise(F.array().cast("array<struct<g: string, at: int>>")),
+    )
+    kept = F.array_sort(F.filter(grams, lambda x: x["g"].rlike(f"^{char_class}{{{n}}}$")))
+    starts_at = lambda s: F.filter(
+        F.transform(s, lambda x, i: F.struct(x["g"].alias("g"), i.alias("i"))),
+        lambda x: (x["i"] == 0) | (F.get(s, x["i"] - 1)["g"] != x["g"]))
+
+    def apart(places: Column) -> Column:
+        """How many of the places, left to right, do not overlap the one counted before."""
+        first = F.struct(F.lit(-n).alias("last"), F.lit(0).cast("bigint").alias("count"))
+        return F.aggregate(places, first, lambda a, x: F.when(
+            x["at"] >= a["last"] + n, F.struct(x["at"].alias("last"), (a["count"] + 1).alias("count"))).otherwise(a))["count"]
+
+    def hits_of(s: Column, x: Column, size: Column) -> Column:
+        overlaps = F.substring(x["g"], 1, 1) == F.substring(x["g"], -1, 1)
+        return F.when(overlaps, apart(F.slice(s, x["i"] + 1, size))).otherwise(size.cast("bigint"))
+
+    counted = let(kept, lambda s: let(starts_at(s), lambda r: F.transform(
+        r, lambda x, k: F.struct(x["g"].alias("ngram"), hits_of(
+            s, x, F.coalesce(F.get(r, k + 1)["i"], F.size(s)) - x["i"]).alias("hits")))))
     often = F.filter(counted, lambda x: x["hits"] >= min_count)
-    found = each(files.where(F.length("body") > 0), ["path", "body"], often, "_x").select(
-        "path", "body", "_x.ngram", "_x.hits")
-    # An n-gram that can overlap itself is counted again without overlaps.
-    apart = ((F.length("body") - F.length(F.replace("body", "ngram", F.lit("")))) / F.lit(n)).cast("bigint")
-    overlaps = F.substring("ngram", 1, 1) == F.substring("ngram", -1, 1)
-    return found.withColumn("hits", F.when(overlaps, apart).otherwise(F.col("hits"))).where(
-        F.col("hits") >= min_count).drop("body")
+    return each(files.where(F.length("body") > 0), ["path"], often, "_x").select("path", "_x.ngram", "_x.hits")
 
 
 def path_parts(files: DataFrame) -> DataFrame:
