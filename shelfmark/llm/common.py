@@ -51,11 +51,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if seen[0] == 0:
             break
+        # The minima are dealt anew before they are joined: both sides then are plain exchanges, which adaptive execution
+        # splits where an id has very many neighbours.
         both = flat.union(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).hint("rebalance")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(low.hint("rebalance"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         flat = store(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = digest(flat)
         if now == seen:
