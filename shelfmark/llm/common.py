@@ -97,7 +97,7 @@ class Bitmap:
         return (words[slots >> 6] >> (slots & 63)) & 1 == 1
 
 
-def text_runs(texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def text_runs(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """UTF-8 texts in runs of about ``most`` bytes, with the index of the first; a longer text is a run of its own."""
     run: list[bytes] = []
     size = start = 0
