@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import BYTE_CODE, LAST, Prefixes, arrow, mix, pieces_of, store, text_runs
 
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 U8, U64 = np.uint8, np.uint64
 
 
