@@ -125,6 +125,21 @@ def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
     return docs.mapInArrow(run, "low long, high long, doc long, number int, line binary")
 
 
+def halves_in(wanted: Bitmap):
+    """(low, side, k) of the halves that may be in the bitmap."""
+    kinds = {"low": pa.int64(), "side": pa.int32(), "k": pa.int64()}
+    shared, mask = wanted.shared, (1 << Bitmap.BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column("low").to_numpy()
+            for side in range(4):
+                k = batch.column(f"k{side}").to_numpy()
+                take = np.flatnonzero(Bitmap.has(shared.value, k & mask) & (k != 0))
+                yield arrow(kinds, low=low[take], side=np.full(len(take), side, np.int32), k=k[take])
+    return run
+
+
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashed keys of each line (at -1) and of the line without word ``at``, for the words on the side of the edit."""
     kinds = {"v0": pa.int64(), "v1": pa.int64(), "at": pa.int32(), "low": pa.int64(), "high": pa.int64(), "doc": pa.int64(),
@@ -189,9 +204,11 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(low, high) of the distinct lines that have an earlier near line."""
     # Half of the hash names a line here: two lines with the same half hash only make both candidates.
-    halves = distinct.select("low", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("side", "k")).where("k <> 0")
-    shared = halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    sides = halves.join(shared, "k").groupBy("low").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
+    halves = distinct.select(F.explode(F.array("k0", "k1", "k2", "k3")).alias("k")).where("k <> 0")
+    shared = store(halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "line-halves")
+    held = distinct.select("low", "k0", "k1", "k2", "k3").mapInArrow(
+        halves_in(Bitmap(shared, "k", hashed=True)), "low long, side int, k long")
+    sides = held.join(shared, "k").groupBy("low").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
     able = store(distinct.select("low", "high", "doc", "number").join(sides, "low"), "line-candidates")
     wanted = Bitmap(able.select(F.col("low").bitwiseXOR(F.col("doc")).alias("slot")), "slot", hashed=True)
     lines = store(texts_of(docs, wanted).join(able, ["low", "high", "doc", "number"]), "line-texts")
