@@ -5,7 +5,7 @@ fixed number of rounds; no cell may ask for more than its tokens at the sampling
 A document's probability is the rate times the factor of its cell, and it is taken if a hash of its id, as
 a number from 0 to 1, is smaller.
 
-Cells, targets and factors are tables, and each round is written to the shared folder; only sums over the whole corpus come to the
+Cells, targets and factors are tables, and each step is written to the shared folder; only sums over the whole corpus come to the
 driver. Documents are joined with their cell by an ordinary join, which sends the cells where they are few and splits hot ones where
 they are not.
 
@@ -71,7 +71,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
             scaled = F.col("weight") * F.col("goal") / F.nullif(F.col("is"), F.lit(0.0))
             now = now.join(sums, d).select(*DIMENSIONS, "mass", F.least(
                 F.coalesce(scaled, F.lit(0.0)), F.col("mass") / F.lit(rate)).alias("weight"))
-        now = store(now, "mix-round")
+            # A step reads its input twice; written each time, plans stay small.
+            now = store(now, "mix-step")
     return now
 
 
