@@ -4,8 +4,9 @@
 2. Document frequencies and the mean length are counted over all documents. Terms are token ids, so the table of
    frequencies has at most one row per entry of the vocabulary; that bounds what goes to every task.
 3. The stored documents are read in shards of ``shard_tokens`` tokens. A shard's inverted index holds the BM25 weights of all its
-   terms. The document that opens a window asks it with its most telling terms; unused neighbours follow in order of
-   score, the first that fits wholly before one that must be cut. What is cut off opens the next window.
+   terms. The document that opens a window asks it with all its terms; unused neighbours follow in order of
+   score, the first that fits wholly before one that must be cut. What is cut off opens the next window. Stored order
+   decides only where no unused document of the shard has a positive score.
 
 So every window is full but the last of a task, which is taken apart into sequences whose lengths are powers of two.
 Texts and tokens are never shuffled, and a shard bounds memory; only a single document is held whole.
@@ -105,35 +106,36 @@ def statistics(stored: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 class ShardIndex:
-    """BM25 weights of a shard's documents by term."""
+    """BM25 weights of a shard's documents, document after document; ``ask_terms``, if given, limits the terms of a query."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, ask_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, ask_terms: int | None = None, k1: float = 1.2,
+                 b: float = 0.75):
         found = [np.unique(ids[:-1], return_counts=True) for ids in docs]
         self.terms = [terms for terms, _ in found]
         self.idf, self.ask_terms, self.n = idf, ask_terms, len(docs)
-        term = np.concatenate([*self.terms, np.empty(0, np.uint16)])
+        self.term = np.concatenate([*self.terms, np.empty(0, np.uint16)])
         count = np.concatenate([c for _, c in found]) if found else np.empty(0)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for t in self.terms])
+        sizes = np.array([len(t) for t in self.terms], np.int64)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         norm = k1 * (1 - b + b * np.array([len(ids) for ids in docs]) / mean)
-        order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.weight = (idf[term] * count * (k1 + 1) / (count + norm[doc])).astype(np.float32)[order]
-        self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
+        self.weight = (idf[self.term] * count * (k1 + 1) / (count + norm[doc])).astype(np.float32)
+        self.filled = np.flatnonzero(sizes)  # documents with terms, and where their terms start
+        self.start = (np.cumsum(sizes) - sizes)[self.filled]
+        self.asked = np.zeros(VOCABULARY, np.float32)
 
-    def neighbours(self, doc: int, unused: np.ndarray, most: int = 16) -> np.ndarray:
-        """Unused documents that share telling terms with ``doc``, best first."""
+    def neighbours(self, doc: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused documents that share terms with ``doc``, best first: all of them, or the first ``most``."""
         terms = self.terms[doc]
-        shared = terms[self.start[terms.astype(np.int64) + 1] - self.start[terms] > 1]
-        if len(shared) > self.ask_terms:
-            shared = shared[np.argpartition(-self.idf[shared], self.ask_terms)[:self.ask_terms]]
+        if self.ask_terms is not None and len(terms) > self.ask_terms:
+            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:self.ask_terms]]
         score = np.zeros(self.n, np.float32)
-        for t in np.sort(shared).astype(np.int64):
-            at = slice(self.start[t], self.start[t + 1])
-            score[self.doc[at]] += self.weight[at]
+        if len(terms):
+            self.asked[terms] = 1
+            score[self.filled] = np.add.reduceat(self.weight * self.asked[self.term], self.start)
+            self.asked[terms] = 0
         score *= unused
-        top = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))]
+        top = np.flatnonzero(score > 0)
+        return top[np.lexsort((top, -score[top]))][:most]
 
 
 class Packer:
@@ -206,7 +208,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k", shard_tokens: int = 1 << 19,
-         ask_terms: int = 16) -> DataFrame:
+         ask_terms: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, token_ids (little-endian 32 bits)."""
     stored = store(tokens(docs, vocabulary), "pack-tokens")
     frequency, total, mean = statistics(stored)

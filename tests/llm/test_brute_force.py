@@ -69,6 +69,29 @@ def test_neighbours_share_telling_terms():
         assert doc + 4 not in index.neighbours(doc, unused, most=9)
 
 
+def test_windows_take_all_that_score_before_stored_order():
+    """60 short texts of one topic lie among 60 of another; each window's first text shares its last term only with some."""
+    docs = [np.array([*range(100 * (i % 2), 100 * (i % 2) + 20), 300 + i, 1], np.uint16) for i in range(120)]
+    idf = np.ones(packing.VOCABULARY, np.float32)
+    idf[300:] = 9
+    packer = packing.Packer(22 * 60, 0)
+    packer.shard(list(range(120)), docs, packing.ShardIndex(docs, idf, 22.0))
+    windows = defaultdict(set)
+    for doc_id, _, _, _, sequence, *_ in packer.done:
+        windows[sequence].add(doc_id % 2)
+    assert sorted(map(sorted, windows.values())) == [[0], [1]]
+
+
+def test_neighbours_are_those_of_all_terms():
+    """40 rare terms in common with nobody's company: only the commonest term is shared with the other documents."""
+    docs = [np.array([*range(1000, 1040), 7, 1], np.uint16), np.array([*range(1000, 1040), 1], np.uint16)]
+    docs += [np.array([2000 + i, 7, 1], np.uint16) for i in range(30)] + [np.array([1], np.uint16)]
+    idf = np.ones(packing.VOCABULARY, np.float32)
+    idf[7] = 0.01
+    unused = np.arange(len(docs)) > 0
+    assert packing.ShardIndex(docs, idf, 10.0).neighbours(0, unused).tolist() == list(range(1, 32))
+
+
 def test_fast_ids_equal_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
