@@ -14,6 +14,11 @@ must be dealt out so that equal strings meet, without moving every suffix:
    repeats, and each gives all its occurrences. Occurrences in later documents than the first are covered.
 4. The answers return to the chunks, where covered bytes are taken out.
 
+An anchor with very many different stretches, such as a passage that many documents share in other surroundings, would make steps 2
+and 3 one large group. Such anchors are found on a sample of the stretches, which decides only the way taken. Their suffixes
+leave the chunks as rows of their first ``least`` bytes; the smallest document per string, combined before the shuffle, is
+joined to them, and later ones are covered. That is the same result, as a repeat is covered by its strings of ``least`` bytes.
+
 Rows that travel are blobs per chunk and bucket. Hashes of 56 bits are only compared under equal anchors.
 
 Defined results: null text is empty; a null id stands after all others; rows with equal ids (or null ids) do not cover each other;
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import BYTE_CODE, LAST, Prefixes, arrow, mix, pieces_of, store, text_runs
 
 CHUNK = 2 << 20
+SAMPLE = 64  # one in so many stretches is counted to find hot anchors
 U8, U64 = np.uint8, np.uint64
 
 
@@ -118,16 +124,30 @@ class Chunk:
         self.first = self.ids[self.run_doc[lead]]
         self.entries = len(lead)
 
-    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Entries by the bucket of their anchor, in order."""
-        bucket = ((self.anchor >> U64(32)) % U64(buckets)).astype(np.int64)
+    def keys(self, buckets: int) -> np.ndarray:
+        """Per entry, what anchors are told apart by: bucket and low 32 bits."""
+        return (self.anchor >> U64(32)) % U64(buckets) << U64(32) | self.anchor & U64(2**32 - 1)
+
+    def by_bucket(self, buckets: int, hot: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Entries by the bucket of their anchor, in order, without those of hot anchors."""
+        keys = self.keys(buckets)
+        bucket = (keys >> U64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        if hot is not None and len(hot):
+            order = order[~among(keys[order], hot)]
         edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
         for s, e in zip(edge, np.append(edge[1:], len(order))):
             if e > s:
                 yield int(bucket[order[s]]), order[s:e]
 
 
+def among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``hot``."""
+    if not len(hot):
+        return np.zeros(len(keys), bool)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
 def planes(values: np.ndarray, keep: int) -> bytes:
     """The ``keep`` low bytes of 64-bit numbers, byte by byte: planes that are the same compress to nothing."""
     return np.ascontiguousarray(values.astype("<u8").view(U8).reshape(-1, 8)[:, :keep].T).tobytes()
@@ -155,6 +175,70 @@ def sign(least: int, k: int, buckets: int):
     return run
 
 
+def sampled(one_in: int):
+    """(anchor, stretch) of one in so many stretches."""
+    kinds = {"anchor": pa.int64(), "stretch": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, anchors, stretches in zip(*(batch.column(c).to_pylist() for c in ("bucket", "anchors", "stretches"))):
+                stretch = unplanes(stretches, 7)
+                at = np.flatnonzero(stretch % U64(one_in) == 0)
+                if len(at):
+                    key = U64(b) << U64(32) | unplanes(anchors, 4)[at]
+                    yield arrow(kinds, anchor=key.view(np.int64), stretch=stretch[at].view(np.int64))
+    return run
+
+
+def cooled(hot_bytes):
+    """The signed entries without those of hot anchors."""
+    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "anchors": pa.binary(), "stretches": pa.binary(), "docs": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(hot_bytes.value, U64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                anchor = unplanes(r["anchors"], 4)
+                cool = ~among(U64(r["bucket"]) << U64(32) | anchor, hot)
+                if cool.any():
+                    yield arrow(kinds, chunk=[r["chunk"]], bucket=[r["bucket"]], anchors=[planes(anchor[cool], 4)],
+                                stretches=[planes(unplanes(r["stretches"], 7)[cool], 7)],
+                                docs=[planes(unplanes(r["docs"], 8)[cool], 8)])
+    return run
+
+
+def hot_strings(least: int, k: int, buckets: int, hot_bytes):
+    """(string, doc, chunk, entry, at): every string of ``least`` bytes in the stretches of hot anchors."""
+    kinds = {"string": pa.binary(), "doc": pa.int64(), "chunk": pa.int64(), "entry": pa.int32(), "at": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(hot_bytes.value, U64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                c = Chunk(r["ids"], r["ends"], r["data"], least, k)
+                entries = np.flatnonzero(among(c.keys(buckets), hot)) if c.entries else np.empty(0, np.int64)
+                for e in np.array_split(entries, max(1, len(entries) // 1024)):
+                    if not len(e):
+                        continue
+                    start = c.start[c.lead[e]]
+                    count = c.end[c.lead[e]] - start - least + 1
+                    entry = np.repeat(e, count)
+                    at = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+                    place = np.repeat(start, count) + at
+                    yield arrow(kinds, string=[c.data[p:p + least].tobytes() for p in place], doc=c.first[entry],
+                                chunk=np.full(len(entry), r["chunk"]), entry=entry.astype(np.int32), at=at.astype(np.int32))
+    return run
+
+
+def spans_of(least: int):
+    """Covered strings of a chunk, which bounds them, as blobs."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(int(part["chunk"].iloc[0]), part["entry"].to_numpy(np.int32).tobytes(),
+                              part["at"].to_numpy(np.int32).tobytes(), np.full(len(part), least, np.int32).tobytes())],
+                            columns=["chunk", "entry", "at", "n"])
+    return run
+
+
 def decide(part: pd.DataFrame) -> pd.DataFrame:
     """Per entry of a bucket: 1 if an earlier document has the whole stretch, 2 if its bytes must be compared, else 0."""
     anchor = np.concatenate([unplanes(x, 4) for x in part["anchors"]])
@@ -177,24 +261,25 @@ def decide(part: pd.DataFrame) -> pd.DataFrame:
                          "codes": [back[e - len(x) // 4:e].tobytes() for e, x in zip(ends, part["anchors"])]})
 
 
-def codes_of(c: Chunk, answers: list, buckets: int) -> np.ndarray:
+def codes_of(c: Chunk, answers: list, buckets: int, hot: np.ndarray) -> np.ndarray:
     code = np.zeros(c.entries, U8)
     told = {x["bucket"]: x["codes"] for x in answers or []}
-    for b, e in c.by_bucket(buckets):
+    for b, e in c.by_bucket(buckets, hot) if c.entries else ():
         code[e] = np.frombuffer(told[b], U8)
     return code
 
 
-def send(least: int, k: int, buckets: int):
+def send(least: int, k: int, buckets: int, hot_bytes):
     """The bytes of the stretches that must be compared, by anchor."""
     kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "entries": pa.binary(), "docs": pa.binary(), "lengths": pa.binary(),
              "data": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(hot_bytes.value, U64)
         for batch in batches:
             for r in batch.to_pylist():
                 c = Chunk(r["ids"], r["ends"], r["data"], least, k)
-                code = codes_of(c, r["answers"], buckets)
+                code = codes_of(c, r["answers"], buckets, hot)
                 rows = []
                 for b, e in c.by_bucket(buckets):
                     e = e[code[e] == 2]
@@ -289,14 +374,15 @@ def compare(least: int):
     return run
 
 
-def finish(least: int, k: int, buckets: int):
+def finish(least: int, k: int, buckets: int, hot_bytes):
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(hot_bytes.value, U64)
         for batch in batches:
             for r in batch.to_pylist():
                 c = Chunk(r["ids"], r["ends"], r["data"], least, k)
-                code = codes_of(c, r["answers"], buckets)
+                code = codes_of(c, r["answers"], buckets, hot)
                 doc = c.ids[c.run_doc]
                 lead = doc == c.first[c.entry] if c.entries else np.empty(0, bool)
                 whole = ~lead | (code[c.entry] == 1) if c.entries else np.empty(0, bool)
@@ -327,19 +413,37 @@ def finish(least: int, k: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): documents without the strings that an earlier document holds."""
+def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, bucket_bytes: int = 8 << 20, hot_stretches: int = 2048) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept): documents without the strings that an earlier document holds.
+
+    Anchors with about ``hot_stretches`` different stretches or more are hot.
+    """
     whole = store(chunks(docs), "repeat-chunks")
     buckets = pieces_of(whole.agg(F.sum("bytes")).first()[0] or 0, bucket_bytes)
-    signed = whole.select("chunk", "ids", "ends", "data").mapInArrow(
-        sign(least, k, buckets), "chunk long, bucket int, anchors binary, stretches binary, docs binary")
-    codes = store(signed.groupBy("bucket").applyInPandas(decide, "chunk long, bucket int, codes binary"), "repeat-codes")
+    texts = whole.select("chunk", "ids", "ends", "data")
+    kinds = "chunk long, bucket int, anchors binary, stretches binary, docs binary"
+    signed = store(texts.mapInArrow(sign(least, k, buckets), kinds), "repeat-signed")
+    # At most one anchor for every hot_stretches stretches, as 8 bytes.
+    hot = signed.select("bucket", "anchors", "stretches").mapInArrow(sampled(SAMPLE), "anchor long, stretch long").distinct().groupBy(
+        "anchor").count().where(F.col("count") >= max(1, hot_stretches // SAMPLE)).select("anchor").toPandas()["anchor"]
+    hot = np.sort(hot.to_numpy(np.int64).view(U64))
+    shared = docs.sparkSession.sparkContext.broadcast(hot.tobytes())
+    cool = signed.mapInArrow(cooled(shared), kinds) if len(hot) else signed
+    codes = store(cool.groupBy("bucket").applyInPandas(decide, "chunk long, bucket int, codes binary"), "repeat-codes")
     answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
     told = whole.join(answers, "chunk", "left")
     sent = told.select("chunk", "ids", "ends", "data", "answers").mapInArrow(
-        send(least, k, buckets), "chunk long, bucket int, entries binary, docs binary, lengths binary, data binary")
+        send(least, k, buckets, shared), "chunk long, bucket int, entries binary, docs binary, lengths binary, data binary")
     spans = store(sent.groupBy("bucket").applyInPandas(compare(least), "chunk long, entry binary, at binary, n binary"),
                   "repeat-spans")
+    if len(hot):
+        strings = store(texts.mapInArrow(hot_strings(least, k, buckets, shared), "string binary, doc long, chunk long, entry int, at int"),
+                        "repeat-strings")
+        # The minima are dealt anew before they are joined, so that adaptive execution splits strings that very many rows hold.
+        low = strings.groupBy("string").agg(F.min("doc").alias("low")).hint("rebalance")
+        later = strings.join(low, "string").where("doc > low").select("chunk", "entry", "at")
+        spans = spans.union(store(later.groupBy("chunk").applyInPandas(
+            spans_of(least), "chunk long, entry binary, at binary, n binary"), "repeat-hot-spans"))
     spans = spans.groupBy("chunk").agg(F.collect_list(F.struct("entry", "at", "n")).alias("spans"))
     return told.join(spans, "chunk", "left").select("nulls", "ids", "ends", "data", "answers", "spans").mapInArrow(
-        finish(least, k, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        finish(least, k, buckets, shared), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -230,6 +230,40 @@ def test_repeats(docs, texts, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute.without_repeats(some, 50)
 
 
+def test_no_anchor_makes_one_large_group(docs, texts, monkeypatch):
+    """A passage and a phrase shared by 300 documents in other surroundings; no group compares more than a few stretches of an anchor."""
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 14)
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    passage, phrase = word(120), word(40)
+    extra = [(5000 + i, f"{word(60)}{passage}{word(60)}{phrase}{word(60)}") for i in range(300)] + [(None, word(60) + passage), (None, passage)]
+    extra += extra[:3]
+    some = [t for t in texts if t[0] < 30]
+    rows = docs.where("doc_id < 30").select("doc_id", "text").union(docs.sparkSession.createDataFrame(extra, "doc_id long, text string"))
+    largest = docs.sparkSession.sparkContext.accumulator(0)
+    inner = repeats.compare
+
+    def watched(least):
+        def run(part):
+            largest.add(sum(len(x) // 8 for x in part["docs"]))
+            return inner(least)(part)
+        return run
+
+    results = []
+    for hot in (1 << 40, 64):
+        monkeypatch.setattr(repeats, "compare", watched)
+        before = largest.value
+        got = repeats.remove_repeats(rows.repartition(3), bucket_bytes=1 << 15, hot_stretches=hot).collect()
+        results.append((sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), largest.value - before))
+    assert results[0][0] == results[1][0]
+    assert results[0][1] > 600 and results[1][1] < results[0][1] - 600
+    plain = brute.without_repeats([t for t in some + extra[:300]], 50)
+    got = repeats.remove_repeats(rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).repartition(3), bucket_bytes=1 << 15,
+                                 hot_stretches=64).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain
+
+
 def test_maximal_repeats_of_a_text():
     """Every repeat of at least four bytes that cannot be extended, with all its places."""
     strings = [b"abcdefgh-xyz", b"--abcdefgh-", b"zabcdefxx", b"abcd"]
