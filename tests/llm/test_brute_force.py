@@ -176,6 +176,22 @@ def test_top_k(spark):
             assert got[q] == [(i, score[i]) for i in order]
 
 
+def test_top_k_with_large_components(spark):
+    """Components beyond 2**28 after scaling, in queries and in rows; sums that doubles do not hold exactly."""
+    rng = np.random.default_rng(6)
+    raw = np.round(rng.normal(size=(120, 4)), 2)
+    raw[[0, 7, 30, 31, 80]] *= 3e6
+    raw[31, :2] = 1_048_577.0, -1_048_577.00390625
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(raw)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(frame, F.col("vec_id") % 10 == 0, rows_each=16, queries_each=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = [[int(x) for x in v] for v in np.floor(256 * raw)]
+    for q in range(0, 120, 10):
+        score = [sum(a * b for a, b in zip(v, whole[q])) for v in whole]
+        assert got[q] == [(i, score[i]) for i in sorted(range(120), key=lambda i: (-score[i], i)) if i != q][:5]
+
+
 def test_linked_vectors(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 32))
