@@ -22,9 +22,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates at similarity 0.8."""
-    found = neardup.near_duplicates(docs, percent=80, bands=24, rows=5)
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row, that with the smallest id, of each group of near duplicates at similarity 0.8.
+
+    Rows are numbered, so that those that share an id, or have none, are members of their own; a null id stands after all others.
+    """
+    row = fresh(docs, "_row")
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=80, bands=24, rows=5)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    members = rows.select(F.col(row), place.alias("place")).join(found.select(F.col("doc_id").alias(row), "component_id"), row)
+    best = members.groupBy("component_id").agg(F.min("place").alias("best")).hint("rebalance")
+    gone = members.join(best, "component_id").where(F.col(row) != F.col("best.row")).select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,3 +138,13 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             assert bool(rows) == (given is docs), name
             if name != "pack_sequences":
                 assert done.columns == given.columns
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark, docs, tmp_path):
+    """Repeated rows and rows without an id are members of their group as well."""
+    done = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert done.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:5]) for r in done.collect()) == [
+        (False, 1, "the q"), (False, 3, ""), (False, 4, ""), (False, 5, "wide "), (False, 6, "\n \t\n"), (True, 0, "")]
+    alone = spark.createDataFrame([(None, PROSE), (None, PROSE), (None, PROSE.upper())], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, alone, str(tmp_path)).count() == 1
