@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, hashing, lines, mixing, neardup, packing, quality, repeats, topk
+from shelfmark.llm import archive, chat, hashing, lines, mixing, neardup, packing, quality, repeats, spelling, topk
 
 KEEP_FROM = 0.3  # score from which a document counts as good
 Run = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +71,13 @@ def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.corpus_words(table(spark, sf_dir, "documents"), one_in=199))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op4_raked_mixture, op5_exact_topk,
                                                   op6_itq_neardup, op7_chat_format, op8_line_dedup, op9_maximal_repeats,
-                                                  op10_minhash_neardup)}
+                                                  op10_minhash_neardup, op12_spelling_variants)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
@@ -153,4 +157,41 @@ r AS (
 m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM s JOIN m ON m.id = s.doc_id""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE
+tab AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c
+    FROM range(256) t(i))),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+         unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+u AS MATERIALIZED (
+  SELECT d, w, count(*) AS n FROM (
+    SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM r WHERE length(run) >= 6)
+  GROUP BY d, w),
+b AS (
+  SELECT w, n, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END
+                        FOR c IN string_split(d || ':' || w, '')]) AS b FROM u),
+h AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab.tab[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM b, tab),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS MATERIALIZED (SELECT word, i, left(word, i - 1) AS a, substr(word, i + 1) AS z
+                   FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS MATERIALIZED (
+  SELECT DISTINCT v.word AS a, w.word AS b FROM x v JOIN w ON w.word = v.a || v.z
+  UNION ALL
+  SELECT v.word, y.word FROM x v JOIN x y ON v.i = y.i AND v.a = y.a AND v.z = y.z AND v.word < y.word),
+s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+f AS MATERIALIZED (
+  SELECT a AS word, count(*) AS n_near, min({'m': -n, 'f': b}) AS best FROM s JOIN w ON w.word = b GROUP BY a),
+j AS MATERIALIZED (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * n THEN best.f END AS form,
+         CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+e AS (SELECT word, word AS at, 0 AS k FROM j UNION ALL SELECT e.word, j.form, k + 1 FROM e JOIN j ON j.word = e.at AND j.form IS NOT NULL)
+SELECT j.word, form, arg_max(e.at, k) AS root, n, n_near, form_n FROM j JOIN e ON e.word = j.word GROUP BY ALL""",
 }

@@ -1,6 +1,7 @@
 """Plain versions of the operators, over all pairs or all strings."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -98,3 +99,29 @@ def without_lines(docs, least_words):
         if not cut or wordy:
             out[k] = "\n".join(left)
     return out
+
+
+def spelling_variants(docs, one_in, least_length=6, least_count=5, times=5):
+    """{word: (form, root, n, n_near, form_n)} of (id, text) rows."""
+    count = Counter()
+    for k, text in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            if h % one_in == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= least_length and n >= least_count}
+    near = {w: [v for v in words if v != w and one_edit(w, v)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        if best is not None and words[best] >= times * words[w]:
+            form[w] = best
+    out = {}
+    for w, n in words.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = form.get(w), root, n, len(near[w]), words.get(form.get(w))
+    return out
