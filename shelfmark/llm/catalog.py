@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, hashing, lines, mixing, neardup, packing, quality, repeats, spelling, topk
+from shelfmark.llm import archive, chat, hashing, lines, mixing, neardup, packing, quality, repeats, spelling, topk, whitening
 
 KEEP_FROM = 0.3  # score from which a document counts as good
 Run = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +75,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.corpus_words(table(spark, sf_dir, "documents"), one_in=199))
 
 
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op4_raked_mixture, op5_exact_topk,
                                                   op6_itq_neardup, op7_chat_format, op8_line_dedup, op9_maximal_repeats,
-                                                  op10_minhash_neardup, op12_spelling_variants)}
+                                                  op10_minhash_neardup, op12_spelling_variants,
+                                                  op13_jacobi_davidson_whitening)}
 
 ORACLES: dict[str, str] = {
     "op2_warc_archive": """
