@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import archive, chat, hashing, lines, mixing, neardup, packing, quality, repeats, spelling, topk, whitening
+from shelfmark.llm import (archive, chat, hashing, language, lines, mixing, neardup, packing, quality, repeats, spelling, topk,
+                           whitening)
 
 KEEP_FROM = 0.3  # score from which a document counts as good
 Run = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,13 @@ def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predictor(spark, language.fit(docs))
+    return docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), found(F.col("text")).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.corpus_words(table(spark, sf_dir, "documents"), one_in=199))
 
@@ -81,7 +89,7 @@ def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_bm25_packing, op2_warc_archive, op3_nbsvm_quality, op4_raked_mixture, op5_exact_topk,
                                                   op6_itq_neardup, op7_chat_format, op8_line_dedup, op9_maximal_repeats,
-                                                  op10_minhash_neardup, op12_spelling_variants,
+                                                  op10_minhash_neardup, op11_string_kernel_language, op12_spelling_variants,
                                                   op13_jacobi_davidson_whitening)}
 
 ORACLES: dict[str, str] = {
