@@ -115,11 +115,11 @@ def discover_ledger(files: DataFrame, policy: Policy, root: str | None = None, k
         F.desc("score"), "rel").limit(k)
 
 
-def discover_rules(files: DataFrame, policy: Policy, root: str | None = None) -> DataFrame:
-    """The document most likely to hold the owner's own rules (one row or none)."""
+def discover_rules(files: DataFrame, policy: Policy, root: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """The document most likely to hold the owner's own rules (one row or none), with ``more`` of its columns."""
     rows = _present(files, root or policy.main_root).where(
         F.col("ext").isin(*NOTE_EXTS) & (F.col("body_chars") > 0))
-    return _scored(rows, RULES_NAMES).select("path", "rel", "name", "score").orderBy(
+    return _scored(rows, RULES_NAMES).select("path", "rel", "name", "score", *more).orderBy(
         F.desc("score"), F.length("rel"), "rel").limit(1)
 
 
@@ -178,7 +178,7 @@ def corpus_map(files: DataFrame, policy: Policy, projects: DataFrame | None = No
     rules = policy.rules_file
     rules_docs = (
         files.where(~F.col("gone") & (F.col("root") == where) & (F.col("rel") == rules)) if rules
-        else files.join(F.broadcast(discover_rules(files, policy).select("path")), "path", "left_semi")
+        else discover_rules(files, policy, more=("body",))
     )
     frames = {
         "roots": root_stats(files),

@@ -302,30 +302,31 @@ add("prune_paths",
 
 
 def events_stream(s, d):
-    schema = fr.table(s, d, "events").schema
-    raw = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return fr.claims_from(raw).drop("value")
+    return fr.claims_from(corpus.stream_table(s, f"{d}/events.parquet", fr.table(s, d, "events").schema)).drop("value")
 
 
 def run_current(s, d):
     base = shared_dir(s, "current")
     table = VersionedTable(s, base + "/table")
-    jobs.start_current(events_stream(s, d), table, base + "/checkpoint").awaitTermination()
-    return jobs.current_from_updates(table.read_all())
+    events = events_stream(s, d)
+    jobs.start_current(events, table, base + "/checkpoint").awaitTermination()
+    return jobs.current_from_updates(table.read_all(jobs.stream_current(events).schema))
 
 
 def run_daily(s, d):
     base = shared_dir(s, "daily")
-    jobs.append_to(jobs.daily_counts(jobs.with_event_time(events_stream(s, d))), base + "/out", base + "/checkpoint").awaitTermination()
-    return s.read.parquet(base + "/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "actor_type", "verdict", "events")
+    counts = jobs.daily_counts(jobs.with_event_time(events_stream(s, d)))
+    jobs.append_to(counts, base + "/out", base + "/checkpoint").awaitTermination()
+    return sinks.read_written(s, base + "/out", counts.schema).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "actor_type", "verdict", "events")
 
 
 def run_once_only(s, d):
     """Every event delivered twice; each comes out once."""
     base = shared_dir(s, "once")
     twice = jobs.with_event_time(events_stream(s, d)).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    jobs.append_to(jobs.without_repeats(twice), base + "/out", base + "/checkpoint").awaitTermination()
-    return s.read.parquet(base + "/out").select("id", "target", "ts")
+    once = jobs.without_repeats(twice)
+    jobs.append_to(once, base + "/out", base + "/checkpoint").awaitTermination()
+    return sinks.read_written(s, base + "/out", once.schema).select("id", "target", "ts")
 
 
 add("stream_current_claims", run_current, on_claims(f"SELECT {', '.join(CLAIM_COLUMNS)} FROM current"))

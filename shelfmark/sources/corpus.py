@@ -116,6 +116,15 @@ def root_status(spark: SparkSession, roots: tuple[Root, ...]) -> DataFrame:
         [(r.path, r.label, not _exists(spark, r.path)) for r in roots], "root string, label string, missing boolean")
 
 
+def stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The files of a Parquet table as a stream, whether the table is one file or a folder of them.
+
+    The path is given as a pattern that only it matches: a plain path has to be a folder, a pattern may match either.
+    """
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def stream_files(spark: SparkSession, root: Root, policy: Policy, max_files: int = 1000) -> DataFrame:
     """New files of one root as a stream, with content. The schema has to be given for a stream."""
     raw = (

@@ -149,3 +149,18 @@ def test_a_repeated_micro_batch_adds_nothing(export_setup, make_files):
         jobs.export_batch(batch, 1, content=stored(), **settings)
     assert settings["ledger"].read_all().count() == 1 and settings["removals"].read_all().count() == 1
     assert settings["ledger"].read_all().select(F.max("attempts")).first()[0] == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_streams_read_a_table_stored_as_a_file_as_a_folder_or_empty(spark, scratch):
+    from shelfmark.plans import catalog
+
+    given = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{given}/events.parquet")
+    events.repartition(3).write.parquet(f"{scratch}/folder/events.parquet")
+    events.limit(0).write.parquet(f"{scratch}/none/events.parquet")
+    rows = lambda name, where: sorted(map(repr, catalog.QUERIES[name](spark, where).collect()))
+    for name in ("stream_current_claims", "stream_daily_counts", "stream_without_repeats"):
+        want = rows(name, given)
+        assert want and rows(name, f"{scratch}/folder") == want
+        assert rows(name, f"{scratch}/none") == []
