@@ -8,16 +8,17 @@ must be dealt out so that equal strings meet, without moving every suffix:
    chunk sends one entry per distinct stretch: hashes of anchor and stretch, and the smallest document there. Copies so
    become one leaf before anything is shuffled.
 2. Entries meet by anchor. A stretch that an earlier document has as a whole is covered; that needs no bytes. Where
-   one anchor has several stretches, the first holder of each sends its bytes, at most ``2 * least - k`` of them.
-3. Those bytes meet by anchor again. A suffix array over all suffixes of at least ``least`` bytes, with its array of common
+   one anchor has several stretches, the first holder of each sends its bytes, in parts.
+3. Parts meet by core. A suffix array over all suffixes of at least ``least`` bytes, with its array of common
    prefixes, is scanned with a stack; intervals whose left extensions differ (or lie outside the stretch) are maximal
    repeats, and each gives all its occurrences. Occurrences in later documents than the first are covered.
 4. The answers return to the chunks, where covered bytes are taken out.
 
-An anchor with very many different stretches, such as a passage that many documents share in other surroundings, would make steps 2
-and 3 one large group. Such anchors are found on a sample of the stretches, which decides only the way taken. Their suffixes
-leave the chunks as rows of their first ``least`` bytes; the smallest document per string, combined before the shuffle, is
-joined to them, and later ones are covered. That is the same result, as a repeat is covered by its strings of ``least`` bytes.
+A passage that many documents share in other surroundings gives its outer anchors one stretch per document. Such an anchor makes no large
+group: where a chunk holds ``crowd`` stretches of an anchor it knows that they must be compared, and asks for two of them only; and bytes
+do not meet by anchor but by cores. The strings of a stretch are dealt into four parts by where the anchor lies in them; all strings
+of a part hold the same core, ``least`` bytes but seven or less, so equal strings have equal cores. A core leaves open seven bytes on
+either side, and equal parts count once, so its group is as large as the number of different such surroundings.
 
 Rows that travel are blobs per chunk and bucket. Hashes of 56 bits are only compared under equal anchors.
 
@@ -37,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import BYTE_CODE, LAST, Prefixes, arrow, mix, pieces_of, store, text_runs
+from shelfmark.llm.common import BYTE_CODE, LAST, Prefixes, Steps, arrow, mix, pieces_of, text_runs
 
 CHUNK = 2 << 20
-SAMPLE = 64  # one in so many stretches is counted to find hot anchors
+PARTS = 4
 U8, U64 = np.uint8, np.uint64
 
 
@@ -82,17 +83,17 @@ def chunks(docs: DataFrame) -> DataFrame:
 class Chunk:
     """A chunk's texts, its stretches in order of place, and its entries: distinct stretches in order of their hashes."""
 
-    def __init__(self, ids: bytes, ends: bytes, data: bytes, least: int, k: int) -> None:
+    def __init__(self, ids: bytes, ends: bytes, data: bytes, least: int, k: int, crowd: int) -> None:
         self.ids, self.ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), U8)
         n = len(self.data)
         self.entries = 0
         if n < least:
-            self.run_doc = self.start = self.end = self.entry = np.empty(0, np.int64)
+            self.run_doc = self.start = self.end = self.entry = self.place = self.first = np.empty(0, np.int64)
             self.anchor = self.stretch = np.empty(0, U64)
-            self.first = np.empty(0, np.int64)
+            self.crowded = self.asked = np.empty(0, bool)
             return
-        hashes = Prefixes(BYTE_CODE[self.data])
+        self.hashes = hashes = Prefixes(BYTE_CODE[self.data])
         grams = mix((hashes.sums[k:] - hashes.sums[:n - k + 1]) * hashes.down[:n - k + 1])
         bits = U64(max(n.bit_length(), 24))
         low = (grams >> bits << bits) | np.arange(len(grams), dtype=U64)
@@ -111,6 +112,7 @@ class Chunk:
         whole = inside[start]
         start, end = start[whole], end[whole]
         self.start, self.end, self.run_doc = start, end, doc[start].astype(np.int64)
+        self.place = at[start].astype(np.int64)
         anchor = grams[at[start]]
         stretch = mix(hashes.hash(start, end) ^ (end - start).astype(U64)) >> U64(8)
         order = np.lexsort((self.ids[self.run_doc], stretch, anchor))
@@ -123,29 +125,42 @@ class Chunk:
         self.anchor, self.stretch, self.lead = a[fresh], s[fresh], lead
         self.first = self.ids[self.run_doc[lead]]
         self.entries = len(lead)
-
-    def keys(self, buckets: int) -> np.ndarray:
-        """Per entry, what anchors are told apart by: bucket and low 32 bits."""
-        return (self.anchor >> U64(32)) % U64(buckets) << U64(32) | self.anchor & U64(2**32 - 1)
-
-    def by_bucket(self, buckets: int, hot: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """Entries by the bucket of their anchor, in order, without those of hot anchors."""
-        keys = self.keys(buckets)
-        bucket = (keys >> U64(32)).astype(np.int64)
+        # Crowded anchors of several documents: only the entries of the smallest and the largest document ask.
+        edge = np.flatnonzero(np.append(True, self.anchor[1:] != self.anchor[:-1])) if len(lead) else np.empty(0, np.int64)
+        size = np.diff(np.append(edge, len(lead)))
+        order = np.lexsort((self.first, np.repeat(np.arange(len(edge)), size)))
+        low, high = order[edge], order[edge + size - 1]
+        crowded = (size >= crowd) & (self.first[low] < self.first[high])
+        self.crowded = np.repeat(crowded, size)
+        self.asked = ~self.crowded
+        self.asked[low[crowded]] = self.asked[high[crowded]] = True
+
+    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Entries that ask, by the bucket of their anchor, in order."""
+        bucket = ((self.anchor >> U64(32)) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        if hot is not None and len(hot):
-            order = order[~among(keys[order], hot)]
+        order = order[self.asked[order]]
         edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
         for s, e in zip(edge, np.append(edge[1:], len(order))):
             if e > s:
                 yield int(bucket[order[s]]), order[s:e]
 
-
-def among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted array ``hot``."""
-    if not len(hot):
-        return np.zeros(len(keys), bool)
-    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+    def parts(self, entries: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
+        """Parts of the entries' stretches: entry, start, end, and hash of the core; places are those of the chunk."""
+        span = least - k + 1
+        width = -(-span // PARTS)
+        lead = self.lead[entries]
+        start, end, anchor = self.start[lead], self.end[lead], self.place[lead]
+        out = []
+        for q in range(PARTS):
+            near, far = q * width, min(q * width + width, span) - 1  # how far strings of this part may start before the anchor
+            last = np.maximum(near, anchor - (end - least))
+            first = np.minimum(far, anchor - start)
+            some = np.flatnonzero(first >= last)
+            place = anchor[some]
+            core = mix(self.hashes.hash(place - near, place - far + least) ^ U64(q + 1))
+            out.append((entries[some], place - first[some], place - last[some] + least, core))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def planes(values: np.ndarray, keep: int) -> bytes:
@@ -160,13 +175,13 @@ def unplanes(data: bytes, keep: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sign(least: int, k: int, buckets: int):
+def sign(least: int, k: int, crowd: int, buckets: int):
     kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "anchors": pa.binary(), "stretches": pa.binary(), "docs": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                c = Chunk(r["ids"], r["ends"], r["data"], least, k)
+                c = Chunk(r["ids"], r["ends"], r["data"], least, k, crowd)
                 rows = [(b, planes(c.anchor[e], 4), planes(c.stretch[e], 7), planes(c.first[e], 8))
                         for b, e in c.by_bucket(buckets)]
                 if rows:
@@ -175,70 +190,6 @@ def sign(least: int, k: int, buckets: int):
     return run
 
 
-def sampled(one_in: int):
-    """(anchor, stretch) of one in so many stretches."""
-    kinds = {"anchor": pa.int64(), "stretch": pa.int64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, anchors, stretches in zip(*(batch.column(c).to_pylist() for c in ("bucket", "anchors", "stretches"))):
-                stretch = unplanes(stretches, 7)
-                at = np.flatnonzero(stretch % U64(one_in) == 0)
-                if len(at):
-                    key = U64(b) << U64(32) | unplanes(anchors, 4)[at]
-                    yield arrow(kinds, anchor=key.view(np.int64), stretch=stretch[at].view(np.int64))
-    return run
-
-
-def cooled(hot_bytes):
-    """The signed entries without those of hot anchors."""
-    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "anchors": pa.binary(), "stretches": pa.binary(), "docs": pa.binary()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.frombuffer(hot_bytes.value, U64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                anchor = unplanes(r["anchors"], 4)
-                cool = ~among(U64(r["bucket"]) << U64(32) | anchor, hot)
-                if cool.any():
-                    yield arrow(kinds, chunk=[r["chunk"]], bucket=[r["bucket"]], anchors=[planes(anchor[cool], 4)],
-                                stretches=[planes(unplanes(r["stretches"], 7)[cool], 7)],
-                                docs=[planes(unplanes(r["docs"], 8)[cool], 8)])
-    return run
-
-
-def hot_strings(least: int, k: int, buckets: int, hot_bytes):
-    """(string, doc, chunk, entry, at): every string of ``least`` bytes in the stretches of hot anchors."""
-    kinds = {"string": pa.binary(), "doc": pa.int64(), "chunk": pa.int64(), "entry": pa.int32(), "at": pa.int32()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.frombuffer(hot_bytes.value, U64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = Chunk(r["ids"], r["ends"], r["data"], least, k)
-                entries = np.flatnonzero(among(c.keys(buckets), hot)) if c.entries else np.empty(0, np.int64)
-                for e in np.array_split(entries, max(1, len(entries) // 1024)):
-                    if not len(e):
-                        continue
-                    start = c.start[c.lead[e]]
-                    count = c.end[c.lead[e]] - start - least + 1
-                    entry = np.repeat(e, count)
-                    at = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-                    place = np.repeat(start, count) + at
-                    yield arrow(kinds, string=[c.data[p:p + least].tobytes() for p in place], doc=c.first[entry],
-                                chunk=np.full(len(entry), r["chunk"]), entry=entry.astype(np.int32), at=at.astype(np.int32))
-    return run
-
-
-def spans_of(least: int):
-    """Covered strings of a chunk, which bounds them, as blobs."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(part["chunk"].iloc[0]), part["entry"].to_numpy(np.int32).tobytes(),
-                              part["at"].to_numpy(np.int32).tobytes(), np.full(len(part), least, np.int32).tobytes())],
-                            columns=["chunk", "entry", "at", "n"])
-    return run
-
-
 def decide(part: pd.DataFrame) -> pd.DataFrame:
     """Per entry of a bucket: 1 if an earlier document has the whole stretch, 2 if its bytes must be compared, else 0."""
     anchor = np.concatenate([unplanes(x, 4) for x in part["anchors"]])
@@ -261,35 +212,38 @@ def decide(part: pd.DataFrame) -> pd.DataFrame:
                          "codes": [back[e - len(x) // 4:e].tobytes() for e, x in zip(ends, part["anchors"])]})
 
 
-def codes_of(c: Chunk, answers: list, buckets: int, hot: np.ndarray) -> np.ndarray:
-    code = np.zeros(c.entries, U8)
+def codes_of(c: Chunk, answers: list, buckets: int) -> np.ndarray:
+    code = np.where(c.crowded, 2, 0).astype(U8)
     told = {x["bucket"]: x["codes"] for x in answers or []}
-    for b, e in c.by_bucket(buckets, hot) if c.entries else ():
+    for b, e in c.by_bucket(buckets) if c.entries else ():
         code[e] = np.frombuffer(told[b], U8)
     return code
 
 
-def send(least: int, k: int, buckets: int, hot_bytes):
-    """The bytes of the stretches that must be compared, by anchor."""
-    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "entries": pa.binary(), "docs": pa.binary(), "lengths": pa.binary(),
-             "data": pa.binary()}
+def send(least: int, k: int, crowd: int, buckets: int):
+    """The bytes of the stretches that must be compared, in parts, by core."""
+    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "entries": pa.binary(), "shifts": pa.binary(), "docs": pa.binary(),
+             "cores": pa.binary(), "lengths": pa.binary(), "data": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.frombuffer(hot_bytes.value, U64)
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for r in batch.to_pylist():
-                c = Chunk(r["ids"], r["ends"], r["data"], least, k)
-                code = codes_of(c, r["answers"], buckets, hot)
+                c = Chunk(r["ids"], r["ends"], r["data"], least, k, crowd)
+                entry = np.flatnonzero(codes_of(c, r["answers"], buckets) == 2)
+                if not len(entry):
+                    continue
+                entry, start, end, core = c.parts(entry, least, k)
+                bucket = ((core >> U64(32)) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
                 rows = []
-                for b, e in c.by_bucket(buckets):
-                    e = e[code[e] == 2]
-                    if len(e):
-                        s, t = c.start[c.lead[e]], c.end[c.lead[e]]
-                        rows.append((b, e.astype(np.int32).tobytes(), c.first[e].tobytes(), (t - s).astype(np.int32).tobytes(),
-                                     b"".join(c.data[x:y].tobytes() for x, y in zip(s, t))))
-                if rows:
-                    b, e, d, n, x = zip(*rows)
-                    yield arrow(kinds, chunk=[r["chunk"]] * len(b), bucket=b, entries=e, docs=d, lengths=n, data=x)
+                for at in np.split(order, edge[1:]):
+                    s, t, e = start[at], end[at], entry[at]
+                    rows.append((int(bucket[at[0]]), e.astype(np.int32).tobytes(), (s - c.start[c.lead[e]]).astype(np.int32).tobytes(),
+                                 planes(c.first[e], 8), planes(core[at], 7), (t - s).astype(U8 if 2 * least < 256 else np.int32).tobytes(),
+                                 pack.compress(b"".join(c.data[x:y].tobytes() for x, y in zip(s, t)))))
+                yield arrow(kinds, chunk=[r["chunk"]] * len(rows), **dict(zip(list(kinds)[1:], zip(*rows))))
     return run
 
 
@@ -349,40 +303,68 @@ def maximal_repeats(common: np.ndarray, before: np.ndarray, doc: np.ndarray, lea
 
 
 def compare(least: int):
+    """Covered spans of the stretches with parts in a bucket: per chunk, entry, start and length in the stretch."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        """Covered spans of the stretches of a bucket: per chunk, entry, start and length in the stretch."""
-        data = np.frombuffer(b"".join(part["data"]), U8)
-        length = np.frombuffer(b"".join(part["lengths"]), np.int32).astype(np.int64)
-        doc = np.frombuffer(b"".join(part["docs"]), np.int64)
-        entry = np.frombuffer(b"".join(part["entries"]), np.int32)
+        unpack = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(unpack.decompress(x) for x in part["data"]), U8)
+        length = np.frombuffer(b"".join(part["lengths"]), U8 if 2 * least < 256 else np.int32).astype(np.int64)
+        entry, shift = (np.frombuffer(b"".join(part[c]), np.int32).astype(np.int64) for c in ("entries", "shifts"))
+        doc = np.concatenate([unplanes(x, 8) for x in part["docs"]]).view(np.int64)
+        core = np.concatenate([unplanes(x, 7) for x in part["cores"]])
         chunk = np.repeat(part["chunk"].to_numpy(), [len(x) // 4 for x in part["entries"]])
         end = np.cumsum(length)
         start = end - length
-        place, string, common = enhanced_suffixes(data, start, end, least)
-        before = np.where(place > start[string], data[np.maximum(place - 1, 0)].astype(np.int64), -1)
-        groups = np.array(maximal_repeats(common, before, doc[string], least), np.int64).reshape(-1, 4)
-        size = groups[:, 1] - groups[:, 0] + 1
-        of = np.repeat(np.arange(len(groups)), size)
-        leaf = np.repeat(groups[:, 0], size) + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        later = doc[string[leaf]] > groups[of, 3]
-        of, leaf = of[later], leaf[later]
-        spans = np.unique(np.stack([string[leaf], place[leaf] - start[string[leaf]], groups[of, 2]], axis=1), axis=0)
-        frame = pd.DataFrame({"chunk": chunk[spans[:, 0]], "entry": entry[spans[:, 0]], "at": spans[:, 1], "n": spans[:, 2]})
+        text = mix(Prefixes(BYTE_CODE[data]).hash(start, end) ^ length.astype(U64))
+        order = np.lexsort((doc, text, core))
+        a, s, d = core[order], text[order], doc[order]
+        new_core = np.append(True, a[1:] != a[:-1])
+        new_text = new_core | np.append(True, s[1:] != s[:-1])
+        of_core, of_text = np.cumsum(new_core) - 1, np.cumsum(new_text) - 1
+        leads = np.flatnonzero(new_text)
+        first = d[leads][of_text]
+        # A part that an earlier document has as a whole is covered; of the others, the first of equal ones is compared.
+        copy = order[d > first]
+        spans = [np.stack([copy, np.zeros(len(copy), np.int64), length[copy]], axis=1)]
+        lowest, highest = (f.reduceat(d, np.flatnonzero(new_core)) for f in (np.minimum, np.maximum))
+        several = ((np.bincount(of_core[leads]) > 1) & (lowest < highest))[of_core]
+        group = np.flatnonzero(several & (d == first))
+        if len(group):
+            # Rows of one document with equal parts share the answer of the first of them.
+            member = np.flatnonzero(several[leads])
+            head = order[leads[member]]
+            place, string, common = enhanced_suffixes(data, start[head], end[head], least)
+            before = np.where(place > start[head][string], data[np.maximum(place - 1, 0)].astype(np.int64), -1)
+            groups = np.array(maximal_repeats(common, before, doc[head][string], least), np.int64).reshape(-1, 4)
+            size = groups[:, 1] - groups[:, 0] + 1
+            of = np.repeat(np.arange(len(groups)), size)
+            leaf = np.repeat(groups[:, 0], size) + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            later = doc[head][string[leaf]] > groups[of, 3]
+            of, leaf = of[later], leaf[later]
+            found = np.unique(np.stack([string[leaf], place[leaf] - start[head][string[leaf]], groups[of, 2]], axis=1), axis=0)
+            owner = np.full(len(leads), -1)
+            owner[member] = np.arange(len(member))
+            owner = owner[of_text[group]]
+            low, high = (np.searchsorted(found[:, 0], owner, side) for side in ("left", "right"))
+            many = high - low
+            row = np.repeat(group, many)
+            at = np.repeat(low, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            spans.append(np.stack([order[row], found[at, 1], found[at, 2]], axis=1))
+        span = np.concatenate(spans)
+        frame = pd.DataFrame({"chunk": chunk[span[:, 0]], "entry": entry[span[:, 0]], "at": shift[span[:, 0]] + span[:, 1], "n": span[:, 2]})
         rows = [(int(c), *(x[f].to_numpy(np.int32).tobytes() for f in ("entry", "at", "n")))
                 for c, x in frame.groupby("chunk", sort=False)]
         return pd.DataFrame(rows, columns=["chunk", "entry", "at", "n"])
     return run
 
 
-def finish(least: int, k: int, buckets: int, hot_bytes):
+def finish(least: int, k: int, crowd: int, buckets: int):
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.frombuffer(hot_bytes.value, U64)
         for batch in batches:
             for r in batch.to_pylist():
-                c = Chunk(r["ids"], r["ends"], r["data"], least, k)
-                code = codes_of(c, r["answers"], buckets, hot)
+                c = Chunk(r["ids"], r["ends"], r["data"], least, k, crowd)
+                code = codes_of(c, r["answers"], buckets)
                 doc = c.ids[c.run_doc]
                 lead = doc == c.first[c.entry] if c.entries else np.empty(0, bool)
                 whole = ~lead | (code[c.entry] == 1) if c.entries else np.empty(0, bool)
@@ -413,37 +395,24 @@ def finish(least: int, k: int, buckets: int, hot_bytes):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, bucket_bytes: int = 8 << 20, hot_stretches: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, k: int = 20, crowd: int = 16, bucket_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): documents without the strings that an earlier document holds.
 
-    Anchors with about ``hot_stretches`` different stretches or more are hot.
+    A chunk decides alone for anchors with at least ``crowd`` different stretches in it.
     """
-    whole = store(chunks(docs), "repeat-chunks")
-    buckets = pieces_of(whole.agg(F.sum("bytes")).first()[0] or 0, bucket_bytes)
-    texts = whole.select("chunk", "ids", "ends", "data")
-    kinds = "chunk long, bucket int, anchors binary, stretches binary, docs binary"
-    signed = store(texts.mapInArrow(sign(least, k, buckets), kinds), "repeat-signed")
-    # At most one anchor for every hot_stretches stretches, as 8 bytes.
-    hot = signed.select("bucket", "anchors", "stretches").mapInArrow(sampled(SAMPLE), "anchor long, stretch long").distinct().groupBy(
-        "anchor").count().where(F.col("count") >= max(1, hot_stretches // SAMPLE)).select("anchor").toPandas()["anchor"]
-    hot = np.sort(hot.to_numpy(np.int64).view(U64))
-    shared = docs.sparkSession.sparkContext.broadcast(hot.tobytes())
-    cool = signed.mapInArrow(cooled(shared), kinds) if len(hot) else signed
-    codes = store(cool.groupBy("bucket").applyInPandas(decide, "chunk long, bucket int, codes binary"), "repeat-codes")
-    answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
-    told = whole.join(answers, "chunk", "left")
-    sent = told.select("chunk", "ids", "ends", "data", "answers").mapInArrow(
-        send(least, k, buckets, shared), "chunk long, bucket int, entries binary, docs binary, lengths binary, data binary")
-    spans = store(sent.groupBy("bucket").applyInPandas(compare(least), "chunk long, entry binary, at binary, n binary"),
-                  "repeat-spans")
-    if len(hot):
-        strings = store(texts.mapInArrow(hot_strings(least, k, buckets, shared), "string binary, doc long, chunk long, entry int, at int"),
-                        "repeat-strings")
-        # The minima are dealt anew before they are joined, so that adaptive execution splits strings that very many rows hold.
-        low = strings.groupBy("string").agg(F.min("doc").alias("low")).hint("rebalance")
-        later = strings.join(low, "string").where("doc > low").select("chunk", "entry", "at")
-        spans = spans.union(store(later.groupBy("chunk").applyInPandas(
-            spans_of(least), "chunk long, entry binary, at binary, n binary"), "repeat-hot-spans"))
+    with Steps(docs.sparkSession) as steps:
+        whole = steps.store(chunks(docs), "repeat-chunks")
+        buckets = pieces_of(whole.agg(F.sum("bytes")).first()[0] or 0, bucket_bytes)
+        texts = whole.select("chunk", "ids", "ends", "data")
+        signed = texts.mapInArrow(sign(least, k, crowd, buckets), "chunk long, bucket int, anchors binary, stretches binary, docs binary")
+        codes = steps.store(signed.groupBy("bucket").applyInPandas(decide, "chunk long, bucket int, codes binary"), "repeat-codes")
+        answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
+        told = whole.join(answers, "chunk", "left")
+        sent = told.select("chunk", "ids", "ends", "data", "answers").mapInArrow(
+            send(least, k, crowd, buckets),
+            "chunk long, bucket int, entries binary, shifts binary, docs binary, cores binary, lengths binary, data binary")
+        spans = steps.store(sent.groupBy("bucket").applyInPandas(compare(least), "chunk long, entry binary, at binary, n binary"),
+                            "repeat-spans")
     spans = spans.groupBy("chunk").agg(F.collect_list(F.struct("entry", "at", "n")).alias("spans"))
     return told.join(spans, "chunk", "left").select("nulls", "ids", "ends", "data", "answers", "spans").mapInArrow(
-        finish(least, k, buckets, shared), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        finish(least, k, crowd, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

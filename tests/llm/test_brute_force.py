@@ -1,10 +1,11 @@
 """Every operator on the smallest tables or small fixtures, against a plain version."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from shelfmark.llm import archive, catalog, chat, hashing, lines, mixing, neardup, packing, quality, repeats, topk
@@ -247,37 +248,66 @@ def test_repeats(docs, texts, monkeypatch):
 
 
 def test_no_anchor_makes_one_large_group(docs, texts, monkeypatch):
-    """A passage and a phrase shared by 300 documents in other surroundings; no group compares more than a few stretches of an anchor."""
+    """A passage and a phrase shared by 300 documents in other surroundings: a chunk asks for at most ``crowd`` stretches of an anchor, and
+    a group holds as many different parts of a core as there are surroundings of seven bytes."""
     monkeypatch.setattr(repeats, "CHUNK", 1 << 14)
-    monkeypatch.setattr(repeats, "SAMPLE", 1)
     rng = np.random.default_rng(9)
-    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    word = lambda n, of="abcdefghijklmnop": "".join(rng.choice(list(of), n))
+    near = [word(7) for _ in range(5)]  # what stands next to the passage
     passage, phrase = word(120), word(40)
-    extra = [(5000 + i, f"{word(60)}{passage}{word(60)}{phrase}{word(60)}") for i in range(300)] + [(None, word(60) + passage), (None, passage)]
-    extra += extra[:3]
+    extra = [(5000 + i, f"{word(60)}{near[i % 5]}{passage}{near[i % 3]}{word(60)}{phrase}{word(60)}") for i in range(300)]
+    extra += [(None, word(60) + passage), (None, passage)] + extra[:3]
     some = [t for t in texts if t[0] < 30]
     rows = docs.where("doc_id < 30").select("doc_id", "text").union(docs.sparkSession.createDataFrame(extra, "doc_id long, text string"))
-    largest = docs.sparkSession.sparkContext.accumulator(0)
+    asked, crowd = (docs.sparkSession.sparkContext.accumulator(0) for _ in range(2))
+    decide = repeats.decide
+
+    def counted(part):
+        anchors = np.concatenate([repeats.unplanes(x, 4) for x in part["anchors"]])
+        asked.add(len(anchors))
+        return decide(part)
+
+    results = []
+    for most in (1 << 30, 16):
+        monkeypatch.setattr(repeats, "decide", counted)
+        before = asked.value
+        got = repeats.remove_repeats(rows.repartition(3), bucket_bytes=1 << 15, crowd=most).collect()
+        results.append((sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), asked.value - before))
+    assert results[0][0] == results[1][0]
+    assert results[1][1] < results[0][1] - 300
     inner = repeats.compare
 
     def watched(least):
         def run(part):
-            largest.add(sum(len(x) // 8 for x in part["docs"]))
+            crowd.add(sum(len(cores) // 7 for cores in part["cores"]))
             return inner(least)(part)
         return run
 
-    results = []
-    for hot in (1 << 40, 64):
-        monkeypatch.setattr(repeats, "compare", watched)
-        before = largest.value
-        got = repeats.remove_repeats(rows.repartition(3), bucket_bytes=1 << 15, hot_stretches=hot).collect()
-        results.append((sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), largest.value - before))
-    assert results[0][0] == results[1][0]
-    assert results[0][1] > 600 and results[1][1] < results[0][1] - 600
+    monkeypatch.setattr(repeats, "compare", watched)
     plain = brute.without_repeats([t for t in some + extra[:300]], 50)
-    got = repeats.remove_repeats(rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).repartition(3), bucket_bytes=1 << 15,
-                                 hot_stretches=64).collect()
+    got = repeats.remove_repeats(rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).repartition(3), bucket_bytes=1 << 15).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain
+    assert crowd.value > 300
+
+
+@pytest.mark.parametrize("least,k", [(50, 20), (30, 25), (60, 59), (140, 20)])
+def test_parts_hold_every_string_of_a_stretch_with_its_core(least, k):
+    """Strings of one part share its core, and every string lies in exactly one part."""
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.choice(list(b"abc"), n).tolist()) for n in (400, least, least - 1, 3 * least, 0, 700)]
+    chunk = repeats.Chunk(np.arange(6).astype(np.int64).tobytes(), np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(),
+                          zstandard.ZstdCompressor().compress(b"".join(texts)), least, k, 16)
+    entry, start, end, core = chunk.parts(np.arange(chunk.entries), least, k)
+    covered = Counter((int(e), p) for e, s, t in zip(entry, start, end) for p in range(s, t - least + 1))
+    wanted = Counter((e, p) for e in range(chunk.entries)
+                     for p in range(chunk.start[chunk.lead[e]], chunk.end[chunk.lead[e]] - least + 1))
+    assert covered == wanted
+    # Equal strings have equal cores, wherever they stand.
+    names = defaultdict(set)
+    for s, t, c in zip(start, end, core):
+        for p in range(s, t - least + 1):
+            names[chunk.data[p:p + least].tobytes()].add(int(c))
+    assert all(len(c) == 1 for c in names.values())
 
 
 def test_maximal_repeats_of_a_text():
