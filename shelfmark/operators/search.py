@@ -96,18 +96,18 @@ def terms_of(query: str) -> list[str]:
     return [t.lower() for t in query.split()]
 
 
-def _field(name: str) -> Column:
+def field(name: str) -> Column:
     col = F.array_join("headings", "\n") if name == "headings" else F.col(name)
     return F.lower(F.coalesce(col, F.lit("")))
 
 
-def match_condition(terms: Sequence[str], scope: str = "all", column: Callable[[str], Column] = _field) -> Column:
+def match_condition(terms: Sequence[str], scope: str = "all", column: Callable[[str], Column] = field) -> Column:
     """Every term somewhere, cheap fields first: the body is only searched when no shorter field matched."""
     fields = SEARCH_SCOPES[scope]
     return all_true([any_true([F.contains(column(f), F.lit(t)) for f in fields]) for t in terms])
 
 
-def match_score(terms: Sequence[str], scope: str = "all", column: Callable[[str], Column] = _field) -> Column:
+def match_score(terms: Sequence[str], scope: str = "all", column: Callable[[str], Column] = field) -> Column:
     parts = [
         F.when(F.contains(column(f), F.lit(t)), F.lit(SEARCH_WEIGHTS[f])).otherwise(F.lit(0))
         for t in terms for f in SEARCH_SCOPES[scope]
@@ -124,7 +124,7 @@ def matched_in(terms: Sequence[str]) -> Column:
     for t in terms:
         label = F.lit(None).cast("string")
         for f in reversed(SEARCH_SCOPES["all"]):
-            label = F.when(F.contains(_field(f), F.lit(t)), F.lit(MATCH_LABELS[f])).otherwise(label)
+            label = F.when(F.contains(field(f), F.lit(t)), F.lit(MATCH_LABELS[f])).otherwise(label)
         found.append(label)
     return F.array_distinct(F.array_compact(F.array(*found)))
 
@@ -219,7 +219,7 @@ def search_many(files: DataFrame, queries: dict[str, str], policy: Policy, k: in
     if not queries or len(queries) > MAX_QUERIES:
         raise ValueError(f"between 1 and {MAX_QUERIES} queries")
     fields = SEARCH_SCOPES[scope]
-    lowered = filter_files(files, policy, **filters).select("path", "mtime_ms", *[_field(f).alias(f"_{f}") for f in fields])
+    lowered = filter_files(files, policy, **filters).select("path", "mtime_ms", *[field(f).alias(f"_{f}") for f in fields])
     # Every query reads the same lower-case columns, computed once per file.
     column = lambda f: F.col(f"_{f}")
     hits = F.array(*[
@@ -250,13 +250,13 @@ def search_keyword(files: DataFrame, keyword: str, policy: Policy, kinds: Iterab
         rows = files_in_filter(rows, top_dir)
     if since_days is not None:
         rows = rows.where(F.col("mtime_ms") > policy.cutoff_ms(since_days))
-    in_name, in_body, in_rel = (F.contains(_field(f), F.lit(q)) for f in ("name", "body", "rel"))
+    in_name, in_body, in_rel = (F.contains(field(f), F.lit(q)) for f in ("name", "body", "rel"))
     scored = rows.where(in_name | in_rel | in_body).withColumn(
         "score",
         (F.when(in_name, 100).otherwise(0) + F.when(in_body, 40).otherwise(0) + F.when(in_rel, 20).otherwise(0)),
     )
     top = page(scored.orderBy(F.desc("score"), F.desc("mtime_ms"), "path"), limit)
-    at = F.instr(_field("body"), F.lit(q))
+    at = F.instr(field("body"), F.lit(q))
     cut = F.substring(F.col("body"), F.greatest(at - KEYWORD_BEFORE, F.lit(1)), F.lit(KEYWORD_CHARS))
     why = F.when(F.col("body_chars") > 0, F.lit("found in the name or path, not in the body")).otherwise(
         F.concat(F.lit("no body ("), F.col("kind"), F.lit("); found by name or path"))
@@ -264,7 +264,7 @@ def search_keyword(files: DataFrame, keyword: str, policy: Policy, kinds: Iterab
     return top.select(
         "path", "rel", "name", "kind", "size", "mtime_ms", "score",
         F.when(in_name, "name").when(in_body, "body").when(in_rel, "path").alias("matched_in"),
-        count_occurrences(_field("body"), q).alias("hit_count"),
+        count_occurrences(field("body"), q).alias("hit_count"),
         F.when(at > 0, cut).otherwise(why).alias("snippet"),
     )
 
@@ -274,7 +274,7 @@ def search_simple(files: DataFrame, keyword: str, limit: int | None = None) -> D
     q = keyword.strip().lower()
     if not q:
         return text_assets(files, limit)
-    hit = {f: F.contains(_field(f), F.lit(q)) for f in ("name", "rel", "body")}
+    hit = {f: F.contains(field(f), F.lit(q)) for f in ("name", "rel", "body")}
     found = (
         files.where(~F.col("gone") & (hit["name"] | hit["rel"] | hit["body"]))
         .withColumn("name_hit", hit["name"])

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates, names, text
-from shelfmark.operators import audit, discover, extract, links, ranking, rollup, search, triage
+from shelfmark.operators import audit, discover, extract, gram_index, links, many_queries, ranking, rollup, search, triage
 from shelfmark.operators.triage import (
     ASSET_EXTS, BINARY_EXTS, BUILD_DIRS, CHAT_WORDS, CONFIG_EXTS, DENSITY, DEPENDENCY_MARKERS, ENTRY_EXTS, ENTRY_WORDS,
     INSTALLER_EXTS, MAIL_EXTS, MEDIA_EXTS, MODEL_EXTS, PROSE_EXTS, SOURCE_EXTS, STRUCTURED_EXTS, VENDOR_DIRS,
     VENDOR_STEMS,
 )
 from shelfmark.plans import frames as fr
-from shelfmark.plans.base_sql import LISTING, TITLE, SCAN_RUNS, P, clip, on_files, on_meta, over, squeeze, words
+from shelfmark.plans.base_sql import FILES, LISTING, TITLE, SCAN_RUNS, P, clip, on_files, on_meta, over, squeeze, words
 from shelfmark.plans.registry import add
+from shelfmark.session import scratch_dir
 from shelfmark.sources import documents
 from shelfmark.policy import COVERAGE_LADDER, OPAQUE_EXTS, SANE_MTIME_MS, UBIQUITOUS_NAMES
 
@@ -102,6 +103,37 @@ add("search_many", lambda s, d: search.search_many(files(s, d), MANY, P, 10),
              "score DESC, mtime_ms DESC, path) AS rank FROM (" + " UNION ALL ".join(
                  f"SELECT '{k}' AS query, path, mtime_ms, CAST({score_sql(q)} AS BIGINT) AS score FROM files "
                  f"WHERE {SHOWN} AND {match_sql(q)}" for k, q in MANY.items()) + ")) WHERE rank <= 10"))
+
+
+# The same searches over a stored index. The common query is answered by a scan, the others by candidates.
+def indexed(s, d, **settings):
+    return gram_index.GramIndex.build(files(s, d), scratch_dir(s, "gram-index"), rows_per_block=1 << 12, **settings)
+
+
+RARE, SHORT = "thint ouea", "ß 5"
+add("search_files_indexed", lambda s, d: indexed(s, d).search_files(RARE, P, limit=50), search_sql(RARE, "true", by_score(RARE), 50))
+add("search_files_indexed_common", lambda s, d: indexed(s, d, broadcast_rows=10).search_files(QUERY, P), search_sql(QUERY, "true", by_score(QUERY), 20))
+add("search_files_indexed_short", lambda s, d: indexed(s, d).search_files(SHORT, P, limit=200), search_sql(SHORT, "true", by_score(SHORT), 200))
+add("search_total_indexed", lambda s, d: indexed(s, d).search_total(RARE, P),
+    on_files(f"SELECT count(*) AS total, count(*) > 20 AS has_more FROM files WHERE {SHOWN} AND {match_sql(RARE)}"))
+
+
+def asked(s, d):
+    """A query for every document: the second and the fifth of its words in lower case of four letters or more."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))
+    return fr.table(s, d, "documents").select(F.col("doc_id").alias("query"), F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(4))).alias("text"))
+
+
+add("search_table", lambda s, d: many_queries.search_table(files(s, d), asked(s, d), P, 5),
+    over(FILES + f""", low AS MATERIALIZED (SELECT path, mtime_ms, lower(name) AS name, lower(rel) AS rel, lower(title) AS title, lower(headings) AS headings, lower(body) AS body
+      FROM files WHERE {SHOWN}), asked AS (SELECT doc_id AS query, list_distinct(list_filter([w[2], w[5]], lambda x: x IS NOT NULL)) AS terms
+      FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]{{4,}}') AS w FROM documents)), terms AS (SELECT DISTINCT unnest(terms) AS t FROM asked),
+    hits AS MATERIALIZED (SELECT t, path, mtime_ms, s FROM (SELECT t, path, mtime_ms, """ + " + ".join(
+        f"(CASE WHEN contains({f}, t) THEN {w} ELSE 0 END)" for f, w in FIELDS.items()) + """ AS s FROM terms, low) WHERE s > 0),
+    found AS (SELECT query, path, mtime_ms, sum(s) AS score FROM (SELECT query, len(terms) AS n, unnest(terms) AS t FROM asked) q JOIN hits USING (t)
+      GROUP BY query, n, path, mtime_ms HAVING count(*) = n)""",
+    """SELECT query, rank, path, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, mtime_ms DESC, path) AS rank FROM found)
+    WHERE rank <= 5"""))
 AGE = f"({P.as_of_ms} - mtime_ms) / 86400000.0"
 add("recency_boost",
     lambda s, d: search.recency_boost(search.search_files(files(s, d), QUERY, P, limit=100), P)
@@ -125,6 +157,7 @@ def keyword_sql(q: str, where: str) -> str:
 
 
 add("search_keyword", lambda s, d: search.search_keyword(body(s, d), "the", P), keyword_sql("the", "true"))
+add("search_keyword_indexed", lambda s, d: indexed(s, d).search_keyword("tion the", P), keyword_sql("tion the", "true"))
 add("search_keyword_filtered",
     lambda s, d: search.search_keyword(body(s, d), "readme", P, kinds=["doc", "web"], top_dir="en", since_days=700),
     keyword_sql("readme", f"kind IN ('doc', 'web') AND rel LIKE 'en/%' AND mtime_ms > {P.cutoff_ms(700)}"))

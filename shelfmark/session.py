@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,58 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), name)
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's handle and file system of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A shared folder that goes when the driver's JVM ends, if nothing removes it before."""
+    path = shared_dir(spark, name)
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to a scratch folder and read it back: lineage ends here and no step is computed twice."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+class Steps:
+    """The stored steps of one run. ``drop`` removes those whose readers are written; a failure removes all.
+
+    Steps that a lazy result still reads stay until the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: set[str] = set()
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            self._remove(self.paths)
+
+    def _remove(self, paths) -> None:
+        for path in list(paths):
+            at, files = _folder(self.spark, path)
+            files.delete(at, True)
+            self.paths.discard(path)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        out = store(df, name)
+        self.paths.add(out._stored_at)
+        return out
+
+    def drop(self, *steps: DataFrame) -> None:
+        self._remove(step._stored_at for step in steps)
