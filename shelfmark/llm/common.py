@@ -6,67 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import shared_dir
+from shelfmark.session import Steps, store
 
 LAST = 2**63 - 1  # where a null id stands in the order of ids
 
 
-def folder(spark: SparkSession, path: str):
-    """Hadoop's handle and file system of a path."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: lineage ends here and no step is computed twice.
-
-    The folder goes when the driver's JVM ends, if nothing removes it before.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    at, files = folder(spark, path)
-    files.deleteOnExit(at)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-class Steps:
-    """The stored steps of one run. ``drop`` removes those whose readers are written; a failure removes all.
-
-    Steps that a lazy result still reads stay until the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.paths: set[str] = set()
-
-    def __enter__(self) -> Steps:
-        return self
-
-    def __exit__(self, kind, *_) -> None:
-        if kind is not None:
-            self.remove(self.paths)
-
-    def remove(self, paths) -> None:
-        for path in list(paths):
-            at, files = folder(self.spark, path)
-            files.delete(at, True)
-            self.paths.discard(path)
-
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        out = store(df, name)
-        self.paths.add(out._stored_at)
-        return out
-
-    def drop(self, *steps: DataFrame) -> None:
-        self.remove(step._stored_at for step in steps)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

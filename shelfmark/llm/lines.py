@@ -13,7 +13,9 @@ judged on the input, not on what is left. Lines without words stay.
    key, so a key with many lines gives no pairs.
 4. Each such match is verified on the words themselves; the earliest line stays.
 
-Texts are shuffled once, to meet the hashes of the lines to drop; a bitmap of fixed size keeps other texts out of step 3.
+Texts are shuffled once, to meet the hashes of the lines to drop; a bitmap of fixed size keeps other texts out of step 3. Lines are
+read from the texts again rather than stored for all rows. A row is named by its id and a hash of its text: rows that agree in
+both lose the same lines, so the list of a row has each line once, however many rows share an id or have none.
 
 Defined results: null text stays null; a null id stands after all others; rows that share an id are one place in the order, so lines
 they have in common stay in both; a document left without any line that it had words in is dropped. ``n_chars``, if
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import BYTE_CODE, LAST, Bitmap, Prefixes, arrow, fresh, mix, store, text_runs
+from shelfmark.llm.common import BYTE_CODE, LAST, Bitmap, Prefixes, Steps, arrow, fresh, mix, text_runs
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -106,6 +108,23 @@ def places(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, "low long, high long, doc long, k0 long, k1 long, k2 long, k3 long, number int")
 
 
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(low, high, doc, row): the distinct lines with words of each row."""
+    kinds = {n: pa.int64() for n in ("low", "high", "doc", "row")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
+            for start, texts in text_runs(batch.column("text").to_pylist()):
+                lines = Lines(texts)
+                low, high = lines.names()
+                take = np.flatnonzero(first_of(lines.doc, low, high) & (lines.words > 0))
+                at = start + lines.doc[take]
+                yield arrow(kinds, low=low[take], high=high[take], doc=ids[at], row=row[at])
+
+    return docs.mapInArrow(run, "low long, high long, doc long, row long")
+
+
 def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
     """(low, high, doc, number, line) of the lines whose hash and document may be in the bitmap."""
     kinds = {"low": pa.int64(), "high": pa.int64(), "doc": pa.int64(), "number": pa.int32(), "line": pa.binary()}
@@ -142,10 +161,9 @@ def halves_in(wanted: Bitmap):
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashed keys of each line (at -1) and of the line without word ``at``, for the words on the side of the edit."""
-    kinds = {"v0": pa.int64(), "v1": pa.int64(), "at": pa.int32(), "low": pa.int64(), "high": pa.int64(), "doc": pa.int64(),
-             "number": pa.int32()}
+    kinds = {"v0": pa.int64(), "v1": pa.int32(), "at": pa.int32(), "low": pa.int64(), "doc": pa.int64(), "number": pa.int32()}
     for batch in batches:
-        cols = {n: batch.column(n).to_numpy() for n in ("low", "high", "doc", "number", "sides")}
+        cols = {n: batch.column(n).to_numpy() for n in ("low", "doc", "number", "sides")}
         raw = batch.column("line").to_pylist()
         start = 0
         while start < len(raw):
@@ -172,7 +190,8 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 joined = left * p.down[a] + right * p.down[np.minimum(a + 1, b)]
                 keys.append(mix(np.where(whole, p.hash(a, b), joined) ^ length).view(np.int64))
             at[whole] = -1
-            pick = {name: cols[name][start:stop][row] for name in ("low", "high", "doc", "number")}
+            pick = {name: cols[name][start:stop][row] for name in ("low", "doc", "number")}
+            keys[1] = keys[1].astype(np.int32)  # the low half: a key has 96 bits
             for s in range(0, len(row), 100_000):
                 e = slice(s, s + 100_000)
                 yield arrow(kinds, v0=keys[0][e], v1=keys[1][e], at=at[e].astype(np.int32),
@@ -201,33 +220,40 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow(kinds, low=batch.column("low"), high=batch.column("high"))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(low, high) of the distinct lines that have an earlier near line."""
+def near_lines(docs: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
+    """(low, high) of the distinct lines that have an earlier near line, as a stored step."""
     # Half of the hash names a line here: two lines with the same half hash only make both candidates.
     halves = distinct.select(F.explode(F.array("k0", "k1", "k2", "k3")).alias("k")).where("k <> 0")
-    shared = store(halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "line-halves")
+    shared = steps.store(halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "line-halves")
     held = distinct.select("low", "k0", "k1", "k2", "k3").mapInArrow(
         halves_in(Bitmap(shared, "k", hashed=True)), "low long, side int, k long")
     sides = held.join(shared, "k").groupBy("low").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
-    able = store(distinct.select("low", "high", "doc", "number").join(sides, "low"), "line-candidates")
+    able = steps.store(distinct.select("low", "high", "doc", "number").join(sides, "low"), "line-candidates")
+    steps.drop(shared)
     wanted = Bitmap(able.select(F.col("low").bitwiseXOR(F.col("doc")).alias("slot")), "slot", hashed=True)
-    lines = store(texts_of(docs, wanted).join(able, ["low", "high", "doc", "number"]), "line-texts")
-    keys = store(lines.mapInArrow(variants, "v0 long, v1 long, at int, low long, high long, doc long, number int"), "line-keys")
-    place = F.struct("doc", "number", "low", "high")
+    # Rows with equal ids hold a line at the same place; one of them gives its words.
+    lines = steps.store(texts_of(docs, wanted).join(able, ["low", "high", "doc", "number"]).groupBy("low", "high", "doc", "number").agg(
+        F.first("sides").alias("sides"), F.first("line").alias("line")), "line-texts")
+    steps.drop(able)
+    keys = steps.store(lines.mapInArrow(variants, "v0 long, v1 int, at int, low long, doc long, number int"), "line-keys")
+    place = F.struct("doc", "number", "low")
     # The earliest line of each key: with the word at the same place deleted, whole, and with any word deleted.
     same = keys.where("at >= 0").groupBy("v0", "v1", "at").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     both = keys.groupBy("v0", "v1").agg(
         F.min(F.when(F.col("at") < 0, place)).alias("whole"), F.min(F.when(F.col("at") >= 0, place)).alias("cut"))
     earlier = lambda c: F.col(c) < place
     exchanged = keys.join(same.where("n > 1").drop("n"), ["v0", "v1", "at"]).where(earlier("first")).select(
-        "low", "high", F.col("first").alias("other"))
+        "low", "doc", "number", F.col("first").alias("other"))
     moved = keys.join(both.where("whole IS NOT NULL AND cut IS NOT NULL"), ["v0", "v1"]).select(
-        "low", "high", "doc", "number", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("other"))
-    moved = moved.where(earlier("other")).select("low", "high", "other")
-    pairs = exchanged.union(moved).select("low", "high", F.col("other.low").alias("low2"), F.col("other.high").alias("high2")).distinct()
-    other = lines.select(F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("line").alias("other"))
-    held = pairs.join(lines.select("low", "high", "line"), ["low", "high"]).join(other, ["low2", "high2"])
-    return held.select("low", "high", "line", "other").mapInArrow(verify, "low long, high long").distinct()
+        "low", "doc", "number", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("other"))
+    moved = moved.where(earlier("other"))
+    pairs = exchanged.union(moved).select("low", "doc", "number", F.col("other.low").alias("low2"), F.col("other.doc").alias("doc2"),
+                                          F.col("other.number").alias("number2")).distinct()
+    other = lines.select(*(F.col(c).alias(f"{c}2") for c in ("low", "doc", "number")), F.col("line").alias("other"))
+    held = pairs.join(lines.select("low", "high", "doc", "number", "line"), ["low", "doc", "number"]).join(other, ["low2", "doc2", "number2"])
+    near = steps.store(held.select("low", "high", "line", "other").mapInArrow(verify, "low long, high long").distinct(), "line-near")
+    steps.drop(lines, keys)
+    return near
 
 
 def cut_lines(told: str):
@@ -266,22 +292,23 @@ def cut_lines(told: str):
 
 def drop_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """The documents, columns as they came, without lines that an earlier place has, exactly or but for one word."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
-    found = store(places(texts, least_words), "line-places")
-    distinct = store(found.groupBy("low", "high").agg(
-        F.min(F.struct("doc", "number")).alias("p"), *(F.max(c).alias(c) for c in ("k0", "k1", "k2", "k3"))).select(
-        "low", "high", F.col("p.doc").alias("doc"), F.col("p.number").alias("number"), "k0", "k1", "k2", "k3"), "line-distinct")
-    near = store(near_lines(texts, distinct), "line-near")
-    # Two plain joins of stored tables, so that adaptive execution can split a line that very many documents have.
-    copies = found.select("low", "high", "doc").join(
-        distinct.select("low", "high", F.col("doc").alias("first")), ["low", "high"]).where("doc <> first")
-    edited = found.select("low", "high", "doc").join(near, ["low", "high"], "left_semi")
-    bad = copies.drop("first").union(edited)
-    # One row per document with lines to drop; the list is as long as the document at most.
-    told, place = fresh(docs, "_told"), fresh(docs, "_place")
-    drops = bad.groupBy(F.col("doc").alias(place)).agg(F.collect_list(F.array("low", "high")).alias(told))
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn(place, key).join(drops, place, "left").drop(place)
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.col("text").cast("string")
+    texts = docs.select(key.alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    with Steps(docs.sparkSession) as steps:
+        distinct = steps.store(places(texts, least_words).groupBy("low", "high").agg(
+            F.min(F.struct("doc", "number")).alias("p"), F.max("doc").alias("last"), *(F.max(c).alias(c) for c in ("k0", "k1", "k2", "k3"))).select(
+            "low", "high", F.col("p.doc").alias("doc"), F.col("p.number").alias("number"), "last", "k0", "k1", "k2", "k3"), "line-distinct")
+        near = near_lines(texts, distinct, steps)
+        # Only lines of several documents, or near earlier ones, go anywhere.
+        judged = steps.store(distinct.select("low", "high", F.col("doc").alias("first"), "last").join(
+            near.withColumn("near", F.lit(True)), ["low", "high"], "left").where("near OR first <> last").select(
+            "low", "high", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-judged")
+        steps.drop(distinct, near)
+    # A plain join of what is read and what is stored, so that adaptive execution can split a line that very many documents have.
+    bad = lines_of(texts).join(judged, ["low", "high"]).where("near OR doc <> first")
+    told, place, name = fresh(docs, "_told"), fresh(docs, "_place"), fresh(docs, "_row")
+    drops = bad.groupBy(F.col("doc").alias(place), F.col("row").alias(name)).agg(F.collect_set(F.array("low", "high")).alias(told))
+    rows = docs.withColumn("text", text).withColumns({place: key, name: F.xxhash64(text)}).join(drops, [place, name], "left").drop(place, name)
     schema = ", ".join(f"`{f.name}` {'boolean' if f.name == told else f.dataType.simpleString()}" for f in rows.schema.fields)
     done = rows.mapInArrow(cut_lines(told), schema).where(~F.col(told)).drop(told)
     if "n_chars" in docs.columns:

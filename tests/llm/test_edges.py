@@ -148,3 +148,14 @@ def test_pipeline_keeps_one_row_of_a_group(spark, docs, tmp_path):
         (False, 1, "the q"), (False, 3, ""), (False, 4, ""), (False, 5, "wide "), (False, 6, "\n \t\n"), (True, 0, "")]
     alone = spark.createDataFrame([(None, PROSE), (None, PROSE), (None, PROSE.upper())], "doc_id long, text string")
     assert corpus_pipeline.drop_near_duplicates(spark, alone, str(tmp_path)).count() == 1
+
+
+def test_lines_of_very_many_rows_without_an_id(spark):
+    """Rows that share an id, or have none, have a list of their own: the work grows with the rows, not with their square."""
+    text = "\n".join(f"line {i} of a document that many others hold a part of" for i in range(0, 6000, 2))
+    rows = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.expr(
+        "concat('line ', cast(id % 6000 AS string), ' of a document that many others hold a part of\nown ', cast(id AS string))").alias("text"))
+    done = lines.drop_lines(spark.createDataFrame([(1, text)], "doc_id long, text string").union(rows).union(rows.limit(1).crossJoin(spark.range(500)).drop("id")))
+    got = [r.text for r in done.where("doc_id IS NULL").collect()]
+    assert len(got) == 8500 and all(t.startswith("own ") for t in got)  # odd lines are one word off an even one
+    assert done.where("doc_id = 1").first().text == text.split("\n")[0]
