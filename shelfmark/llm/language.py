@@ -151,8 +151,9 @@ def sampled(docs: DataFrame, sample: int, per_language: int) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # Rows are thinned by their hash to some multiple of what is wanted before they meet by language.
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    near = known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit((1 << 20) * 4 * per_language))
+    # No more languages than rows can be learned from, so at most ``sample`` counts are sent to every task.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    near = known.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit((1 << 20) * 4 * per_language))
     ranked = near.select("doc_id", "lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     return ranked.where(F.col("rank") <= per_language).orderBy("rank", "h", "lang").limit(sample).select("doc_id", "lang").distinct()
 
