@@ -36,9 +36,11 @@ def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mixing.mix(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
-                       F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+    docs = table(spark, sf_dir, "documents")
+    own = mixing.free_prefix(docs)
+    done = mixing.mix(docs, prefix=own)
+    return done.select("doc_id", *(F.col(f"{own}{c}").alias(c) for c in ("source", "lang", "topic", "tokens")),
+                       F.round(f"{own}probability", 6).alias("probability"), F.col(f"{own}kept").alias("kept"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

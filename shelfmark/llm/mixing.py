@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import store
+from shelfmark.llm.common import Steps
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = {"contact": "@", "markup": "[{}<>]", "table": r" \| ", "figures": "[0-9]{3}"}
@@ -39,6 +39,13 @@ def topic_of(text: Column, topics: Mapping[str, str] = TOPICS) -> Column:
     return out
 
 
+def free_prefix(docs: DataFrame, prefix: str = "_") -> str:
+    """``prefix``, made longer until no column of ``docs`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def described(docs: DataFrame, topics: Mapping[str, str], prefix: str) -> DataFrame:
     """The documents with the columns of their cell, prefixed, and their number of tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -58,13 +65,15 @@ def goals(cells: DataFrame, dimension: str, target: Mapping[str, float] | float,
     return sums.select(dimension, (lifted / F.lit(scale) * F.lit(total)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rate: float = RATE, rounds: int = ROUNDS,
+         steps: Steps | None = None) -> DataFrame:
     """(dimensions, mass, weight): cells whose weights meet the targets as far as ``mass / rate`` allows."""
+    steps = steps or Steps(cells.sparkSession)
     total = cells.agg(F.sum("mass")).first()[0]
     if not total:
         return cells.withColumn("weight", F.col("mass"))
-    wanted = {d: store(goals(cells, d, targets[d], total), f"mix-{d}") for d in DIMENSIONS}
-    now = cells.withColumn("weight", F.col("mass"))
+    wanted = {d: steps.store(goals(cells, d, targets[d], total), f"mix-{d}") for d in DIMENSIONS}
+    last, now = None, cells.withColumn("weight", F.col("mass"))
     for _ in range(rounds):
         for d in DIMENSIONS:
             sums = now.groupBy(d).agg(F.sum("weight").alias("is")).join(wanted[d], d)
@@ -72,18 +81,27 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
             now = now.join(sums, d).select(*DIMENSIONS, "mass", F.least(
                 F.coalesce(scaled, F.lit(0.0)), F.col("mass") / F.lit(rate)).alias("weight"))
             # A step reads its input twice; written each time, plans stay small.
-            now = store(now, "mix-step")
+            now = steps.store(now, "mix-step")
+            steps.drop(*([last] if last is not None else []))
+            last = now
+    steps.drop(*wanted.values())
     return now
 
 
 def mix(docs: DataFrame, targets: Mapping = TARGETS, topics: Mapping[str, str] = TOPICS, rate: float = RATE, rounds: int = ROUNDS,
         prefix: str = "_") -> DataFrame:
-    """All documents with source, lang, topic, tokens, probability and kept, prefixed, beside their own columns."""
+    """All documents with source, lang, topic, tokens, probability and kept beside their own columns.
+
+    Their names begin with ``free_prefix(docs, prefix)``, so no column of ``docs`` is touched.
+    """
+    prefix = free_prefix(docs, prefix)
     rows = described(docs, topics, prefix)
     own = [f"{prefix}{d}" for d in DIMENSIONS]
-    cells = store(rows.groupBy(*own).agg(F.sum(f"{prefix}tokens").cast("double").alias("mass")).select(
-        *(F.col(c).alias(d) for c, d in zip(own, DIMENSIONS)), "mass").where("mass > 0"), "mix-cells")
-    chance = rake(cells, targets, rate, rounds).select(
+    with Steps(docs.sparkSession) as steps:
+        cells = steps.store(rows.groupBy(*own).agg(F.sum(f"{prefix}tokens").cast("double").alias("mass")).select(
+            *(F.col(c).alias(d) for c, d in zip(own, DIMENSIONS)), "mass").where("mass > 0"), "mix-cells")
+        raked = rake(cells, targets, rate, rounds, steps)
+    chance = raked.select(
         *(F.col(d).alias(c) for c, d in zip(own, DIMENSIONS)), (F.col("weight") / F.col("mass") * F.lit(rate)).alias(f"{prefix}p"))
     name = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     drawn = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
