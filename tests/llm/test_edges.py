@@ -159,3 +159,42 @@ def test_lines_of_very_many_rows_without_an_id(spark):
     got = [r.text for r in done.where("doc_id IS NULL").collect()]
     assert len(got) == 8500 and all(t.startswith("own ") for t in got)  # odd lines are one word off an even one
     assert done.where("doc_id = 1").first().text == text.split("\n")[0]
+
+
+def test_records_name_themselves_and_are_cut_by_their_lengths(spark):
+    rows = [(1, "u", "x" * 2000, 1_700_000_000), (1, "u", "x" * 2000, None), (None, None, "x" * 2000, None), (2, "u", None, 0), (3, "u", "é\r\n\r\n" * 90_000, 1)]
+    pages = clash(spark.createDataFrame(rows, "page_id long, url string, html string, at long")).withColumn("at", F.timestamp_seconds("at"))
+    got = archive.read_archive(archive.write_archive(pages, date="2020-01-02T03:04:05Z", date_column="at")).collect()
+    heads = [bytes(r.record).split(b"\r\n\r\n")[0].decode() for r in got]
+    named = [next(line for line in h.split("\r\n") if line.startswith("WARC-Record-ID: ")) for h in heads]
+    assert len(set(named)) == 5
+    targets = {line.split(": ")[1] for h in heads for line in h.split("\r\n") if line.startswith("WARC-Refers-To")}
+    assert targets <= {n.split(": ")[1] for n in named} and targets
+    assert sorted(r.date for r in got) == ["1970-01-01T00:00:00Z", "1970-01-01T00:00:01Z", "2020-01-02T03:04:05Z", "2020-01-02T03:04:05Z", "2023-11-14T22:13:20Z"]
+    for r in got:
+        raw = bytes(r.record)
+        head, rest = raw.split(b"\r\n\r\n", 1)
+        size = int(head.split(b"\r\nContent-Length: ")[1].split(b"\r\n")[0])
+        block = rest[:size]
+        assert rest[size:] == b"\r\n\r\n"
+        if r.record_type == "response":
+            assert block.split(b"\r\n\r\n", 1)[1] == bytes(r.payload) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        else:
+            assert block == b""
+    cut = spark.createDataFrame([(bytes(got[0].record)[:-5],), (b"no record",), (b"",), (None,)], "record binary").select(archive.cut_payload(F.col("record")).alias("p"))
+    assert {r.p for r in cut.collect()} == {None}
+
+
+def test_mixing_leaves_columns_with_its_names_alone(spark, tmp_path):
+    """The registered query on a table that has all the names it would give."""
+    from shelfmark.llm import catalog
+
+    names = ("_p", "_source", "_LANG", "_topic", "_tokens", "_probability", "_kept", "__p", "_mix_kept")
+    rows = [(i, f"some words {i}", "en" if i % 2 else None, "a", i) for i in range(20)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain.write.parquet(f"{tmp_path}/plain/documents.parquet")
+    plain.withColumns({c: F.lit(c) for c in names}).write.parquet(f"{tmp_path}/named/documents.parquet")
+    a, b = ([tuple(r) for r in catalog.op4_raked_mixture(spark, f"{tmp_path}/{d}").orderBy("doc_id").collect()] for d in ("plain", "named"))
+    assert a == b and len(a) == 20
+    kept = mixing.mix(plain.withColumns({c: F.lit(c) for c in names})).collect()
+    assert {r["_p"] for r in kept} == {"_p"} and {r["_kept"] for r in kept} == {"_kept"}
