@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.model import CHANGE_KEYS, CONTENT_COLUMNS
@@ -104,6 +104,31 @@ def scan_run_stats(actions: DataFrame) -> DataFrame:
     )
 
 
+RUN_COUNTS = {
+    "files": None, "files_seen": ("reused", "updated", "added"), "files_added": ("added",), "files_updated": ("updated",),
+    "files_reused": ("reused",), "files_removed": ("removed",)}
+
+
+def observe_run(merged: DataFrame, listed: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``merged`` with an observation that counts, per listed root, what ``scan_run_stats`` counts.
+
+    The counts are taken while the merge is written, so neither snapshot is read or joined again for them.
+    """
+    seen = Observation("scan run")
+    counts = [
+        F.count_if((F.col("root") == root) & (F.lit(True) if actions is None else F.col("action").isin(*actions))).alias(f"{i}:{name}")
+        for i, root in enumerate(listed) for name, actions in RUN_COUNTS.items()]
+    return merged.observe(seen, *(counts or [F.count(F.lit(1)).alias("all")])), seen
+
+
+def observed_run(spark: SparkSession, seen: Observation, listed: Sequence[str]) -> DataFrame:
+    """The rows of ``scan_run_stats`` for the listed roots, out of an observation whose write is done."""
+    got = seen.get
+    names = [n for n in RUN_COUNTS if n != "files"]
+    rows = [(root, *(got[f"{i}:{n}"] for n in names)) for i, root in enumerate(listed) if got[f"{i}:files"]]
+    return spark.createDataFrame(rows, "root string, " + ", ".join(f"{n} long" for n in names))
+
+
 def scan_run_record(actions: DataFrame, walked: DataFrame, run_id: int, started_ms: int, finished_ms: int) -> DataFrame:
     """The log rows of a scan, one per root: counts of files, what the walk met (``walked``: root, dirs_seen,
     skipped_dirs, errors), times, and whether every entry could be read."""

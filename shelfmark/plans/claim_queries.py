@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators import claims, projects, rollup, snapshot
 from shelfmark.plans import frames as fr
 from shelfmark.plans.base_sql import CLAIMS, LISTING, SCAN_RUNS, SNAPSHOTS, P, on_claims, over
-from shelfmark.plans.registry import add
+from shelfmark.plans.registry import ORACLES, add
+from shelfmark.session import scratch_dir
+from shelfmark.sources.snapshots import SnapshotTable, relist, start_refresh
 from shelfmark.policy import RETRACT, VERDICTS
 
 COLS = ", ".join(claims.COLUMNS)
@@ -215,6 +219,58 @@ add("diff_snapshots", lambda s, d: snapshot.diff_snapshots(*both(s, d), "path",
         " UNION ALL SELECT path, 'only-in-b', NULL, NULL FROM cur WHERE path NOT IN (SELECT path FROM prev)"))
 
 
+
+
+# -- stored snapshots: the same results from bucketed versions and their digests
+
+
+def stored(s, d):
+    """The two listings as versions 0 and 1 of a stored snapshot."""
+    prev, cur = both(s, d)
+    table = SnapshotTable(s, f"snapshot_{uuid.uuid4().hex}", scratch_dir(s, "snapshots"), buckets=8, slices=16)
+    table.write(prev, 0)
+    return table, cur
+
+
+def two_stored(s, d):
+    table, cur = stored(s, d)
+    table.write(cur.withColumns({"gone": F.lit(False), "scan_id": F.lit(2000).cast("bigint")}), 1)
+    return table
+
+
+def merged_stored(s, d):
+    table, cur = stored(s, d)
+    return table, table.merge(cur, 0, 2000, P.root_paths)
+
+
+add("merge_snapshot_stored", lambda s, d: merged_stored(s, d)[0].read(1).select("root", "path", "rel", "size", "mtime_ms", "gone", "scan_id"),
+    over(SNAPSHOTS, f"SELECT * EXCLUDE (action) FROM ({MERGED})"))
+add("scan_run_observed", lambda s, d: snapshot.observed_run(s, merged_stored(s, d)[1], P.root_paths), ORACLES["scan_run_stats"])
+add("diff_snapshots_stored", lambda s, d: two_stored(s, d).diff(0, 1, FIELDS), ORACLES["diff_snapshots"])
+SIDE = "SELECT root, top_dir, count(*) AS files, list(rel || '|' || size || '|' || mtime_ms || '|' || gone || '|' || h ORDER BY rel) AS held FROM ({}) GROUP BY root, top_dir"
+add("changed_folders", lambda s, d: two_stored(s, d).changed_folders(0, 1),
+    over(SNAPSHOTS + f""", a AS ({SIDE.format("SELECT *, sha256(text) AS h FROM prev")}),
+      b AS ({SIDE.format("SELECT * EXCLUDE (gone), false AS gone, sha256(text || CASE WHEN lang = 'es' THEN '+' ELSE '' END) AS h FROM cur")})""",
+         """SELECT coalesce(a.root, b.root) AS root, coalesce(a.top_dir, b.top_dir) AS top_dir, coalesce(a.files, 0) AS files_a, coalesce(b.files, 0) AS files_b
+      FROM a FULL OUTER JOIN b ON a.root = b.root AND a.top_dir = b.top_dir WHERE a.held IS DISTINCT FROM b.held"""))
+
+
+def refreshed(s, d):
+    """Changes as a stream of micro-batches merged into the stored snapshot, then a full listing that notices what vanished."""
+    table, cur = stored(s, d)
+    feed = scratch_dir(s, "refresh-feed")
+    twice = cur.withColumn("scan_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).withColumn(
+        "content_hash", F.when(F.col("scan_id") == 2, F.col("content_hash")).otherwise("outdated"))
+    twice.repartition(3).write.parquet(feed)
+    changes = s.readStream.schema(s.read.parquet(feed).schema).option("maxFilesPerTrigger", 2).parquet(feed)
+    start_refresh(changes, table, scratch_dir(s, "refresh-checkpoint"), P.root_paths).awaitTermination()
+    relist(table, cur.drop("content_hash"), 2000, P.root_paths)
+    return table.read(table.current()).select("root", "path", "rel", "size", "mtime_ms", "gone")
+
+
+add("stream_refresh_stored", refreshed, over(SNAPSHOTS, f"SELECT root, path, rel, size, mtime_ms, gone FROM ({MERGED})"))
+
+
 def manifest(s, d):
     """Labelled documents as an allow-list."""
     rows = fr.listing(s, d).select("doc_id", "root", F.col("rel").alias("path")).join(fr.table(s, d, "labels"), "doc_id")
