@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import claims, projects, rollup, snapshot
+from shelfmark.operators import claims, projects, rollup, snapshot, summaries
 from shelfmark.plans import frames as fr
 from shelfmark.plans.base_sql import CLAIMS, LISTING, SCAN_RUNS, SNAPSHOTS, P, on_claims, over
 from shelfmark.plans.registry import ORACLES, add
-from shelfmark.session import scratch_dir
+from shelfmark.session import scratch_dir, store
+from shelfmark.sources.sinks import append_claims
 from shelfmark.sources.snapshots import SnapshotTable, relist, start_refresh
 from shelfmark.policy import RETRACT, VERDICTS
 
@@ -43,6 +44,22 @@ add("check_claims", lambda s, d: claims.check_claims(flawed(s, d)).select("id",
     on_claims(f"SELECT id, {REJECTED} AS reject_reason FROM (SELECT {KEPT} FROM claims)"))
 add("append_claims_valid", lambda s, d: claims.validate_claims(flawed(s, d))[0],
     on_claims(f"SELECT {COLS} FROM (SELECT {KEPT} FROM claims) WHERE {REJECTED} IS NULL"))
+
+
+def appended(s, d):
+    """The events in two batches, appended to a log after validation; what the log then holds."""
+    path = scratch_dir(s, "claims")
+    for half in (0, 1):
+        append_claims(flawed(s, d).where(F.col("ts") % 2 == half), path)
+    return s.read.parquet(path).select(*claims.COLUMNS)
+
+
+def refused(s, d):
+    return append_claims(flawed(s, d), scratch_dir(s, "claims")).select("id", "reject_reason")
+
+
+add("append_claims", appended, ORACLES["append_claims_valid"])
+add("append_claims_refused", refused, on_claims(f"SELECT * FROM (SELECT id, {REJECTED} AS reject_reason FROM (SELECT {KEPT} FROM claims)) WHERE reject_reason IS NOT NULL"))
 add("current_claims", lambda s, d: claims.current_claims(log(s, d)), on_claims(f"SELECT {COLS} FROM current"))
 add("current_claims_by_verdict", lambda s, d: claims.current_claims(log(s, d)).where(F.col("verdict") == VERDICTS[0]),
     on_claims(f"SELECT {COLS} FROM current WHERE verdict = '{VERDICTS[0]}'"))
@@ -255,6 +272,25 @@ add("changed_folders", lambda s, d: two_stored(s, d).changed_folders(0, 1),
       FROM a FULL OUTER JOIN b ON a.root = b.root AND a.top_dir = b.top_dir WHERE a.held IS DISTINCT FROM b.held"""))
 
 
+def kept_up(s, d):
+    """The summary of the first version, kept up over the changes to the second."""
+    table = two_stored(s, d)
+    keys = summaries.keys_of()
+    old = store(summaries.summarise(table.read(0), keys), "summary")
+    return summaries.keep_up(old, table.changes(0, 1, ("root", "rel", "kind", "size", "mtime_ms", "gone")), table.read(1), keys)
+
+
+NOW = "SELECT {} AS top_dir, root, kind, size, mtime_ms FROM cur".format("CASE WHEN contains(rel, '/') THEN string_split(rel, '/')[1] ELSE '' END")
+KEPT_SUMS = "count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes"
+add("kept_root_stats", lambda s, d: summaries.root_stats(kept_up(s, d)),
+    over(SNAPSHOTS, f"SELECT root, {KEPT_SUMS}, max(mtime_ms) AS latest_ms FROM cur GROUP BY root"))
+add("kept_top_dirs", lambda s, d: summaries.top_level_dirs(kept_up(s, d)),
+    over(SNAPSHOTS, f"SELECT root, top_dir, {KEPT_SUMS}, max(mtime_ms) AS latest_ms FROM ({NOW}) GROUP BY root, top_dir"))
+add("kept_kind_distribution", lambda s, d: summaries.kind_distribution(kept_up(s, d)),
+    over(SNAPSHOTS, f"""SELECT CASE grouping(root, top_dir) WHEN 3 THEN 'corpus' WHEN 1 THEN 'root' ELSE 'top_dir' END AS grain, root, top_dir, kind, {KEPT_SUMS}
+      FROM ({NOW}) GROUP BY GROUPING SETS ((kind), (root, kind), (root, top_dir, kind))"""))
+
+
 def refreshed(s, d):
     """Changes as a stream of micro-batches merged into the stored snapshot, then a full listing that notices what vanished."""
     table, cur = stored(s, d)

@@ -624,7 +624,6 @@ add("projects_from_json", lambda s, d: documents.projects_from_json(fr.table(s,
     """SELECT 'a' || p_partkey AS id, '' AS name FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'b', '' FROM part WHERE p_partkey % 4 = 0
       UNION ALL SELECT p_brand, '' FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT k, CASE k WHEN 'x' THEN p_type ELSE k END FROM part, (SELECT unnest(['x', 'y', 'z']) AS k)
       WHERE p_partkey % 4 = 2""")
-CONFIGURED = P.with_(entry_docs=("00-3.md", "inbox/00-75.md"))
 add("corpus_map_kinds", lambda s, d: discover.corpus_map(files(s, d), P)["kinds"].select("kind", "files", "bytes"),
     on_files(f"SELECT kind, {TWO} FROM files WHERE {LIVE} AND {HERE} GROUP BY kind"))
 add("corpus_map_groups", lambda s, d: discover.corpus_map(files(s, d), P, fr.projects(s, d))["ledger_groups"],
@@ -637,6 +636,19 @@ TITLED = f"coalesce(nullif({squeeze('title')}, ''), name)"
 add("entry_docs", lambda s, d: discover.entry_docs(files(s, d), P),
     on_files(f"SELECT rel, path, {clip(TITLED, 80)} AS title, 'auto' AS origin, size, mtime_ms, pos AS position FROM files JOIN (SELECT path, "
              f"row_number() OVER (ORDER BY score DESC, length(rel), rel) AS pos FROM ({ENTRY_DOCS})) USING (path)"))
+
+
+def configured(s, d):
+    """The first two paths of the main root as configured entry documents."""
+    first = meta(s, d).where("NOT gone AND root = '/vault/src0'").select("rel").orderBy("rel").limit(2).collect()
+    return discover.entry_docs(files(s, d), P.with_(entry_docs=tuple(r.rel for r in first)))
+
+
+LISTED = f"SELECT rel, row_number() OVER (ORDER BY rel) - 1 AS place FROM (SELECT rel FROM files WHERE {LIVE} AND root = '/vault/src0' ORDER BY rel LIMIT 2)"
+add("entry_docs_configured", configured,
+    on_files(f"SELECT rel, path, {clip(TITLED, 80)} AS title, 'config' AS origin, size, mtime_ms, place AS position FROM files JOIN ({LISTED}) USING (rel) WHERE {LIVE} AND root = '/vault/src0' "
+             f"UNION ALL SELECT rel, path, {clip(TITLED, 80)} AS title, 'auto' AS origin, size, mtime_ms, 1 + pos AS position FROM files JOIN (SELECT path, row_number() OVER "
+             f"(ORDER BY score DESC, length(rel), rel) AS pos FROM (SELECT * FROM ({ENTRY_DOCS}) WHERE depth = 0 AND rel NOT IN (SELECT rel FROM ({LISTED})))) USING (path)"))
 add("discovery", lambda s, d: discover.discovery(files(s, d), P.with_(ledger_file="projects.json")),
     on_files(f"SELECT 'ledger' AS what, 'projects.json' AS rel, 'config' AS origin UNION ALL SELECT 'rules', rel, CASE WHEN rel IS NULL THEN 'none' "
              f"ELSE 'auto' END FROM (SELECT max(rel) AS rel FROM ({RULES}))"))

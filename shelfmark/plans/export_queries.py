@@ -442,3 +442,14 @@ add("stream_export", run_export,
          f"UNION ALL SELECT 'removed', stable_id, '', NULL FROM ided WHERE contains(rel, '/archive/') "
          f"UNION ALL SELECT CASE WHEN contains(rel, 'secret') THEN 'read:denied' WHEN fault = 'message-empty' THEN 'payload:message-empty' ELSE 'read:' || fault END, "
          f"stable_id, '', NULL FROM (SELECT *, {FAULT_SQL} AS fault FROM ided) WHERE NOT contains(rel, '/archive/') AND (contains(rel, 'secret') OR fault IS NOT NULL)"))
+
+
+# The cursor stops in front of the first scan with a document that could not be sent.
+def held(s, d):
+    rows, _ = faulty(s, d)
+    feed = rows.withColumn("scan_id", F.col("doc_id") + 10)
+    failed = feed.where("fault = 'missing'").select(keys.stable_id(F.col("root"), F.col("rel")).alias("stable_id"))
+    return jobs.held_cursor(feed, failed)
+
+
+add("held_cursor", held, f"SELECT least(max(doc_id) + 10, min(doc_id) FILTER (({FAULT_SQL}) = 'missing') + 9) AS cursor FROM documents")

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions import paths
 from shelfmark.operators.ranking import first_per
+from shelfmark.operators.summaries import signed_changes
 from shelfmark.operators.snapshot import diff_snapshots, merge_snapshot, observe_run
 
 NOT_COMPARED = ("scan_id", "action", "slice")  # what a scan changes about a row that did not change
@@ -88,6 +89,11 @@ class SnapshotTable:
         sides = [self.read(v).where(F.col("slice").isin(wanted)) for v in (a, b)]
         return diff_snapshots(*sides, "path", columns)
 
+    def changes(self, a: int, b: int, columns: Sequence[str]) -> DataFrame:
+        """``summaries.signed_changes`` from one version to another; equal slices are not read, and nothing is shuffled."""
+        wanted = self.differing_slices(a, b)
+        return signed_changes(*(self.read(v).where(F.col("slice").isin(wanted)) for v in (a, b)), columns)
+
     def merge(self, cur: DataFrame, version: int, scan_id: int, listed: Sequence[str], known: bool = True) -> Observation | None:
         """Merge a listing over a version, as the next one. What the scan did is counted in the same pass (``snapshot.observed_run``).
 
