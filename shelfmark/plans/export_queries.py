@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import keys
@@ -10,12 +11,12 @@ from shelfmark.operators import export, ledger
 from shelfmark.operators.claims import COLUMNS as CLAIM_COLUMNS
 from shelfmark.plans import frames as fr
 from shelfmark.plans.base_sql import LISTING, SNAPSHOTS, P, on_claims, over
-from shelfmark.plans.registry import add
-from shelfmark.session import shared_dir
+from shelfmark.plans.registry import ORACLES, add
+from shelfmark.session import scratch_dir
 from shelfmark.sources import corpus, documents
 from shelfmark.sources import sinks
 from shelfmark.sources.sinks import VersionedTable
-from shelfmark.streaming import jobs
+from shelfmark.streaming import jobs, ledger_stream
 
 SCOPE = "agent:corpus-inbox"
 
@@ -235,6 +236,24 @@ add("apply_results", lambda s, d: ledger.apply_results(ledger_rows(s, d), unique
       arg_max(CASE WHEN event = 'submitted' THEN '' ELSE message END, seq) FILTER (WHERE event IN ('failed', 'counted', 'submitted')) AS err FROM ev GROUP BY source_key)""",
          """SELECT source_key, CASE WHEN coalesce(idx, false) OR stage = 'indexed' THEN 'indexed' WHEN coalesce(rec, false) OR stage = 'receipted' THEN 'receipted'
       ELSE coalesce(last, stage) END AS stage, attempts + coalesce(n, 0) AS attempts, sid AS source_id, nullif(err, '') AS last_error FROM ledger LEFT JOIN folded USING (source_key)"""))
+
+
+def streamed_ledger(s, d):
+    """The same events as a stream of several micro-batches in no order, each event twice, from the stored ledger on."""
+    order = F.row_number().over(Window.partitionBy("instance", "source_key").orderBy("seq"))  # the lines of an order
+    events = unique_results(s, d).withColumn("seq", order.cast("long")).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    feed = scratch_dir(s, "ledger-feed")
+    twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice.repartition(4, F.xxhash64("source_key", "seq", "_copy")).drop("_copy").write.parquet(feed)
+    stream = s.readStream.schema(s.read.parquet(feed).schema).option("maxFilesPerTrigger", 2).parquet(feed)
+    rows = ledger_rows(s, d)
+    states = ledger_stream.ledger_states(stream, rows)
+    table = VersionedTable(s, scratch_dir(s, "ledger-states"))
+    ledger_stream.start_ledger(states, table, scratch_dir(s, "ledger-checkpoint")).awaitTermination()
+    return ledger_stream.current_ledger(rows, table.read_all(states.schema)).select("source_key", "stage", "attempts", "source_id", "last_error")
+
+
+add("stream_ledger", streamed_ledger, ORACLES["apply_results"])
 add("pending_parts", lambda s, d: ledger.pending(ledger_rows(s, d)).select("source_key", "stage"),
     over(LEDGER, "SELECT source_key, stage FROM ledger WHERE stage IN ('pending', 'failed', 'submitted')"))
 add("exhausted_parts", lambda s, d: ledger.exhausted(ledger_rows(s, d), 5).select("source_key", "attempts"),
@@ -306,7 +325,7 @@ def events_stream(s, d):
 
 
 def run_current(s, d):
-    base = shared_dir(s, "current")
+    base = scratch_dir(s, "current")
     table = VersionedTable(s, base + "/table")
     events = events_stream(s, d)
     jobs.start_current(events, table, base + "/checkpoint").awaitTermination()
@@ -314,7 +333,7 @@ def run_current(s, d):
 
 
 def run_daily(s, d):
-    base = shared_dir(s, "daily")
+    base = scratch_dir(s, "daily")
     counts = jobs.daily_counts(jobs.with_event_time(events_stream(s, d)))
     jobs.append_to(counts, base + "/out", base + "/checkpoint").awaitTermination()
     return sinks.read_written(s, base + "/out", counts.schema).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "actor_type", "verdict", "events")
@@ -322,7 +341,7 @@ def run_daily(s, d):
 
 def run_once_only(s, d):
     """Every event delivered twice; each comes out once."""
-    base = shared_dir(s, "once")
+    base = scratch_dir(s, "once")
     twice = jobs.with_event_time(events_stream(s, d)).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     once = jobs.without_repeats(twice)
     jobs.append_to(once, base + "/out", base + "/checkpoint").awaitTermination()
@@ -339,7 +358,7 @@ add("stream_without_repeats", run_once_only, on_claims("SELECT id, target, ts FR
 
 def run_refresh(s, d):
     """Extracted rows as a stream, each path twice, the newer row last; then the merge with the full listing."""
-    base = shared_dir(s, "refresh")
+    base = scratch_dir(s, "refresh")
     prev, cur = fr.snapshots(s, d)
     twice = cur.withColumn("scan_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).withColumn(
         "content_hash", F.when(F.col("scan_id") == 2, F.col("content_hash")).otherwise("outdated"))
@@ -390,7 +409,7 @@ def run_export(s, d):
     The index holds the first hundred characters of a body only, the store has whole texts. Every document comes twice,
     the second time in a later scan. Some documents cannot be read, some have no text.
     """
-    base = shared_dir(s, "export")
+    base = scratch_dir(s, "export")
     feed_dir = base + "/feed"
     rows, store = faulty(s, d)
     rows.select("path", "root", "rel", "name", "gone", "denied", "body", "size",
@@ -430,7 +449,7 @@ add("payload_digests", lambda s, d: batches(s, d, P).select("source_key", "paylo
 
 def sent_lines(s, d):
     """Batches written as lines of text and read back."""
-    path = shared_dir(s, "batches") + "/lines"
+    path = scratch_dir(s, "batches") + "/lines"
     sinks.write_batches(batches(s, d, P), path)
     return s.read.text(path).select(F.sha2("value", 256).alias("payload_digest"), F.octet_length("value").alias("payload_bytes"))
 

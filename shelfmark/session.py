@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -95,3 +96,11 @@ class Steps:
 
     def drop(self, *steps: DataFrame) -> None:
         self._remove(step._stored_at for step in steps)
+
+    def sweep(self) -> None:
+        """Have Spark remove the shuffle files of jobs that are done.
+
+        It does so once the driver's JVM has collected what refers to them, which otherwise happens whenever its heap is full.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
