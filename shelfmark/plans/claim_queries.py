@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import claims, projects, rollup, snapshot, summaries
+from shelfmark.operators import claims, projects, rollup, settings, snapshot, summaries
 from shelfmark.plans import frames as fr
 from shelfmark.plans.base_sql import CLAIMS, LISTING, SCAN_RUNS, SNAPSHOTS, P, on_claims, over
 from shelfmark.plans.registry import ORACLES, add
@@ -325,3 +325,27 @@ add("latest_version",
     lambda s, d: snapshot.latest_version(both(s, d)[0].select("path", "size", "scan_id").unionByName(
         both(s, d)[1].select("path", "size", F.lit(5000).cast("bigint").alias("scan_id")))),
     over(SNAPSHOTS, "SELECT path, size, 5000 AS scan_id FROM cur UNION ALL SELECT path, size, scan_id FROM prev WHERE path NOT IN (SELECT path FROM cur)"))
+
+
+# -- settings: every part has defaults and a patch of its own, nested three deep
+
+BASE_JSON = """concat('{"caps":{"text":', p_size, ',"depth":24},"roots":["', p_brand, '"],"words":{"inbox":"', p_type, '","more":{"a":1,"b":[1,2]}}}')"""
+PATCH_JSON = """CASE p_partkey % 4 WHEN 0 THEN concat('{"caps":{"text":', p_partkey, '},"roots":["x","y"]}') WHEN 1 THEN '{"words":{"more":{"b":[],"c":{"d":true}}},"caps":7}'
+  WHEN 2 THEN concat('{"roots":{"main":"', p_brand, '"},"words":{"inbox":{"at":"', p_type, '"}}}') ELSE '{"words":{},"new":{}}' END"""
+
+
+def nested(s, d):
+    return fr.table(s, d, "part").selectExpr("p_partkey AS id", f"{BASE_JSON} AS base", f"{PATCH_JSON} AS patch")
+
+
+def merged_settings(s, d):
+    return settings.deep_merge(nested(s, d)).select("id", F.concat(F.lit("$."), F.array_join("path", ".")).alias("key"), "value")
+
+
+add("deep_merge", merged_settings,
+    f"""SELECT p_partkey AS id, replace(t.fullkey, '"', '') AS key, CAST(t.value AS VARCHAR) AS value FROM (SELECT p_partkey, json_merge_patch(CAST({BASE_JSON} AS JSON), CAST({PATCH_JSON} AS JSON)) AS j
+      FROM part), json_tree(j) AS t WHERE NOT contains(t.fullkey, '[') AND (t.type <> 'OBJECT' OR CAST(t.value AS VARCHAR) = '{{}}')""")
+add("deep_merge_documents", lambda s, d: settings.rebuild(settings.deep_merge(nested(s, d))).select(
+        "id", F.get_json_object("document", "$.words.more").alias("more"), F.get_json_object("document", "$.caps").alias("caps"), F.get_json_object("document", "$.new").alias("new")),
+    f"""SELECT p_partkey AS id, CAST(json_extract(j, '$.words.more') AS VARCHAR) AS more, CASE WHEN p_partkey % 4 = 1 THEN '7' ELSE '{{"depth":24,"text":' || CAST(json_extract(j, '$.caps.text') AS VARCHAR) || '}}' END AS caps,
+      CAST(json_extract(j, '$.new') AS VARCHAR) AS new FROM (SELECT p_partkey, json_merge_patch(CAST({BASE_JSON} AS JSON), CAST({PATCH_JSON} AS JSON)) AS j FROM part)""")
