@@ -16,9 +16,12 @@ import time
 import pyspark
 
 from shelfmark.operators import audit, discover, links, rollup, search, snapshot, triage
+from shelfmark.operators.gram_index import GramIndex
+from shelfmark.operators.many_queries import search_table
 from shelfmark.plans import catalog, frames
-from shelfmark.plans.corpus_queries import MANY
+from shelfmark.plans.corpus_queries import MANY, asked
 from shelfmark.session import build_session, shared_dir
+from shelfmark.sources.snapshots import SnapshotTable
 
 POLICY = frames.POLICY
 TABLES = "customer orders lineitem part events documents pages labels conversations nation".split()
@@ -37,6 +40,11 @@ ON_INDEX = {
     "triage": lambda f: triage.triage(f, POLICY),
     "discover_entry_docs": lambda f: discover.discover_entry_docs(f, POLICY),
 }
+INDEXED = {
+    "search_files_indexed": lambda i: i.search_files("erthin ouea", POLICY),
+    "search_total_indexed": lambda i: i.search_total("erthin ouea", POLICY),
+    "search_keyword_indexed": lambda i: i.search_keyword("the erthin", POLICY),
+}
 ON_SNAPSHOTS = {
     "merge_snapshot": lambda prev, cur: snapshot.merge_snapshot(prev, cur, 2000, POLICY.root_paths),
     "diff_snapshots": lambda prev, cur: snapshot.diff_snapshots(prev, cur, "path", ("size", "mtime_ms", "kind", "name", "denied")),
@@ -76,6 +84,15 @@ def main() -> None:
     jobs = {"index_build": lambda: frames.files(spark, sf_dir).write.mode("overwrite").parquet(index)}
     for name, report in ON_INDEX.items():
         jobs[name] = lambda report=report: discard(report(spark.read.parquet(index)))
+    built = []
+    jobs["gram_index_build"] = lambda: built.append(GramIndex.build(spark.read.parquet(index), shared_dir(spark, "gram")))
+    for name, report in INDEXED.items():
+        jobs[name] = lambda report=report: discard(report(built[-1]))
+    jobs["search_table"] = lambda: discard(search_table(spark.read.parquet(index), asked(spark, sf_dir), POLICY, 5))
+    table = SnapshotTable(spark, "bench_snapshot", shared_dir(spark, "snapshots"), buckets=int(cpus), slices=8)
+    jobs["snapshot_write"] = lambda: table.write(spark.read.parquet(sides[0]), 0)
+    jobs["snapshot_merge_and_store"] = lambda: table.merge(spark.read.parquet(sides[1]), 0, 2000, POLICY.root_paths)
+    jobs["snapshot_diff"] = lambda: discard(table.diff(0, 1, ("size", "mtime_ms", "kind", "name", "denied")))
     pages = shared_dir(spark, "pages")
     frames.page_files(spark, sf_dir).write.parquet(pages)
     jobs["broken_links"] = lambda: discard(links.broken_links(spark.read.parquet(pages), POLICY))
@@ -85,6 +102,10 @@ def main() -> None:
         jobs[name] = lambda name=name: discard(catalog.QUERIES[name](spark, sf_dir))
 
     wanted = sys.argv[1:] or list(jobs)
+    if any("indexed" in name for name in wanted):
+        wanted.append("gram_index_build")
+    if any(name.startswith("snapshot_") for name in wanted):
+        wanted += ["snapshot_write", "snapshot_merge_and_store"]
     seconds = {}
     failed = {}
     for name, job in jobs.items():

@@ -11,7 +11,7 @@ from shelfmark.plans import frames as fr
 from shelfmark.plans.base_sql import CLAIMS, LISTING, SCAN_RUNS, SNAPSHOTS, P, on_claims, over
 from shelfmark.plans.registry import ORACLES, add
 from shelfmark.session import scratch_dir, store
-from shelfmark.sources.sinks import append_claims
+from shelfmark.sources.sinks import append_claims, append_scan_runs
 from shelfmark.sources.snapshots import SnapshotTable, relist, start_refresh
 from shelfmark.policy import RETRACT, VERDICTS
 
@@ -262,7 +262,14 @@ def merged_stored(s, d):
 
 add("merge_snapshot_stored", lambda s, d: merged_stored(s, d)[0].read(1).select("root", "path", "rel", "size", "mtime_ms", "gone", "scan_id"),
     over(SNAPSHOTS, f"SELECT * EXCLUDE (action) FROM ({MERGED})"))
-add("scan_run_observed", lambda s, d: snapshot.observed_run(s, merged_stored(s, d)[1], P.root_paths), ORACLES["scan_run_stats"])
+def logged_run(s, d):
+    """The scan as the merge counted it, appended to the log of scans; what the log then holds."""
+    log_dir = scratch_dir(s, "scan-runs")
+    append_scan_runs(snapshot.observed_run(s, merged_stored(s, d)[1], P.root_paths), log_dir)
+    return s.read.parquet(log_dir)
+
+
+add("scan_run_observed", logged_run, ORACLES["scan_run_stats"])
 add("diff_snapshots_stored", lambda s, d: two_stored(s, d).diff(0, 1, FIELDS), ORACLES["diff_snapshots"])
 SIDE = "SELECT root, top_dir, count(*) AS files, list(rel || '|' || size || '|' || mtime_ms || '|' || gone || '|' || h ORDER BY rel) AS held FROM ({}) GROUP BY root, top_dir"
 add("changed_folders", lambda s, d: two_stored(s, d).changed_folders(0, 1),
