@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +101,10 @@ class Steps:
     def sweep(self) -> None:
         """Have Spark remove the shuffle files of jobs that are done.
 
-        It does so once the driver's JVM has collected what refers to them, which otherwise happens whenever its heap is full.
+        It does so once the driver's JVM has collected what refers to them, which otherwise happens whenever its heap is full. What
+        Python lets go in the first round the JVM finds in the second.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
