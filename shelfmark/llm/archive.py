@@ -79,6 +79,7 @@ def write_archive(pages: DataFrame, least_revisit_bytes: int = 1000, date: str =
             "page_id", "address", F.encode(header, "UTF-8").alias("header")), "warc-headers")
         payloads = steps.store(rows.groupBy("address").agg(F.first("payload").alias("payload")), "warc-payloads")
         steps.drop(facts)
+        steps.sweep()
     return Archive(headers, payloads)
 
 
@@ -107,11 +108,11 @@ def read_archive(archive: Archive) -> DataFrame:
 
 def cut_payload(record: Column) -> Column:
     """The payload of a response record: behind its two heads, as long as its lengths say; null if they don't fit together."""
-    # One character per byte, so that places in the text are places in the bytes.
-    text = F.decode(record, "ISO-8859-1")
+    # The bytes as they are, taken for a string: looking for a stretch of bytes in it does not care whether they are text.
+    text = record.cast("string")
     head = F.substring_index(text, CRLF * 2, 1)
-    block = F.length(head) + 5
-    http = F.length(F.substring_index(text, CRLF * 2, 2)) + 5  # where the payload begins
+    block = F.octet_length(head) + 5
+    http = F.octet_length(F.substring_index(text, CRLF * 2, 2)) + 5  # where the payload begins
     length = F.regexp_extract(head, r"\r\nContent-Length: (\d+)", 1).try_cast("int")
     fits = F.octet_length(record) == block + length + 3
     return F.when(fits & (http <= block + length), F.substring(record, http, block + length - http))
