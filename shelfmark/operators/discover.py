@@ -126,7 +126,7 @@ def discover_rules(files: DataFrame, policy: Policy, root: str | None = None, mo
 def entry_docs(files: DataFrame, policy: Policy, root: str | None = None) -> DataFrame:
     """Configured entry documents in their order, then found ones, with file metadata.
 
-    Once something is configured, found documents below the top level are left out.
+    Configured positions count from 0, found ones go on behind the last of them; without any, they count from 1. Once something is configured, found documents below the top level are left out.
     """
     where = root or policy.main_root
     here = files.where(~F.col("gone") & (F.col("root") == where))
@@ -139,7 +139,7 @@ def entry_docs(files: DataFrame, policy: Policy, root: str | None = None) -> Dat
         "rel", "path", "title", "name", "size", "mtime_ms", F.lit("config").alias("origin"), position.alias("_pos"))
     if listed:
         found = found.where((F.col("depth") == 0) & ~F.col("rel").isin(*listed))
-    picked = found.select("path", (F.lit(len(listed)) + F.row_number().over(
+    picked = found.select("path", (F.lit(max(len(listed) - 1, 0)) + F.row_number().over(
         W.orderBy(F.desc("score"), F.length("rel"), "rel"))).alias("_pos"))  # twelve rows at most
     auto = here.join(F.broadcast(picked), "path").select(
         "rel", "path", "title", "name", "size", "mtime_ms", F.lit("auto").alias("origin"), "_pos")

@@ -217,6 +217,12 @@ def test_discovery(ws, pol):
     assert {(r["what"], r["origin"]) for r in discover.discovery(ws, pol.with_(rules_file="x.md")).collect()} == {("ledger", "auto"), ("rules", "config")}
 
 
+def test_found_entry_docs_go_on_behind_the_configured_ones(ws, pol):
+    for listed, want in ((("dup-a.txt", "协作资料/README.md"), [0, 1, 2]), (("dup-a.txt",), [0, 1]), ((), [1, 2])):
+        rows = discover.entry_docs(ws, pol.with_(entry_docs=listed)).orderBy("position").collect()
+        assert [r["position"] for r in rows][:3] == want
+
+
 def test_ledger_candidates_are_checked_for_shape(make_files, policy):
     files = make_files({"projects.csv": "id,name\n1,a\n\n2,b\n", "a-ledger.csv": "id\n1", "registry.json": "not json", "inventory.json": "[1, 2, 3]",
                         "deep/er/than/projects.json": "[1]", "other.json": "[1]"})
