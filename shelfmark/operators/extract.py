@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names, paths
-from shelfmark.functions.text import CJK, SPACE, let, squeeze, strip
+from shelfmark.functions.text import CJK, SPACE, any_true, let, squeeze, strip
 from shelfmark.operators.ranking import each
 from shelfmark.policy import Policy
 
@@ -209,38 +209,26 @@ def line_window(files: DataFrame, path: str | None = None, start: int = 1, n: in
 def repeating_ngrams(files: DataFrame, n: int = 2, min_count: int = 2, char_class: str = CJK) -> DataFrame:
     """(path, ngram, hits): character n-grams that occur at least ``min_count`` times in one body.
 
-    Counting happens inside the row: sorting the n-grams of a body with their places puts equal ones side by side. An
-    n-gram that can overlap itself is counted without overlaps. The body itself goes no further than this row.
+    Counting happens inside the row: sorting the n-grams of a body puts equal ones side by side, and a run of them is cut out of the joined
+    list, which costs as much as the text is long. An n-gram that can overlap itself is counted once more, without overlaps. The body itself goes no further than this row.
     """
-    letters = F.split(F.col("body"), "")
-    grams = let(
-        F.filter(letters, lambda c: c != ""),
-        lambda cs: F.when(
-            F.size(cs) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(cs) - (n - 1)), lambda i: F.struct(
-                F.array_join(F.slice(cs, i, n), "").alias("g"), i.alias("at"))),
-        ).otherwise(F.array().cast("array<struct<g: string, at: int>>")),
-    )
-    kept = F.array_sort(F.filter(grams, lambda x: x["g"].rlike(f"^{char_class}{{{n}}}$")))
-    starts_at = lambda s: F.filter(
-        F.transform(s, lambda x, i: F.struct(x["g"].alias("g"), i.alias("i"))),
-        lambda x: (x["i"] == 0) | (F.get(s, x["i"] - 1)["g"] != x["g"]))
-
-    def apart(places: Column) -> Column:
-        """How many of the places, left to right, do not overlap the one counted before."""
-        first = F.struct(F.lit(-n).alias("last"), F.lit(0).cast("bigint").alias("count"))
-        return F.aggregate(places, first, lambda a, x: F.when(
-            x["at"] >= a["last"] + n, F.struct(x["at"].alias("last"), (a["count"] + 1).alias("count"))).otherwise(a))["count"]
-
-    def hits_of(s: Column, x: Column, size: Column) -> Column:
-        overlaps = F.substring(x["g"], 1, 1) == F.substring(x["g"], -1, 1)
-        return F.when(overlaps, apart(F.slice(s, x["i"] + 1, size))).otherwise(size.cast("bigint"))
-
-    counted = let(kept, lambda s: let(starts_at(s), lambda r: F.transform(
-        r, lambda x, k: F.struct(x["g"].alias("ngram"), hits_of(
-            s, x, F.coalesce(F.get(r, k + 1)["i"], F.size(s)) - x["i"]).alias("hits")))))
-    often = F.filter(counted, lambda x: x["hits"] >= min_count)
-    return each(files.where(F.length("body") > 0), ["path"], often, "_x").select("path", "_x.ngram", "_x.hits")
+    # Each match is one code point, so that none begins inside another; one that begins no n-gram gives an empty text.
+    grams = F.regexp_extract_all("body", F.lit(f"(?s)(?:(?=({char_class}{{{n}}}))|)."), F.lit(1))
+    joined = F.array_join(F.array_sort(F.array_remove(grams, "")), "")
+    runs = F.regexp_extract_all(joined, F.lit(f"(?s)(.{{{n}}})\\1*+"), F.lit(0))
+    often = F.transform(F.filter(runs, lambda r: F.length(r) >= n * min_count), lambda r: F.struct(
+        F.substring(r, 1, n).alias("g"), F.floor(F.length(r) / n).alias("n")))
+
+    def apart(g: Column) -> Column:
+        return F.floor((F.length("body") - F.length(F.replace(F.col("body"), g, F.lit("")))) / n)
+
+    def hits_of(x: Column) -> Column:
+        overlaps = any_true([F.substring(x["g"], 1, k) == F.substring(x["g"], -k, k) for k in range(1, n)])
+        return F.when(overlaps, apart(x["g"])).otherwise(x["n"])
+
+    counted = F.transform(often, lambda x: F.struct(x["g"].alias("ngram"), hits_of(x).alias("hits")))
+    kept = F.filter(counted, lambda x: x["hits"] >= min_count)
+    return each(files.where(F.length("body") > 0), ["path"], kept, "_x").select("path", "_x.ngram", "_x.hits")
 
 
 def path_parts(files: DataFrame) -> DataFrame:

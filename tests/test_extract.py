@@ -75,6 +75,14 @@ def test_repeating_ngrams_count_without_overlap(make_files):
     assert got == {("/w/a.md", "项目"): 2, ("/w/b.md", "哈哈"): 2}
 
 
+def test_repeating_ngrams_overlap_by_more_than_a_letter(make_files):
+    files = make_files({"a.md": "abababab abab 😀😀😀😀", "b.md": "ababab"})
+    grams = lambda n, least, kind: {(r["path"], r["ngram"]): r["hits"] for r in extract.repeating_ngrams(files, n, least, kind).collect()}
+    assert grams(4, 2, "[a-z]") == {("/w/a.md", "abab"): 3}
+    assert grams(2, 2, "[^a-z ]") == {("/w/a.md", "😀😀"): 2}
+    assert grams(1, 5, "[a-z]") == {("/w/a.md", "a"): 6, ("/w/a.md", "b"): 6}
+
+
 def test_scan_extract_and_prune(spark, policy, scratch):
     import os
 
