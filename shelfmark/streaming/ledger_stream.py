@@ -1,12 +1,13 @@
 """The ledger of sent batches as a keyed state machine over the stream of result events.
 
 State per batch: how far it got, how often it was tried, the newest ids and error with the number of their event, and which events it
-has seen. ``at`` is when a result was received, ``seq`` its place among those of its batch. Events may come out of order and more than once; what a batch is in the end depends on the set of its events
+has seen, a bit per number. All of it is one value but for the bits of numbers that lie far apart, since each access to the state is a message between Python and
+the JVM. ``at`` is when a result was received, ``seq`` its place among those of its batch. Events may come out of order and more than once; what a batch is in the end depends on the set of its events
 only, and equals ``ledger.apply_results`` over them. A batch that was receipted never falls back.
 
 A batch that was tried and has no receipt gets a timer; when the time of the events (``at``, less the allowed delay) has passed it, a row with
 action ``retry`` asks for it to be sent again, with twice the wait each time, and after ``max_attempts`` a row with action ``exhausted``
-hands it to a person. A receipt takes the timer back. State and timers live in Spark's state store and survive a restart with the checkpoint.
+hands it to a person. A receipt takes the wish back; a timer that goes off early is set anew, one that goes off for nothing says nothing. State and timers live in Spark's state store and survive a restart with the checkpoint.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from shelfmark.sources.sinks import VersionedTable
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = ("stage string, attempts long, done int, last_seq long, source_id string, source_seq long, job_id string, job_seq long, "
-         "error string, error_kind string, error_seq long, timer long, events long")
+         "error string, error_kind string, error_seq long, timer long, due long, events long, chunk long, bits binary, more boolean")
+FIELDS = [f.split()[0] for f in STATE.split(", ")]
 OUT = ("instance string, source_key string, stage string, attempts long, source_id string, job_id string, last_error string, "
        "last_error_kind string, action string, events long")
 NONE = -(2**63)  # the number of an event that has not come yet
 DONE = {"receipted": 1, "indexed": 2}
+CHUNK = 9  # bits of a number that stand for its place in a chunk
 
 
 class Batches(StatefulProcessor):
@@ -36,13 +39,16 @@ class Batches(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("batch", STATE)
-        self.seen = handle.getMapState("seen", "seq long", "there boolean")
+        self.seen = handle.getMapState("seen", "chunk long", "bits binary")  # all chunks but the one in the value
+
+    @staticmethod
+    def _blank() -> dict:
+        return dict.fromkeys(FIELDS) | {"stage": "pending", "attempts": 0, "done": 0, "last_seq": NONE, "source_seq": NONE, "job_seq": NONE,
+                                        "error_seq": NONE, "events": 0, "more": False}
 
     def _load(self) -> dict:
-        if self.state.exists():
-            return dict(zip([f.split()[0] for f in STATE.split(", ")], self.state.get()))
-        return {"stage": "pending", "attempts": 0, "done": 0, "last_seq": NONE, "source_id": None, "source_seq": NONE, "job_id": None,
-                "job_seq": NONE, "error": None, "error_kind": None, "error_seq": NONE, "timer": None, "events": 0}
+        held = self.state.get()
+        return self._blank() if held is None else dict(zip(FIELDS, held))
 
     def _save(self, s: dict) -> None:
         self.state.update(tuple(s.values()))
@@ -55,18 +61,41 @@ class Batches(StatefulProcessor):
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """A row of the stored ledger: everything that comes is newer."""
-        s = self._load()
+        s = self._blank()
         s.update(stage=initialState.stage, attempts=initialState.attempts, done=DONE.get(initialState.stage, 0), source_id=initialState.source_id,
                  job_id=initialState.job_id, error=initialState.last_error, error_kind=initialState.last_error_kind)
         self._save(s)
 
+    def _chunk(self, s: dict, number: int) -> int:
+        """The bits of a chunk of event numbers."""
+        if number == s["chunk"]:
+            return int.from_bytes(s["bits"], "little")
+        held = self.seen.getValue((number,)) if s["more"] and self.seen.containsKey((number,)) else None
+        return 0 if held is None else int.from_bytes(held[0], "little")
+
+    def _keep(self, s: dict, chunks: dict[int, int]) -> None:
+        """Newest bits of some chunks; the last chunk goes into the value, any other into the map."""
+        as_bytes = {n: bits.to_bytes(1 << CHUNK - 3, "little") for n, bits in chunks.items()}
+        if s["chunk"] is not None:
+            as_bytes.setdefault(s["chunk"], bytes(s["bits"]))
+        *others, last = sorted(as_bytes)
+        for n in others:
+            if n in chunks or n == s["chunk"]:
+                self.seen.updateValue((n,), (as_bytes[n],))
+                s["more"] = True
+        s["chunk"], s["bits"] = last, as_bytes[last]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         s, tried, last = self._load(), False, 0
+        chunks: dict[int, int] = {}
         for r in rows:
             last = max(last, int(r.at.timestamp() * 1000))
-            if self.seen.containsKey((r.seq,)):
+            number, bit = r.seq >> CHUNK, 1 << (r.seq & (1 << CHUNK) - 1)
+            if number not in chunks:
+                chunks[number] = self._chunk(s, number)
+            if chunks[number] & bit:
                 continue
-            self.seen.updateValue((r.seq,), (True,))
+            chunks[number] |= bit
             s["events"] += 1
             if r.event in ("submitted", "failed", "counted"):
                 s["attempts"] += 1
@@ -81,21 +110,33 @@ class Batches(StatefulProcessor):
                 wrong = r.event != "submitted"
                 s["error"] = r.message[:ERROR_CHARS] if wrong and r.message is not None else None
                 s["error_kind"], s["error_seq"] = r.kind if wrong else None, r.seq
-        if s["timer"] is not None and (s["done"] or tried):
-            self.handle.deleteTimer(s["timer"])
-            s["timer"] = None
-        if tried and not s["done"]:
+        if s["done"]:
+            s["due"] = None
+        elif tried:
             # In front of the watermark, whatever the event came late by.
-            s["timer"] = max(last, timerValues.getCurrentWatermarkInMs()) + self.wait_ms * 2 ** min(s["attempts"] - 1, 20)
-            self.handle.registerTimer(s["timer"])
+            s["due"] = max(last, timerValues.getCurrentWatermarkInMs()) + self.wait_ms * 2 ** min(s["attempts"] - 1, 20)
+            if s["timer"] is None or s["due"] < s["timer"]:
+                self._set_timer(s)
+        self._keep(s, chunks)
         self._save(s)
         yield self._row(key, s, "state")
 
+    def _set_timer(self, s: dict) -> None:
+        if s["timer"] is not None:
+            self.handle.deleteTimer(s["timer"])
+        s["timer"] = s["due"]
+        self.handle.registerTimer(s["timer"])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = self._load()
         s["timer"] = None
+        due = s["due"]
+        if due is not None and due > timerValues.getCurrentWatermarkInMs():
+            self._set_timer(s)  # it was put off
+        else:
+            s["due"] = None
         self._save(s)
-        if not s["done"]:
+        if due is not None and s["due"] is None:
             yield self._row(key, s, "exhausted" if s["attempts"] >= self.max_attempts else "retry")
 
     def close(self) -> None:

@@ -79,3 +79,53 @@ def test_timers_ask_again_then_give_up_and_a_receipt_takes_them_back(spark, job)
     feed(event(101, "a", 3, "failed"), event(101, "a", 3, "failed"))
     feed(event(300, "x", 3, "indexed"))
     assert told(run()) == [("a", "exhausted", 3), ("a", "retry", 1), ("a", "retry", 2), ("b", "exhausted", 4)]
+
+
+def test_numbers_far_apart_and_a_wait_put_off(spark, job):
+    feed, run, start, _ = job
+    told = lambda states: sorted((r.source_key, r.action, r.attempts) for r in states.where("action <> 'state'").collect())
+    numbers = [-5, -1, 0, 511, 512, 513, 5000, 2**40]
+    events = [event(0, "a", n, "counted", f"s{n}") for n in numbers]
+    feed(*events[4:], *events[:2])
+    feed(*events)
+    feed(event(0, "d", 1, "submitted"))
+    feed(event(9, "d", 2, "failed"))
+    assert told(run()) == []
+    feed(event(20, "x", 1, "indexed"))  # past the first wait of d, not past the second
+    states = run()
+    assert told(states) == []
+    assert {r.source_key: (r.attempts, r.events, r.source_id) for r in states.where("source_key = 'a'").orderBy("events").collect()}["a"] == (8, 8, f"s{2**40}")
+    feed(event(40, "x", 2, "indexed"))
+    assert told(run()) == [("d", "retry", 2)]
+
+
+def test_an_event_costs_no_message_of_its_own():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    class Counted:
+        def __init__(self):
+            self.calls, self.held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+        def __getattr__(self, name):
+            def call(*_):
+                self.calls += 1
+                return False
+            return call
+
+    batches, held = ledger_stream.Batches(5, 1000), Counted()
+    batches.handle = batches.state = batches.seen = held
+    rows = [Row(at=at(0), seq=n, event="submitted", source_id=None, job_id=None, kind=None, message=None) for n in range(1, 101)]
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    for _ in range(2):
+        list(batches.handleInputRows(("i", "a"), iter(rows), times))
+    assert held.calls <= 6
