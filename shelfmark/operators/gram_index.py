@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -56,21 +57,25 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per piece of rows of one block: the sorted places of every gram."""
     for batch in batches:
         blocks, places = batch.column("block").to_numpy(), batch.column("place").to_numpy()
-        texts = batch.column("text").to_pylist()
+        column, rows = batch.column("text"), batch.num_rows
+        lengths = pc.utf8_length(column).to_numpy()
         start = 0
-        while start < len(texts):
+        while start < rows:
             stop, size = start, 0
-            while stop < len(texts) and blocks[stop] == blocks[start] and (stop == start or size + len(texts[stop]) <= PIECE):
-                size, stop = size + len(texts[stop]) + 3, stop + 1
-            data = np.frombuffer((END * 2).join([*texts[start:stop], "", ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-            length = np.array([len(t) + 2 for t in texts[start:stop]])
-            row = np.repeat(np.arange(stop - start), length)
-            first, second, third = data[:len(row)], data[1:len(row) + 1], data[2:len(row) + 2]
-            third = np.where(second == 0, 0, third)
-            held = first != 0
-            codes = (first << 2 * BITS | second << BITS | third)[held]
-            row = row[held]
-            order = np.lexsort((row, codes))
+            while stop < rows and blocks[stop] == blocks[start] and (stop == start or size + lengths[stop] <= PIECE):
+                size, stop = size + lengths[stop] + 3, stop + 1
+            # Only the texts of one piece are Python's at a time, and rows stand in order, so equal grams keep theirs.
+            texts = column.slice(start, stop - start).to_pylist()
+            data = np.frombuffer((END * 2).join([*texts, "", ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+            del texts
+            row = np.repeat(np.arange(stop - start, dtype=np.int32), lengths[start:stop] + 2)
+            codes = data[:len(row)].astype(np.int64)
+            held = codes != 0
+            for following in (data[1:len(row) + 1], np.where(data[1:len(row) + 1] == 0, 0, data[2:len(row) + 2])):
+                codes <<= BITS
+                codes |= following
+            codes, row = codes[held], row[held]
+            order = np.argsort(codes, kind="stable")
             codes, row = codes[order], row[order]
             fresh = np.ones(len(codes), bool)
             fresh[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])

@@ -129,3 +129,22 @@ def test_very_many_queries_read_the_texts_once(spark, corpus):
     assert [(r.query, r.rank) for r in got] == [(-1, 1)]
     assert many_queries.search_table(files, queries.limit(0), pol).collect() == []
     assert many_queries.search_table(files.limit(0), queries.limit(9), pol).collect() == []
+
+
+def test_only_the_texts_of_a_piece_are_held_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int64)), pa.array(np.arange(rows, dtype=np.int32)), pa.array(["ab" * 50_000] * rows)],
+                                       names=["block", "place", "text"])
+    tracemalloc.start()
+    try:
+        made = gram_index._postings(iter([batch]))
+        next(made)
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 60 << 20  # the texts are 100 MB
