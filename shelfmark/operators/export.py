@@ -310,14 +310,16 @@ def read_whole(changes: DataFrame, content: DataFrame) -> DataFrame:
 
     ``content`` has path, size in bytes and text as it is stored now; nothing that an index cut or took apart is used.
     """
-    there = content.select(F.col("path").alias("_path"), F.col("size").alias("_actual"), F.col("text").alias("_text"))
+    # Looked at before the join: whoever asks for reasons only moves no text.
+    there = content.select(F.col("path").alias("_path"), F.col("size").alias("_actual"), F.col("text").alias("_text"),
+                           F.contains("text", F.lit("\u0000")).alias("_nul"))
     joined = changes.join(there, F.col("path") == F.col("_path"), "left")
     reason = (
         F.when(F.col("denied"), "denied").when(F.col("_path").isNull(), "missing")
         .when((F.col("size") != 0) & (F.col("size") != F.col("_actual")), "size-mismatch")
-        .when(F.contains("_text", F.lit("\u0000")), "binary")
+        .when(F.col("_nul"), "binary")
     )
-    return joined.withColumns({"reason": reason, "body": F.coalesce("_text", F.lit(""))}).drop("_path", "_actual", "_text")
+    return joined.withColumns({"reason": reason, "body": F.coalesce("_text", F.lit(""))}).drop("_path", "_actual", "_text", "_nul")
 
 
 def check_read(files: DataFrame, actual: DataFrame) -> DataFrame:

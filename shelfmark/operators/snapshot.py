@@ -188,6 +188,11 @@ def next_cursor(changes: DataFrame, cursor: int) -> DataFrame:
     return changes.agg(F.greatest(F.coalesce(F.max("scan_id"), F.lit(cursor)), F.lit(cursor)).alias("cursor"))
 
 
+def clean_rel() -> Column:
+    """The relative path of a file as a manifest spells it."""
+    return F.regexp_replace(F.regexp_replace(F.col("rel"), r"\\", "/"), r"^\./", "")
+
+
 def apply_allow_list(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files the manifest lists, with its attribution columns.
 
@@ -195,8 +200,7 @@ def apply_allow_list(files: DataFrame, manifest: DataFrame) -> DataFrame:
     that, and shuffles both sides when it does not.
     """
     entries = manifest.withColumnsRenamed({"root": "_root", "path": "_rel"})
-    clean = F.regexp_replace(F.regexp_replace(F.col("rel"), r"\\", "/"), r"^\./", "")
-    return files.join(entries, (F.col("root") == F.col("_root")) & (clean == F.col("_rel"))).drop("_root", "_rel")
+    return files.join(entries, (F.col("root") == F.col("_root")) & (clean_rel() == F.col("_rel"))).drop("_root", "_rel")
 
 
 def latest_version(files: DataFrame) -> DataFrame:

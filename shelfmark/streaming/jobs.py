@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,7 @@ from shelfmark.operators.export import build_payloads, read_whole, validate_payl
 from shelfmark.operators.extract import extract_documents
 from shelfmark.operators.ledger import new_submissions, plan_submissions, tombstones
 from shelfmark.operators.ranking import first_per
-from shelfmark.operators.snapshot import apply_allow_list, latest_version, merge_snapshot
+from shelfmark.operators.snapshot import apply_allow_list, clean_rel, latest_version, merge_snapshot
 from shelfmark.policy import Policy, Root
 from shelfmark.sources.corpus import prune_paths, stream_files
 from shelfmark.sources.sinks import VersionedTable
@@ -123,24 +123,36 @@ def export_batch(changes: DataFrame, number: int, *, manifest: DataFrame, conten
     Texts are read whole from ``content`` and held against the listed size. A document that cannot be sent as a
     whole becomes a row of ``errors`` with its reason; the others are not held up. Known keys with the same digest are
     left alone, and writing the same micro-batch again replaces its own version, so a repeated batch adds nothing.
+
+    Of manifest, content and ledger only rows that may belong to the micro-batch are shuffled. A text is shuffled once to meet
+    its row, and its payloads once to meet what was decided about their keys.
     """
     spark = ledger.spark
-    rows = apply_allow_list(latest_version(changes), manifest)
-    read = read_whole(rows.where(~F.col("gone")).drop("body"), content)
+    listed = VersionedTable(spark, ledger.path + "_listed")
+    fresh = latest_version(changes.drop("body"))
+    named = fresh.select(F.xxhash64("root", clean_rel()).alias("key"))
+    listed.write(apply_allow_list(fresh, thinned(manifest, F.xxhash64("root", "path"), named)), number)
+    rows = listed.read(number)
+    there = rows.where(~F.col("gone"))
+    read = read_whole(there, thinned(content, F.xxhash64("path"), there.select(F.xxhash64("path").alias("key"))))
     payloads = validate_payloads(build_payloads(read.where("reason IS NULL").drop("reason"), policy, scope, instance), policy)
-    # Keys of a batch begin with the id of their document, so the ledger is asked for these documents only.
-    known = _before(ledger, number)
-    ids = payloads.select("instance", "stable_id").distinct()
-    known = (known.join(ids, ["instance", "stable_id"], "left_semi") if known is not None
-             else spark.createDataFrame([], SUBMISSIONS))
     # Written once, so that checking the batch and recording it do not build every payload again.
     staging = VersionedTable(spark, ledger.path + "_staging")
-    staging.write(plan_submissions(payloads, known), number)
-    staged = staging.read(number)
+    staging.write(payloads.drop("messages", "source_metadata").withColumn("_row", F.monotonically_increasing_id()), number)
+    built = staging.read(number)
+    # Keys of a batch begin with the id of their document, so the ledger is asked for these documents only.
+    known = _before(ledger, number)
+    ids = built.select("instance", "stable_id").distinct()
+    known = (thinned(known, F.xxhash64("stable_id"), ids.select(F.xxhash64("stable_id").alias("key"))).join(ids, ["instance", "stable_id"], "left_semi")
+             if known is not None else spark.createDataFrame([], SUBMISSIONS))
+    plan = VersionedTable(spark, ledger.path + "_plan")
+    plan.write(plan_submissions(built.select("instance", "source_key", "payload_digest", "stable_id", "rel", "problems", "_row"), known), number)
+    staged = plan.read(number)
     faults = F.concat("problems", F.when(F.col("decision") == "conflict", F.array(F.lit("conflict"))).otherwise(F.array().cast("array<string>")))
     refused = staged.select("stable_id", "rel", F.explode(faults).alias("reason")).groupBy("stable_id", "rel").agg(
         F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reason"))
-    ledger.write(new_submissions(staged.join(refused.select("stable_id"), "stable_id", "left_anti")), number)
+    taken = staged.where("decision = 'new'").join(refused.select("stable_id"), "stable_id", "left_anti").select("_row", "decision")
+    ledger.write(new_submissions(built.join(taken, "_row")), number)
     unread = read.where("reason IS NOT NULL").select(
         keys.stable_id(F.col("root"), F.col("rel")).alias("stable_id"), "rel", "reason", F.lit("read").alias("kind"))
     errors.write(unread.unionByName(refused.withColumn("kind", F.lit("payload"))).withColumn("instance", F.lit(instance)), number)
@@ -150,6 +162,19 @@ def export_batch(changes: DataFrame, number: int, *, manifest: DataFrame, conten
     removals.write(tombstones(gone, existing if existing is not None else empty, instance), number)
 
 
+def thinned(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, is not in ``wanted(key)``; none that is there is lost.
+
+    ``wanted`` becomes a bitmap of fixed size, ``1 << bits`` bits in rows of 64, that is broadcast; the join behind it decides.
+    """
+    slot = lambda c: c.bitwiseAND((1 << bits) - 1)
+    words = wanted.select(slot(F.col("key")).alias("_s")).groupBy(F.shiftright("_s", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits"))
+    marked = rows.withColumns({"_slot": slot(key), "_word": F.shiftright(slot(key), 6)})
+    held = marked.join(F.broadcast(words), "_word").where("shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1 = 1")
+    return held.select(*rows.columns)
+
+
 def open_errors(errors: VersionedTable, ledger: VersionedTable) -> DataFrame:
     """Documents whose last attempt failed: an error of a later micro-batch than any of their ledger rows.
 

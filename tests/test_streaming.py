@@ -1,6 +1,6 @@
-import os
-
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +164,29 @@ def test_streams_read_a_table_stored_as_a_file_as_a_folder_or_empty(spark, scrat
         want = rows(name, given)
         assert want and rows(name, f"{scratch}/folder") == want
         assert rows(name, f"{scratch}/none") == []
+
+
+def test_a_micro_batch_shuffles_the_texts_of_its_documents_only(export_setup, spark, make_files, scratch):
+    _, _, settings, texts, _ = export_setup
+    body = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(4000))
+    texts["a.md"] = "one"
+    others = spark.range(40).select(F.concat(F.lit("/w/other-"), "id").alias("path"), F.lit(len(body)).cast("long").alias("size"), F.concat(F.lit(body), "id").alias("text"))
+    content = others.union(spark.createDataFrame([("/w/a.md", 3, "one")], "path string, size long, text string"))
+    content.write.parquet(scratch + "/content")
+    content, batch = spark.read.parquet(scratch + "/content"), make_files({"a.md": "one"})
+    wanted = batch.select(F.xxhash64("path").alias("key"))
+    assert [r["path"] for r in jobs.thinned(content, F.xxhash64("path"), wanted).collect()] == ["/w/a.md"]
+    plans = []
+    plain = VersionedTable.write
+
+    def write(table, df, number):
+        plans.append((table.path, df._jdf.queryExecution().optimizedPlan().toString()))
+        plain(table, df, number)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(VersionedTable, "write", write)
+        jobs.export_batch(batch, 0, content=content, **settings)
+    assert settings["ledger"].read_all().count() == 1
+    # Keys are grouped and compared without the payloads; errors are told without the texts.
+    assert not any("payload_json" in line for path, plan in plans if path.endswith("_plan") for line in plan.splitlines() if "Project" in line or "Aggregate" in line)
+    assert not any("first(payload_json" in plan for _, plan in plans)
