@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import BYTE_CODE, LAST, Bitmap, Prefixes, Steps, arrow, fresh, mix, text_runs
 
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
 SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -49,10 +47,10 @@ class Lines:
         self.doc = np.searchsorted(ends, self.start, side="right")
         first = np.searchsorted(self.start, np.append(0, ends[:-1]))
         self.number = np.arange(len(self.start)) - first[self.doc]
-        blank = BLANK[self.data]
+        blank = (self.data == 32) | (self.data - np.uint8(9) < 5)  # space, or one of the five bytes from 9 on
         edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
         self.word_start, self.word_end = edge[0::2], edge[1::2]
-        hashes = Prefixes(BYTE_CODE[self.data])
+        hashes = Prefixes(BYTE_CODE.take(self.data))
         word = mix(hashes.hash(self.word_start, self.word_end) ^ (self.word_end - self.word_start).astype(np.uint64))
         self.low, self.high = Prefixes(word), Prefixes(mix(word ^ SECOND))
         self.since = np.searchsorted(self.word_start, self.start)
@@ -108,9 +106,10 @@ def places(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, "low long, high long, doc long, k0 long, k1 long, k2 long, k3 long, number int")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(low, high, doc, row): the distinct lines with words of each row."""
+def lines_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
+    """(low, high, doc, row): the distinct lines with words of each row whose hash may be in the bitmap."""
     kinds = {n: pa.int64() for n in ("low", "high", "doc", "row")}
+    shared, mask = wanted.shared, (1 << Bitmap.BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,20 +117,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
             for start, texts in text_runs(batch.column("text").to_pylist()):
                 lines = Lines(texts)
                 low, high = lines.names()
-                take = np.flatnonzero(first_of(lines.doc, low, high) & (lines.words > 0))
+                take = np.flatnonzero(Bitmap.has(shared.value, low & mask) & (lines.words > 0))
+                take = take[first_of(lines.doc[take], low[take], high[take])]
                 at = start + lines.doc[take]
                 yield arrow(kinds, low=low[take], high=high[take], doc=ids[at], row=row[at])
 
     return docs.mapInArrow(run, "low long, high long, doc long, row long")
 
 
-def texts_of(docs: DataFrame, wanted: Bitmap) -> DataFrame:
-    """(low, high, doc, number, line) of the lines whose hash and document may be in the bitmap."""
+def texts_of(docs: DataFrame, wanted: Bitmap, holders: Bitmap) -> DataFrame:
+    """(low, high, doc, number, line) of the lines whose hash and document may be in the bitmap; ``holders`` has the documents alone."""
     kinds = {"low": pa.int64(), "high": pa.int64(), "doc": pa.int64(), "number": pa.int32(), "line": pa.binary()}
-    shared, mask = wanted.shared, (1 << Bitmap.BITS) - 1
+    shared, some, mask = wanted.shared, holders.shared, (1 << Bitmap.BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc").to_numpy()
+            batch = batch.filter(pa.array(Bitmap.has(some.value, ids & mask)))
             ids = batch.column("doc").to_numpy()
             for start, texts in text_runs(batch.column("text").to_pylist()):
                 lines = Lines(texts)
@@ -231,8 +233,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
     able = steps.store(distinct.select("low", "high", "doc", "number").join(sides, "low"), "line-candidates")
     steps.drop(shared)
     wanted = Bitmap(able.select(F.col("low").bitwiseXOR(F.col("doc")).alias("slot")), "slot", hashed=True)
+    holders = Bitmap(able, "doc", hashed=True)
     # Rows with equal ids hold a line at the same place; one of them gives its words.
-    lines = steps.store(texts_of(docs, wanted).join(able, ["low", "high", "doc", "number"]).groupBy("low", "high", "doc", "number").agg(
+    lines = steps.store(texts_of(docs, wanted, holders).join(able, ["low", "high", "doc", "number"]).groupBy("low", "high", "doc", "number").agg(
         F.first("sides").alias("sides"), F.first("line").alias("line")), "line-texts")
     steps.drop(able)
     keys = steps.store(lines.mapInArrow(variants, "v0 long, v1 int, at int, low long, doc long, number int"), "line-keys")
@@ -256,34 +259,40 @@ def near_lines(docs: DataFrame, distinct: DataFrame, steps: Steps) -> DataFrame:
     return near
 
 
+def may_repeat(text: str | None) -> bool:
+    """False if no two lines of a text can have equal words: no two are equal without their blanks."""
+    if text is None or "\n" not in text:
+        return False
+    filled = [x for x in text.encode("utf-8", "surrogatepass").translate(None, b"\t\v\f\r ").split(b"\n") if x]
+    return len(set(filled)) < len(filled)
+
+
 def cut_lines(told: str):
     """Texts without the lines whose hashes are listed in column ``told``, and without repeated lines.
 
-    That column comes back as whether the document lost all lines that it had words in.
+    That column comes back as whether the document lost all lines that it had words in. Texts that can't lose a line are not hashed.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, lists = batch.column("text").to_pylist(), batch.column(told).to_pylist()
-            out: list[str | None] = []
-            gone: list[bool] = []
-            for start, texts in text_runs(raw):
+            out, lists = batch.column("text").to_pylist(), batch.column(told).to_pylist()
+            gone = [False] * len(out)
+            place = [i for i, text in enumerate(out) if text is not None and (lists[i] or may_repeat(text))]
+            for start, texts in text_runs([out[i] for i in place]):
+                at = place[start:start + len(texts)]
                 lines = Lines(texts)
                 low, high = lines.names()
-                bad = [np.array(x or [], np.int64).reshape(-1, 2) for x in lists[start:start + len(texts)]]
+                bad = [np.array(lists[i] or [], np.int64).reshape(-1, 2) for i in at]
                 owner = np.repeat(np.arange(len(bad)), [len(b) for b in bad])
                 bad = np.concatenate(bad)
                 # A line that is listed, or stands earlier in the document, is not the first of its kind.
                 name = np.concatenate([bad[:, 0], low]), np.concatenate([bad[:, 1], high])
                 keep = first_of(np.concatenate([owner, lines.doc]), *name)[len(owner):] | (lines.words == 0)
                 edge = np.searchsorted(lines.doc, np.arange(len(texts) + 1))
-                for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                for i, a, b in zip(at, edge[:-1], edge[1:]):
                     k = keep[a:b]
-                    if raw[start + i] is None or k.all():
-                        out.append(raw[start + i])
-                        gone.append(False)
-                        continue
-                    out.append(b"\n".join(lines.line(j) for j in a + np.flatnonzero(k)).decode("utf-8", "surrogatepass"))
-                    gone.append(not (k & (lines.words[a:b] > 0)).any())
+                    if not k.all():
+                        out[i] = b"\n".join(lines.line(j) for j in a + np.flatnonzero(k)).decode("utf-8", "surrogatepass")
+                        gone[i] = not (k & (lines.words[a:b] > 0)).any()
             new = {"text": pa.array(out, batch.schema.field("text").type), told: pa.array(gone, pa.bool_())}
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
@@ -305,7 +314,7 @@ def drop_lines(docs: DataFrame, least_words: int = 8) -> DataFrame:
             "low", "high", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-judged")
         steps.drop(distinct, near)
     # A plain join of what is read and what is stored, so that adaptive execution can split a line that very many documents have.
-    bad = lines_of(texts).join(judged, ["low", "high"]).where("near OR doc <> first")
+    bad = lines_of(texts, Bitmap(judged, "low", hashed=True)).join(judged, ["low", "high"]).where("near OR doc <> first")
     told, place, name = fresh(docs, "_told"), fresh(docs, "_place"), fresh(docs, "_row")
     drops = bad.groupBy(F.col("doc").alias(place), F.col("row").alias(name)).agg(F.collect_set(F.array("low", "high")).alias(told))
     rows = docs.withColumn("text", text).withColumns({place: key, name: F.xxhash64(text)}).join(drops, [place, name], "left").drop(place, name)

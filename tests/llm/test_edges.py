@@ -198,3 +198,27 @@ def test_mixing_leaves_columns_with_its_names_alone(spark, tmp_path):
     assert a == b and len(a) == 20
     kept = mixing.mix(plain.withColumns({c: F.lit(c) for c in names})).collect()
     assert {r["_p"] for r in kept} == {"_p"} and {r["_kept"] for r in kept} == {"_kept"}
+
+
+def test_only_texts_that_can_lose_a_line_are_hashed(monkeypatch):
+    import pyarrow as pa
+
+    same = [lines.may_repeat(t) for t in (None, "", "a", "a\nb", "\n\n", "a\n\nb\n ", "a b\nc\na  b", "x\t\n x", "ab c\na bc")]
+    assert same == [False] * 6 + [True] * 3
+    seen = []
+    plain = lines.Lines
+
+    def counted(texts):
+        seen.extend(texts)
+        return plain(texts)
+
+    monkeypatch.setattr(lines, "Lines", counted)
+    low, high = plain([b"gone here"]).names()
+    listed = [[int(low[0]), int(high[0])]]
+    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("told", pa.list_(pa.list_(pa.int64())))])
+    rows = [(1, "one\ntwo", None), (2, "x y\nb\nx  y", None), (3, "gone  here\nstays", listed), (4, "gone here", listed), (5, None, None), (6, "ab c\na bc", None)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], schema=kind)
+    done = next(lines.cut_lines("told")(iter([batch]))).to_pylist()
+    assert [(r["text"], r["told"]) for r in done] == [
+        ("one\ntwo", False), ("x y\nb", False), ("stays", False), ("", True), (None, False), ("ab c\na bc", False)]
+    assert seen == [b"x y\nb\nx  y", b"gone  here\nstays", b"gone here", b"ab c\na bc"]
