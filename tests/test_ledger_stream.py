@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,69 @@ def test_an_event_costs_no_message_of_its_own():
     for _ in range(2):
         list(batches.handleInputRows(("i", "a"), iter(rows), times))
     assert held.calls <= 6
+
+
+def frame(*events):
+    """Events as a group gets them: (batch, number, name)."""
+    return pd.DataFrame([("i", key, 0, n, name, f"s{n}", None, None, None) for key, n, name in events], columns=ledger_stream.KEY + ledger_stream.EVENT)
+
+
+def test_batches_of_a_group_share_their_messages():
+    from types import SimpleNamespace
+
+    class Counted:
+        def __init__(self):
+            self.calls, self.held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+        def __getattr__(self, name):
+            def call(*_):
+                self.calls += 1
+                return False
+            return call
+
+    groups, held = ledger_stream.Groups(5, 1000), Counted()
+    groups.handle = groups.state = groups.seen = held
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    events = [(f"k{i}", n, "failed" if i % 2 else "submitted") for i in range(500) for n in (1, 2)]
+    start = pd.DataFrame([("i", "k1", "submitted", 7.0, None, "j", None, None), ("i", "k0", "submitted", None, None, None, None, None)],
+                         columns=ledger_stream.KEY + ledger_stream.START)
+    groups.handleInitialState((0,), start, times)
+    for _ in range(2):
+        # The second half comes in a frame of its own; a batch is a row all the same.
+        made, = groups.handleInputRows((0,), iter([frame(*events[:501]), frame(*events[501:])]), times)
+        made = {r.source_key: (r.stage, r.attempts, r.source_id, r.job_id, r.events) for r in made.itertuples()}
+        assert len(made) == 500
+        assert made["k1"] == ("failed", 9, "s2", "j", 2) and made["k0"] == ("submitted", None, "s2", None, 2)
+        assert {v for k, v in made.items() if k not in ("k0", "k1")} == {("failed", 2, "s2", None, 2), ("submitted", 2, "s2", None, 2)}
+    assert held.calls <= 10
+
+
+def test_groups_of_any_size_tell_the_same(spark, scratch):
+    rng = random.Random(3)
+    names = ["submitted", "failed", "counted", "failed", "receipted"]
+    feed = []
+    for minutes in (0, 4, 10, 13, 19, 30, 55, 200):
+        feed.append([event(minutes + rng.choice([0, 0, 1]), rng.choice("abcdef"), rng.choice([1, 2, 3, 700, 5000]), rng.choice(names)) for _ in range(5)])
+    # Waits that end with the watermark, and one that begins there.
+    feed += [[event(300, "x", 1, "failed")], [event(301, "y", 1, "failed"), event(301, None, 1, "failed")], [event(311 + 1 / 60, "z", 1, "failed")], [event(330, "z", 2, "indexed")],
+             [event(400, "z", 3, "indexed")]]
+    for events in feed:
+        spark.createDataFrame(events, KIND).coalesce(1).write.mode("append").parquet(scratch + "/feed")
+    told = []
+    for groups in (1, 1 << 40):
+        at = f"{scratch}/{groups}"
+        stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(scratch + "/feed")
+        states = ledger_stream.ledger_states(stream, None, max_attempts=3, wait_ms=600_000, late="1 second", groups=groups)
+        table = VersionedTable(spark, at + "/states")
+        ledger_stream.start_ledger(states, table, at + "/cp").awaitTermination()
+        told.append(sorted(map(str, spark.read.parquet(table.path).collect())))
+    assert told[0] == told[1]
+    assert any("retry" in row and "source_key='y'" in row for row in told[0])
