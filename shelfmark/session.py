@@ -58,10 +58,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a step to a scratch folder and read it back: lineage ends here and no step is computed twice."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -90,8 +90,8 @@ class Steps:
             files.delete(at, True)
             self.paths.discard(path)
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        out = store(df, name)
+    def store(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        out = store(df, name, **options)
         self.paths.add(out._stored_at)
         return out
 

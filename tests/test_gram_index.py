@@ -195,3 +195,39 @@ def test_the_best_files_of_many_sets_against_all_pairs(monkeypatch):
             if all(parts):
                 found.append((-sum(parts), -(time if time is not None else -2**63), path))
         assert [(-r["score"], -r["mtime_ms"], r["path"]) for r in made if r["number"] == 100 + i] == sorted(found)[:4]
+
+
+def test_shares_of_the_sets_are_compared_with_one_scan(spark, corpus, monkeypatch):
+    files, _, pol = corpus
+    queries = spark.createDataFrame([*enumerate(QUERIES), (102, "plan"), (103, "  harbour\tnotes ")], "query long, text string")
+    ranked = lambda **settings: sorted(map(tuple, many_queries.search_table(files, queries, pol, k=3, **settings).collect()))
+    want, read = ranked(), []
+    for name in ("_scan", "_postings"):
+        plain = getattr(many_queries, name)
+        monkeypatch.setattr(many_queries, name, lambda *args, name=name, plain=plain: read.append(name) or plain(*args))
+    assert ranked(held=10) == want and len(want) > 10
+    assert read == ["_postings"]
+    assert ranked(held=10, pattern_bytes=12) == want
+
+
+def test_files_that_cannot_be_among_the_best_are_not_compared(monkeypatch):
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(many_queries, "PAIRS", 50)
+    compared = []
+    plain = many_queries.Block.score
+    monkeypatch.setattr(many_queries.Block, "score", lambda self, term, row: compared.append(len(row)) or plain(self, term, row))
+    rng = random.Random(2)
+    n = 20_000
+    files = [(f"p{i:05}", rng.randrange(10**6), "alpha" if i % 5000 == 7 else "", "alpha beta gamma" if i % 3 else "beta alphabet gamma") for i in range(n)]
+    shared = type("Shared", (), {"value": pickle.dumps((many_queries._automaton(["alpha", "beta g", "gamma"]), many_queries.Sets(np.array([1, 1, 2]), np.array([0, 2, 1]))))})
+    schema = pa.schema([("path", pa.string()), ("mtime_ms", pa.int64()), ("_name", pa.string()), ("_body", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, f)) for f in files[at:at + 1000]], schema=schema) for at in range(0, n, 1000)]
+    made = pa.Table.from_batches(list(many_queries._scan(shared, {"name": 40, "body": 5}, 4)(iter(batches)))).to_pylist()
+    for number, score, held in ((1, lambda f: 10 + 40 * (f[2] != ""), lambda f: True), (2, lambda f: 5, lambda f: "beta g" in f[3])):
+        best = sorted((-score(f), -f[1], f[0]) for f in files if held(f))[:4]
+        assert [(-r["score"], -r["mtime_ms"], r["path"]) for r in made if r["number"] == number] == best
+    assert sum(compared) < n / 4
